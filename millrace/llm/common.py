@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_scratch: str | None = None
 
 
@@ -42,9 +44,17 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Writes df to the shared folder and reads it back: lineage is cut and lost executors cost no recomputation."""
+    """Writes df to the shared folder and reads it back: lineage is cut and lost executors cost no recomputation.
+
+    What the write shuffled is deleted with it, not when the driver next happens to collect its garbage.
+    """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else spark.conf.unset(SHUFFLE_CLEANUP)
     return spark.read.schema(df.schema).parquet(path), path
 
 

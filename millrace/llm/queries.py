@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import exact_dedup, sentence_pieces, simhash, token_files
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_files": lambda s, d: token_files.op2_token_files(s, table(s, d, "documents")),
         "op3_exact_dedup": lambda s, d: exact_dedup.op3_exact_dedup(s, table(s, d, "documents")),
         "op5_simhash_near_dedup": lambda s, d: simhash.op5_simhash_near_dedup(s, table(s, d, "documents")),
+        "op7_sentencepiece": lambda s, d: sentence_pieces.op7_sentencepiece(s, table(s, d, "documents")),
     }
 
 
