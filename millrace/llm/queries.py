@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, sentence_pieces, sharding, simhash, token_files
+from . import decontaminate, exact_dedup, language_id, pii, sentence_pieces, sharding, simhash, token_files
 from .common import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": lambda s, d: language_id.op1_language_id(s, table(s, d, "documents")),
         "op2_token_files": lambda s, d: token_files.op2_token_files(s, table(s, d, "documents")),
         "op3_exact_dedup": lambda s, d: exact_dedup.op3_exact_dedup(s, table(s, d, "documents")),
+        "op4_pii": lambda s, d: pii.op4_pii(s, table(s, d, "documents")),
         "op5_simhash_near_dedup": lambda s, d: simhash.op5_simhash_near_dedup(s, table(s, d, "documents")),
         "op6_sharding": lambda s, d: sharding.op6_sharding(s, table(s, d, "documents")),
         "op7_sentencepiece": lambda s, d: sentence_pieces.op7_sentencepiece(s, table(s, d, "documents")),
