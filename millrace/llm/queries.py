@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, pii, sentence_pieces, sharding, simhash, token_files
+from . import decontaminate, exact_dedup, html_text, language_id, pii, sentence_pieces, sharding, simhash, token_files
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": lambda s, d: language_id.op1_language_id(s, table(s, d, "documents")),
+        "op10_html_text": lambda s, d: html_text.op10_html_text(s, table(s, d, "pages")),
         "op2_token_files": lambda s, d: token_files.op2_token_files(s, table(s, d, "documents")),
         "op3_exact_dedup": lambda s, d: exact_dedup.op3_exact_dedup(s, table(s, d, "documents")),
         "op4_pii": lambda s, d: pii.op4_pii(s, table(s, d, "documents")),
