@@ -165,6 +165,8 @@ OUTSIDE = {
     "comments": ["comments", "comment", "respond", "reply", "disqus", "discussion", "reviews"],
     "share": ["share", "social", "sharing", "follow", "print", "byline tools"],
 }
+#: Names that say nothing about what they hold.
+NEUTRAL = ["", "row", "col", "container", "wrapper", "inner", "grid", "box", "block", "module", "panel", "section", "region"]
 #: The elements that such parts are marked by.
 ELEMENTS = {"menu": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "sidebar": ["aside", "div"], "notice": ["div", "section", "dialog"], "advert": ["div", "ins", "aside"], "form": ["form", "div"], "comments": ["section", "div", "ol"], "share": ["div", "ul"]}
 
@@ -179,6 +181,9 @@ def labelled_pages(n: int, seed: int = 0):
         named = rng.choice(OUTSIDE[kind]) if rng.random() < 0.8 or name in ("div", "section", "ol", "ul") else ""
         return features_of(name, f'class="{named}{role}"')
 
+    def neutral() -> tuple[str, ...]:
+        return tuple(f for _ in range(rng.choice([0, 0, 1, 1, 2, 3])) for f in features_of(rng.choice(["div", "div", "section", "span"]), f'class="{rng.choice(NEUTRAL)}"'))
+
     def holder() -> tuple[str, ...]:
         pick = rng.random()
         if pick < 0.45:
@@ -188,7 +193,7 @@ def labelled_pages(n: int, seed: int = 0):
         return features_of(rng.choice(["div", "section", "td"]), f'class="{rng.choice(INSIDE)}"')
 
     def outside(base: tuple[str, ...], kind: str):
-        inner = base + element(kind)
+        inner = base + neutral() + element(kind) + neutral()
         for _ in range(rng.randint(1, 5)):
             tail = rng.choice([("<p>",), ("<a>",), ("<li>", "<a>"), ("<ul>", "<li>", "<a>"), ("<span>",), ("<label>",), ("<h2>",), ("<h3>",), (), ("<div>",), ("<div>", "<p>"), ("<ul>", "<li>"), ("<div>", "<div>", "<span>")])
             yield inner + tail, rng.randint(1, 12), False
@@ -199,10 +204,10 @@ def labelled_pages(n: int, seed: int = 0):
         wrap = body + (features_of("div", 'class="wrapper"') if rng.random() < 0.3 else ())
         for kind in rng.sample(sorted(OUTSIDE), rng.randint(2, 6)):
             page += outside(wrap, kind)
-        held = wrap + holder()
+        held = wrap + neutral() + holder()
         for _ in range(rng.randint(2, 12)):
             tail = rng.choice([("<p>",)] * 6 + [("<h1>",), ("<h2>",), ("<header>", "<h1>"), ("<ul>", "<li>"), ("<blockquote>", "<p>"), ("<p>", "<b>"), ("<p>", "<a>"), ("<table>", "<tr>", "<td>"), ("<pre>",), ("<figure>", "<figcaption>"), (), ("<div>",), ("<div>", "<p>"), ("<section>", "<p>"), ("<dl>", "<dd>"), ("<p>", "<em>"), ("<div>", "<div>", "<span>")])
-            page.append((held + tail, rng.randint(1, 60), True))
+            page.append((held + neutral() + tail, rng.randint(1, 60), True))
         for kind in rng.sample(["advert", "form", "comments", "sidebar", "share", "notice", "footer", "menu"], rng.randint(0, 3)):
             page += outside(held, kind)
         for kind in rng.sample(sorted(OUTSIDE), rng.randint(1, 4)):

@@ -30,7 +30,7 @@ def test_region_is_the_best_of_all():
     w = trained()
     openers = ["<p>", "<div class=ad>", "<article>", "<nav>", "<b>", "<li>", "<div class=content>", "</article>", "</div>", "</nav>", "</p>"]
     for _ in range(300):
-        page = "".join(rng.choice(openers) if rng.random() < 0.5 else " ".join(["w"] * rng.randint(1, 9)) for _ in range(14))
+        page = "".join(rng.choice(openers) if rng.random() < 0.5 else "w " * rng.randint(1, 9) for _ in range(14))
         scores, texts = [], []
         for kind, value, context in html_text.sequence(page):
             scores.append(w.tag if kind == "tag" else w.score(len(value.split()), context))
