@@ -15,7 +15,6 @@ string. Repeated documents give equal rows. An empty benchmark leaves all docume
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,26 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import forget, slices, stored, table, utf8_rows
+from .hashing import mix, powers
 from .wordcache import runs
 
 WINDOW, GRAM = 13, 5
 BLOCK_BYTES = 8 << 20
 #: Letters and digits in lower case and all bytes beyond ASCII stay; other bytes part words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-
-
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+STEP = 0xD6E8FEB86659FD93
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,9 +40,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = flat != 32
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     start, end = edge[::2], edge[1::2]
-    up, down = _powers(1 << max(23, int(len(flat)).bit_length()))
+    up, down = powers(1 << max(23, int(len(flat)).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat.astype(np.uint64) * up[: len(flat)])])
-    hashes = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     text_ends = np.cumsum([len(t) + 1 for t in folded])
     return hashes, np.diff(np.searchsorted(start, text_ends, "right"), prepend=0)
 
@@ -66,7 +53,7 @@ def gram_hashes(words: np.ndarray, width: int, at: np.ndarray | None = None) ->
     out = np.zeros(n if at is None else len(at), np.uint64)
     for k in range(width):
         out = out * np.uint64(STEP) + (words[k : k + n] if at is None else words[at + k])
-    return _mix(out)
+    return mix(out)
 
 
 def winnowed(words: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, language_id, pii, sentence_pieces, sharding, simhash, token_files
+from . import decontaminate, exact_dedup, html_text, language_id, pii, repeated_spans, sentence_pieces, sharding, simhash, token_files
 from .common import table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": lambda s, d: sharding.op6_sharding(s, table(s, d, "documents")),
         "op7_sentencepiece": lambda s, d: sentence_pieces.op7_sentencepiece(s, table(s, d, "documents")),
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_repeated_spans": lambda s, d: repeated_spans.op9_repeated_spans(s, table(s, d, "documents")),
     }
 
 
