@@ -90,3 +90,24 @@ def utf8_rows(column: pa.Array) -> list[bytes]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_tag(text: Column) -> Column:
+    """A hash that, with the id, names a document whose id isn't unique."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def keep_named(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs named by kept (doc_id, tag, times), once each; times is how many rows of docs have that name.
+
+    Names met once, all of them as a rule, take a semi-join; only rows of repeated names are dealt out and reduced.
+    """
+    named = docs.withColumn("__tag", text_tag(F.col(text_col)))
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        return named.join(rows, (named["__tag"] == rows["tag"]) & named[id_col].cast("bigint").eqNullSafe(rows["doc_id"]), "left_semi")
+
+    once, more = kept.filter("times = 1"), kept.filter("times > 1")
+    if more.isEmpty():
+        return chosen(once).drop("__tag")
+    return chosen(once).unionByName(chosen(more).dropDuplicates([id_col, "__tag"])).drop("__tag")

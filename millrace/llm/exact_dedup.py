@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, forget, stored
+from .common import ascii_lower, forget, keep_named, stored, text_tag
 
 
 class DigestIndex:
@@ -43,17 +43,17 @@ class DigestIndex:
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, row): row tells repeated rows apart; store the result before row is used twice."""
+    """(doc_id, digest, tag, row): row tells repeated rows apart; store the result before row is used twice."""
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
-        F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)).alias("digest"),
+        F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)).alias("digest"), text_tag(F.col(text_col)).alias("tag"),
     ).withColumn("row", F.monotonically_increasing_id())
 
 
 def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deduplicates a batch within itself and against the index, and appends what is new.
 
-    Returns per row: doc_id, keep_id, group_size (rows of the batch with that text), kept, digest, row.
+    Returns per row: doc_id, keep_id, group_size (rows of the batch with that text), kept, digest, tag, row.
     """
     rows, _ = stored(digest_rows(docs, id_col, text_col), "digests")
     groups = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -70,7 +70,7 @@ def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
     index.append(decided.filter("new"))
     # Both sides are plain scans behind an exchange, so that a hot digest's rows can be split over tasks.
     return rows.join(decided, "digest").select(
-        "doc_id", "keep_id", "group_size", (F.col("new") & (F.col("row") == F.col("keep_row"))).alias("kept"), "digest", "row"
+        "doc_id", "keep_id", "group_size", (F.col("new") & (F.col("row") == F.col("keep_row"))).alias("kept"), "digest", "tag", "row"
     )
 
 
@@ -83,6 +83,26 @@ def op3_exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def kept_documents(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, with all their columns."""
+    rows = dedup(docs, index, id_col, text_col)
+    same = rows.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = same.groupBy("digest").agg(F.first("keep_id").alias("doc_id"), F.max("kept").alias("kept"), F.max_by("tag", "kept").alias("tag"))
+    times = same.groupBy("digest", "tag").agg(F.count(F.lit(1)).alias("times")).withColumnsRenamed({"digest": "d", "tag": "t"})
+    kept = kept.filter("kept").join(times, (F.col("digest") == F.col("d")) & (F.col("tag") == F.col("t"))).select("doc_id", "tag", "times")
+    kept, _ = stored(kept, "digest-kept")
+    return keep_named(docs, kept, id_col, text_col)
+
+
+def fresh_index(spark: SparkSession) -> DigestIndex:
+    return DigestIndex(spark, f"millrace_digests_{uuid.uuid4().hex}")
+
+
+def op3_exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    out = dedup(docs, fresh_index(spark))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def kept_documents(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Only rows repeated with id and text need more than a semi-join."""
     kept = dedup(docs, index, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))

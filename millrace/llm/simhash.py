@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, slices, stored, utf8_rows
+from .common import forget, keep_named, slices, stored, text_tag, utf8_rows
 from .components import components
 
 BITS = 64
@@ -51,16 +51,16 @@ def fingerprints_of(texts: list[bytes], width: int) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, fp bigint)."""
+    """(doc_id, tag, fp bigint); tag with the id names a row."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 fps = fingerprints_of(utf8_rows(part.column("text")), width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(fps)], ["doc_id", "tag", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_tag(F.col(text_col)).alias("tag"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, tag bigint, fp bigint")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -118,18 +118,36 @@ def _with_bit(i: int, lead: Column, follow: Column, width: int):
     return lambda bit: _chain_key(i, lead, follow.bitwiseOR(bit), width)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id, component_size): component_id is the least id reachable over links."""
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, distance: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored tables: rows (doc_id, tag, fp), fingerprints (fp, root), components (root, component_id, component_size, first:
+    the row of least id, nulls last)."""
     spark = docs.sparkSession
     rows, _ = stored(fingerprint_table(docs, id_col, text_col, width), "fingerprints")
-    fps, at_fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
+    fps, at_fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), first, F.count(F.lit(1)).alias("n")), "fingerprint-groups")
     named, at_named = stored(components(near_links(fps.select("fp"), distance)), "fingerprint-roots")
-    rooted, at_rooted = stored(fps.join(named, fps["fp"] == named["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "fingerprint-rooted")
-    roots, at_roots = stored(rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size")), "fingerprint-components")
+    rooted, _ = stored(fps.join(named, fps["fp"] == named["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "first", "n"), "fingerprint-rooted")
+    roots = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"), F.min("first").alias("first"))
+    roots, _ = stored(roots, "fingerprint-components")
+    forget(spark, at_fps, at_named)
+    return rows, rooted, roots
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id, component_size): component_id is the least id reachable over links."""
+    rows, rooted, roots = _components(docs, id_col, text_col, width, distance)
     known, _ = stored(rooted.join(roots, rooted["root"] == roots["r"]).select(F.col("fp").alias("known"), "component_id", "component_size"), "fingerprint-known")
-    forget(spark, at_fps, at_named, at_rooted, at_roots)
     return rows.join(known, rows["fp"] == known["known"]).select("doc_id", "fp", "component_id", "component_size")
 
 
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
+    """One document of each component, that of the least id, with all its columns."""
+    rows, _, roots = _components(docs, id_col, text_col, width, distance)
+    first = roots.select(F.col("first.doc_id").alias("d"), F.col("first.tag").alias("t"))
+    times = rows.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("times"))
+    kept, _ = stored(times.join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left_semi"), "fingerprint-kept")
+    return keep_named(docs, kept, id_col, text_col)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
