@@ -106,7 +106,7 @@ ORACLES = {
     "product_stats": f"""WITH {PRODUCT_ROWS} SELECT {stamp("day")}, sku_id, CAST(sum(display) AS BIGINT) AS display_ct, CAST(sum(click) AS BIGINT) AS click_ct, CAST(sum(favor) AS BIGINT) AS favor_ct, CAST(sum(cart) AS BIGINT) AS cart_ct,
         CAST(sum(num) AS BIGINT) AS order_sku_num, CAST(sum(amount) AS {MONEY}) AS order_amount, CAST(coalesce(sum(paid), 0) AS {MONEY}) AS payment_amount, CAST(coalesce(sum(refund), 0) AS {MONEY}) AS refund_amount,
         CAST(sum(comments) AS BIGINT) AS comment_ct, CAST(sum(good) AS BIGINT) AS good_comment_ct, count(DISTINCT order_id) AS order_ct, count(DISTINCT paid_id) AS paid_order_ct, count(DISTINCT refund_id) AS refund_order_ct,
-        min(epoch_ms(et)) AS ts FROM product_rows GROUP BY date_trunc('day', et), sku_id""",
+        min(epoch_us(et) // 1000) AS ts FROM product_rows GROUP BY date_trunc('day', et), sku_id""",
     "province_stats": PROVINCES,
     "province_stats_sql": PROVINCES,
     "keyword_stats": f"WITH {KEYWORDS} SELECT {stamp('day', 'd')}, keyword, source, ct FROM searched",
