@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +40,13 @@ def merged_routes(changes: DataFrame, sticky: bool = False) -> DataFrame:
     return last.select("r.*").filter("op <> '-D'").drop("op", "seq")
 
 
-def route(changes: DataFrame, routes: DataFrame) -> DataFrame:
-    """(sink_type, sink_table, sink_pk, sink_extend, data): rows with a route, their columns pruned; others drop."""
+def route(changes: DataFrame, routes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(sink_type, sink_table, sink_pk, sink_extend, data): rows with a route, their columns pruned; others drop.
+
+    keep: further columns of changes, such as their order."""
     by = routes.select(F.col("source_table"), F.col("operate_type"), F.lower("sink_type").alias("sink_type"), "sink_table", "sink_columns", "sink_pk", "sink_extend")
     met = changes.withColumn("__op", operation(F.col("type"))).join(by, (F.col("table") == by["source_table"]) & (F.col("__op") == by["operate_type"]))
-    return met.filter(F.col("sink_type").isin("kafka", "hbase")).select("sink_type", "sink_table", "sink_pk", "sink_extend", pruned(F.col("data"), F.col("sink_columns")).alias("data"))
+    return met.filter(F.col("sink_type").isin("kafka", "hbase")).select("sink_type", "sink_table", "sink_pk", "sink_extend", pruned(F.col("data"), F.col("sink_columns")).alias("data"), *keep)
 
 
 def to_topics(routed: DataFrame) -> DataFrame:

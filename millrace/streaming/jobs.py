@@ -38,7 +38,8 @@ def route_changes(spark: SparkSession, root: str, routes: str, available_now: bo
     """ods_db to fact topics and dimension tables; the configuration at `routes` is read anew for each batch."""
 
     def each(batch: DataFrame, number: int) -> None:
-        routed = binlog.route(binlog.etl_binlog(batch), spark.read.parquet(routes)).withColumn("seq", F.monotonically_increasing_id()).persist()
+        ordered = binlog.etl_binlog(batch.withColumn("seq", F.monotonically_increasing_id()))
+        routed = binlog.route(ordered, spark.read.parquet(routes), ["seq"]).persist()
         write_routed(binlog.to_topics(routed), root)
         # A row a dimension table of the configuration.
         for r in binlog.to_dimensions(routed).groupBy("sink_table").agg(F.max("sink_pk").alias("pk"), F.array_distinct(F.flatten(F.collect_set(F.map_keys("data")))).alias("names")).collect():
