@@ -40,7 +40,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = flat != 32
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     start, end = edge[::2], edge[1::2]
-    up, down = powers(1 << max(23, int(len(flat)).bit_length()))
+    up, down = powers(1 << max(20, int(len(flat)).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat.astype(np.uint64) * up[: len(flat)])])
     hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     text_ends = np.cumsum([len(t) + 1 for t in folded])

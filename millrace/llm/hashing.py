@@ -9,7 +9,7 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=3)
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE to each power, and its inverses."""
     up, down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
@@ -27,7 +27,7 @@ class SpanHashes:
     """Hashes of any spans of a byte array, each in constant time."""
 
     def __init__(self, flat: np.ndarray):
-        up, self.down = powers(1 << max(23, int(len(flat)).bit_length()))
+        up, self.down = powers(1 << max(20, int(len(flat)).bit_length()))
         self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)])])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

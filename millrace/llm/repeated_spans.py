@@ -8,7 +8,8 @@ room and time there is (README has the figures). What is computed is the same se
    occurrence; what those windows cover is its context. There is one occurrence for about 70 bytes.
 2. Occurrences whose anchor is met once hold no repeated window. Of the others, equal contexts are counted: all windows of
    a context met twice are repeated.
-3. Where an anchor has several contexts, the windows of one occurrence of each are compared by their own hashes.
+3. Where an anchor has several contexts, one occurrence of each is cut out. How far its bytes agree with another's before
+   and behind the anchor, in steps, leaves the windows that can be shared; those are compared by their own hashes.
 
 Every exchange is keyed by a hash of content whose equal rows are summed before it, or joins two stored tables, so that
 passages that a third of all documents share are split over tasks. Anchor and window hashes, 64 bits each, decide together.
@@ -27,21 +28,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, slices, stored, utf8_rows
-from .hashing import SpanHashes
+from .hashing import SpanHashes, mix
+from .wordcache import runs
 
 GRAM = 64
 PLACE_BITS = 28
-OCCURRENCE = "doc_id bigint, tag bigint, anchor bigint, lo int, hi int, context bigint"
+OCCURRENCE = "doc_id bigint, tag bigint, anchor bigint, lo int, hi int, at int, context bigint"
 
 
 def occurrences(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor, lo, hi, context): windows from lo to hi of a text have that anchor; places within the text."""
+    """(text, anchor, lo, hi, at, context): windows from lo to hi of a text have that anchor; places within the text, at from lo."""
     sizes = np.array([len(t) for t in texts], np.int64)
     flat = np.frombuffer(b"".join(texts), np.uint8)
     begins = np.cumsum(sizes) - sizes
     n = len(flat) - width + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     spans = SpanHashes(flat)
     grams = spans.all(GRAM)
     mask = np.uint64((1 << PLACE_BITS) - 1)
@@ -63,7 +65,7 @@ def occurrences(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     anchor = at[first]
     context = spans.of(first, last + width) + np.uint64(0x9E3779B97F4A7C15) * (anchor - first).astype(np.uint64)
     text = text_of[first]
-    return text, grams[anchor].view(np.int64), first - begins[text], last - begins[text], context.view(np.int64)
+    return text, grams[anchor].view(np.int64), first - begins[text], last - begins[text], anchor - first, context.view(np.int64)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,33 +78,90 @@ def _occurrence_rows(keyed: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                text, anchor, lo, hi, context = occurrences(utf8_rows(part.column("text")), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), part.column("tag").take(pa.array(text)), pa.array(anchor), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(context)], ["doc_id", "tag", "anchor", "lo", "hi", "context"])
+                text, anchor, lo, hi, at, context = occurrences(utf8_rows(part.column("text")), width)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), part.column("tag").take(pa.array(text)), pa.array(anchor), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(at, pa.int32()), pa.array(context)], ["doc_id", "tag", "anchor", "lo", "hi", "at", "context"])
 
     return keyed.filter(F.octet_length("text") >= width).mapInArrow(run, OCCURRENCE)
 
 
-def _window_rows(wanted: DataFrame, width: int) -> DataFrame:
-    """wanted: (doc_id, tag, text, spans array<struct<lo, hi, anchor, alone>>). A row for each window of each span."""
+SPAN = "id bigint, doc_id bigint, tag bigint, anchor bigint, lo int, at int, windows int, alone boolean, body binary"
+
+
+def _span_rows(wanted: DataFrame, width: int) -> DataFrame:
+    """wanted: (doc_id, tag, text, spans array<struct<lo, hi, anchor, at, alone>>). A row a span, with its bytes."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                texts, spans = utf8_rows(part.column("text")), part.column("spans").to_pylist()
-                sizes = np.array([len(t) for t in texts], np.int64)
-                begins = np.cumsum(sizes) - sizes
-                hashes = SpanHashes(np.frombuffer(b"".join(texts), np.uint8))
-                for i, own in enumerate(spans):
-                    lo, n = np.array([s["lo"] for s in own]), np.array([s["hi"] - s["lo"] + 1 for s in own])
-                    place = np.concatenate([np.arange(a, a + k) for a, k in zip(lo.tolist(), n.tolist(), strict=True)])
-                    window = hashes.of(begins[i] + place, begins[i] + place + width)
-                    k = len(place)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(pa.array(np.full(k, i))), part.column("tag").take(pa.array(np.full(k, i))), pa.array(np.repeat([s["anchor"] for s in own], n)), pa.array(np.repeat([s["alone"] for s in own], n)), pa.array(place, pa.int32()), pa.array(window.view(np.int64))],
-                        ["doc_id", "tag", "anchor", "alone", "place", "window"],
-                    )
-
-    return wanted.mapInArrow(run, "doc_id bigint, tag bigint, anchor bigint, alone boolean, place int, window bigint")
+                rows = [(d, t, s, x[s["lo"] : s["hi"] + width]) for d, t, x, own in zip(part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), utf8_rows(part.column("text")), part.column("spans").to_pylist(), strict=True) for s in own]
+                ids = [hash_of(f"{d}:{t}:{s['lo']}") for d, t, s, _ in rows]
+                spans = [s for _, _, s, _ in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([s["anchor"] for s in spans], pa.int64()), pa.array([s["lo"] for s in spans], pa.int32()),
+                     pa.array([s["at"] for s in spans], pa.int32()), pa.array([s["hi"] - s["lo"] + 1 for s in spans], pa.int32()), pa.array([s["alone"] for s in spans], pa.bool_()), pa.array([r[3] for r in rows], pa.binary())],
+                    ["id", "doc_id", "tag", "anchor", "lo", "at", "windows", "alone", "body"],
+                )
+
+    return wanted.mapInArrow(run, SPAN)
+
+
+def hash_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _flat(part: pa.RecordBatch) -> tuple[SpanHashes, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes over a batch's bodies; where each begins; anchors; where each anchor lies in its body."""
+    bodies = part.column("body").to_pylist()
+    sizes = np.array([len(x) for x in bodies], np.int64)
+    return SpanHashes(np.frombuffer(b"".join(bodies), np.uint8)), np.cumsum(sizes) - sizes, part.column("anchor").to_numpy().view(np.uint64), part.column("at").to_numpy().astype(np.int64)
+
+
+#: What lies before and behind an anchor is compared in steps of this many bytes before single windows are.
+STEP = 17
+
+
+def _reach_rows(spans: DataFrame, width: int) -> DataFrame:
+    """(key, id, side, reach): the bytes that reach so far before (0) or behind (1) the anchor, by hash."""
+    most = width - GRAM
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "body"):
+                hashes, begin, anchor, at = _flat(part)
+                windows, ids = part.column("windows").to_numpy(), part.column("id").to_numpy()
+                for side in (0, 1):
+                    # Of the windows from 0 to windows-1, the first reaches farthest before the anchor.
+                    have = at if side == 0 else np.minimum(most, windows - 1 + width - at - GRAM)
+                    for reach in range(STEP, most + 1, STEP):
+                        own = np.flatnonzero(have >= reach)
+                        start = begin[own] + at[own]
+                        key = hashes.of(start - reach, start) if side == 0 else hashes.of(start + GRAM, start + GRAM + reach)
+                        key = mix(key ^ anchor[own]) + np.uint64(2 * reach + side)
+                        k = len(own)
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[own]), pa.array(np.full(k, side, np.int32)), pa.array(np.full(k, reach, np.int32))], ["key", "id", "side", "reach"])
+
+    return spans.mapInArrow(run, "key bigint, id bigint, side int, reach int")
+
+
+def _window_rows(spans: DataFrame, width: int) -> DataFrame:
+    """(key, id, place, alone): a row a window that both reaches allow; key is a hash of anchor and window."""
+    most = width - GRAM
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "body", 200_000):
+                hashes, begin, anchor, at = _flat(part)
+                windows = part.column("windows").to_numpy().astype(np.int64)
+                before, behind = part.column("before").to_numpy() + STEP - 1, part.column("behind").to_numpy() + STEP - 1
+                first = np.maximum(0, at - before)
+                stop = np.minimum(windows, at - most + behind + 1)
+                n = np.maximum(0, stop - first)
+                place, row = runs(first, n), np.repeat(np.arange(len(n)), n)
+                start = begin[row] + place
+                key = mix(hashes.of(start, start + width) ^ anchor[row])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id").take(pa.array(row)), pa.array(place, pa.int32()), part.column("alone").take(pa.array(row))], ["key", "id", "place", "alone"])
+
+    return spans.mapInArrow(run, "key bigint, id bigint, place int, alone boolean")
 
 
 def _same(a: DataFrame, b: DataFrame, *keys: str):
@@ -129,21 +188,29 @@ def repeated_ranges(keyed: DataFrame, width: int) -> tuple[DataFrame, list[str]]
     twice = keep(_named(every.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchor"), "spans-anchors")
     met = keep(every.join(twice, _same(every, twice, "anchor"), "left_semi"), "spans-met")
     forget(spark, gone[0], gone[1])
-    one = F.min(F.struct("doc_id", "tag", "lo", "hi")).alias("one")
+    one = F.min(F.struct("doc_id", "tag", "lo", "hi", "at")).alias("one")
     contexts = keep(met.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), one), "spans-contexts")
     full = keep(_named(contexts.filter("n > 1").select("anchor", "context"), "anchor", "context"), "spans-full")
     whole = met.join(full, _same(met, full, "anchor", "context"), "left_semi").select("doc_id", "tag", F.col("lo").alias("s"), (F.col("hi") + width).alias("e"))
     several = keep(_named(contexts.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchor"), "spans-several")
     part = contexts.join(several, _same(contexts, several, "anchor"), "left_semi")
     part = part.select("one.*", "anchor", (F.col("n") == 1).alias("alone"))
-    part = keep(part.groupBy(F.col("doc_id").alias("doc_id_"), F.col("tag").alias("tag_")).agg(F.collect_list(F.struct("lo", "hi", "anchor", "alone")).alias("spans")), "spans-part")
-    # A document repeated with its id has the same key twice; its windows are taken from one row.
+    part = keep(part.groupBy(F.col("doc_id").alias("doc_id_"), F.col("tag").alias("tag_")).agg(F.collect_list(F.struct("lo", "hi", "anchor", "at", "alone")).alias("spans")), "spans-part")
     held = keyed.join(part, _same(keyed, part, "doc_id", "tag")).select("doc_id", "tag", "text", "spans")
-    windows = keep(_window_rows(held, width).distinct(), "spans-windows")
-    again = keep(_named(windows.groupBy("anchor", "window").count().filter("count > 1").select("anchor", "window"), "anchor", "window"), "spans-again")
+    # A document repeated with its id gives its spans twice under one id, so repetition is told by two ids, not two rows.
+    spans = keep(_span_rows(held, width), "spans-bodies")
+    twice_met = F.min("id") != F.max("id")
+    reaches = keep(_reach_rows(spans, width), "spans-reaches")
+    common = keep(reaches.groupBy("key").agg(twice_met.alias("met")).filter("met").select(F.col("key").alias("key_")), "spans-common")
+    shared = reaches.join(common, _same(reaches, common, "key"), "left_semi").groupBy(F.col("id").alias("id_")).agg(F.max(F.expr("IF(side = 0, reach, 0)")).alias("before"), F.max(F.expr("IF(side = 1, reach, 0)")).alias("behind"))
+    # A shared window reaches half its rest or more to one side, so that side shares a step at least.
+    windows = keep(_window_rows(spans.join(shared, _same(spans, shared, "id")), width), "spans-windows")
+    again = keep(windows.groupBy("key").agg(twice_met.alias("met")).filter("met").select(F.col("key").alias("key_")), "spans-again")
     alone = windows.filter("alone")
-    single = alone.join(again, _same(alone, again, "anchor", "window"), "left_semi").select("doc_id", "tag", F.col("place").alias("s"), (F.col("place") + width).alias("e"))
-    ranges = whole.unionByName(single).distinct().groupBy(F.col("doc_id").alias("doc_id_"), F.col("tag").alias("tag_")).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    places = alone.join(again, _same(alone, again, "key"), "left_semi").groupBy(F.col("id").alias("id_")).agg(F.collect_set("place").alias("places"))
+    named = spans.select("id", "doc_id", "tag", "lo").distinct()
+    single = named.join(places, _same(named, places, "id")).select("doc_id", "tag", F.explode("places").alias("place"), "lo").select("doc_id", "tag", (F.col("lo") + F.col("place")).alias("s"), (F.col("lo") + F.col("place") + width).alias("e"))
+    ranges = whole.unionByName(single).groupBy(F.col("doc_id").alias("doc_id_"), F.col("tag").alias("tag_")).agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
     out, path = stored(ranges, "spans-ranges")
     forget(spark, *gone)
     return out, [path]
