@@ -11,7 +11,9 @@ any order; null ids come first. Texts are whole: a very long one makes a block o
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -37,28 +39,72 @@ class WordTokenizer:
         self.split_id = self.tokenizer.token_to_id(SPLIT)
         self.size = self.tokenizer.get_vocab_size()
 
+        self.plain_ids: dict[str, bytes] = {}
+
+    def _plain(self, word: str) -> bytes:
+        """A lower-case Latin word is one pre-token, so the library's model gets it as it is, bytes spelled as characters."""
+        found = self.plain_ids.get(word)
+        if found is None:
+            if len(self.plain_ids) > 150_000:
+                self.plain_ids.clear()
+            spelled = word if word.isascii() else "".join(map(BYTE_CHAR.__getitem__, word.encode()))
+            found = self.plain_ids[word] = _packed([t.id for t in self.tokenizer.model.tokenize(spelled)])
+        return found
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Latin words, with or without a mark at their end, go to the library's model; all others through its pipeline."""
+        parts: list[bytes] = []
+        others = []
+        for i, word in enumerate(words):
+            text = word.decode()
+            base, tail = (text[:-1], text[-1:]) if text[-1] in ".,;:!?" else (text, "")
+            base = base.lower()
+            if PLAIN(base):
+                parts.append(self._plain(base) + self._mark(tail) if tail else self._plain(base))
+            else:
+                parts.append(b"")
+                others.append(i)
+        for i, ids in zip(others, self._piped([words[i].decode() for i in others]), strict=True):
+            parts[i] = _packed(ids)
+        return np.frombuffer(b"".join(parts), np.int32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+
+    @lru_cache(maxsize=16)  # noqa: B019  six marks, one tokenizer a process
+    def _mark(self, mark: str) -> bytes:
+        return _packed(self.tokenizer.encode(mark, add_special_tokens=False).ids)
+
+    def _piped(self, texts: list[str]) -> list[list[int]]:
         """Many words in one call, parted by a special token; words that hold that token go alone."""
-        lengths, parts = np.zeros(len(words), np.int64), []
-        for k in range(0, len(words), 4096):
-            some = words[k : k + 4096]
-            texts = [w.decode() for w in some]
-            alone = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if "<|" in t}
-            line = SPLIT.join("" if i in alone else t for i, t in enumerate(texts))
-            ids = np.array(self.tokenizer.encode(line, add_special_tokens=False).ids, np.int32)
-            cut = np.flatnonzero(ids == self.split_id)
-            size = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
-            if len(size) != len(texts):
+        out: list[list[int]] = []
+        for k in range(0, len(texts), 64):
+            some = texts[k : k + 64]
+            alone = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(some) if "<|" in t}
+            line = SPLIT.join("" if i in alone else t for i, t in enumerate(some))
+            found: list[list[int]] = [[]]
+            for x in self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids:
+                if x == self.split_id:
+                    found.append([])
+                else:
+                    found[-1].append(x)
+            if len(found) != len(some):
                 raise AssertionError("the special token didn't part the words")
-            ids = np.delete(ids, cut)
-            if alone:
-                pieces = np.split(ids, np.cumsum(size)[:-1])
-                for i, own in alone.items():
-                    pieces[i], size[i] = np.array(own, np.int32), len(own)
-                ids = np.concatenate(pieces)
-            parts.append(ids)
-            lengths[k : k + len(some)] = size
-        return np.concatenate([np.zeros(0, np.int32), *parts]), lengths
+            out += [alone.get(i, ids) for i, ids in enumerate(found)]
+        return out
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def _byte_chars() -> list[str]:
+    """How byte-level vocabularies spell each byte: printable Latin-1 as itself, the others from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+BYTE_CHAR = _byte_chars()
+#: Lower-case Latin letters that normalisation keeps.
+PLAIN = re.compile("[a-zß-öø-ÿ\u0101-\u012f\u0131-\u017f]+").fullmatch
 
 
 @lru_cache(maxsize=2)
@@ -86,7 +132,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", tex
     def run(batches):
         kind = "<u2" if max(load(path)[0].size, end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 ids, counts = encode_texts(path, utf8_rows(part.column("text")), end_id)
                 raw, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
                 ends = (np.cumsum(counts) * width).tolist()

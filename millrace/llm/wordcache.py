@@ -13,7 +13,7 @@ class WordCache(dict):
     The cache is dropped when it has more than `most` words, so a worker's memory stays bounded whatever it reads.
     """
 
-    def __init__(self, encode_new: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
+    def __init__(self, encode_new: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 150_000):
         super().__init__()
         self.encode_new, self.most = encode_new, most
         self._reset()

@@ -39,7 +39,7 @@ def test_lengths_are_optimal():
 
 def rows_of(seed):
     rng = random.Random(seed)
-    parts = ["The", " ", "  ", "\n", "don't", "<|endoftext|>", "<|x|>", "É", "é", "　", "\x1c", "日本", "123", "ΣΑΣ", "!?", "ing"]
+    parts = ["The", " ", "  ", "\n", "don't", "<|endoftext|>", "<|x|>", "É", "é", "　", "\x1c", "日本", "123", "ΣΑΣ", "!?", "ing", "Über.", "ſŉ", "İx", "J\u030c", "straße,", "it's", "Word;"]
     rows = [(7, None), (3, ""), (5, " "), (5, "twice"), (-2, "x" * 3000), (10**12, "far " * 70000)]
     return rows + [(rng.randrange(10**6), "".join(rng.choice(parts) for _ in range(rng.randint(1, 60)))) for _ in range(300)]
 
@@ -66,6 +66,21 @@ def test_files_hold_what_the_library_gives(spark):
     assert [r.doc_id for r in sorted(token_files.token_digests(spark, out).collect(), key=lambda r: r.start)] == sorted(i for i, _ in rows)
 
 
+def test_words_as_the_library():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    letters = [chr(c) for c in [*range(33, 0x250), 0x301, 0x30C, 0x212A, 0x2019]]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 8))) for _ in range(20000)]
+    words += ["".join(rng.choice("abcxyzéüßñ") for _ in range(rng.randint(1, 12))) + rng.choice(["", ".", ",", "!", ".."]) for _ in range(20000)]
+    words = [w for w in words if w.split() == [w] and w.encode().split() == [w.encode()]]
+    tok = Tokenizer.from_file(token_files.vocabulary())
+    ids, n = token_files.load(token_files.vocabulary())[0].encode_words([w.encode() for w in words])
+    got = np.split(ids, np.cumsum(n)[:-1])
+    for w, g, e in zip(words, got, tok.encode_batch(words, add_special_tokens=False), strict=True):
+        assert g.tolist() == e.ids, w
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, ids string, part int")
     assert token_files.op2_token_files(spark, empty).count() == 0
