@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,6 +60,19 @@ def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow, with this package sent to the workers where their path doesn't hold it already."""
+    context, root = df.sparkSession.sparkContext, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    at_hand = root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or (context.master.startswith("local[") and os.getcwd() == root)
+    if not at_hand and context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/millrace", "zip", root, "millrace"))
+    return df.mapInArrow(run, schema)
+
+
 def forget(spark: SparkSession, *paths: str) -> None:
     """Deletes scratch tables that nothing reads any more, through the file system that holds them."""
     for path in paths:
@@ -70,7 +85,7 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most `limit` bytes of `column`, or one longer row alone: bounds what numpy holds at once."""
     if not batch.num_rows:
         return
@@ -88,6 +103,19 @@ def utf8_rows(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def free_prefix(columns: list[str]) -> str:
+    """Underscores that no column's name begins with, for columns added on the way."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables below the shared folder; results that still read them must be written first."""
+    forget(spark, f"{scratch_root(spark)}/millrace")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -102,12 +130,13 @@ def keep_named(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) ->
 
     Names met once, all of them as a rule, take a semi-join; only rows of repeated names are dealt out and reduced.
     """
-    named = docs.withColumn("__tag", text_tag(F.col(text_col)))
+    tag = free_prefix(docs.columns) + "tag"
+    named = docs.withColumn(tag, text_tag(F.col(text_col)))
 
     def chosen(rows: DataFrame) -> DataFrame:
-        return named.join(rows, (named["__tag"] == rows["tag"]) & named[id_col].cast("bigint").eqNullSafe(rows["doc_id"]), "left_semi")
+        return named.join(rows, (named[tag] == rows["tag"]) & named[id_col].cast("bigint").eqNullSafe(rows["doc_id"]), "left_semi")
 
     once, more = kept.filter("times = 1"), kept.filter("times > 1")
     if more.isEmpty():
-        return chosen(once).drop("__tag")
-    return chosen(once).unionByName(chosen(more).dropDuplicates([id_col, "__tag"])).drop("__tag")
+        return chosen(once).drop(tag)
+    return chosen(once).unionByName(chosen(more).dropDuplicates([id_col, tag])).drop(tag)

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, slices, stored, table, utf8_rows
+from .common import forget, free_prefix, map_arrow, slices, stored, table, utf8_rows
 from .hashing import mix, powers
 from .wordcache import runs
 
@@ -143,28 +143,28 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: in
     yield Fingerprints(ids, texts)
 
 
-MARKS = "__n_words bigint, __n_hit bigint, __items array<string>, __mask binary"
+MARKS = ["n_words bigint", "n_hit bigint", "items array<string>", "mask binary"]
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with __n_words, __n_hit and __items (ids of items with occurring windows, as strings)."""
+def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, prefix: str = "__") -> DataFrame:
+    """docs with n_words, n_hit and items (ids of items with occurring windows, as strings), named with the prefix."""
     spark, first, path = docs.sparkSession, True, None
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(MARKS).fields])
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(", ".join(prefix + m for m in MARKS)).fields])
     now, pending = docs, None
     blocks = benchmark_blocks(benchmark, item_col, item_text, block_bytes)
     block = next(blocks)
     while block is not None:
         after = next(blocks, None)
-        out = _pass(now, block, text_col, schema, not first, after is None)
+        out = _pass(now, block, text_col, schema, prefix, not first, after is None)
         if after is not None:
             out, written = stored(out, "benchmark-marks")
             forget(spark, *filter(None, [path]))
             path = written
         now, block, first = out, after, False
-    return now.drop("__mask")
+    return now.drop(f"{prefix}mask")
 
 
-def _pass(docs: DataFrame, block: Fingerprints, text_col: str, schema: T.StructType, again: bool, last: bool) -> DataFrame:
+def _pass(docs: DataFrame, block: Fingerprints, text_col: str, schema: T.StructType, prefix: str, again: bool, last: bool) -> DataFrame:
     names = [f.name for f in schema.fields]
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -175,28 +175,31 @@ def _pass(docs: DataFrame, block: Fingerprints, text_col: str, schema: T.StructT
                 words, counts = word_hashes(utf8_rows(part.column(text_col)))
                 hit, texts, items = own.mark(words, counts)
                 if again:
-                    hit |= np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool) for m, n in zip(part.column("__mask").to_pylist(), counts.tolist(), strict=True))])
+                    hit |= np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool) for m, n in zip(part.column(f"{prefix}mask").to_pylist(), counts.tolist(), strict=True))])
                 ends = np.cumsum(counts)
                 n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[ends], prepend=0)
                 named = [[] for _ in range(len(counts))]
                 for t, i in zip(texts.tolist(), items.tolist(), strict=True):
                     named[t].append(own.ids[i])
                 if again:
-                    named = [sorted({*a, *b}) for a, b in zip(named, part.column("__items").to_pylist(), strict=True)]
+                    named = [sorted({*a, *b}) for a, b in zip(named, part.column(f"{prefix}items").to_pylist(), strict=True)]
                 masks = [b""] * len(counts) if last else [np.packbits(h).tobytes() for h in np.split(hit, ends[:-1])]
                 base = [part.column(k) for k in range(len(names) - 4)]
                 yield pa.RecordBatch.from_arrays([*base, pa.array(counts), pa.array(n_hit), pa.array(named, pa.list_(pa.string())), pa.array(masks, pa.binary())], names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
-#: A document is contaminated if it has hit words and they are at least a twentieth of its words.
-CONTAMINATED = "__n_hit > 0 AND 20 * __n_hit >= __n_words"
+def is_contaminated(prefix: str) -> Column:
+    """A document that has hit words, a twentieth of its words or more."""
+    hit, words = F.col(f"{prefix}n_hit"), F.col(f"{prefix}n_words")
+    return (hit > 0) & (20 * hit >= words)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with their columns."""
-    return marked(docs, benchmark).filter(f"NOT ({CONTAMINATED})").select(*(F.col(f"`{c}`") for c in docs.columns))
+    prefix = free_prefix(docs.columns)
+    return marked(docs, benchmark, prefix=prefix).filter(~is_contaminated(prefix)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +211,7 @@ def digested(rows: DataFrame) -> DataFrame:
     items = F.array_sort(F.array_distinct("__items"))
     return rows.select(
         "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
-        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated"),
+        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), is_contaminated("__").alias("contaminated"),
     )
 
 

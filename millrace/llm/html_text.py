@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 
 #: Elements whose content is never text of a page.
 UNSEEN = "script style noscript template title svg iframe object select option textarea button math canvas audio video".split()
@@ -250,7 +250,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id bigint, url string, text string")
+    return map_arrow(rows, run, "page_id bigint, url string, text string")
 
 
 def op10_html_text(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, slices, stored, utf8_rows
+from .common import forget, map_arrow, slices, stored, utf8_rows
 from .hashing import SpanHashes, mix
 from .wordcache import runs
 
@@ -81,7 +81,7 @@ def _occurrence_rows(keyed: DataFrame, width: int) -> DataFrame:
                 text, anchor, lo, hi, at, context = occurrences(utf8_rows(part.column("text")), width)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), part.column("tag").take(pa.array(text)), pa.array(anchor), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(at, pa.int32()), pa.array(context)], ["doc_id", "tag", "anchor", "lo", "hi", "at", "context"])
 
-    return keyed.filter(F.octet_length("text") >= width).mapInArrow(run, OCCURRENCE)
+    return map_arrow(keyed.filter(F.octet_length("text") >= width), run, OCCURRENCE)
 
 
 SPAN = "id bigint, doc_id bigint, tag bigint, anchor bigint, lo int, at int, windows int, alone boolean, body binary"
@@ -102,7 +102,7 @@ def _span_rows(wanted: DataFrame, width: int) -> DataFrame:
                     ["id", "doc_id", "tag", "anchor", "lo", "at", "windows", "alone", "body"],
                 )
 
-    return wanted.mapInArrow(run, SPAN)
+    return map_arrow(wanted, run, SPAN)
 
 
 def hash_of(text: str) -> int:
@@ -140,7 +140,7 @@ def _reach_rows(spans: DataFrame, width: int) -> DataFrame:
                         k = len(own)
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[own]), pa.array(np.full(k, side, np.int32)), pa.array(np.full(k, reach, np.int32))], ["key", "id", "side", "reach"])
 
-    return spans.mapInArrow(run, "key bigint, id bigint, side int, reach int")
+    return map_arrow(spans, run, "key bigint, id bigint, side int, reach int")
 
 
 def _window_rows(spans: DataFrame, width: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _window_rows(spans: DataFrame, width: int) -> DataFrame:
                 key = mix(hashes.of(start, start + width) ^ anchor[row])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id").take(pa.array(row)), pa.array(place, pa.int32()), part.column("alone").take(pa.array(row))], ["key", "id", "place", "alone"])
 
-    return spans.mapInArrow(run, "key bigint, id bigint, place int, alone boolean")
+    return map_arrow(spans, run, "key bigint, id bigint, place int, alone boolean")
 
 
 def _same(a: DataFrame, b: DataFrame, *keys: str):
@@ -242,7 +242,7 @@ def _cut_rows(joined: DataFrame, digest: bool) -> DataFrame:
                     kept.append(hashlib.sha256(rest).digest() if digest else rest)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(run, CUT)
+    return map_arrow(joined, run, CUT)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, digest: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, utf8_rows
+from .common import map_arrow, slices, utf8_rows
 from .wordcache import Spelling, WordCache, bounds
 
 SPACE = "▁"
@@ -247,13 +247,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 ids, counts = encode_texts(path, utf8_rows(part.column("text")))
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(decode_ids(path, ids, counts), pa.binary())], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
+    return map_arrow(rows, run, "doc_id bigint, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +261,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 ids, counts = encode_texts(path, utf8_rows(part.column("text")))
                 flat, lengths = load(path)[0].numerals.write(ids)
                 ends = bounds(counts, lengths).tolist()
@@ -270,7 +270,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(shas), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(rows, run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary() -> str:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, stored
+from .common import forget, map_arrow, stored
 
 
 class CapacityTree:
@@ -150,7 +150,7 @@ def _assigned(groups: DataFrame, pack) -> DataFrame:
             rank = np.array([before[p] for p in (at >> ROW_BITS).tolist()], np.int64) + (at & ((1 << ROW_BITS) - 1))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(shard[np.searchsorted(ends, rank, "right")], pa.int32())], ["of", "shard"])
 
-    return ranked.select("digest", "at").mapInArrow(run, "of binary, shard int")
+    return map_arrow(ranked.select("digest", "at"), run, "of binary, shard int")
 
 
 def _sharded(docs: DataFrame, pack, id_col: str, text_col: str) -> DataFrame:

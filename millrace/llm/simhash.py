@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, keep_named, slices, stored, text_tag, utf8_rows
+from .common import forget, keep_named, map_arrow, slices, stored, text_tag, utf8_rows
 from .components import components
 from .similarity import similar_links
 
@@ -61,7 +61,7 @@ def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, width: int) -
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(fps)], ["doc_id", "tag", "fp"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_tag(F.col(text_col)).alias("tag"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, tag bigint, fp bigint")
+    return map_arrow(rows, run, "doc_id bigint, tag bigint, fp bigint")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:

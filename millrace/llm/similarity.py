@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, slices, stored, utf8_rows
+from .common import forget, map_arrow, slices, stored, utf8_rows
 from .hashing import mix
 
 BANDS, ROWS = 24, 4
@@ -54,7 +54,7 @@ def _band_rows(named: DataFrame, width: int, hashes_of) -> DataFrame:
                 nodes = part.column("node").to_numpy()[counts > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS)), pa.array(keys.ravel())], ["node", "band"])
 
-    return named.mapInArrow(run, "node bigint, band bigint")
+    return map_arrow(named, run, "node bigint, band bigint")
 
 
 def _set_rows(named: DataFrame, width: int, hashes_of) -> DataFrame:
@@ -65,7 +65,7 @@ def _set_rows(named: DataFrame, width: int, hashes_of) -> DataFrame:
                 sets = [s.tobytes() for s in np.split(flat, np.cumsum(counts)[:-1])]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return named.mapInArrow(run, "node bigint, set binary")
+    return map_arrow(named, run, "node bigint, set binary")
 
 
 def _alike(pairs: DataFrame, least: float) -> DataFrame:
@@ -81,7 +81,7 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
                     out.append(common >= least * (len(p) + len(q) - common))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(out, pa.bool_())], ["a", "b", "alike"])
 
-    return pairs.mapInArrow(run, "a bigint, b bigint, alike boolean")
+    return map_arrow(pairs, run, "a bigint, b bigint, alike boolean")
 
 
 def _degrees(links: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import forget, scratch_path, slices, stored, utf8_rows
+from .common import forget, map_arrow, scratch_path, slices, stored, utf8_rows
 from .huffman import Codebook, code_lengths
 from .wordcache import WordCache, bounds
 
@@ -139,7 +139,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    return map_arrow(rows, run, "doc_id bigint, n_tokens bigint, ids binary")
 
 
 def _as_ids(column: pa.Array, counts: np.ndarray) -> list[np.ndarray]:
@@ -160,7 +160,7 @@ def id_counts(coded: DataFrame, size: int) -> np.ndarray:
 
     out = np.zeros(size, np.int64)
     # At most one row an id of the vocabulary.
-    for row in coded.select("n_tokens", "ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in map_arrow(coded.select("n_tokens", "ids"), run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[row.id] = row.n
     return out
 
@@ -212,7 +212,7 @@ def _block_rows(coded: DataFrame, lengths: np.ndarray) -> DataFrame:
                         ["part", "block", "doc_ids", "n_tokens", "bits", "points"],
                     )
 
-    return coded.select("part", F.monotonically_increasing_id().alias("row"), "doc_id", "n_tokens", "ids").mapInArrow(run, BLOCKS)
+    return map_arrow(coded.select("part", F.monotonically_increasing_id().alias("row"), "doc_id", "n_tokens", "ids"), run, BLOCKS)
 
 
 def read_blocks(spark: SparkSession, out: str) -> DataFrame:
@@ -242,7 +242,7 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
             for row, docs in _decoded_blocks(batch, book):
                 yield pa.RecordBatch.from_arrays([pa.array(row.column("doc_ids").to_pylist()[0], pa.int64()), pa.array([d.tolist() for d in docs], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return read_blocks(spark, out).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return map_arrow(read_blocks(spark, out), run, "doc_id bigint, ids array<int>")
 
 
 def token_digests(spark: SparkSession, out: str) -> DataFrame:
@@ -270,7 +270,7 @@ def token_digests(spark: SparkSession, out: str) -> DataFrame:
                 k = len(docs)
                 yield pa.RecordBatch.from_arrays([pa.array([row.column("part")[0].as_py()] * k, pa.int32()), pa.array([row.column("block")[0].as_py()] * k, pa.int64()), pa.array(row.column("doc_ids").to_pylist()[0], pa.int64()), pa.array(first), pa.array(n), pa.array(crc, pa.int64())], ["part", "block", "doc_id", "first", "n_tokens", "ids_crc32"])
 
-    rows = blocks.mapInArrow(run, "part int, block bigint, doc_id bigint, first bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = map_arrow(blocks, run, "part int, block bigint, doc_id bigint, first bigint, n_tokens bigint, ids_crc32 bigint")
     met = rows.join(placed, (rows["part"] == placed["p"]) & (rows["block"] == placed["b"]))
     return met.select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 

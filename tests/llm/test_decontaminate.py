@@ -56,7 +56,7 @@ def test_matches_brute_force(spark):
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, None)], "doc_id long, text string, item_id string")
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, None)], "doc_id long, text string, __n_hit string")
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.clean_documents(docs, none).count() == 3
     assert decontaminate.clean_documents(docs, spark.createDataFrame([(None, "A, B")], "item_id long, text string")).count() == 1
