@@ -94,32 +94,6 @@ def kept_documents(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id",
     return keep_named(docs, kept, id_col, text_col)
 
 
-def fresh_index(spark: SparkSession) -> DigestIndex:
-    return DigestIndex(spark, f"millrace_digests_{uuid.uuid4().hex}")
-
-
-def op3_exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    out = dedup(docs, fresh_index(spark))
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
-
-
-def kept_documents(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. Only rows repeated with id and text need more than a semi-join."""
-    kept = dedup(docs, index, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    kept = kept.groupBy("digest").agg(F.max("kept").alias("kept"), F.first("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("times"))
-    kept, _ = stored(kept.filter("kept"), "digest-kept")
-    named = docs.withColumn("__digest", F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)))
-
-    def chosen(rows: DataFrame) -> DataFrame:
-        same = (named["__digest"] == rows["digest"]) & named[id_col].cast("bigint").eqNullSafe(rows["keep_id"])
-        return named.join(rows, same, "left_semi")
-
-    once = chosen(kept.filter("times = 1"))
-    if kept.filter("times > 1").isEmpty():
-        return once.drop("__digest")
-    return once.unionByName(chosen(kept.filter("times > 1")).dropDuplicates(["__digest"])).drop("__digest")
-
-
 ORACLE = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
