@@ -1,14 +1,15 @@
 """Language identification by interpolated Kneser-Ney character language models.
 
-Training counts 5-grams of characters per language over all labelled training texts, in the executors. The driver gets at
-most `max_grams` of a language's most frequent ones, derives the lower orders as continuation counts, and keeps each
+Training counts 5-grams of characters per language over all labelled training texts, in the executors. The driver gets all
+of them, a language at a time, derives discounts and the lower orders (continuation counts) from them, and keeps each
 language's grams in arrays sorted by hash. For scoring, the arrays are merged order by order: one look-up of a character's
 longest gram gives its log-probability under every language, and grams that no language has go to the next lower order with
 the back-off weight of their context. A text gets the language of the lowest cross-entropy a character. Rejection is
 calibrated on training texts that the counts don't hold: per language and length class, a text is rejected whose
 cross-entropy lies beyond what nearly all calibration texts of that class have.
 
-Parameters that bound the model: max_grams a language, calibration_docs texts for the rejection limits.
+The model holds every gram counted, so it grows with the number of distinct grams. Parameter that bounds the calibration:
+calibration_docs texts for the rejection limits.
 
 Defined results: a text that is null or without a letter is `und`, score 0, rejected. Without any labelled text all are
 `und`. Ties go to the language that sorts first. Repeated rows are predicted alike; no rows give no rows.
@@ -296,40 +297,21 @@ def _gram_rows(held):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
 
-def frequent_grams(counts: DataFrame, max_grams: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Each language's most frequent grams, max_grams at most: all that are above the least count that fits."""
-    level = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor(F.log2("n") * 64)).cast("bigint")
-    # A row a language and level: some thousands at most.
-    per_level: dict[str, list] = {}
-    for r in counts.groupBy("lang", level.alias("level")).count().collect():
-        per_level.setdefault(r.lang, []).append((r.level, r["count"]))
-    least = {}
-    for lang, found in per_level.items():
-        total, least[lang] = 0, max(found)[0] + 1
-        for at, n in sorted(found, reverse=True):
-            total += n
-            if total > max_grams:
-                break
-            least[lang] = at
-    if not least:
-        return {}
-    limits = counts.sparkSession.createDataFrame(list(least.items()), "of string, least bigint")
-    kept = counts.join(F.broadcast(limits), F.col("lang") == F.col("of")).filter(level >= F.col("least")).select("lang", "gram", "n").toArrow()
+def all_grams(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Every gram counted, with its count, by language; one language at a time is on its way to the driver."""
     out = {}
-    langs = np.array(kept.column("lang").to_pylist(), object)
-    grams, n = np.array(kept.column("gram").to_pylist(), object), kept.column("n").to_numpy()
-    for lang in sorted(least):
-        own = langs == lang
-        code = np.frombuffer("".join(grams[own]).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
-        out[lang] = (code, n[own])
-    return {k: v for k, v in out.items() if len(v[0])}
+    for lang in sorted(r.lang for r in counts.select("lang").distinct().collect()):
+        own = counts.filter(F.col("lang") == F.lit(lang)).select("gram", "n").toArrow()
+        code = [np.frombuffer("".join(c.to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER) for c in own.column("gram").chunks]
+        out[lang] = (np.concatenate(code), own.column("n").to_numpy())
+    return out
 
 
-def train(labelled: DataFrame, calibration: DataFrame, max_grams: int = 150_000, calibration_docs: int = 20_000, rejected_share: float = 0.0005, margin: float = 1.25) -> LanguageIdentifier:
+def train(labelled: DataFrame, calibration: DataFrame, calibration_docs: int = 20_000, rejected_share: float = 0.0005, margin: float = 1.25) -> LanguageIdentifier:
     """labelled, calibration: (lang, text, at), lang not null, kept apart; at, a number from 0 to 1, deals out calibration texts. A limit is the cross-entropy that the share
     rejected_share of a class's calibration texts exceeds, times margin; classes with too few texts reject nothing."""
     counts, path = stored(gram_counts(labelled), "gram-counts")
-    kept = frequent_grams(counts, max_grams)
+    kept = all_grams(counts)
     forget(labelled.sparkSession, path)
     alphabet = len(np.unique(np.concatenate([np.zeros(1, np.uint32), *(g[:, -1] for g, _ in kept.values())]))) + 1
     model = LanguageIdentifier({lang: fit_language(g, n, alphabet) for lang, (g, n) in kept.items()})
@@ -356,7 +338,7 @@ def predictions(docs: DataFrame, model: LanguageIdentifier, text_col: str = "tex
     added = T._parse_datatype_string(", ".join(prefix + p for p in PREDICTED))
     schema = T.StructType([*docs.schema.fields, *added.fields])
     names = schema.names
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # max_grams a language bounds it
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # as large as the number of distinct grams
 
     def run(batches):
         own = sent.value

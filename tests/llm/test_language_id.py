@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from millrace.llm import language_id as li
 
@@ -85,3 +86,15 @@ def test_edges(spark):
     none = spark.createDataFrame([(1, "abc", None, 1, "x"), (1, "abc", None, 1, "x")], schema)
     assert [r.lang_pred for r in li.op1_language_id(spark, none).collect()] == ["und", "und"]
     assert li.accepted_documents(none).columns == none.columns
+
+
+def test_no_gram_is_left_out(spark):
+    rng = random.Random(5)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(1000)) for _ in range(160)] + ["的了" * 50]
+    rows = spark.createDataFrame([("zh", t) for t in texts], "lang string, text string").repartition(4)
+    grams = li.all_grams(li.gram_counts(rows))["zh"]
+    want = Counter(p[i : i + li.ORDER] for t in texts for p in ["\x01" * (li.ORDER - 1) + t] for i in range(len(t)))
+    got = {"".join(map(chr, g)): n for g, n in zip(grams[0].tolist(), grams[1].tolist(), strict=True)}
+    assert got == want and len(want) > 150_000
+    model = li.train(rows.withColumn("at", F.lit(0.0)), rows.limit(1).withColumn("at", F.lit(0.0)))
+    assert len(model.models["zh"].hashes[li.ORDER]) == len(want)
