@@ -5,11 +5,11 @@ of them, a language at a time, derives discounts and the lower orders (continuat
 language's grams in arrays sorted by hash. For scoring, the arrays are merged order by order: one look-up of a character's
 longest gram gives its log-probability under every language, and grams that no language has go to the next lower order with
 the back-off weight of their context. A text gets the language of the lowest cross-entropy a character. Rejection is
-calibrated on training texts that the counts don't hold: per language and length class, a text is rejected whose
-cross-entropy lies beyond what nearly all calibration texts of that class have.
+calibrated on all training texts that the counts don't hold: per language and length class, a text is rejected whose
+cross-entropy lies beyond what nearly all calibration texts of that class have. Classes with few texts also take the limit
+that all languages' texts of that length give, so every class has one wherever there is any calibration text.
 
-The model holds every gram counted, so it grows with the number of distinct grams. Parameter that bounds the calibration:
-calibration_docs texts for the rejection limits.
+The model holds every gram counted, so it grows with the number of distinct grams.
 
 Defined results: a text that is null or without a letter is `und`, score 0, rejected. Without any labelled text all are
 `und`. Ties go to the language that sorts first. Repeated rows are predicted alike; no rows give no rows.
@@ -307,29 +307,56 @@ def all_grams(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train(labelled: DataFrame, calibration: DataFrame, calibration_docs: int = 20_000, rejected_share: float = 0.0005, margin: float = 1.25) -> LanguageIdentifier:
-    """labelled, calibration: (lang, text, at), lang not null, kept apart; at, a number from 0 to 1, deals out calibration texts. A limit is the cross-entropy that the share
-    rejected_share of a class's calibration texts exceeds, times margin; classes with too few texts reject nothing."""
+def train(labelled: DataFrame, calibration: DataFrame, rejected_share: float = 0.0005, margin: float = 1.25) -> LanguageIdentifier:
+    """labelled, calibration: (lang, text), lang not null, kept apart."""
     counts, path = stored(gram_counts(labelled), "gram-counts")
     kept = all_grams(counts)
     forget(labelled.sparkSession, path)
     alphabet = len(np.unique(np.concatenate([np.zeros(1, np.uint32), *(g[:, -1] for g, _ in kept.values())]))) + 1
     model = LanguageIdentifier({lang: fit_language(g, n, alphabet) for lang, (g, n) in kept.items()})
-    if not model.models:
-        return model
-    share = calibration_docs / max(1, calibration.count())
-    chosen = calibration.filter(F.col("at") < share)
-    by_class: dict[tuple[int, int], list[float]] = {}
-    names = {x: k for k, x in enumerate(model.scorer.langs)}
-    for lang, letters, entropy in predictions(chosen, model, "text").select("__lang", "__letters", "__entropy").filter("__letters > 0").collect():
-        size = int(np.searchsorted(LENGTHS, letters, "right")) - 1
-        by_class.setdefault((names[lang], size), []).append(entropy)
-    for (k, size), found in by_class.items():
-        rank = int(np.ceil((len(found) + 1) * (1 - rejected_share)))
-        model.limits[k, size] = (sorted(found)[rank - 1] if rank <= len(found) else max(found)) * margin if len(found) >= 20 else np.inf
+    if model.models:
+        model.limits = rejection_limits(calibration, model, rejected_share) * margin
     return model
 
 
+def rejection_limits(calibration: DataFrame, model: LanguageIdentifier, rejected_share: float) -> np.ndarray:
+    """Per language and length class, the cross-entropy that the share rejected_share of the calibration texts exceeds.
+
+    A class of fewer than 1 / rejected_share texts, whose quantile is no more than the largest value met, takes the larger of
+    that and what the length class gives over all languages: the quantile of cross-entropy by the language's median, times its
+    own median. Length classes that are as sparse over all languages are joined by their neighbours. Only a calibration
+    without any text leaves limits infinite.
+    """
+    classes = F.lit(-1)
+    for low in LENGTHS.tolist():
+        classes = classes + (F.col("__letters") >= low).cast("int")
+    scored = predictions(calibration.select("text"), model, "text").filter("__letters > 0").select(F.col("__lang").alias("lang"), classes.alias("size"), F.col("__entropy").alias("entropy"))
+    scored, path = stored(scored, "calibration")
+    near_all = lambda value: F.percentile_approx(value, F.lit(1 - rejected_share), F.lit(100_000))
+    # A row a language and length class at most.
+    own = {(r.lang, r["size"]): (r.n, r.q) for r in scored.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), near_all("entropy").alias("q")).collect()}
+    middle = scored.groupBy("lang").agg(F.percentile_approx("entropy", F.lit(0.5), F.lit(10_000)).alias("middle"))
+    middles = {r.lang: r.middle for r in middle.collect()}
+    known = scored.sparkSession.createDataFrame(list(middles.items()), "of string, middle double")
+    ratios = scored.join(F.broadcast(known), F.col("lang") == F.col("of")).groupBy("size").agg(F.count(F.lit(1)).alias("n"), near_all(F.col("entropy") / F.col("middle")).alias("q"))
+    pooled = {r["size"]: (r.n, r.q) for r in ratios.collect()}
+    forget(calibration.sparkSession, path)
+    langs, enough = model.scorer.langs, 1 / rejected_share
+    limits = np.full((len(langs), len(LENGTHS)), np.inf)
+    if not pooled:
+        return limits
+    for size in range(len(LENGTHS)):
+        n, ratio = 0, 0.0
+        for near in sorted(pooled, key=lambda k: (abs(k - size), k)):
+            n, ratio = n + pooled[near][0], max(ratio, pooled[near][1])
+            if n >= enough:
+                break
+        for k, lang in enumerate(langs):
+            n, most = own.get((lang, size), (0, 0.0))
+            limits[k, size] = most if n >= enough else max(most, ratio * middles.get(lang, max(middles.values())))
+    return limits
+
+
 PREDICTED = ["lang string", "score double", "entropy double", "letters bigint", "rejected boolean"]
 
 
@@ -353,7 +380,7 @@ def predictions(docs: DataFrame, model: LanguageIdentifier, text_col: str = "tex
 
 def split_and_train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageIdentifier:
     """Counts folds 0 and 3, calibrates on fold 1; fold 2 is never seen."""
-    rows = docs.select(fold(F.col(id_col)).alias("fold"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / (1 << 30)).alias("at"))
+    rows = docs.select(fold(F.col(id_col)).alias("fold"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
     return train(rows.filter("fold IN (0, 3)"), rows.filter("fold = 1"))
 

@@ -2,7 +2,6 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from millrace.llm import language_id as li
 
@@ -96,5 +95,26 @@ def test_no_gram_is_left_out(spark):
     want = Counter(p[i : i + li.ORDER] for t in texts for p in ["\x01" * (li.ORDER - 1) + t] for i in range(len(t)))
     got = {"".join(map(chr, g)): n for g, n in zip(grams[0].tolist(), grams[1].tolist(), strict=True)}
     assert got == want and len(want) > 150_000
-    model = li.train(rows.withColumn("at", F.lit(0.0)), rows.limit(1).withColumn("at", F.lit(0.0)))
+    model = li.train(rows, rows.limit(1))
     assert len(model.models["zh"].hashes[li.ORDER]) == len(want)
+
+
+def test_sparse_classes_have_limits(spark):
+    rng = random.Random(7)
+    frame = lambda rows: spark.createDataFrame(rows, "lang string, text string")
+    labelled = frame([(lang, text_in(lang, rng, 30)) for lang in SYLLABLES for _ in range(150)])
+    short = [("xa", text_in("xa", rng, 2)) for _ in range(3)]
+    model = li.train(labelled, frame([(lang, text_in(lang, rng, 30)) for lang in SYLLABLES for _ in range(40)] + short))
+    assert np.isfinite(model.limits).all()
+    assert not any(model.predict([t for _, t in short])[4]) and model.predict(["ЖЩЮ Ω", "ЖЩЮ Ω" * 2000])[4].all()
+    assert np.isinf(li.train(labelled, frame([])).limits).all()
+
+
+def test_limits_read_all_calibration_texts(spark):
+    rng = random.Random(8)
+    labelled = spark.createDataFrame([("xa", text_in("xa", rng, 30)) for _ in range(100)], "lang string, text string")
+    usual = spark.createDataFrame([("xa", text_in("xa", rng, 30)) for _ in range(50)], "lang string, text string")
+    many = usual.crossJoin(spark.range(600).select()).unionByName(spark.createDataFrame([("xa", "ЖЩЮ" * 30)] * 40, "lang string, text string"))
+    least = min(li.train(labelled, many).predict(["ЖЩЮ" * 30])[2])
+    model = li.train(labelled, many)
+    assert model.limits[0, 2] == 1.25 * least  # 40 of 30,040 are more than 0.05 %
