@@ -1,7 +1,8 @@
 """Personal data in text (DataFrame operations only): patterns propose, checksums confirm, nearby words adjust a score.
 
 The patterns are anchored to the start of their run of characters (or to the last match's end) and possessive, which gives
-the same leftmost matches as the plain ones in linear time. Positions come from the lengths of what lies between matches,
+the same leftmost matches as the plain ones in linear time; that of ibans is not possessive but has as many characters as the
+country's numbers have. Positions come from the lengths of what lies between matches,
 summed in two levels, so a text with very many matches costs no more than a little over its length.
 
 Kinds: email, ip, card, phone are the base ones and always stay. Added: iban (mod-97), ssn and secret, which are reported
@@ -74,6 +75,24 @@ def _card(value: Column) -> Column:
     return F.when(_between(value, 14, 19), luhn(_digits(value))).otherwise(False)
 
 
+#: Characters of an account number after its country and check digits, by country: the registered ones and those in use.
+IBAN_REST = {
+    11: "NO", 12: "BE", 14: "DK FI FO GL NL SD FK", 15: "MK SI", 16: "AT BA EE KZ LT LU XK MN",
+    17: "CH HR LI LV", 18: "CR BG BH DE GB GE IE ME RS VA", 19: "AE GI IL IQ TL OM SO",
+    20: "AD CZ ES MD PK RO SA SE SK TN VG", 21: "PT ST LY AO CV GW MZ", 22: "IS TR IR DZ", 23: "FR GR IT MC MR SM CM CF TD KM CG DJ GA GQ MG BI",
+    24: "AL AZ BY CY DO GT HU LB NI PL SV BF BJ CI HN MA ML NE SN TG", 25: "BR EG PS QA UA", 26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """A number of its country's length with spaces anywhere; of unlisted countries, one without spaces or in groups of four."""
+    listed = "|".join(IBAN_REST[n].replace(" ", "|") for n in sorted(IBAN_REST))
+    by_length = "|".join(f"(?:{IBAN_REST[n].replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}" for n in sorted(IBAN_REST))
+    group = f" (?!(?:{listed})[0-9]{{2}})[A-Z0-9]"
+    other = f"(?!{listed})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?:{group}{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?)"
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{by_length}|{other})(?![A-Za-z0-9])"
+
+
 def _iban(value: Column) -> Column:
     account = F.regexp_replace(value, " ", "")
     return F.when(F.length(account).between(15, 34), mod_97(account)).otherwise(False)
@@ -84,7 +103,7 @@ KINDS = [
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+", _in_octets, 0.6, r"\bip\b|host|server|address|addr", 0.9, True),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", _card, 0.8, r"card|visa|master|amex|credit|debit|karte|carte|tarjeta", 1.0, True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda v: _between(v, 10, 15), 0.7, r"phone|\btel|call|mobile|fax", 0.95, True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", _iban, 0.9, r"iban|account|konto|compte|cuenta", 1.0),
+    Kind("iban", _iban_pattern(), _iban, 0.9, r"iban|account|konto|compte|cuenta", 1.0),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda v: F.lit(True), 0.4, r"ssn|social security", 0.85),
     Kind("secret", r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,128}|[A-Fa-f0-9]{16,31})(?![A-Za-z0-9])", lambda v: v.rlike("[0-9]") & v.rlike("[A-Fa-f]"), 0.4, r"(?:token|password|passwd|secret|api_?key|key)\W{0,6}$", 0.9),
 ]

@@ -70,3 +70,28 @@ def test_edges_and_running_sums(spark):
     for n in (1, 63, 64, 65, 129, 1000):
         row = spark.range(1).select(pii.running_sums(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint"))).alias("s")).first()
         assert row.s == [k * (k + 1) // 2 for k in range(1, n + 1)]
+
+
+def test_iban_before_capitals_and_digits(spark):
+    compact, grouped = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    values = [compact, grouped, "NO9386011117947", "GB82 WEST 1234 5698 7654 32", "MT84MALT011000012345MTLCAST001S"]
+    texts, want = [], []
+    for value in values:
+        for after in (" Please pay", " BIC COBADEFF", " 2024", " A", " 7", ".", "", f" {compact}"):
+            texts.append(f"IBAN {value}{after}")
+            want.append([f"iban:5:{5 + len(value)}"] + ([f"iban:{6 + len(value)}:{6 + len(value) + 22}"] if compact in after else []))
+    texts += [f"IBAN {compact}7", f"IBAN X{compact}", "IBAN DE88370400440532013000 Please"]
+    want += [[], [], []]
+    got = pii.op4_pii(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).sort("doc_id").collect()
+    for text, r, spans in zip(texts, got, want, strict=True):
+        assert [x for x in r.spans.split(",") if x.startswith("iban")] == spans, text
+
+
+def test_iban_of_unlisted_country(spark):
+    rest = "123456789012345"
+    check = 98 - int("".join(str(int(c, 36)) for c in rest + "ZZ00")) % 97
+    value = f"ZZ{check:02d}{rest}"
+    grouped = " ".join(value[k : k + 4] for k in range(0, len(value), 4))
+    texts = [f"{value} Please", f"{grouped} please", f"{value} 2024"]
+    got = pii.op4_pii(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).sort("doc_id").collect()
+    assert [[x for x in r.spans.split(",") if "iban" in x] for r in got] == [[f"iban:0:{n}"] for n in (len(value), len(grouped), len(value))]
