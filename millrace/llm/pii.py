@@ -6,7 +6,8 @@ country's numbers have. Positions come from the lengths of what lies between mat
 summed in two levels, so a text with very many matches costs no more than a little over its length.
 
 Kinds: email, ip, card, phone are the base ones and always stay. Added: iban (mod-97), ssn and secret, which are reported
-where their score reaches `least_score`; a context word within 40 characters before a span raises its score.
+where their score reaches `least_score`; a context word within 40 characters of the text before or after a span raises its
+score. What the windows hold of neighbouring matches comes from a fixed number of them, as each has two characters or more.
 
 Defined results: null counts as empty, without spans; ends are exclusive, in code points. Spans of different kinds may
 overlap. Repeated rows give equal rows, no rows give none.
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:bigint,place:int,kind:string,end:bigint,score:double>>"
 CONTEXT_CHARS = 40
+#: So many matches before or after a span, of two characters or more each, fill a window.
+CONTEXT_MATCHES = CONTEXT_CHARS // 2
 
 
 @dataclass(frozen=True)
@@ -33,6 +36,8 @@ class Kind:
     context: str
     raised: float
     base: bool = False
+    #: For what follows a span, where it isn't the same.
+    context_after: str | None = None
 
 
 def _digits(value: Column) -> Column:
@@ -105,7 +110,7 @@ KINDS = [
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda v: _between(v, 10, 15), 0.7, r"phone|\btel|call|mobile|fax", 0.95, True),
     Kind("iban", _iban_pattern(), _iban, 0.9, r"iban|account|konto|compte|cuenta", 1.0),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda v: F.lit(True), 0.4, r"ssn|social security", 0.85),
-    Kind("secret", r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,128}|[A-Fa-f0-9]{16,31})(?![A-Za-z0-9])", lambda v: v.rlike("[0-9]") & v.rlike("[A-Fa-f]"), 0.4, r"(?:token|password|passwd|secret|api_?key|key)\W{0,6}$", 0.9),
+    Kind("secret", r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,128}|[A-Fa-f0-9]{16,31})(?![A-Za-z0-9])", lambda v: v.rlike("[0-9]") & v.rlike("[A-Fa-f]"), 0.4, r"(?:token|password|passwd|secret|api_?key|key)\W{0,6}$", 0.9, context_after=r"^\W{0,6}(?:token|password|passwd|secret|api_?key|key)\b"),
 ]
 
 
@@ -132,18 +137,30 @@ def running_sums(steps: Column, block: int = 64) -> Column:
 
 def kind_spans(text: Column, kind: Kind, place: int, least_score: float) -> Column:
     """The spans of one kind, as SPAN."""
+    width = F.lit(CONTEXT_CHARS)
 
     def located(found: Column) -> Column:
-        between = F.transform(F.split(text, kind.pattern, -1), lambda p: F.struct(F.char_length(p).cast("bigint").alias("n"), F.lower(F.right(p, F.lit(CONTEXT_CHARS))).alias("near")))
+        between = F.transform(F.split(text, kind.pattern, -1), lambda p: F.struct(F.char_length(p).cast("bigint").alias("n"), F.right(p, width).alias("last"), F.left(p, width).alias("first")))
 
         def ended(gaps: Column) -> Column:
             steps = F.transform(found, lambda m, i: gaps[i]["n"] + F.char_length(m))
-            return let(running_sums(steps), lambda ends: F.transform(found, lambda m, i: span(m, ends[i], gaps[i]["near"])))
+            return let(running_sums(steps), lambda ends: F.transform(found, lambda m, i: span(m, ends[i], before(gaps, i), after(gaps, i))))
 
         return let(between, ended)
 
-    def span(value: Column, end: Column, near: Column) -> Column:
-        score = F.when(near.rlike(kind.context), kind.raised).otherwise(kind.score)
+    def before(gaps: Column, i: Column) -> Column:
+        start = F.greatest(i - CONTEXT_MATCHES, F.lit(0))
+        parts = F.zip_with(F.slice(gaps, start + 1, i - start), F.slice(found, start + 1, i - start), lambda g, m: F.concat(g["last"], F.right(m, width)))
+        return F.when((gaps[i]["n"] >= CONTEXT_CHARS) | (i == 0), gaps[i]["last"]).otherwise(F.right(F.concat(F.array_join(parts, ""), gaps[i]["last"]), width))
+
+    def after(gaps: Column, i: Column) -> Column:
+        n = F.least(F.size(found) - i - 1, F.lit(CONTEXT_MATCHES))
+        parts = F.zip_with(F.slice(found, i + 2, n), F.slice(gaps, i + 3, n), lambda m, g: F.concat(F.left(m, width), g["first"]))
+        return F.when((gaps[i + 1]["n"] >= CONTEXT_CHARS) | (n == 0), gaps[i + 1]["first"]).otherwise(F.left(F.concat(gaps[i + 1]["first"], F.array_join(parts, "")), width))
+
+    def span(value: Column, end: Column, behind: Column, ahead: Column) -> Column:
+        met = F.lower(behind).rlike(kind.context) | F.lower(ahead).rlike(kind.context_after or kind.context)
+        score = F.when(met, kind.raised).otherwise(kind.score)
         kept = kind.confirm(value) if kind.base else kind.confirm(value) & (score >= least_score)
         return F.when(kept, F.struct((end - F.char_length(value)).alias("start"), F.lit(place).alias("place"), F.lit(kind.name).alias("kind"), end.alias("end"), score.alias("score")))
 

@@ -95,3 +95,27 @@ def test_iban_of_unlisted_country(spark):
     texts = [f"{value} Please", f"{grouped} please", f"{value} 2024"]
     got = pii.op4_pii(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).sort("doc_id").collect()
     assert [[x for x in r.spans.split(",") if "iban" in x] for r in got] == [[f"iban:0:{n}"] for n in (len(value), len(grouped), len(value))]
+
+
+def test_context_on_both_sides_and_over_other_matches(spark):
+    texts = ["SSN: 123-45-6789, 234-56-7890", "123-45-6789 (SSN)", "123-45-6789, 234-56-7890 (SSN)", "SSN " + "." * 36 + "123-45-6789", "SSN " + "." * 37 + "123-45-6789", "123-45-6789" + "." * 37 + "SSN", "123-45-6789" + "." * 38 + "SSN"]
+    texts += ["beb071129071368dda607a748490d0e86b5901a8 (api_key)", "beb071129071368dda607a748490d0e86b5901a8 and a token"]
+    got = pii.op4_pii(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).sort("doc_id").collect()
+    assert [r.spans for r in got] == ["ssn:5:16,ssn:18:29", "ssn:0:11", "ssn:0:11,ssn:13:24", "ssn:40:51", "", "ssn:0:11", "", "secret:0:40", ""]
+
+
+def test_scores_by_windows_of_the_text(spark):
+    rng = random.Random(6)
+    parts = ["a@b.cd", "10.0.0.1", "123-45-6789", "4111111111111111", "+1 555 010 9999", "é", "👍", " ", "/", "\n", "mail ", "ssn ", "host ", "card ", "fax ", "." * 9, "1.2.3.4.5.6.7.8"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(400)] + ["a@b.c " * 3000, "1.2" * 200 + " card"]
+    kinds = {k.name: k for k in pii.KINDS}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = 0
+    for r in pii.find_spans(docs, least_score=0.0).collect():
+        for s in r.spans:
+            kind, text = kinds[s.kind], texts[r.doc_id]
+            behind, ahead = text[max(0, s.start - 40) : s.start].lower(), text[s.end : s.end + 40].lower()
+            met = re.search(kind.context, behind) or re.search(kind.context_after or kind.context, ahead)
+            assert s.score == (kind.raised if met else kind.score), (s, text[:200])
+            seen += 1
+    assert seen > 3000
