@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..config import DELAYS, RESULTS, TOPICS
+from ..config import DELAYS, RESULTS, TOPICS, WINDOW_MS
 from ..functions.time import event_time, to_ms
 from ..operators import binlog, logs, orders, stats
 from ..schemas import ORDER_DETAIL, ORDER_INFO
@@ -21,11 +21,59 @@ def typed(topic: DataFrame, schema: str, delay: str = DELAYS["default"]) -> Data
     return rows.withColumn("et", event_time(to_ms(F.col("create_time")))).withWatermark("et", delay)
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def repaired(spark: SparkSession, batch: DataFrame, number: int, state: str, window_ms: int = WINDOW_MS, delay_ms: int = 5000) -> DataFrame:
+    """The rows (parsed logs) that can be decided after batch `number`, with common's is_new '1' for a visitor's first row by
+    (ts, arrival) and '0' for others.
+
+    Rows of a visitor whose first row isn't known yet wait until the watermark has closed the window of the earliest one.
+    Below `state` each batch leaves the rows that wait and the greatest ts, for the next one, and the visitors it decided. A
+    batch that runs again replaces what it left. Rows without a visitor or time are no first rows and don't wait.
+    """
+    left = f"{state}/left/batch={number - 1}"
+    rows = batch.withColumn("arrival", F.struct(F.lit(number).cast("bigint").alias("batch"), F.monotonically_increasing_id().alias("seq"))).persist()
+    fresh, most = rows, None
+    system, where = _folder(spark, left)
+    if system.exists(where):
+        rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{left}/rows"))
+        most = spark.read.schema("ts bigint").parquet(f"{left}/most").first().ts
+    here = fresh.agg(F.max("ts")).first()[0]
+    most = max((t for t in (most, here) if t is not None), default=None)
+    system, where = _folder(spark, f"{state}/visitors")
+    known = spark.createDataFrame([], "visitor string, batch bigint")
+    if system.exists(where):
+        known = spark.read.schema("visitor string, batch bigint").parquet(f"{state}/visitors")
+    known = known.filter(F.col("batch") < number).select("visitor", F.lit(True).alias("known"))
+
+    keyed = rows.withColumn("visitor", F.col("common")["mid"])
+    first = keyed.filter("visitor IS NOT NULL AND ts IS NOT NULL").groupBy("visitor").agg(F.min(F.struct("ts", "arrival")).alias("first"))
+    first = first.join(known, "visitor", "left")
+    end = F.floor(F.col("first.ts") / window_ms) * window_ms + window_ms
+    first = first.withColumn("closed", F.coalesce(end <= F.lit(most).cast("bigint") - delay_ms, F.lit(False))).persist()
+    met = keyed.join(first, "visitor", "left")
+    new = F.col("known").isNull() & F.struct("ts", "arrival").eqNullSafe(F.col("first"))
+    waits = F.col("known").isNull() & ~F.coalesce("closed", F.lit(True)) & F.col("ts").isNotNull()
+    met = met.withColumn("waits", waits).withColumn("flag", F.when(F.coalesce(new, F.lit(False)), "1").otherwise("0"))
+    met.filter("waits").select(*rows.columns).write.mode("overwrite").parquet(f"{state}/left/batch={number}/rows")
+    spark.createDataFrame([(most,)], "ts bigint").write.mode("overwrite").parquet(f"{state}/left/batch={number}/most")
+    first.filter("known IS NULL AND closed").select("visitor").write.mode("overwrite").parquet(f"{state}/visitors/batch={number}")
+    system, where = _folder(spark, f"{state}/left/batch={number - 2}")
+    system.delete(where, True)
+    fresh.unpersist()
+    first.unpersist()
+    common = logs.put_all(F.col("common"), F.create_map(F.lit("is_new"), F.col("flag")))
+    return met.filter("NOT waits").withColumn("common", common).select(*batch.columns)
+
+
 def split_logs(spark: SparkSession, root: str, available_now: bool = False) -> StreamingQuery:
-    """ods_log to start, page and display topics in one pass over each batch."""
+    """ods_log, with the new-visitor mark repaired, to start, page and display topics."""
 
     def each(batch: DataFrame, number: int) -> None:
-        parsed = batch.persist()
+        parsed = repaired(spark, batch, number, f"{root}/_state/split_logs").persist()
         for name, rows in zip(("start", "page", "display"), logs.split_log(parsed), strict=True):
             out = rows.select(F.to_json("display").alias("value")) if name == "display" else as_json(rows)
             out.write.mode("overwrite").text(f"{root}/{TOPICS[name]}/batch={number}")

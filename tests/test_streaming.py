@@ -77,3 +77,17 @@ def test_joined_stream_into_windows(spark, tmp_path):
     got = spark.read.parquet(f"{root}/province_stats_2021").collect()
     assert [(r.stt, r.province_name, float(r.order_amount), r.order_count) for r in got] == [("2021-05-28 10:00:00", "north", 15.0, 3)]
     assert stats.VISITOR_DIMS
+
+
+def test_split_logs_repairs_new_visitors(spark, tmp_path):
+    root = str(tmp_path)
+    page = lambda mid, ts, said: {"common": {"mid": mid, "is_new": said}, "ts": ts, "page": {"page_id": "home"}, "displays": [{"item": "1"}]}
+    got = lambda topic: sorted((r.ts, r.mid, r.is_new) for r in topics.read_topic(spark, root, topic).select(F.from_json("value", "ts string, common map<string,string>, mid string, is_new string").alias("r")).select(F.col("r.ts").cast("long").alias("ts"), F.coalesce("r.mid", F.col("r.common")["mid"]).alias("mid"), F.coalesce("r.is_new", F.col("r.common")["is_new"]).alias("is_new")).collect())
+    # b's first row comes in the second batch, before its window has closed; c's stays open to the end.
+    topics.ingest_log(spark, root, map(json.dumps, [page("a", 1000, "0"), page("a", 2000, "1"), page("b", 8000, "1"), {"common": {"mid": "a", "is_new": "1"}, "ts": 3000, "start": {"x": "y"}}, page("a", 11_000, "1")]))
+    jobs.split_logs(spark, root, available_now=True).awaitTermination(240)
+    assert got("dwd_page_log") == [(1000, "a", "1"), (2000, "a", "0"), (11_000, "a", "0")] and got("dwd_start_log") == [(3000, "a", "0")]
+    topics.ingest_log(spark, root, map(json.dumps, [page("b", 7000, "0"), page("c", 30_000, "0"), page("a", 29_000, "1")]))
+    jobs.split_logs(spark, root, available_now=True).awaitTermination(240)
+    want = [(1000, "a", "1"), (2000, "a", "0"), (7000, "b", "1"), (8000, "b", "0"), (11_000, "a", "0"), (29_000, "a", "0")]
+    assert got("dwd_page_log") == want and got("dwd_display_log") == want
