@@ -30,6 +30,11 @@ class DigestIndex:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
+    def create(self) -> None:
+        """An empty table, where there is none."""
+        if not self.exists():
+            self.append(self.spark.createDataFrame([], "digest binary, keep_id bigint"))
+
     def append(self, digests: DataFrame) -> None:
         """Adds (digest, keep_id) rows that the index lacks; one file per bucket and call."""
         (digests.select("digest", "keep_id").repartition(self.buckets, "digest")
@@ -58,15 +63,13 @@ def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
     rows, _ = stored(digest_rows(docs, id_col, text_col), "digests")
     groups = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
-    if index.exists():
-        seen = index.read().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("seen"))
-        groups, path = stored(groups, "digest-groups")
-        new = groups.hint("merge").join(seen, "digest", "left_anti").withColumn("new", F.lit(True))
-        old = groups.hint("merge").join(seen, "digest").select("digest", F.col("old_id").alias("keep_id"), "keep_row", "group_size", F.lit(False).alias("new"))
-        decided, _ = stored(new.unionByName(old), "digest-decisions")
-        forget(docs.sparkSession, path)
-    else:
-        decided, _ = stored(groups.withColumn("new", F.lit(True)), "digest-decisions")
+    index.create()
+    seen = index.read().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("seen"))
+    groups, path = stored(groups, "digest-groups")
+    new = groups.hint("merge").join(seen, "digest", "left_anti").withColumn("new", F.lit(True))
+    old = groups.hint("merge").join(seen, "digest").select("digest", F.col("old_id").alias("keep_id"), "keep_row", "group_size", F.lit(False).alias("new"))
+    decided, _ = stored(new.unionByName(old), "digest-decisions")
+    forget(docs.sparkSession, path)
     index.append(decided.filter("new"))
     # Both sides are plain scans behind an exchange, so that a hot digest's rows can be split over tasks.
     return rows.join(decided, "digest").select(

@@ -35,3 +35,15 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.op3_exact_dedup(spark, docs).count() == 0
     assert exact_dedup.kept_documents(docs, exact_dedup.fresh_index(spark)).count() == 0
+
+
+def test_first_batch_meets_the_index(spark, monkeypatch):
+    reads = []
+    read = exact_dedup.DigestIndex.read
+    monkeypatch.setattr(exact_dedup.DigestIndex, "read", lambda self: reads.append(self.name) or read(self))
+    docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in exact_dedup.op3_exact_dedup(spark, docs).collect()) == [(1, 2, False), (2, 2, True), (3, 3, True)]
+    assert len(reads) == 1
+    index = exact_dedup.DigestIndex(spark, reads[0])
+    assert index.exists() and read(index).count() == 2
+    index.drop()
