@@ -1,7 +1,7 @@
 """Removal of every byte in a string of `width` bytes that starts at two places or more, over all documents.
 
-Not a suffix array: sorting all suffixes of the corpus on disk writes some 25 bytes for each byte of text, many times the
-room and time there is (README has the figures). What is computed is the same set of bytes, from content-defined anchors:
+Not a suffix array: by estimate, sorting all suffixes of the corpus on disk writes some 25 bytes for each byte of text, many
+times the room there is. That was not built or measured (see README). What is computed is the same set of bytes, from content-defined anchors:
 
 1. Of the 64-byte grams in each window of `width` bytes the one with the least hash (the rightmost of equals) is the
    window's anchor. Equal windows have equal anchors at equal offsets. An anchor with the windows it was chosen for is an
