@@ -29,8 +29,8 @@ from .hashing import mix
 BANDS, ROWS = 24, 4
 #: Rounds in which a band's members meet one of them, before components that share a band meet in full.
 ROUNDS = 3
-#: A sketch has one bit each of so many min-hashes, in words of 64.
-SKETCH_WORDS = 8
+#: A sketch has two bits each of 64 times so many min-hashes: words of the lower bits, then words of the upper ones.
+SKETCH_WORDS = 16
 
 
 def shingle_sets(texts: list[bytes], width: int, hashes_of) -> tuple[np.ndarray, np.ndarray]:
@@ -93,31 +93,42 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """One bit each of 512 min-hashes a non-empty set: [sets, SKETCH_WORDS]. Bits differ with half the dissimilarity."""
+    """Two bits each of 64 * SKETCH_WORDS min-hashes a non-empty set: [sets, 2 * SKETCH_WORDS]."""
     flat, counts = np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
-    starts, out = np.cumsum(counts) - counts, np.zeros((len(sets), SKETCH_WORDS), np.uint64)
-    for bit in range(64 * SKETCH_WORDS if sets else 0):
-        seed = np.uint64((0xD1B54A32D192ED03 * (bit + 1)) & (1 << 64) - 1)
+    starts, out = np.cumsum(counts) - counts, np.zeros((len(sets), 2 * SKETCH_WORDS), np.uint64)
+    for k in range(64 * SKETCH_WORDS if sets else 0):
+        seed = np.uint64((0xD1B54A32D192ED03 * (k + 1)) & (1 << 64) - 1)
         # The low bits of the least hash are as good as even; the upper ones are mostly zero.
-        out[:, bit // 64] |= (np.minimum.reduceat(mix(flat ^ seed), starts) & np.uint64(1)) << np.uint64(bit % 64)
+        least, place = np.minimum.reduceat(mix(flat ^ seed), starts), np.uint64(k % 64)
+        out[:, k // 64] |= (least & np.uint64(1)) << place
+        out[:, SKETCH_WORDS + k // 64] |= ((least >> np.uint64(1)) & np.uint64(1)) << place
     return out
 
 
-def most_sketch_bits(least: float) -> int:
-    """Bits of two sketches that may differ: what a pair of that similarity has on average, and five deviations more."""
-    n, p = 64 * SKETCH_WORDS, (1 - least) / 2
+def most_sketch_places(least: float) -> int:
+    """Places of two sketches that may differ: what a pair of that similarity has on average, and five deviations more."""
+    n, p = 64 * SKETCH_WORDS, (1 - least) * 3 / 4
     return int(np.ceil(n * p + 5 * np.sqrt(n * p * (1 - p))))
 
 
+def _differ(one: DataFrame, two: DataFrame) -> Column:
+    """Places in which the sketches of two members differ."""
+
+    def odd(k: int) -> Column:
+        return one[f"w{k}"].bitwiseXOR(two[f"w{k}_"])
+
+    return reduce(Column.__add__, (F.bit_count(odd(k).bitwiseOR(odd(SKETCH_WORDS + k))) for k in range(SKETCH_WORDS)))
+
+
 def _sketch_rows(sets: DataFrame) -> DataFrame:
-    names = ["of_node", "size", *(f"w{k}" for k in range(SKETCH_WORDS))]
+    names = ["of_node", "size", *(f"w{k}" for k in range(2 * SKETCH_WORDS))]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "set"):
                 own = [np.frombuffer(x, np.uint64) for x in part.column("set").to_pylist()]
                 words = sketches(own).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(x) for x in own], pa.int64()), *(pa.array(words[:, k]) for k in range(SKETCH_WORDS))], names)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(x) for x in own], pa.int64()), *(pa.array(words[:, k]) for k in range(2 * SKETCH_WORDS))], names)
 
     return map_arrow(sets, run, ", ".join(f"{n} bigint" for n in names))
 
@@ -158,14 +169,17 @@ def _across(shared: DataFrame, links: DataFrame, sets: DataFrame, least: float)
     several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(F.col("band").alias("of"))
     several = keep(several, "band-several")
     rest = keep(rooted.join(several, rooted["band"] == several["of"], "left_semi").distinct(), "band-rest")
-    nodes = keep(rest.select(F.col("node").alias("w")).distinct(), "band-nodes")
+    # A node has BANDS bands at most.
+    nodes = keep(rest.groupBy(F.col("node").alias("w")).agg(F.collect_set("band").alias("bands")), "band-nodes")
     sketched = keep(_sketch_rows(sets.join(nodes, sets["node"] == nodes["w"], "left_semi")), "band-sketches")
+    sketched = keep(sketched.join(nodes, sketched["of_node"] == nodes["w"]).drop("w"), "band-sketched")
     members = keep(rest.join(sketched, rest["node"] == sketched["of_node"]).drop("of_node"), "band-members")
     other = members.select(*(F.col(c).alias(f"{c}_") for c in members.columns))
-    differ = reduce(Column.__add__, (F.bit_count(members[f"w{k}"].bitwiseXOR(other[f"w{k}_"])) for k in range(SKETCH_WORDS)))
     sizes = (members["size"] >= least * other["size_"]) & (other["size_"] >= least * members["size"])
-    met = members.join(other, (members["band"] == other["band_"]) & (members["root"] < other["root_"]) & sizes & (differ <= most_sketch_bits(least)))
-    return keep(met.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct(), "band-across"), gone
+    close = sizes & (_differ(members, other) <= most_sketch_places(least))
+    first = F.array_min(F.array_intersect(members["bands"], other["bands_"])) == members["band"]
+    met = members.join(other, (members["band"] == other["band_"]) & (members["root"] < other["root_"]) & close & first)
+    return keep(met.select(F.col("node").alias("a"), F.col("node_").alias("b")), "band-across"), gone
 
 
 def similar_links(named: DataFrame, width: int, least: float, hashes_of) -> DataFrame:

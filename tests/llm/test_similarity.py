@@ -53,12 +53,21 @@ def test_no_rows(spark):
     assert similarity.similar_links(spark.createDataFrame([], "node long, text string"), 5, 0.8, shingle_hashes).count() == 0
 
 
-def test_sketch_bits_follow_similarity():
+def test_sketch_places_follow_similarity():
     rng = np.random.default_rng(3)
-    most = similarity.most_sketch_bits(0.8)
+    most, half = similarity.most_sketch_places(0.8), similarity.SKETCH_WORDS
     for _ in range(60):
-        common, own = rng.integers(0, 1 << 63, 400, np.uint64), rng.integers(0, 1 << 63, 100, np.uint64)
-        a, b = np.concatenate([common, own[:50]]), np.concatenate([common, own[50:]])
+        common, own = rng.integers(0, 1 << 63, 400, np.uint64), rng.integers(0, 1 << 63, 300, np.uint64)
+        a, b, c = np.concatenate([common, own[:50]]), np.concatenate([common, own[50:100]]), np.concatenate([common, own[100:]])
         far = rng.integers(0, 1 << 63, 450, np.uint64)
-        x, y, z = np.bitwise_count(similarity.sketches([a, b, far])[:, None] ^ similarity.sketches([a, b, far])[None]).sum(axis=2)
-        assert x[1] <= most and x[2] > most and z[0] > most
+        odd = similarity.sketches([a, b, c, far])[:, None] ^ similarity.sketches([a, b, c, far])[None]
+        x = np.bitwise_count(odd[..., :half] | odd[..., half:]).sum(axis=2)
+        assert x[0, 1] <= most and min(x[0, 2], x[0, 3], x[1, 3]) > most  # 0.8 against 0.62 and none
+
+
+def test_members_meet_once_and_repeated_and_null_texts(spark):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(120))
+    rows = [(1, text), (1, text), (2, text + " tail"), (3, None), (4, ""), (5, text.replace(" ", "\n"))]
+    got = [(r.a, r.b) for r in similarity.similar_links(spark.createDataFrame(rows, "node long, text string"), 5, 0.8, shingle_hashes).collect()]
+    assert roots([1, 2, 3, 4, 5], got) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
