@@ -98,6 +98,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterat
         start = stop
 
 
+def pieces(texts: list[bytes], overlap: int, limit: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
+    """What slices() gave, with a shift of 0; of one text beyond `limit`, pieces with their place, each with `overlap` bytes of
+    the next one, so numpy holds no more of a very long text than of a slice."""
+    if len(texts) != 1 or len(texts[0]) <= limit + overlap:
+        yield 0, texts
+        return
+    for at in range(0, max(1, len(texts[0]) - overlap), limit):
+        yield at, [texts[0][at : at + limit + overlap]]
+
+
 def utf8_rows(column: pa.Array) -> list[bytes]:
     """Each row's UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -1,21 +1,24 @@
 """Removal of every byte in a string of `width` bytes that starts at two places or more, over all documents.
 
-Not a suffix array: by estimate, sorting all suffixes of the corpus on disk writes some 25 bytes for each byte of text, many
-times the room there is. That was not built or measured (see README). What is computed is the same set of bytes, from content-defined anchors:
+A suffix sort finds them, in shards, each by external induced sorting (induced.py); what shares a string must be in one shard:
 
 1. Of the 64-byte grams in each window of `width` bytes the one with the least hash (the rightmost of equals) is the
    window's anchor. Equal windows have equal anchors at equal offsets. An anchor with the windows it was chosen for is an
    occurrence; what those windows cover is its context. There is one occurrence for about 70 bytes.
-2. Occurrences whose anchor is met once hold no repeated window. Of the others, equal contexts are counted: all windows of
-   a context met twice are repeated.
-3. Where an anchor has several contexts, one occurrence of each is cut out. How far its bytes agree with another's before
-   and behind the anchor, in steps, leaves the windows that can be shared; those are compared by their own hashes.
+2. Occurrences whose anchor is met once share no window with any other. Of those left, equal contexts are summed, and each
+   context, cut out once, goes to its anchor's shard with whether it was met several times.
+3. A shard is one text of contexts. Its suffixes are sorted with their common prefixes; windows whose prefix with a neighbour
+   is `width` long are repeated, and all windows of a context that was met several times. They are handed back to every
+   occurrence of the context.
 
-Every exchange is keyed by a hash of content whose equal rows are summed before it, or joins two stored tables, so that
-passages that a third of all documents share are split over tasks. Anchor and window hashes, 64 bits each, decide together.
+Exchanges before the shards are keyed by a hash of content whose equal rows are summed before it, or join two stored tables.
+A passage that a third of all documents share is one context in its shard but for where it begins and ends: there each
+document has its own, all in one shard, which goes to disk beyond a task's memory. Anchor and context hashes, 64 bits each,
+together name a context.
 
 Defined results: null counts as empty; texts below `width` bytes keep all. Matches never cross documents. Rows repeated
-with id and text repeat each other. No rows give no rows.
+with id and text repeat each other. No rows give no rows. Only the two columns named are read, so others may have any name.
+A very long text is hashed in pieces that overlap by a window; where a piece ends, an occurrence is two.
 """
 
 from __future__ import annotations
@@ -27,23 +30,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, map_arrow, slices, stored, utf8_rows
-from .hashing import SpanHashes, mix
+from .common import forget, map_arrow, pieces, slices, stored, utf8_rows
+from .hashing import SpanHashes
+from .induced import repeated_places, scratch_file
 from .wordcache import runs
 
 GRAM = 64
 PLACE_BITS = 28
-OCCURRENCE = "doc_id bigint, tag bigint, anchor bigint, lo int, hi int, at int, context bigint"
+OCCURRENCE = "doc_id bigint, tag bigint, anchor bigint, lo int, hi int, context bigint"
+#: Bytes of contexts in a shard, on average; and what a task holds of one before it goes to disk.
+SHARD_BYTES = 8 << 20
+SHARD_ROOM = 96 << 20
 
 
 def occurrences(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor, lo, hi, at, context): windows from lo to hi of a text have that anchor; places within the text, at from lo."""
+    """(text, anchor, lo, hi, context): windows from lo to hi of a text have that anchor; places within the text."""
     sizes = np.array([len(t) for t in texts], np.int64)
     flat = np.frombuffer(b"".join(texts), np.uint8)
     begins = np.cumsum(sizes) - sizes
     n = len(flat) - width + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     spans = SpanHashes(flat)
     grams = spans.all(GRAM)
     mask = np.uint64((1 << PLACE_BITS) - 1)
@@ -65,7 +72,7 @@ def occurrences(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     anchor = at[first]
     context = spans.of(first, last + width) + np.uint64(0x9E3779B97F4A7C15) * (anchor - first).astype(np.uint64)
     text = text_of[first]
-    return text, grams[anchor].view(np.int64), first - begins[text], last - begins[text], anchor - first, context.view(np.int64)
+    return text, grams[anchor].view(np.int64), first - begins[text], last - begins[text], context.view(np.int64)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -75,93 +82,102 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _occurrence_rows(keyed: DataFrame, width: int) -> DataFrame:
+    names = ["doc_id", "tag", "anchor", "lo", "hi", "context"]
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                text, anchor, lo, hi, at, context = occurrences(utf8_rows(part.column("text")), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), part.column("tag").take(pa.array(text)), pa.array(anchor), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(at, pa.int32()), pa.array(context)], ["doc_id", "tag", "anchor", "lo", "hi", "at", "context"])
+                for shift, texts in pieces(utf8_rows(part.column("text")), width - 1):
+                    text, anchor, lo, hi, context = occurrences(texts, width)
+                    own = pa.array(text)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("tag").take(own), pa.array(anchor), pa.array(lo + shift, pa.int32()), pa.array(hi + shift, pa.int32()), pa.array(context)], names)
 
     return map_arrow(keyed.filter(F.octet_length("text") >= width), run, OCCURRENCE)
 
 
-SPAN = "id bigint, doc_id bigint, tag bigint, anchor bigint, lo int, at int, windows int, alone boolean, body binary"
-
-
-def _span_rows(wanted: DataFrame, width: int) -> DataFrame:
-    """wanted: (doc_id, tag, text, spans array<struct<lo, hi, anchor, at, alone>>). A row a span, with its bytes."""
+def _body_rows(wanted: DataFrame, width: int) -> DataFrame:
+    """wanted: (text, spans array<struct<lo, hi, anchor, context, several>>). A row a span, with its bytes."""
+    names = ["anchor", "context", "windows", "several", "body"]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [(d, t, s, x[s["lo"] : s["hi"] + width]) for d, t, x, own in zip(part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), utf8_rows(part.column("text")), part.column("spans").to_pylist(), strict=True) for s in own]
-                ids = [hash_of(f"{d}:{t}:{s['lo']}") for d, t, s, _ in rows]
-                spans = [s for _, _, s, _ in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([s["anchor"] for s in spans], pa.int64()), pa.array([s["lo"] for s in spans], pa.int32()),
-                     pa.array([s["at"] for s in spans], pa.int32()), pa.array([s["hi"] - s["lo"] + 1 for s in spans], pa.int32()), pa.array([s["alone"] for s in spans], pa.bool_()), pa.array([r[3] for r in rows], pa.binary())],
-                    ["id", "doc_id", "tag", "anchor", "lo", "at", "windows", "alone", "body"],
-                )
-
-    return map_arrow(wanted, run, SPAN)
-
-
-def hash_of(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
-
-
-def _flat(part: pa.RecordBatch) -> tuple[SpanHashes, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes over a batch's bodies; where each begins; anchors; where each anchor lies in its body."""
-    bodies = part.column("body").to_pylist()
-    sizes = np.array([len(x) for x in bodies], np.int64)
-    return SpanHashes(np.frombuffer(b"".join(bodies), np.uint8)), np.cumsum(sizes) - sizes, part.column("anchor").to_numpy().view(np.uint64), part.column("at").to_numpy().astype(np.int64)
-
-
-#: What lies before and behind an anchor is compared in steps of this many bytes before single windows are.
-STEP = 17
-
-
-def _reach_rows(spans: DataFrame, width: int) -> DataFrame:
-    """(key, id, side, reach): the bytes that reach so far before (0) or behind (1) the anchor, by hash."""
-    most = width - GRAM
+                rows = [(s["anchor"], s["context"], s["hi"] - s["lo"] + 1, s["several"], x[s["lo"] : s["hi"] + width]) for x, own in zip(utf8_rows(part.column("text")), part.column("spans").to_pylist(), strict=True) for s in own]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    return map_arrow(wanted, run, "anchor bigint, context bigint, windows int, several boolean, body binary")
+
+
+class Shard:
+    """The bodies of a task in one text: 1 behind each, 0 at the end, bytes from 2; a mapped file beyond `room` bytes."""
+
+    def __init__(self, room: int = SHARD_ROOM):
+        self.room, self.parts, self.held, self.file, self.size = room, [], 0, None, 0
+        self.columns: list[tuple] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        bodies = batch.column("body").to_pylist()
+        sizes = np.array([len(x) for x in bodies], np.int64)
+        ends = np.cumsum(sizes + 1)
+        part = np.ones(int(ends[-1]), np.int16)
+        part[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = np.frombuffer(b"".join(bodies), np.uint8).astype(np.int16) + 2
+        own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "context", "windows", "several"))
+        self.columns.append((self.size + ends - sizes - 1, *own))
+        self.size += len(part)
+        if self.file is None:
+            # No UTF-8 has the bytes 254 and 255.
+            self.parts.append(part.astype(np.uint8) if part.max() < 256 else part)
+            self.held += self.parts[-1].nbytes
+            if self.held > self.room:
+                self.file, before, self.parts = scratch_file(), self.parts, []
+                for x in before:
+                    self.file.write(x.astype(np.int16).tobytes())
+        else:
+            self.file.write(part.tobytes())
+
+    def text(self) -> np.ndarray:
+        if self.file is None:
+            return np.concatenate([*self.parts, np.zeros(1, np.uint8)])
+        self.file.write(np.zeros(1, np.int16).tobytes())
+        self.file.flush()
+        return np.memmap(self.file, np.int16, "r", shape=(self.size + 1,))
+
+    def repeats(self, width: int, limit: int = 10_000):
+        """(anchor, context, ranges) of the contexts with repeated windows, ranges of windows with exclusive ends."""
+        if not self.columns:
+            return
+        begin, anchor, context, windows, several = (np.concatenate(x) for x in zip(*self.columns, strict=True))
+        windows = windows.astype(np.int64)
+        again = repeated_places(self.text(), 258, width)
+        for k in range(0, len(begin), limit):
+            n, own = windows[k : k + limit], slice(k, k + limit)
+            body = np.repeat(np.arange(len(n)), n)
+            flag = again[runs(begin[own], n)] | several[own][body]
+            place = np.arange(len(flag)) - np.repeat(np.cumsum(n) - n, n)
+            same = np.concatenate([[False], body[1:] == body[:-1]])
+            first = np.flatnonzero(flag & ~(same & np.concatenate([[False], flag[:-1]])))
+            last = np.flatnonzero(flag & ~np.append(same[1:] & flag[1:], False))
+            count = np.bincount(body[first], minlength=len(n))
+            found = np.flatnonzero(count)
+            ranges = pa.StructArray.from_arrays([pa.array(place[first], pa.int32()), pa.array(place[last] + 1, pa.int32())], ["s", "e"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count[found])]), pa.int32()), ranges)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[own][found]), pa.array(context[own][found]), lists], ["anchor_", "context_", "ranges"])
+
+
+def _sorted_rows(bodies: DataFrame, width: int, shard_bytes: int) -> DataFrame:
+    """(anchor_, context_, ranges): each shard of bodies is sorted; shards grow in number with the bytes there are."""
+    total = bodies.agg(F.sum(F.octet_length("body").cast("bigint"))).first()[0] or 0
+    shards = max(int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
 
     def run(batches):
+        shard = Shard()
         for batch in batches:
-            for part in slices(batch, "body"):
-                hashes, begin, anchor, at = _flat(part)
-                windows, ids = part.column("windows").to_numpy(), part.column("id").to_numpy()
-                for side in (0, 1):
-                    # Of the windows from 0 to windows-1, the first reaches farthest before the anchor.
-                    have = at if side == 0 else np.minimum(most, windows - 1 + width - at - GRAM)
-                    for reach in range(STEP, most + 1, STEP):
-                        own = np.flatnonzero(have >= reach)
-                        start = begin[own] + at[own]
-                        key = hashes.of(start - reach, start) if side == 0 else hashes.of(start + GRAM, start + GRAM + reach)
-                        key = mix(key ^ anchor[own]) + np.uint64(2 * reach + side)
-                        k = len(own)
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[own]), pa.array(np.full(k, side, np.int32)), pa.array(np.full(k, reach, np.int32))], ["key", "id", "side", "reach"])
-
-    return map_arrow(spans, run, "key bigint, id bigint, side int, reach int")
-
-
-def _window_rows(spans: DataFrame, width: int) -> DataFrame:
-    """(key, id, place, alone): a row a window that both reaches allow; key is a hash of anchor and window."""
-    most = width - GRAM
+            if batch.num_rows:
+                shard.add(batch)
+        yield from shard.repeats(width)
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "body", 200_000):
-                hashes, begin, anchor, at = _flat(part)
-                windows = part.column("windows").to_numpy().astype(np.int64)
-                before, behind = part.column("before").to_numpy() + STEP - 1, part.column("behind").to_numpy() + STEP - 1
-                first = np.maximum(0, at - before)
-                stop = np.minimum(windows, at - most + behind + 1)
-                n = np.maximum(0, stop - first)
-                place, row = runs(first, n), np.repeat(np.arange(len(n)), n)
-                start = begin[row] + place
-                key = mix(hashes.of(start, start + width) ^ anchor[row])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id").take(pa.array(row)), pa.array(place, pa.int32()), part.column("alone").take(pa.array(row))], ["key", "id", "place", "alone"])
-
-    return map_arrow(spans, run, "key bigint, id bigint, place int, alone boolean")
+    return map_arrow(bodies.repartition(shards, "anchor"), run, "anchor_ bigint, context_ bigint, ranges array<struct<s:int,e:int>>")
 
 
 def _same(a: DataFrame, b: DataFrame, *keys: str):
@@ -175,8 +191,8 @@ def _named(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumnsRenamed({k: f"{k}_" for k in keys})
 
 
-def repeated_ranges(keyed: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
-    """(doc_id, tag, ranges array<struct<s, e>>) of documents with repeated windows; ranges may overlap. And scratch paths."""
+def repeated_ranges(keyed: DataFrame, width: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id_, tag_, ranges array<struct<s, e>>) of documents with repeated windows; ranges may overlap."""
     spark, gone = keyed.sparkSession, []
 
     def keep(df: DataFrame, tag: str) -> DataFrame:
@@ -188,32 +204,22 @@ def repeated_ranges(keyed: DataFrame, width: int) -> tuple[DataFrame, list[str]]
     twice = keep(_named(every.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchor"), "spans-anchors")
     met = keep(every.join(twice, _same(every, twice, "anchor"), "left_semi"), "spans-met")
     forget(spark, gone[0], gone[1])
-    one = F.min(F.struct("doc_id", "tag", "lo", "hi", "at")).alias("one")
-    contexts = keep(met.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), one), "spans-contexts")
-    full = keep(_named(contexts.filter("n > 1").select("anchor", "context"), "anchor", "context"), "spans-full")
-    whole = met.join(full, _same(met, full, "anchor", "context"), "left_semi").select("doc_id", "tag", F.col("lo").alias("s"), (F.col("hi") + width).alias("e"))
-    several = keep(_named(contexts.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchor"), "spans-several")
-    part = contexts.join(several, _same(contexts, several, "anchor"), "left_semi")
-    part = part.select("one.*", "anchor", (F.col("n") == 1).alias("alone"))
-    part = keep(part.groupBy(F.col("doc_id").alias("doc_id_"), F.col("tag").alias("tag_")).agg(F.collect_list(F.struct("lo", "hi", "anchor", "at", "alone")).alias("spans")), "spans-part")
-    held = keyed.join(part, _same(keyed, part, "doc_id", "tag")).select("doc_id", "tag", "text", "spans")
-    # A document repeated with its id gives its spans twice under one id, so repetition is told by two ids, not two rows.
-    spans = keep(_span_rows(held, width), "spans-bodies")
-    twice_met = F.min("id") != F.max("id")
-    reaches = keep(_reach_rows(spans, width), "spans-reaches")
-    common = keep(reaches.groupBy("key").agg(twice_met.alias("met")).filter("met").select(F.col("key").alias("key_")), "spans-common")
-    shared = reaches.join(common, _same(reaches, common, "key"), "left_semi").groupBy(F.col("id").alias("id_")).agg(F.max(F.expr("IF(side = 0, reach, 0)")).alias("before"), F.max(F.expr("IF(side = 1, reach, 0)")).alias("behind"))
-    # A shared window reaches half its rest or more to one side, so that side shares a step at least.
-    windows = keep(_window_rows(spans.join(shared, _same(spans, shared, "id")), width), "spans-windows")
-    again = keep(windows.groupBy("key").agg(twice_met.alias("met")).filter("met").select(F.col("key").alias("key_")), "spans-again")
-    alone = windows.filter("alone")
-    places = alone.join(again, _same(alone, again, "key"), "left_semi").groupBy(F.col("id").alias("id_")).agg(F.collect_set("place").alias("places"))
-    named = spans.select("id", "doc_id", "tag", "lo").distinct()
-    single = named.join(places, _same(named, places, "id")).select("doc_id", "tag", F.explode("places").alias("place"), "lo").select("doc_id", "tag", (F.col("lo") + F.col("place")).alias("s"), (F.col("lo") + F.col("place") + width).alias("e"))
-    ranges = whole.unionByName(single).groupBy(F.col("doc_id").alias("doc_id_"), F.col("tag").alias("tag_")).agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
-    out, path = stored(ranges, "spans-ranges")
+    one = F.min(F.struct("doc_id", "tag", "lo", "hi")).alias("one")
+    contexts = met.groupBy("anchor", "context").agg((F.count(F.lit(1)) > 1).alias("several"), one).select("anchor", "context", "several", "one.*")
+    # A document has one context for about 70 of its bytes.
+    own = contexts.groupBy(F.col("doc_id").alias("doc_id_"), F.col("tag").alias("tag_")).agg(F.collect_list(F.struct("lo", "hi", "anchor", "context", "several")).alias("spans"))
+    own = keep(own, "spans-contexts")
+    # A document repeated with its id and text gives its spans twice, to the same effect.
+    bodies = keep(_body_rows(keyed.join(own, _same(keyed, own, "doc_id", "tag")).select("text", "spans"), width), "spans-bodies")
+    forget(spark, gone[3])
+    again = keep(_sorted_rows(bodies, width, shard_bytes), "spans-sorted")
+    forget(spark, gone[4])
+    found = met.join(again, _same(met, again, "anchor", "context"))
+    moved = F.transform("ranges", lambda r: F.struct((F.col("lo") + r["s"]).alias("s"), (F.col("lo") + r["e"] + (width - 1)).alias("e")))
+    ranges = found.select("doc_id", "tag", moved.alias("own")).groupBy(F.col("doc_id").alias("doc_id_"), F.col("tag").alias("tag_")).agg(F.flatten(F.collect_list("own")).alias("ranges"))
+    out, _ = stored(ranges, "spans-ranges")
     forget(spark, *gone)
-    return out, [path]
+    return out
 
 
 CUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
@@ -245,12 +251,12 @@ def _cut_rows(joined: DataFrame, digest: bool) -> DataFrame:
     return map_arrow(joined, run, CUT)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, digest: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept has the remaining bytes, or their sha256 with digest=True."""
     if width < 2 * GRAM:
         raise ValueError(f"width must be at least {2 * GRAM}")
     keyed = _keyed(docs, id_col, text_col)
-    ranges, _ = repeated_ranges(keyed, width)
+    ranges = repeated_ranges(keyed, width, shard_bytes)
     joined = keyed.join(ranges, _same(keyed, ranges, "doc_id", "tag"), "left").select("doc_id", "text", "ranges")
     return _cut_rows(joined, digest)
 
