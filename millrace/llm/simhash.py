@@ -8,7 +8,9 @@ the equi-join yields pairs that pass the chain test and nothing else; the full H
 Only distinct fingerprints meet, so exact copies cost one row, and a pair is taken at its first chain alone.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any others. A row with a null id takes
-part but names no component. Repeated rows share fingerprint and component. No rows give no rows.
+part but names no component. Repeated rows share fingerprint and component. No rows give no rows. Ties: a component's name is
+its least id, and of rows with that id the one of the least text hash stays. Only the two columns named are read, so others may
+have any name. A very long text is one row: its words and hashes, some 100 bytes a word, are in a task at once.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, keep_named, map_arrow, slices, stored, text_tag, utf8_rows
 from .components import components
-from .similarity import similar_links
+from .similarity import band_lists, similar_links
 
 BITS = 64
 
@@ -39,29 +41,34 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
     return [xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :], strict=True)]
 
 
-def fingerprints_of(texts: list[bytes], width: int) -> np.ndarray:
+def hash_array(text: bytes, width: int) -> np.ndarray:
+    return np.array(shingle_hashes(text, width), np.uint64)
+
+
+def fingerprints_of(hashes: list[np.ndarray]) -> np.ndarray:
     """One unsigned 64-bit fingerprint a text: a bit is 1 if set in over half its shingles' hashes."""
-    out = np.zeros((len(texts), 8), np.uint8)
-    for i, text in enumerate(texts):
-        hashes = np.array(shingle_hashes(text, width), ">u8")
+    out = np.zeros((len(hashes), 8), np.uint8)
+    for i, own in enumerate(hashes):
         set_bits = np.zeros(BITS, np.int64)
-        for k in range(0, len(hashes), 1 << 16):
-            set_bits += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(2 * set_bits > len(hashes))
+        for k in range(0, len(own), 1 << 16):
+            set_bits += np.unpackbits(own[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(2 * set_bits > len(own))
     return out.view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, tag, fp bigint); tag with the id names a row."""
+def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, width: int, bands: bool = False) -> DataFrame:
+    """(doc_id, tag, fp bigint); tag with the id names a row. With bands, also (bands array<bigint>), from the same pass."""
+    names = ["doc_id", "tag", "fp"] + ["bands"] * bands
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                fps = fingerprints_of(utf8_rows(part.column("text")), width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(fps)], ["doc_id", "tag", "fp"])
+                hashes = [hash_array(t, width) for t in utf8_rows(part.column("text"))]
+                own = [part.column("doc_id"), part.column("tag"), pa.array(fingerprints_of(hashes).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*own, band_lists(hashes)] if bands else own, names)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_tag(F.col(text_col)).alias("tag"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, run, "doc_id bigint, tag bigint, fp bigint")
+    return map_arrow(rows, run, "doc_id bigint, tag bigint, fp bigint" + ", bands array<bigint>" * bands)
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -123,7 +130,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, distanc
     """Stored tables: rows (doc_id, tag, fp), fingerprints (fp, root), components (root, component_id, component_size, first:
     the row of least id, nulls last). With a similarity, texts as similar as that in their shingles are linked as well."""
     spark = docs.sparkSession
-    rows, _ = stored(fingerprint_table(docs, id_col, text_col, width), "fingerprints")
+    rows, _ = stored(fingerprint_table(docs, id_col, text_col, width, similarity is not None), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
     fps, at_fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), first, F.count(F.lit(1)).alias("n")), "fingerprint-groups")
     links = near_links(fps.select("fp"), distance)
@@ -140,7 +147,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, distanc
 def _similar_fingerprints(docs: DataFrame, rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
     """(a, b) fingerprints of texts that are similar; texts are named by their hash."""
     named = docs.select(text_tag(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))
-    links = similar_links(named, width, similarity, shingle_hashes)
+    links = similar_links(named, rows.select(F.col("tag").alias("node"), "bands"), width, similarity, hash_array)
     fp_of, _ = stored(rows.groupBy(F.col("tag").alias("t")).agg(F.min("fp").alias("f")), "fingerprint-tags")
     half, _ = stored(links.join(fp_of, links["a"] == fp_of["t"]).select(F.col("f").alias("fa"), "b"), "fingerprint-half")
     return half.join(fp_of, half["b"] == fp_of["t"]).select(F.col("fa").alias("a"), F.col("f").alias("b")).filter("a <> b")

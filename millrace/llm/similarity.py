@@ -33,9 +33,9 @@ ROUNDS = 3
 SKETCH_WORDS = 16
 
 
-def shingle_sets(texts: list[bytes], width: int, hashes_of) -> tuple[np.ndarray, np.ndarray]:
+def flat_sets(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all texts in a row, and how many each text has."""
-    sets = [np.unique(np.array(hashes_of(t, width), np.uint64)) for t in texts]
+    sets = [np.unique(h) for h in hashes]
     return np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
 
 
@@ -53,45 +53,24 @@ def band_keys(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _band_rows(named: DataFrame, width: int, hashes_of) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                flat, counts = shingle_sets(utf8_rows(part.column("text")), width, hashes_of)
-                keys = band_keys(flat, counts).view(np.int64)
-                nodes = part.column("node").to_numpy()[counts > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS)), pa.array(keys.ravel())], ["node", "band"])
-
-    return map_arrow(named, run, "node bigint, band bigint")
+def band_lists(hashes: list[np.ndarray]) -> pa.ListArray:
+    """The band keys of each text, none without shingles."""
+    flat, counts = flat_sets(hashes)
+    ends = np.concatenate([[0], np.cumsum(np.where(counts > 0, BANDS, 0))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band_keys(flat, counts).view(np.int64).ravel()))
 
 
 def _set_rows(named: DataFrame, width: int, hashes_of) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                flat, counts = shingle_sets(utf8_rows(part.column("text")), width, hashes_of)
+                flat, counts = flat_sets([hashes_of(t, width) for t in utf8_rows(part.column("text"))])
                 sets = [s.tobytes() for s in np.split(flat, np.cumsum(counts)[:-1])]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
     return map_arrow(named, run, "node bigint, set binary")
 
 
-def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b, alike) of pairs (a, b, one, two)."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "one"):
-                out = []
-                for x, y in zip(part.column("one").to_pylist(), part.column("two").to_pylist(), strict=True):
-                    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    common = len(np.intersect1d(p, q, assume_unique=True))
-                    out.append(common >= least * (len(p) + len(q) - common))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(out, pa.bool_())], ["a", "b", "alike"])
-
-    return map_arrow(pairs, run, "a bigint, b bigint, alike boolean")
-
-
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """Two bits each of 64 * SKETCH_WORDS min-hashes a non-empty set: [sets, 2 * SKETCH_WORDS]."""
     flat, counts = np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
@@ -111,13 +90,18 @@ def most_sketch_places(least: float) -> int:
     return int(np.ceil(n * p + 5 * np.sqrt(n * p * (1 - p))))
 
 
-def _differ(one: DataFrame, two: DataFrame) -> Column:
-    """Places in which the sketches of two members differ."""
+def _close(one: DataFrame, two: DataFrame, least: float) -> Column:
+    """Whether sizes and sketches of two members let the similarity be reached; the other's columns end in _."""
 
     def odd(k: int) -> Column:
         return one[f"w{k}"].bitwiseXOR(two[f"w{k}_"])
 
-    return reduce(Column.__add__, (F.bit_count(odd(k).bitwiseOR(odd(SKETCH_WORDS + k))) for k in range(SKETCH_WORDS)))
+    differ = reduce(Column.__add__, (F.bit_count(odd(k).bitwiseOR(odd(SKETCH_WORDS + k))) for k in range(SKETCH_WORDS)))
+    return (one["size"] >= least * two["size_"]) & (two["size_"] >= least * one["size"]) & (differ <= most_sketch_places(least))
+
+
+def _renamed(df: DataFrame) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{c}_") for c in df.columns))
 
 
 def _sketch_rows(sets: DataFrame) -> DataFrame:
@@ -133,14 +117,39 @@ def _sketch_rows(sets: DataFrame) -> DataFrame:
     return map_arrow(sets, run, ", ".join(f"{n} bigint" for n in names))
 
 
-def _judged(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b) with alike, stored; each pair's sets are together for that alone."""
+def _compared(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the pairs (a, b, one, two) whose sets are as similar as that."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "one"):
+                alike = []
+                for x, y in zip(part.column("one").to_pylist(), part.column("two").to_pylist(), strict=True):
+                    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    common = len(np.intersect1d(p, q, assume_unique=True))
+                    alike.append(common >= least * (len(p) + len(q) - common))
+                yield part.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return map_arrow(pairs, run, "a bigint, b bigint")
+
+
+def _alike(close: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, str]:
+    """The pairs (a, b) that are similar, stored; each pair's sets are together for that alone."""
     one = sets.select(F.col("node").alias("x"), F.col("set").alias("one"))
     two = sets.select(F.col("node").alias("y"), F.col("set").alias("two"))
-    half, at_half = stored(pairs.join(one, pairs["a"] == one["x"]).select("a", "b", "one"), "band-half")
-    judged, _ = stored(_alike(half.join(two, half["b"] == two["y"]).select("a", "b", "one", "two"), least), "band-judged")
+    half, at_half = stored(close.join(one, close["a"] == one["x"]).select("a", "b", "one"), "band-half")
+    out, path = stored(_compared(half.join(two, half["b"] == two["y"]).select("a", "b", "one", "two"), least), "band-alike")
+    forget(close.sparkSession, at_half)
+    return out, path
+
+
+def _closest(pairs: DataFrame, sketched: DataFrame, least: float) -> tuple[DataFrame, str]:
+    """The pairs (a, b) that sizes and sketches don't rule out, stored; only their sets are sent around."""
+    other = _renamed(sketched)
+    half, at_half = stored(pairs.join(sketched, pairs["a"] == sketched["of_node"]).drop("of_node"), "band-sketched")
+    out, path = stored(half.join(other, (half["b"] == other["of_node_"]) & _close(half, other, least)).select("a", "b"), "band-close")
     forget(pairs.sparkSession, at_half)
-    return judged
+    return out, path
 
 
 def _degrees(links: DataFrame) -> DataFrame:
@@ -155,7 +164,7 @@ def _firsts(ranked: DataFrame, turn: int) -> DataFrame:
     return groups.filter("low <> high").select(F.col("band").alias("of"), F.col("first.node").alias("first"))
 
 
-def _across(shared: DataFrame, links: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, list[str]]:
+def _across(shared: DataFrame, links: DataFrame, sketched: DataFrame, least: float) -> tuple[DataFrame, list[str]]:
     """(a, b) in one band but in different components of the links, that size and sketch don't rule out. And scratch paths."""
     gone = []
 
@@ -171,37 +180,37 @@ def _across(shared: DataFrame, links: DataFrame, sets: DataFrame, least: float)
     rest = keep(rooted.join(several, rooted["band"] == several["of"], "left_semi").distinct(), "band-rest")
     # A node has BANDS bands at most.
     nodes = keep(rest.groupBy(F.col("node").alias("w")).agg(F.collect_set("band").alias("bands")), "band-nodes")
-    sketched = keep(_sketch_rows(sets.join(nodes, sets["node"] == nodes["w"], "left_semi")), "band-sketches")
-    sketched = keep(sketched.join(nodes, sketched["of_node"] == nodes["w"]).drop("w"), "band-sketched")
-    members = keep(rest.join(sketched, rest["node"] == sketched["of_node"]).drop("of_node"), "band-members")
-    other = members.select(*(F.col(c).alias(f"{c}_") for c in members.columns))
-    sizes = (members["size"] >= least * other["size_"]) & (other["size_"] >= least * members["size"])
-    close = sizes & (_differ(members, other) <= most_sketch_places(least))
+    own = keep(sketched.join(nodes, sketched["of_node"] == nodes["w"]).drop("w"), "band-own")
+    members = keep(rest.join(own, rest["node"] == own["of_node"]).drop("of_node"), "band-members")
+    other = _renamed(members)
     first = F.array_min(F.array_intersect(members["bands"], other["bands_"])) == members["band"]
-    met = members.join(other, (members["band"] == other["band_"]) & (members["root"] < other["root_"]) & close & first)
+    met = members.join(other, (members["band"] == other["band_"]) & (members["root"] < other["root_"]) & _close(members, other, least) & first)
     return keep(met.select(F.col("node").alias("a"), F.col("node_").alias("b")), "band-across"), gone
 
 
-def similar_links(named: DataFrame, width: int, least: float, hashes_of) -> DataFrame:
-    """(a, b) that connect all nodes with a similarity of `least` or more; named: (node, text), hashes_of(text, width) its shingle hashes."""
+def similar_links(named: DataFrame, bands: DataFrame, width: int, least: float, hashes_of) -> DataFrame:
+    """(a, b) that connect all nodes with a similarity of `least` or more; named: (node, text), hashes_of(text, width) its
+    shingle hashes; bands: (node, bands), their band_lists."""
     spark = named.sparkSession
-    members, at_members = stored(_band_rows(named, width, hashes_of), "bands")
+    members, at_members = stored(bands.select("node", F.explode("bands").alias("band")), "bands")
     groups, at_groups = stored(_firsts(members.withColumn("degree", F.lit(0).cast("bigint")), 0), "band-firsts")
     shared, at_shared = stored(members.join(groups, members["band"] == groups["of"]).select("node", "band", "first"), "bands-shared")
     wanted, at_wanted = stored(shared.select(F.col("node").alias("w")).distinct(), "band-wanted")
     forget(spark, at_members, at_groups)
     sets, at_sets = stored(_set_rows(named.join(wanted, named["node"] == wanted["w"], "left_semi").select("node", "text"), width, hashes_of).dropDuplicates(["node"]), "band-sets")
+    sketched, at_sketched = stored(_sketch_rows(sets), "band-sketches")
     forget(spark, at_wanted)
     met, at_met, found = shared.filter("node <> first"), None, []
     for turn in range(ROUNDS):
         pairs, at_pairs = stored(met.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "band-pairs")
-        judged = _judged(pairs, sets, least)
-        forget(spark, at_pairs)
-        found.append(judged.filter("alike").select("a", "b"))
+        close, at_close = _closest(pairs, sketched, least)
+        alike, _ = _alike(close, sets, least)
+        forget(spark, at_pairs, at_close)
+        found.append(alike)
         if turn == ROUNDS - 1:
             break
-        failed = judged.filter("NOT alike").select(F.col("a").alias("a_"), F.col("b").alias("b_"))
-        left, at_left = stored(met.join(failed, (met["node"] == failed["a_"]) & (met["first"] == failed["b_"]), "left_semi").select("node", "band"), "bands-left")
+        held = alike.select(F.col("a").alias("a_"), F.col("b").alias("b_"))
+        left, at_left = stored(met.join(held, (met["node"] == held["a_"]) & (met["first"] == held["b_"]), "left_anti").select("node", "band"), "bands-left")
         forget(spark, *filter(None, [at_met]))
         if left.isEmpty():
             forget(spark, at_left)
@@ -209,7 +218,7 @@ def similar_links(named: DataFrame, width: int, least: float, hashes_of) -> Data
             break
         gone = [at_left]
         if turn == 0:
-            degree, at = stored(_degrees(found[0]), "band-degrees")
+            degree, at = stored(_degrees(alike), "band-degrees")
             gone.append(at)
             ranked = shared.join(degree, shared["node"] == degree["of_node"], "left").select("node", "band", "degree")
         else:
@@ -218,8 +227,8 @@ def similar_links(named: DataFrame, width: int, least: float, hashes_of) -> Data
         met, at_met = stored(left.join(groups, left["band"] == groups["of"]).filter("node <> first").select("node", "band", "first"), "band-met")
         forget(spark, *gone, at)
     links, at_links = stored(reduce(DataFrame.union, found), "similar-links")
-    across, gone = _across(shared.select("node", "band"), links, sets, least)
-    last = _judged(across, sets, least).filter("alike").select("a", "b")
+    across, gone = _across(shared.select("node", "band"), links, sketched, least)
+    last, at_last = _alike(across, sets, least)
     every, _ = stored(links.union(last), "similar-links")
-    forget(spark, *filter(None, [at_met]), *gone, at_shared, at_sets, at_links)
+    forget(spark, *filter(None, [at_met]), *gone, at_shared, at_sets, at_sketched, at_links, at_last)
     return every

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from millrace.llm import similarity
-from millrace.llm.simhash import shingle_hashes
+from millrace.llm.simhash import fingerprint_table, hash_array, shingle_hashes
 
 
 def jaccard(a, b):
@@ -23,6 +24,13 @@ def roots(nodes, links):
     return {n: top(n) for n in nodes}
 
 
+def linked(named):
+    """Bands by the operator's own pass, then all links."""
+    bands = fingerprint_table(named, "node", "text", 5, True)
+    bands = bands.select(F.col("doc_id").alias("node"), "bands")
+    return [(r.a, r.b) for r in similarity.similar_links(named, bands, 5, 0.8, hash_array).collect()]
+
+
 def texts_that_share(seed):
     """Groups whose members share bands with many that aren't similar, chains of similar texts, and copies of one text."""
     rng = random.Random(seed)
@@ -42,7 +50,7 @@ def test_components_match_all_pairs(spark):
         texts = texts_that_share(seed)
         ids = {t: k for k, t in enumerate(sorted(set(texts)))}
         named = spark.createDataFrame([(ids[t], t) for t in texts], "node long, text string").repartition(4)
-        got = [(r.a, r.b) for r in similarity.similar_links(named, 5, 0.8, shingle_hashes).collect()]
+        got = linked(named)
         sets = {k: set(shingle_hashes(t.encode(), 5)) for t, k in ids.items()}
         want = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= 0.8]
         assert want and all(jaccard(sets[a], sets[b]) >= 0.8 for a, b in got)
@@ -50,7 +58,7 @@ def test_components_match_all_pairs(spark):
 
 
 def test_no_rows(spark):
-    assert similarity.similar_links(spark.createDataFrame([], "node long, text string"), 5, 0.8, shingle_hashes).count() == 0
+    assert linked(spark.createDataFrame([], "node long, text string")) == []
 
 
 def test_sketch_places_follow_similarity():
@@ -69,5 +77,5 @@ def test_members_meet_once_and_repeated_and_null_texts(spark):
     rng = random.Random(5)
     text = " ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(120))
     rows = [(1, text), (1, text), (2, text + " tail"), (3, None), (4, ""), (5, text.replace(" ", "\n"))]
-    got = [(r.a, r.b) for r in similarity.similar_links(spark.createDataFrame(rows, "node long, text string"), 5, 0.8, shingle_hashes).collect()]
+    got = linked(spark.createDataFrame(rows, "node long, text string"))
     assert roots([1, 2, 3, 4, 5], got) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
