@@ -37,13 +37,36 @@ def test_empty_table(spark):
     assert exact_dedup.kept_documents(docs, exact_dedup.fresh_index(spark)).count() == 0
 
 
-def test_first_batch_meets_the_index(spark, monkeypatch):
+def decided(df):
+    return sorted((r.doc_id, r.keep_id, r.kept) for r in df.collect())
+
+
+def test_query_goes_through_an_index_that_it_drops(spark, monkeypatch):
     reads = []
     read = exact_dedup.DigestIndex.read
     monkeypatch.setattr(exact_dedup.DigestIndex, "read", lambda self: reads.append(self.name) or read(self))
     docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, None)], "doc_id long, text string")
-    assert sorted((r.doc_id, r.keep_id, r.kept) for r in exact_dedup.op3_exact_dedup(spark, docs).collect()) == [(1, 2, False), (2, 2, True), (3, 3, True)]
-    assert len(reads) == 1
-    index = exact_dedup.DigestIndex(spark, reads[0])
-    assert index.exists() and read(index).count() == 2
+    assert decided(exact_dedup.op3_exact_dedup(spark, docs)) == [(1, 2, False), (2, 2, True), (3, 3, True)]
+    assert len(reads) == 2 and not spark.catalog.tableExists(reads[0])
+
+
+def test_index_is_reopened_under_other_settings_and_batches_run_again(spark):
+    index = exact_dedup.fresh_index(spark)
+    batch = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    assert decided(exact_dedup.dedup(batch((1, "a"), (2, "b")), index, batch="one")) == [(1, 1, True), (2, 2, True)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = exact_dedup.DigestIndex(spark, index.name)
+        second = batch((3, "A"), (4, "c"), (5, "c"))
+        want = [(3, 1, False), (4, 5, False), (5, 5, True)]
+        assert decided(exact_dedup.dedup(second, again, batch="two")) == want
+        # As after a failure that came behind the append.
+        assert decided(exact_dedup.dedup(second, again, batch="two")) == want
+        assert again.read().count() == 3 and again.bucket_count() == int(before)
+        other = spark.range(9).select(exact_dedup.F.unhex(exact_dedup.F.sha2(exact_dedup.F.col("id").cast("string"), 256)).alias("digest"))
+        plan = other.hint("merge").join(again.read(), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange") == 1  # the index isn't shuffled
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     index.drop()
