@@ -109,7 +109,7 @@ class Queues:
 class SuffixSorter:
     """Suffixes of texts of integers; the last symbol is 0 and no other is."""
 
-    def __init__(self, cap: int, room: int = 96 << 20, base: int = 4 << 20, chunk: int = 1 << 20):
+    def __init__(self, cap: int, room: int = 96 << 20, base: int = 2 << 20, chunk: int = 1 << 20):
         self.cap, self.room, self.base, self.chunk = cap, room, base, chunk
 
     def array(self, n: int, kind) -> np.ndarray:

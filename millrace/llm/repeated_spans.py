@@ -39,7 +39,7 @@ GRAM = 64
 PLACE_BITS = 28
 OCCURRENCE = "doc_id bigint, tag bigint, anchor bigint, lo int, hi int, context bigint"
 #: Bytes of contexts in a shard, on average; and what a task holds of one before it goes to disk.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SHARD_ROOM = 96 << 20
 
 
