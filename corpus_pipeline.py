@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays; the digests stay in an index of the run."""
-    return exact_dedup.kept_documents(docs, exact_dedup.fresh_index(spark))
+    """Of equal texts the row with the largest id stays, decided through a digest index of the run."""
+    return exact_dedup.kept_documents(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
