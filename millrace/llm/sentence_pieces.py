@@ -3,17 +3,19 @@
 Words (a run of spaces and what follows it, or a line's first word) are encoded together: flat arrays of symbols and word
 numbers, each round finds every word's least pair rank by a segmented minimum, merges its leftmost occurrences at once,
 compacts the arrays and lets go of words without a pair. Merging several occurrences at once is exact where the merged
-piece starts no pair of the same or a better rank; for the few pieces that do, a round merges the leftmost one alone.
+piece starts no pair of the same or a better rank; for the few pieces that do, a round merges the leftmost one alone. Ranks have
+their turn a range at a time; a boundary at which nothing of the range can merge, whatever its neighbours grow into, parts a
+word into stretches that take their rounds at once, so a word of any length, such as a line without spaces, takes few.
 
 Defined results: null counts as empty; an empty text is the end id alone and decodes to the empty text. Characters that
 the vocabulary lacks become byte pieces. U+2581 reads as a space, as in the library. Repeated rows, ties and further
-columns change nothing; no rows give no rows.
+columns, whatever their names, change nothing; no rows give no rows. A very long text is one row of flat arrays, some 100
+bytes a character while its new words are merged.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from functools import lru_cache
 
@@ -29,8 +31,6 @@ SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: A line's first word stands without a space; this byte, which UTF-8 has not, tells it from others.
 BARE = b"\xff"
-#: Longer words go through a heap, whose cost doesn't depend on how many rounds they take.
-LONG_WORD = 256
 
 
 class PieceModel:
@@ -90,6 +90,21 @@ class PieceModel:
             for part in (a, b):
                 if part in self.rank_of and self.rank_of[i] <= self.rank_of[part]:
                     self.eager[part] = True
+        # The best rank of any pair whose parts end in one symbol and begin with another: what can merge where they touch.
+        spelled_as = {v: k for k, v in self.symbol.items()}
+        reach: dict[int, int] = {}
+        for (a, b), i in self.pair.items():
+            one, two, rank = spelled_as[a], spelled_as[b], self.rank_of[i]
+            ends = [self.symbol[one[k:]] for k in range(len(one)) if one[k:] in self.symbol]
+            begins = [self.symbol[two[:k]] for k in range(1, len(two) + 1) if two[:k] in self.symbol]
+            for key in (x * self.symbols + y for x in ends for y in begins):
+                if reach.get(key, rank) >= rank:
+                    reach[key] = rank
+        keys = np.array(list(reach), np.int64)
+        order = np.argsort(keys)
+        self.reach_keys, self.reach = keys[order], np.array(list(reach.values()), np.int32)[order]
+        #: Ranks are merged up to each of these bounds in turn.
+        self.turns = [*(b for b in (100, 400, 1600, 6400) if b < len(scores)), len(scores)]
         known = sorted(c for c in self.symbol if len(c) == 1)
         self.chars = np.array([ord(c) for c in known], np.uint32)
         self.char_symbol = np.array([self.symbol[c] for c in known], np.int32)
@@ -100,6 +115,12 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank[at], NONE), at
 
+    def reach_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The best rank of what can ever merge across each boundary, NONE where nothing can."""
+        key = left.astype(np.int64) * self.symbols + right
+        at = np.minimum(np.searchsorted(self.reach_keys, key), len(self.reach_keys) - 1)
+        return np.where((self.reach_keys[at] == key) & (left >= 0) & (right >= 0), self.reach[at], NONE)
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row and how many each has; words as WordCache holds them."""
         texts = [w[1:].decode() if w[:1] == BARE else w.decode() if w == b"\n" else SPACE + w.decode().replace(" ", SPACE) for w in words]
@@ -110,71 +131,46 @@ class PieceModel:
         sym = np.where(self.chars[at] == code, self.char_symbol[at], -1 - code.astype(np.int64)).astype(np.int32)
         word = np.repeat(np.arange(len(texts)), sizes)
         done_sym, done_word = [], []
-        if (long := sizes > LONG_WORD).any():
-            starts = np.cumsum(sizes) - sizes
-            for w in np.flatnonzero(long):
-                merged = np.array(self._by_heap(sym[starts[w] : starts[w] + sizes[w]].tolist()), np.int32)
-                done_sym.append(merged)
-                done_word.append(np.full(len(merged), w))
-            short = ~long[word]
-            sym, word = sym[short], word[short]
+        turn = 0
         while len(sym):
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            size = np.diff(np.concatenate([first, [len(sym)]]))
+            same = word[1:] == word[:-1]
             rank, at = self.look_up(sym[:-1], sym[1:])
-            rank = np.concatenate([np.where(word[1:] == word[:-1], rank, NONE), [NONE]]).astype(np.int32)
-            least = np.minimum.reduceat(rank, first)
-            live = np.repeat(least != NONE, size)
+            rank = np.append(np.where(same, rank, NONE), NONE).astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            live = np.repeat(np.minimum.reduceat(rank, first) != NONE, np.diff(np.append(first, len(sym))))
             if not live.all():
                 done_sym.append(sym[~live])
                 done_word.append(word[~live])
-            hit = np.flatnonzero((rank == np.repeat(least, size)) & live)
+                sym, word, rank, at = sym[live], word[live], rank[live], at[live[: len(at)]]
+                if not len(sym):
+                    break
+                same = word[1:] == word[:-1]
+            # Stretches between which nothing of these ranks can merge are words of their own.
+            bound = self.turns[turn]
+            rank = np.where(rank > bound, NONE, rank)
+            stretch = np.cumsum(np.concatenate([[True], ~same | (self.reach_of(sym[:-1], sym[1:]) > bound)]))
+            first = np.flatnonzero(np.diff(stretch, prepend=0))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(sym))))
+            hit = np.flatnonzero((rank == least) & (least != NONE))
             if not len(hit):
-                break
+                turn += 1
+                continue
             made = self.made[at[hit]]
-            # Of touching occurrences every second one; of eager pieces the word's first alone.
+            # Of touching occurrences every second one; of eager pieces the stretch's first alone.
             new_run = np.concatenate([[True], hit[1:] != hit[:-1] + 1])
             run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(hit)), 0))
             take = (np.arange(len(hit)) - run_start) % 2 == 0
-            new_word = np.concatenate([[True], word[hit[1:]] != word[hit[:-1]]])
-            leader = np.maximum.accumulate(np.where(new_word, np.arange(len(hit)), 0))
-            take &= new_word | ~self.eager[made[leader]]
-            sym = sym.copy()
+            new_stretch = np.concatenate([[True], stretch[hit[1:]] != stretch[hit[:-1]]])
+            leader = np.maximum.accumulate(np.where(new_stretch, np.arange(len(hit)), 0))
+            take &= new_stretch | ~self.eager[made[leader]]
+            sym, keep = sym.copy(), np.ones(len(sym), bool)
             sym[hit[take]] = made[take]
-            live[hit[take] + 1] = False
-            sym, word = sym[live], word[live]
+            keep[hit[take] + 1] = False
+            sym, word = sym[keep], word[keep]
         sym, word = np.concatenate([np.zeros(0, np.int32), *done_sym]), np.concatenate([np.zeros(0, np.int64), *done_word])
         order = np.argsort(word, kind="stable")
         return self._to_ids(sym[order], word[order], len(texts))
 
-    def _by_heap(self, sym: list[int]) -> list[int]:
-        """One long word: best rank first, leftmost first, by a heap over a linked list."""
-        n = len(sym)
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j >= 0 and (piece := self.pair.get((sym[i], sym[j]))) is not None:
-                heapq.heappush(heap, (self.rank_of[piece], i, sym[i], sym[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        gone = [False] * n
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j < 0 or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], gone[j] = self.pair[a, b], True
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
-        return [x for x, g in zip(sym, gone, strict=True) if not g]
-
     def _to_ids(self, sym: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Symbols without a piece become the ids of their bytes."""
         lacking = np.flatnonzero((sym < 0) | (sym >= len(self.pieces)))

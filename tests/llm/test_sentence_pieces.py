@@ -32,3 +32,22 @@ def test_edges(spark):
     assert sentence_pieces.op7_sentencepiece(spark, spark.createDataFrame([], schema)).count() == 0
     twice = spark.createDataFrame([(None, "a", "x", 1), (1, None, "y", 2), (1, None, "y", 2)], schema)
     assert sorted(r.n_tokens for r in sentence_pieces.op7_sentencepiece(spark, twice).collect()) == [1, 1, 2]
+
+
+def test_long_words_as_the_library():
+    """Lines without spaces, in few rounds whatever their length."""
+    import base64
+
+    import sentencepiece
+
+    path, rng = sentence_pieces.vocabulary(), random.Random(2)
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    words = "the of and ing station entire lead other information general there here with".split()
+    texts = ["".join(rng.choice(words) for _ in range(20_000)), base64.b64encode(rng.randbytes(40_000)).decode(), "".join(rng.choice("acgt") for _ in range(40_000))]
+    texts += ["".join(rng.choice("のにはを日本語人大") for _ in range(40_000)), "the" * 20_000, "".join(rng.choice("0123456789") for _ in range(50_000)), "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(30_000))]
+    texts += ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(1, 300))) for _ in range(400)]
+    ids, counts = sentence_pieces.encode_texts(path, [t.encode() for t in texts])
+    at = 0
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == lib.encode(text, add_eos=True)
+        at += n
