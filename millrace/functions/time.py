@@ -31,10 +31,13 @@ def day_number(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd").cast("int")
 
 
+def day_start(day: int) -> Column:
+    return F.to_timestamp(F.lit(str(day)), "yyyyMMdd")
+
+
 def on_day(ts: Column, day: int) -> Column:
-    """Whether ts lies on the day yyyyMMdd, as a range that scans can use."""
-    start = F.to_timestamp(F.lit(str(day)), "yyyyMMdd")
-    return (ts >= start) & (ts < start + F.expr("interval 1 day"))
+    """Whether ts lies on the day yyyyMMdd; a range, which a scan can use where ts is a stored column and no expression."""
+    return (ts >= day_start(day)) & (ts < day_start(day) + F.expr("interval 1 day"))
 
 
 def age_on(birthday: Column, as_of: Column) -> Column:

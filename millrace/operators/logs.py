@@ -12,17 +12,27 @@ def parse_log(raw: DataFrame, value: str = "value") -> DataFrame:
     return raw.select(F.from_json(value, LOG).alias("r")).select("r.*")
 
 
+#: More than twice the distance of a tie of 64 bits from zero, so packed pairs sort as pairs.
+PACK = 2 * 10**19
+
+
+def packed(ts: str, tie: str) -> Column:
+    """(ts, tie), both whole numbers, as one decimal of fixed width that sorts as they do: least and greatest rows are then
+    found by a hash aggregate, where a struct takes a sort of all rows."""
+    return F.col(ts).cast("decimal(18,0)") * F.lit(str(PACK)).cast("decimal(20,0)") + F.col(tie).cast("decimal(20,0)")
+
+
 def repair_is_new(logs: DataFrame, key: Column | str = "mid", ts: str = "ts", tie: str = "arrival", out: str = "is_new") -> DataFrame:
-    """`out` is '1' for a key's first row by (ts, tie) and '0' for all others.
+    """`out` is '1' for a key's first row by (ts, tie), whole numbers, and '0' for all others.
 
     First rows come from an aggregation that tasks begin before the exchange; the join that follows is on two plain
     exchanges, so a key that holds much of the log can be split over tasks.
     """
     name = F.col(key) if isinstance(key, str) else key
-    keyed = logs.withColumn("__key", name.cast("string"))
-    first = keyed.groupBy("__key").agg(F.min(F.struct(ts, tie)).alias("__first"))
+    keyed = logs.withColumns({"__key": name.cast("string"), "__at": packed(ts, tie)})
+    first = keyed.groupBy("__key").agg(F.min("__at").alias("__first"))
     met = keyed.join(first, "__key", "left")
-    return met.withColumn(out, F.when(F.struct(ts, tie).eqNullSafe(F.col("__first")), "1").otherwise("0")).drop("__key", "__first")
+    return met.withColumn(out, F.when(F.col("__at") == F.col("__first"), "1").otherwise("0")).drop("__key", "__at", "__first")
 
 
 def start_logs(logs: DataFrame) -> DataFrame:

@@ -45,14 +45,16 @@ PRODUCT_METRICS = {
     "display_ct": "bigint", "click_ct": "bigint", "favor_ct": "bigint", "cart_ct": "bigint", "order_sku_num": "bigint", "order_amount": MONEY,
     "payment_amount": MONEY, "refund_amount": MONEY, "comment_ct": "bigint", "good_comment_ct": "bigint",
 }
-ORDER_SETS = {"order_id": "order_ct", "paid_order_id": "paid_order_ct", "refund_order_id": "refund_order_ct"}
+#: Flag of a row's order -> the count of distinct orders that have it.
+ORDER_SETS = {"ordered": "order_ct", "paid": "paid_order_ct", "refunded": "refund_order_ct"}
 
 
 def product_row(df: DataFrame, arrival: str | None = None, **own: Column) -> DataFrame:
-    """A source's rows (et, sku_id) with its own metrics and order ids; other ids are null."""
-    ids = [own.pop(name, F.lit(None)).cast("bigint").alias(name) for name in ORDER_SETS]
+    """Rows (et, sku_id) of one or several sources that are one table, with their metrics, order_id and its flags."""
+    order_id = own.pop("order_id", F.lit(None)).cast("bigint").alias("order_id")
+    flags = [own.pop(name, F.lit(0)).cast("int").alias(name) for name in ORDER_SETS]
     order = [F.col(arrival).alias("arrival")] if arrival else []
-    return metric_row(df, ["et", "sku_id", *order, *ids], PRODUCT_METRICS, **own)
+    return metric_row(df, ["et", "sku_id", *order, order_id, *flags], PRODUCT_METRICS, **own)
 
 
 #: How each source becomes product rows. Sources carry et and sku_id (displays and clicks: item).
@@ -61,28 +63,41 @@ PRODUCT_SOURCES = {
     "click": lambda df, at=None: product_row(df.filter("page_id = 'good_detail' AND item IS NOT NULL").withColumn("sku_id", F.col("item").cast("bigint")), at, click_ct=F.lit(1)),
     "favor": lambda df, at=None: product_row(df, at, favor_ct=F.lit(1)),
     "cart": lambda df, at=None: product_row(df, at, cart_ct=F.lit(1)),
-    "order": lambda df, at=None: product_row(df, at, order_sku_num=F.col("sku_num"), order_amount=F.col("split_total_amount"), order_id=F.col("order_id")),
-    "payment": lambda df, at=None: product_row(df, at, payment_amount=F.col("split_total_amount"), paid_order_id=F.col("order_id")),
-    "refund": lambda df, at=None: product_row(df, at, refund_amount=F.col("refund_amount"), refund_order_id=F.col("order_id")),
+    "order": lambda df, at=None: product_row(df, at, order_sku_num=F.col("sku_num"), order_amount=F.col("split_total_amount"), order_id=F.col("order_id"), ordered=F.lit(1)),
+    "payment": lambda df, at=None: product_row(df, at, payment_amount=F.col("split_total_amount"), order_id=F.col("order_id"), paid=F.lit(1)),
+    "refund": lambda df, at=None: product_row(df, at, refund_amount=F.col("refund_amount"), order_id=F.col("order_id"), refunded=F.lit(1)),
     "comment": lambda df, at=None: product_row(df, at, comment_ct=F.lit(1), good_comment_ct=F.col("appraise").isin(*GOOD_REVIEWS).cast("int")),
 }
 
 
-def product_metrics(sources: dict[str, DataFrame]) -> DataFrame:
-    return union_all([PRODUCT_SOURCES[name](df) for name, df in sources.items()])
+def product_metrics(sources: dict[str, DataFrame], arrival: str | None = None) -> DataFrame:
+    return union_all([PRODUCT_SOURCES[name](df, arrival) for name, df in sources.items()])
 
 
 def product_stats(sources: dict[str, DataFrame], window: str = WINDOW, refund_mode: str = "sum", arrival: str = "arrival") -> DataFrame:
     """Metrics by window and sku; ts is the earliest row's. refund_mode='double_add' counts every refund but the first row's
     twice; it needs the column `arrival` in all sources to say which row is first."""
-    if refund_mode == "double_add":
-        rows = union_all([PRODUCT_SOURCES[n](df, arrival) for n, df in sources.items()])
-        refund = 2 * F.sum("refund_amount") - F.min_by("refund_amount", "arrival")
+    double = refund_mode == "double_add"
+    return product_windows(product_metrics(sources, arrival if double else None), window, double)
+
+
+def product_windows(rows: DataFrame, window: str = WINDOW, double_refunds: bool = False) -> DataFrame:
+    """The statistics of product rows. On batches rows are summed by order first, where each order's flags are counted once:
+    no row is copied for a distinct count, and a product that is in very many orders is spread over tasks."""
+    keyed = rows.withColumn("w", F.window("et", window))
+    at = F.min(F.unix_millis("et")).alias("ts")
+    if rows.isStreaming:
+        counts = [F.size(F.collect_set(F.when(F.col(flag) == 1, F.col("order_id")))).cast("bigint").alias(name) for flag, name in ORDER_SETS.items()]
     else:
-        rows, refund = product_metrics(sources), F.sum("refund_amount")
+        parts = [F.sum(m).alias(m) for m in PRODUCT_METRICS] + [F.max(flag).alias(flag) for flag in ORDER_SETS]
+        first = [F.min_by(F.struct("arrival", "refund_amount"), "arrival").alias("first")] if double_refunds else []
+        keyed, at = keyed.groupBy("w", "sku_id", "order_id").agg(*parts, *first, at), F.min("ts").alias("ts")
+        counts = [F.sum(F.when(F.col("order_id").isNotNull(), F.col(flag)).otherwise(0)).cast("bigint").alias(name) for flag, name in ORDER_SETS.items()]
+    refund = F.sum("refund_amount")
+    if double_refunds:
+        refund = 2 * refund - (F.min_by("refund_amount", "arrival") if rows.isStreaming else F.min_by("first.refund_amount", "first.arrival"))
     sums = [F.sum(m).cast(kind).alias(m) for m, kind in PRODUCT_METRICS.items() if m != "refund_amount"]
-    counts = [distinct_count(rows, c).alias(name) for c, name in ORDER_SETS.items()]
-    out = rows.groupBy(F.window("et", window).alias("w"), "sku_id").agg(*sums, refund.cast(MONEY).alias("refund_amount"), *counts, F.min(F.unix_millis("et")).alias("ts"))
+    out = keyed.groupBy("w", "sku_id").agg(*sums, refund.cast(MONEY).alias("refund_amount"), *counts, at)
     return out.select(*window_text(F.col("w")), "sku_id", *PRODUCT_METRICS, *ORDER_SETS.values(), "ts")
 
 

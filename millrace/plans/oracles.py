@@ -132,3 +132,5 @@ ORACLES = {
     "coalesce_age": "SELECT o_orderkey, CAST(floor(date_diff('day', CAST(o_orderdate AS DATE), DATE '2021-05-28') / 365) AS INTEGER) AS age FROM orders",
     "json_roundtrip": f"WITH {PAGES} SELECT arrival, mid, last_page_id, ts FROM pages",
 }
+
+ORACLES["product_stats_by_topic"] = ORACLES["product_stats"]

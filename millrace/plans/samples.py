@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import DATETIME
 from ..functions.metrics import by_source, metric_row, union_all
 from ..functions.text import tokens
-from ..functions.time import age_on, from_ms, to_ms
+from ..functions.time import age_on, day_start, from_ms, on_day, to_ms
 from ..operators import binlog, logs, orders, stats, visits
 from ..operators.dims import DimSpec, join_dims
 from ..sources.sinks import latest
@@ -71,8 +71,15 @@ class Samples:
 
     @property
     def details(self) -> DataFrame:
-        at = F.col("l_shipdate").cast("timestamp")
-        return self.table("lineitem").select(
+        return self.details_on(None)
+
+    def details_on(self, day: int | None) -> DataFrame:
+        """Order lines, of one day or all; the day is a range of the stored column, which the scan gets."""
+        at, items = F.col("l_shipdate").cast("timestamp"), self.table("lineitem")
+        if day:
+            start = F.to_timestamp_ntz(F.lit(str(day)), F.lit("yyyyMMdd"))
+            items = items.filter((F.col("l_shipdate") >= start) & (F.col("l_shipdate") < start + F.expr("interval 1 day")))
+        return items.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"), F.col("l_extendedprice").cast(MONEY).alias("order_price"),
             F.col("l_quantity").cast("bigint").alias("sku_num"), F.col("l_returnflag").alias("sku_name"), F.date_format(at, DATETIME).alias("create_time"), F.col("l_extendedprice").cast(MONEY).alias("split_total_amount"),
             *(F.lit(None).cast(MONEY).alias(n) for n in ("split_activity_amount", "split_coupon_amount")), F.col("l_suppkey").alias("suppkey"), F.col("l_linestatus").alias("status"), at.alias("et"),
@@ -113,15 +120,32 @@ class Samples:
         }
 
     @property
-    def products(self) -> DataFrame:
-        """Product statistics by day with names."""
-        out = stats.product_stats({k: v for k, v in self.product_sources.items() if k in ("order", "payment", "refund")}, "1 day")
-        return join_dims(out, self.dims[2:])
-
-    @property
-    def visitor_table(self) -> DataFrame:
-        p = logs.repair_is_new(self.pages)
-        return stats.visitor_stats(p, visits.unique_visitors(p), visits.bounces(p, within_ms=6 * HOUR_MS), "1 hour")
+    def product_rows(self) -> DataFrame:
+        """The product sources that are one table in one pass: order lines, and events."""
+        order, event = F.col("order_id"), F.col("page_id")
+        paid, back, seen = F.col("status") == "F", F.col("sku_name") == "R", F.col("sku_name").isin("A", "N")
+        none = F.lit(0).cast(MONEY)
+        items = stats.product_row(
+            self.details, order_id=order, ordered=F.lit(1), paid=paid, refunded=back, order_sku_num=F.col("sku_num"), order_amount=F.col("split_total_amount"), comment_ct=F.lit(1), good_comment_ct=seen,
+            payment_amount=F.when(paid, F.col("split_total_amount")).otherwise(none), refund_amount=F.when(back, F.col("split_total_amount")).otherwise(none),
+        )
+        kinds = {"display_ct": "view", "click_ct": "click", "favor_ct": "signup", "cart_ct": "purchase"}
+        events = self.pages.filter(event.isin(*kinds.values()) & F.col("ar").isNotNull()).withColumn("sku_id", F.col("ar").cast("bigint"))
+        return items.unionByName(stats.product_row(events, **{m: event == k for m, k in kinds.items()}))
+
+    def products(self, day: int) -> DataFrame:
+        """A day's orders by product, with names; only what orders fill is asked for, so no other source is read."""
+        return join_dims(stats.product_stats({"order": self.details_on(day)}, "1 day"), self.dims[2:])
+
+    def visitor_table(self, day: int | None = None) -> DataFrame:
+        """Visitor statistics by hour, of one day or all. Bounces of a day also see what follows it within their time."""
+        within = 6 * HOUR_MS
+        p = seen = logs.repair_is_new(self.pages)
+        if day:
+            p = seen.filter(on_day(F.col("et"), day))
+            seen = seen.filter((F.col("et") >= day_start(day)) & (F.col("et") < day_start(day) + F.expr(f"interval {24 * HOUR_MS + within} milliseconds")))
+        bounced = visits.bounces(seen, within_ms=within)
+        return stats.visitor_stats(p, visits.unique_visitors(p), bounced.filter(on_day(F.col("et"), day)) if day else bounced, "1 hour")
 
     @property
     def keyword_table(self) -> DataFrame:
@@ -221,7 +245,7 @@ def _keyword_pairs(s: Samples) -> DataFrame:
 
 
 def _product_stats(s: Samples) -> DataFrame:
-    out = stats.product_stats(s.product_sources, "1 day")
+    out = stats.product_windows(s.product_rows, "1 day")
     return out.select("stt", "edt", "sku_id", *stats.PRODUCT_METRICS, *stats.ORDER_SETS.values(), "ts")
 
 
@@ -240,21 +264,22 @@ QUERIES: dict[str, Query] = {
     "route_prune": _of(lambda s: binlog.route(binlog.etl_binlog(s.changes), s.routes).select("sink_type", "sink_table", _map_text(F.col("data")).alias("data"))),
     "order_wide": _of(_order_wide),
     "payment_wide": _of(_payment_wide),
-    "visitor_stats": _of(lambda s: s.visitor_table),
+    "visitor_stats": _of(lambda s: s.visitor_table()),
     "product_stats": _of(_product_stats),
+    "product_stats_by_topic": _of(lambda s: stats.product_stats(s.product_sources, "1 day").select("stt", "edt", "sku_id", *stats.PRODUCT_METRICS, *stats.ORDER_SETS.values(), "ts")),
     "province_stats": _of(lambda s: stats.province_stats(s.order_facts, "1 day").drop("ts", "iso_code", "iso_3166_2")),
     "province_stats_sql": _of(_sql_province),
     "keyword_stats": _of(lambda s: stats.keyword_stats(s.pages.withColumn("page_id", F.when(F.col("page_id") == "view", "good_list")), "1 day")),
     "keyword_documents": _of(lambda s: s.table("documents").select("doc_id", F.size(tokens(F.coalesce("text", F.lit("")))).cast("bigint").alias("words"))),
     "keyword_product": _of(_keyword_pairs),
     "keyword_product_stats": _of(lambda s: s.keyword_products),
-    "gmv": _of(lambda s: serving.gmv(s.products, DAY)),
-    "gmv_by_brand": _of(lambda s: serving.gmv_by_brand(s.products, DAY)),
-    "gmv_by_spu": _of(lambda s: serving.gmv_by_spu(s.products, DAY)),
-    "gmv_by_category": _of(lambda s: serving.gmv_by_category(s.products, DAY)),
+    "gmv": _of(lambda s: serving.gmv(s.products(DAY), DAY)),
+    "gmv_by_brand": _of(lambda s: serving.gmv_by_brand(s.products(DAY), DAY)),
+    "gmv_by_spu": _of(lambda s: serving.gmv_by_spu(s.products(DAY), DAY)),
+    "gmv_by_category": _of(lambda s: serving.gmv_by_category(s.products(DAY), DAY)),
     "province_totals": _of(lambda s: serving.province_totals(stats.province_stats(s.order_facts, "1 day"), DAY)),
-    "visitor_by_hour": _of(lambda s: serving.visitor_by_hour(s.visitor_table, EVENT_DAY)),
-    "visitor_by_is_new": _of(lambda s: serving.visitor_by_is_new(s.visitor_table, EVENT_DAY)),
+    "visitor_by_hour": _of(lambda s: serving.visitor_by_hour(s.visitor_table(EVENT_DAY), EVENT_DAY)),
+    "visitor_by_is_new": _of(lambda s: serving.visitor_by_is_new(s.visitor_table(EVENT_DAY), EVENT_DAY)),
     "keyword_score": _of(lambda s: serving.keyword_score(s.keyword_table, EVENT_DAY)),
     "union_metrics": _of(_union),
     "upsert_latest": _of(_upsert),
