@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,26 +16,60 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def write_topic(df: DataFrame, root: str, name: str) -> None:
-    as_json(df).write.mode("append").text(f"{root}/{name}")
+def write_topic(df: DataFrame, root: str, name: str, batch: int | None = None) -> None:
+    """Rows as JSON lines. With a stream's batch number they have a folder of their own, which the batch, should it run
+    again, replaces; so each row is there once."""
+    _write_lines(as_json(df), root, name, batch)
 
 
-def write_routed(routed: DataFrame, root: str) -> None:
+def _write_lines(values: DataFrame, root: str, name: str, batch: int | None) -> None:
+    if batch is None:
+        values.write.mode("append").text(f"{root}/{name}")
+    else:
+        values.write.mode("overwrite").text(f"{root}/{name}/batch={batch}")
+
+
+def write_routed(routed: DataFrame, root: str, batch: int | None = None) -> None:
     """Rows (sink_table, data) to the topic that each names; a topic's rows may come from several tasks."""
-    routed.select("sink_table", F.to_json("data").alias("value")).write.mode("append").partitionBy("sink_table").text(f"{root}/routed")
+    rows = routed.select("sink_table", F.to_json("data").alias("value"))
+    if batch is None:
+        rows.write.mode("append").partitionBy("sink_table").text(f"{root}/routed")
+    else:
+        _replace(rows.withColumn("batch", F.lit(batch)), "sink_table", "batch").text(f"{root}/routed")
+
+
+def _replace(rows: DataFrame, *by: str) -> DataFrameWriter:
+    """Replaces the partitions that rows fall in, and no other."""
+    return rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
 
 
 def read_routed(spark: SparkSession, root: str, sink_table: str) -> DataFrame:
     return spark.read.text(f"{root}/routed/sink_table={sink_table}").select("value")
 
 
-def write_table(df: DataFrame, root: str, name: str, mode: str = "append", day: str | None = "stt") -> None:
-    """A result table without transient columns, by day where it has a window start, so a day's query reads that day."""
-    kept = df.drop(*(c for c in TRANSIENT if c in df.columns))
+def write_table(df: DataFrame, root: str, name: str, mode: str = "append", day: str | None = "stt", batch: int | None = None) -> None:
+    """A result table without transient columns, by day where it has a window start, so a day's query reads that day. With a
+    stream's batch number (column `batch`) a batch that runs again replaces what it wrote. A stream's windows are written
+    once, when they close, so that no two batches have rows of one key."""
+    kept, by = df.drop(*(c for c in TRANSIENT if c in df.columns)), []
     if day and day in kept.columns:
-        kept.withColumn("dt", F.date_format(F.col(day).cast("timestamp"), "yyyyMMdd").cast("int")).write.mode(mode).partitionBy("dt").parquet(f"{root}/{name}")
+        kept, by = kept.withColumn("dt", F.date_format(F.col(day).cast("timestamp"), "yyyyMMdd").cast("int")), ["dt"]
+    if batch is not None:
+        _replace(kept.withColumn("batch", F.lit(batch)), *by, "batch").parquet(f"{root}/{name}")
     else:
-        kept.write.mode(mode).parquet(f"{root}/{name}")
+        kept.write.mode(mode).partitionBy(*by).parquet(f"{root}/{name}")
+
+
+def insert_select(df: DataFrame, view: str, table: str, query: str) -> None:
+    """INSERT INTO table query, where the query reads df by the name of view."""
+    df.createOrReplaceTempView(view)
+    df.sparkSession.sql(f"INSERT INTO {table} {query}")
+
+
+def print_stream(df: DataFrame, checkpoint: str, rows: int = 20, available_now: bool = False) -> StreamingQuery:
+    """A stream to the console, `rows` of each batch."""
+    writer = df.writeStream.format("console").option("numRows", rows).option("truncate", False).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=CHECKPOINT_TRIGGER)).start()
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -44,37 +78,79 @@ def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 class UpsertTable:
-    """A keyed table in versioned folders: an upsert writes a new version and then the pointer to it, so readers always see
-    a whole version and a failed write leaves the last one. Values are kept as strings where as_text is set."""
+    """A keyed table in buckets. An upsert writes the buckets it touches, anew, as a new version, and then a list of which
+    version holds each bucket; lists are numbered and never overwritten once they are complete, and the highest complete one
+    counts. So readers see a whole version whenever a writer fails, and an upsert costs the buckets it touches. The last two
+    lists stay, with the buckets they name; older ones are deleted. One writer at a time.
+
+    Values are kept as strings where as_text is set. The number of buckets is fixed by the first upsert."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], as_text: bool = False):
-        self.spark, self.path, self.keys, self.as_text = spark, path.rstrip("/"), list(keys), as_text
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], as_text: bool = False, buckets: int = 16):
+        self.spark, self.path, self.keys, self.as_text, self.buckets = spark, path.rstrip("/"), list(keys), as_text, buckets
 
-    def _version(self) -> int | None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
-            return None
-        return self.spark.read.parquet(f"{self.path}/_current").first().version
+    def _at(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def _lists(self) -> list[int]:
+        """The complete lists, the oldest first."""
+        system, where = self._at(f"{self.path}/_versions")
+        if not system.exists(where):
+            return []
+        found = [s.getPath().getName() for s in system.listStatus(where)]
+        return sorted(int(n) for n in found if n.isdigit() and system.exists(self._at(f"{self.path}/_versions/{n}/_SUCCESS")[1]))
+
+    def _holders(self, version: int) -> dict[int, int]:
+        """bucket -> the version that holds it; as many entries as there are buckets."""
+        return {r.bucket: r.version for r in self.spark.read.schema("bucket int, version int").parquet(f"{self.path}/_versions/{version:08d}").collect()}
 
     def exists(self) -> bool:
-        return self._version() is not None
+        return bool(self._lists())
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self._version()}")
+        return self._read(self._holders(self._lists()[-1]))
+
+    def _read(self, holders: dict[int, int]) -> DataFrame:
+        paths = [f"{self.path}/v{v:08d}/__bucket={b}" for b, v in sorted(holders.items())]
+        return self.spark.read.option("mergeSchema", True).parquet(*paths)
 
     def upsert(self, rows: DataFrame, order: str) -> None:
         """Rows of a known key replace the old one, of several the last by `order`; columns new to the table are added."""
+        lists = self._lists()
+        holders = self._holders(lists[-1]) if lists else {}
+        buckets = len(holders) or self.buckets
         fresh = latest(rows, self.keys, order).drop(order)
         if self.as_text:
             fresh = fresh.select(*(F.col(c).cast("string").alias(c) for c in fresh.columns))
-        version = self._version()
-        if version is not None:
-            old = self.read()
+        bucket = F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in self.keys)), F.lit(buckets)).cast("int")
+        touched = sorted(r[0] for r in fresh.select(bucket).distinct().collect()) if holders else list(range(buckets))
+        if not touched:
+            return
+        held = {b: holders[b] for b in touched if b in holders}
+        if held:
+            old = self._read(held)
             same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in self.keys]
             fresh = old.alias("o").join(fresh.select(*self.keys).alias("n"), on=same, how="left_anti").unionByName(fresh, allowMissingColumns=True)
-        after = (version or 0) + 1
-        fresh.write.mode("overwrite").parquet(f"{self.path}/v{after}")
-        self.spark.createDataFrame([(after,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_current")
+        version = (lists[-1] if lists else 0) + 1
+        at = f"{self.path}/v{version:08d}"
+        fresh.withColumn("__bucket", bucket).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(at)
+        if not holders:
+            for b in touched:  # buckets that are empty at first are there all the same
+                system, where = self._at(f"{at}/__bucket={b}")
+                if not system.exists(where):
+                    fresh.limit(0).coalesce(1).write.parquet(f"{at}/__bucket={b}")
+        after = [(b, version if b in touched else holders[b]) for b in range(buckets)]
+        self.spark.createDataFrame(after, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_versions/{version:08d}")
+        self._forget(lists[:-1], after, holders)
+
+    def _forget(self, lists: list[int], *kept) -> None:
+        """Deletes lists, and the buckets that they name and no kept list does."""
+        needed = {(b, v) for k in kept for b, v in (k.items() if isinstance(k, dict) else k)}
+        for old in lists:
+            gone = [f"v{v:08d}/__bucket={b}" for b, v in self._holders(old).items() if (b, v) not in needed]
+            for path in [*gone, f"_versions/{old:08d}"]:
+                system, where = self._at(f"{self.path}/{path}")
+                system.delete(where, True)
 
 
 def run_stream(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", available_now: bool = False) -> StreamingQuery:

@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 def read_topic(spark: SparkSession, root: str, name: str, streaming: bool = False, max_files: int = 64) -> DataFrame:
     """(value) of a topic."""
     if streaming:
-        return spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(f"{root}/{name}")
-    return spark.read.text(f"{root}/{name}")
+        return spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(f"{root}/{name}").select("value")
+    return spark.read.text(f"{root}/{name}").select("value")
 
 
 def read_topics(spark: SparkSession, root: str, names: Iterable[str], streaming: bool = False) -> dict[str, DataFrame]:

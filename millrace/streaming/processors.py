@@ -1,5 +1,7 @@
 """Stateful processors for what has no declarative form on a stream: new-visitor repair, unique visitors, bounces.
 
+A null arrival counts the visitor's rows as they come.
+
 Rows wait in state until event time passes them, and are then taken in order of (ts, arrival), so results don't depend on
 the order of arrival. State needs the RocksDB provider: see `configure`."""
 
@@ -24,6 +26,9 @@ ROW = T.StructType([T.StructField("ts", T.LongType()), T.StructField("arrival",
 FLAG = T.StructType([T.StructField("value", T.LongType())])
 
 
+COLUMNS = ["ts", "arrival", "body", "flag"]
+
+
 class _Waiting(StatefulProcessor):
     """Keeps rows until the watermark has passed `hold(row)`, then hands them on in order."""
 
@@ -31,6 +36,8 @@ class _Waiting(StatefulProcessor):
         self.handle = handle
         self.rows = handle.getListState("rows", ROW)
         self.mark = handle.getValueState("mark", FLAG)
+        self.met = handle.getValueState("met", FLAG)
+        self.done = handle.getValueState("done", FLAG)
 
     def due(self, ts: int) -> int:
         """When a row can be decided."""
@@ -40,26 +47,29 @@ class _Waiting(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n = self.met.get()[0] if self.met.exists() else 0
         for frame in rows:
             for ts, arrival, entry, body in zip(frame["ts"], frame["arrival"], frame["entry"], frame["body"], strict=True):
-                self.rows.appendValue((int(ts), int(arrival), bool(entry), body))
+                n += 1
+                self.rows.appendValue((int(ts), n if pd.isna(arrival) else int(arrival), bool(entry), body))
                 self.handle.registerTimer(self.due(int(ts)))
-        yield pd.DataFrame(columns=["ts", "arrival", "body", "flag"])
+        self.met.update((n,))
+        yield pd.DataFrame(columns=COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        held = sorted((tuple(r) for r in self.rows.get()), key=lambda r: (r[0], r[1])) if self.rows.exists() else []
-        ready = [r for r in held if self.due(r[0]) <= until]
-        rest = held[len(ready) :]
-        if ready:
-            kept, out = self.decide(ready, rest)
-            if kept:
-                self.rows.put(kept)
-            else:
-                self.rows.clear()
-            yield pd.DataFrame(out, columns=["ts", "arrival", "body", "flag"]) if out else pd.DataFrame(columns=["ts", "arrival", "body", "flag"])
-        else:
-            yield pd.DataFrame(columns=["ts", "arrival", "body", "flag"])
+        """The first timer of a batch decides all that the watermark has passed; the others find it done."""
+        out, until = [], timerValues.getCurrentWatermarkInMs()
+        if not self.done.exists() or self.done.get()[0] < expiredTimerInfo.getExpiryTimeInMs():
+            self.done.update((until,))
+            held = sorted((tuple(r) for r in self.rows.get()), key=lambda r: (r[0], r[1])) if self.rows.exists() else []
+            ready = [r for r in held if self.due(r[0]) <= until]
+            if ready:
+                kept, out = self.decide(ready, held[len(ready) :])
+                if kept:
+                    self.rows.put(kept)
+                else:
+                    self.rows.clear()
+        yield pd.DataFrame(out, columns=COLUMNS) if out else pd.DataFrame(columns=COLUMNS)
 
     def close(self) -> None:
         pass
@@ -101,6 +111,7 @@ class BounceProcessor(_Waiting):
     """Entries that are followed by an entry, or by nothing within the time."""
 
     within_ms = BOUNCE_WITHIN_MS["v2"]
+    entries_end = True
 
     def due(self, ts: int) -> int:
         return ts + self.within_ms
@@ -109,11 +120,18 @@ class BounceProcessor(_Waiting):
         out, line = [], ready + rest
         for k, (ts, arrival, entry, body) in enumerate(ready):
             after = line[k + 1] if k + 1 < len(line) else None
-            if entry and (after is None or after[0] - ts >= self.within_ms or after[2]):
+            if entry and (after is None or after[0] - ts >= self.within_ms or self.entries_end and after[2]):
                 out.append((ts, arrival, body, "1"))
         return rest, out
 
 
+class LateBounceProcessor(BounceProcessor):
+    """Entries that are followed by nothing within the time (v1)."""
+
+    within_ms = BOUNCE_WITHIN_MS["v1"]
+    entries_end = False
+
+
 OUT = "ts bigint, arrival bigint, body string, flag string"
 
 
