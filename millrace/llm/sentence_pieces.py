@@ -31,6 +31,8 @@ SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: A line's first word stands without a space; this byte, which UTF-8 has not, tells it from others.
 BARE = b"\xff"
+#: Longer words are merged in stretches.
+STRETCHED = 64
 
 
 class PieceModel:
@@ -130,8 +132,17 @@ class PieceModel:
         # What isn't a symbol carries its code point as a negative number.
         sym = np.where(self.chars[at] == code, self.char_symbol[at], -1 - code.astype(np.int64)).astype(np.int32)
         word = np.repeat(np.arange(len(texts)), sizes)
+        # Stretches pay where words are long; both ways merge the same.
+        long = (sizes > STRETCHED)[word]
+        parts = [self._rounds(sym[~long], word[~long], False), self._rounds(sym[long], word[long], True)]
+        sym, word = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(word, kind="stable")
+        return self._to_ids(sym[order], word[order], len(texts))
+
+    def _rounds(self, sym: np.ndarray, word: np.ndarray, stretched: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Merges all words to the end: symbols and their words, each word's in order."""
         done_sym, done_word = [], []
-        turn = 0
+        turn = 0 if stretched else len(self.turns) - 1
         while len(sym):
             same = word[1:] == word[:-1]
             rank, at = self.look_up(sym[:-1], sym[1:])
@@ -146,14 +157,16 @@ class PieceModel:
                     break
                 same = word[1:] == word[:-1]
             # Stretches between which nothing of these ranks can merge are words of their own.
-            bound = self.turns[turn]
-            rank = np.where(rank > bound, NONE, rank)
-            stretch = np.cumsum(np.concatenate([[True], ~same | (self.reach_of(sym[:-1], sym[1:]) > bound)]))
+            bound, apart = self.turns[turn], ~same
+            if stretched:
+                rank = np.where(rank > bound, NONE, rank)
+                apart |= self.reach_of(sym[:-1], sym[1:]) > bound
+            stretch = np.cumsum(np.concatenate([[True], apart]))
             first = np.flatnonzero(np.diff(stretch, prepend=0))
             least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(sym))))
             hit = np.flatnonzero((rank == least) & (least != NONE))
             if not len(hit):
-                turn += 1
+                turn += 1  # never past the last, under which a word that is left has a pair
                 continue
             made = self.made[at[hit]]
             # Of touching occurrences every second one; of eager pieces the stretch's first alone.
@@ -167,9 +180,7 @@ class PieceModel:
             sym[hit[take]] = made[take]
             keep[hit[take] + 1] = False
             sym, word = sym[keep], word[keep]
-        sym, word = np.concatenate([np.zeros(0, np.int32), *done_sym]), np.concatenate([np.zeros(0, np.int64), *done_word])
-        order = np.argsort(word, kind="stable")
-        return self._to_ids(sym[order], word[order], len(texts))
+        return np.concatenate([np.zeros(0, np.int32), *done_sym]), np.concatenate([np.zeros(0, np.int64), *done_word])
 
     def _to_ids(self, sym: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Symbols without a piece become the ids of their bytes."""
