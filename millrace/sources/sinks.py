@@ -19,10 +19,11 @@ def as_json(df: DataFrame) -> DataFrame:
 def write_topic(df: DataFrame, root: str, name: str, batch: int | None = None) -> None:
     """Rows as JSON lines. With a stream's batch number they have a folder of their own, which the batch, should it run
     again, replaces; so each row is there once."""
-    _write_lines(as_json(df), root, name, batch)
+    write_lines(as_json(df), root, name, batch)
 
 
-def _write_lines(values: DataFrame, root: str, name: str, batch: int | None) -> None:
+def write_lines(values: DataFrame, root: str, name: str, batch: int | None) -> None:
+    """Rows (value) to a topic."""
     if batch is None:
         values.write.mode("append").text(f"{root}/{name}")
     else:
@@ -100,8 +101,8 @@ class UpsertTable:
         found = [s.getPath().getName() for s in system.listStatus(where)]
         return sorted(int(n) for n in found if n.isdigit() and system.exists(self._at(f"{self.path}/_versions/{n}/_SUCCESS")[1]))
 
-    def _holders(self, version: int) -> dict[int, int]:
-        """bucket -> the version that holds it; as many entries as there are buckets."""
+    def _holders(self, version: int) -> dict[int, int | None]:
+        """bucket -> the version that holds it, None where it is empty; as many entries as there are buckets."""
         return {r.bucket: r.version for r in self.spark.read.schema("bucket int, version int").parquet(f"{self.path}/_versions/{version:08d}").collect()}
 
     def exists(self) -> bool:
@@ -110,8 +111,8 @@ class UpsertTable:
     def read(self) -> DataFrame:
         return self._read(self._holders(self._lists()[-1]))
 
-    def _read(self, holders: dict[int, int]) -> DataFrame:
-        paths = [f"{self.path}/v{v:08d}/__bucket={b}" for b, v in sorted(holders.items())]
+    def _read(self, holders: dict[int, int | None]) -> DataFrame:
+        paths = [f"{self.path}/v{v:08d}/__bucket={b}" for b, v in sorted(holders.items()) if v]
         return self.spark.read.option("mergeSchema", True).parquet(*paths)
 
     def upsert(self, rows: DataFrame, order: str) -> None:
@@ -123,10 +124,10 @@ class UpsertTable:
         if self.as_text:
             fresh = fresh.select(*(F.col(c).cast("string").alias(c) for c in fresh.columns))
         bucket = F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in self.keys)), F.lit(buckets)).cast("int")
-        touched = sorted(r[0] for r in fresh.select(bucket).distinct().collect()) if holders else list(range(buckets))
+        touched = {r[0] for r in fresh.select(bucket).distinct().collect()}  # as many as there are buckets
         if not touched:
             return
-        held = {b: holders[b] for b in touched if b in holders}
+        held = {b: holders[b] for b in touched if holders.get(b)}
         if held:
             old = self._read(held)
             same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in self.keys]
@@ -134,12 +135,7 @@ class UpsertTable:
         version = (lists[-1] if lists else 0) + 1
         at = f"{self.path}/v{version:08d}"
         fresh.withColumn("__bucket", bucket).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(at)
-        if not holders:
-            for b in touched:  # buckets that are empty at first are there all the same
-                system, where = self._at(f"{at}/__bucket={b}")
-                if not system.exists(where):
-                    fresh.limit(0).coalesce(1).write.parquet(f"{at}/__bucket={b}")
-        after = [(b, version if b in touched else holders[b]) for b in range(buckets)]
+        after = [(b, version if b in touched else holders.get(b)) for b in range(buckets)]
         self.spark.createDataFrame(after, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_versions/{version:08d}")
         self._forget(lists[:-1], after, holders)
 
@@ -147,7 +143,7 @@ class UpsertTable:
         """Deletes lists, and the buckets that they name and no kept list does."""
         needed = {(b, v) for k in kept for b, v in (k.items() if isinstance(k, dict) else k)}
         for old in lists:
-            gone = [f"v{v:08d}/__bucket={b}" for b, v in self._holders(old).items() if (b, v) not in needed]
+            gone = [f"v{v:08d}/__bucket={b}" for b, v in self._holders(old).items() if v and (b, v) not in needed]
             for path in [*gone, f"_versions/{old:08d}"]:
                 system, where = self._at(f"{self.path}/{path}")
                 system.delete(where, True)

@@ -9,10 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DELAYS, RESULTS, TOPICS, WINDOW_MS
 from ..functions.time import event_time, to_ms
-from ..operators import binlog, logs, orders, stats
-from ..schemas import ORDER_DETAIL, ORDER_INFO
-from ..sources.sinks import UpsertTable, as_json, run_stream, write_routed, write_table
+from ..operators import binlog, logs, orders, stats, visits
+from ..operators.dims import DimSpec, join_dims
+from ..schemas import CART_INFO, COMMENT_INFO, FAVOR_INFO, LOG, ORDER_DETAIL, ORDER_INFO, PAYMENT_INFO, REFUND_INFO
+from ..sources.sinks import UpsertTable, as_json, run_stream, write_lines, write_routed, write_table, write_topic
 from ..sources.topics import read_topic
+from .processors import BounceProcessor, LateBounceProcessor, UniqueVisitorProcessor, process
 
 
 def typed(topic: DataFrame, schema: str, delay: str = DELAYS["default"]) -> DataFrame:
@@ -76,19 +78,21 @@ def split_logs(spark: SparkSession, root: str, available_now: bool = False) -> S
         parsed = repaired(spark, batch, number, f"{root}/_state/split_logs").persist()
         for name, rows in zip(("start", "page", "display"), logs.split_log(parsed), strict=True):
             out = rows.select(F.to_json("display").alias("value")) if name == "display" else as_json(rows)
-            out.write.mode("overwrite").text(f"{root}/{TOPICS[name]}/batch={number}")
+            write_lines(out, root, TOPICS[name], number)
         parsed.unpersist()
 
     return run_stream(logs.parse_log(read_topic(spark, root, TOPICS["log"], True)), each, f"{root}/_checkpoints/split_logs", available_now=available_now)
 
 
 def route_changes(spark: SparkSession, root: str, routes: str, available_now: bool = False) -> StreamingQuery:
-    """ods_db to fact topics and dimension tables; the configuration at `routes` is read anew for each batch."""
+    """ods_db to fact topics and dimension tables; the configuration at `routes` is read anew for each batch: the routes
+    themselves, or, where the folder has a column op, their changes in order of seq."""
 
     def each(batch: DataFrame, number: int) -> None:
         ordered = binlog.etl_binlog(batch.withColumn("seq", F.monotonically_increasing_id()))
-        routed = binlog.route(ordered, spark.read.parquet(routes), ["seq"]).persist()
-        write_routed(binlog.to_topics(routed), root)
+        known = spark.read.parquet(routes)
+        routed = binlog.route(ordered, binlog.merged_routes(known) if "op" in known.columns else known, ["seq"]).persist()
+        write_routed(binlog.to_topics(routed), root, number)
         # A row a dimension table of the configuration.
         for r in binlog.to_dimensions(routed).groupBy("sink_table").agg(F.max("sink_pk").alias("pk"), F.array_distinct(F.flatten(F.collect_set(F.map_keys("data")))).alias("names")).collect():
             rows = binlog.to_dimensions(routed).filter(F.col("sink_table") == r.sink_table)
@@ -110,11 +114,138 @@ def keep_province_stats(spark: SparkSession, root: str, provinces: DataFrame, wi
     """Order stream to the province table. Windows are written once, when they close."""
     wide = wide_orders(spark, root).join(provinces, "province_id", "left")
     out = stats.province_stats(wide, window)
-    return run_stream(out, lambda batch, number: write_table(batch, root, RESULTS["province"]), f"{root}/_checkpoints/province", available_now=available_now)
+    return run_stream(out, lambda batch, number: write_table(batch, root, RESULTS["province"], batch=number), f"{root}/_checkpoints/province", available_now=available_now)
 
 
 def keep_keyword_stats(spark: SparkSession, root: str, window: str = "5 seconds", available_now: bool = False) -> StreamingQuery:
     """Search words of the page topic to the keyword table."""
     p = logs.parse_log(read_topic(spark, root, TOPICS["page"], True))
     rows = p.select(F.col("page")["item"].alias("item"), F.col("page")["page_id"].alias("page_id"), event_time(F.col("ts"), seconds=True).alias("et")).withWatermark("et", DELAYS["keyword"])
-    return run_stream(stats.keyword_stats(rows, window), lambda batch, number: write_table(batch, root, RESULTS["keyword"]), f"{root}/_checkpoints/keyword", available_now=available_now)
+    return run_stream(stats.keyword_stats(rows, window), lambda batch, number: write_table(batch, root, RESULTS["keyword"], batch=number), f"{root}/_checkpoints/keyword", available_now=available_now)
+
+
+def _to_topic(values: DataFrame, root: str, name: str, available_now: bool) -> StreamingQuery:
+    """A stream of (value) to a topic, each batch in a folder that it replaces if it runs again."""
+    return run_stream(values, lambda batch, number: write_lines(batch.select("value"), root, name, number), f"{root}/_checkpoints/{name}", available_now=available_now)
+
+
+def visited(spark: SparkSession, root: str) -> DataFrame:
+    """The page topic as processors take it: (mid, ts, arrival, entry, body)."""
+    page = read_topic(spark, root, TOPICS["page"], True).select("value", F.from_json("value", LOG).alias("r"))
+    entry = visits.is_entry(F.col("r.page")["last_page_id"])
+    rows = page.select(F.col("r.common")["mid"].alias("mid"), F.col("r.ts").alias("ts"), F.lit(None).cast("bigint").alias("arrival"), entry.alias("entry"), F.col("value").alias("body"))
+    return rows.filter("mid IS NOT NULL AND ts IS NOT NULL")
+
+
+def keep_unique_visitors(spark: SparkSession, root: str, available_now: bool = False) -> StreamingQuery:
+    """A visitor's first page of a day to its topic, whole."""
+    found = process(visited(spark, root), UniqueVisitorProcessor(), DELAYS["default"])
+    return _to_topic(found.select(F.col("body").alias("value")), root, TOPICS["unique_visitor"], available_now)
+
+
+def keep_bounces(spark: SparkSession, root: str, variant: str = "v2", available_now: bool = False) -> StreamingQuery:
+    """Entries that no page follows to their topic, whole."""
+    found = process(visited(spark, root), {"v2": BounceProcessor, "v1": LateBounceProcessor}[variant](), DELAYS["bounce"])
+    return _to_topic(found.select(F.col("body").alias("value")), root, TOPICS["bounce"], available_now)
+
+
+#: Dimension tables by what they hold, with the columns that are read of them.
+DIMENSIONS = {
+    "user": ("dim_user_info", "id birthday gender"), "province": ("dim_base_province", "id name area_code iso_code iso_3166_2"), "sku": ("dim_sku_info", "id sku_name spu_id tm_id category3_id price"),
+    "spu": ("dim_spu_info", "id spu_name"), "brand": ("dim_base_trademark", "id tm_name"), "category": ("dim_base_category3", "id name"),
+}
+
+
+def dimension(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A dimension as it is now; empty where nothing was written yet, null in columns that no row has had."""
+    table, columns = DIMENSIONS[name]
+    held = UpsertTable(spark, f"{root}/dims/{table}", ["id"], as_text=True)
+    if not held.exists():
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns.split()))
+    rows = held.read()
+    return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns.split()))
+
+
+def keep_order_wide(spark: SparkSession, root: str, as_of: str | None = None, available_now: bool = False) -> StreamingQuery:
+    """Orders with their details and the six look-ups, which are read anew for each batch, to their topic."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        day = F.lit(as_of).cast("date") if as_of else F.current_date()
+        specs = orders.order_dims(*(dimension(spark, root, n) for n in ("user", "province", "sku", "spu", "brand", "category")), day)
+        write_topic(join_dims(batch, specs).drop("et"), root, TOPICS["order_wide"], number)
+
+    return run_stream(wide_orders(spark, root), each, f"{root}/_checkpoints/order_wide", available_now=available_now)
+
+
+WIDE = f"detail_id bigint, {ORDER_DETAIL.replace('id bigint, order_id', 'order_id', 1)}, province_id bigint, user_id bigint, total_amount decimal(20,2), order_status string, spu_name string, tm_name string, category3_name string"
+
+
+def keep_payment_wide(spark: SparkSession, root: str, available_now: bool = False) -> StreamingQuery:
+    """Payments with their wide orders to their topic."""
+    paid = typed(read_topic(spark, root, TOPICS["payment_info"], True), PAYMENT_INFO)
+    wide = typed(read_topic(spark, root, TOPICS["order_wide"], True), WIDE)
+    out = orders.payment_wide(paid, wide.drop("create_date", "create_hour", "create_ts")).drop("et")
+    return _to_topic(as_json(out), root, TOPICS["payment_wide"], available_now)
+
+
+def _page_metrics(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A topic of page documents with the columns that visitor statistics read."""
+    page = logs.parse_log(read_topic(spark, root, TOPICS[name], True))
+    common = [F.col("common")[c].alias(c) for c in stats.VISITOR_DIMS]
+    rows = page.select(event_time(F.col("ts")).alias("et"), *common, F.col("page")["during_time"].cast("bigint").alias("during_time"), F.col("page")["last_page_id"].alias("last_page_id"))
+    return rows.withWatermark("et", DELAYS["visitor"])
+
+
+def keep_visitor_stats(spark: SparkSession, root: str, window: str = "5 seconds", available_now: bool = False) -> StreamingQuery:
+    """Pages, unique visitors and bounces to the visitor table."""
+    out = stats.visitor_stats(*(_page_metrics(spark, root, n) for n in ("page", "unique_visitor", "bounce")), window)
+    return run_stream(out, lambda batch, number: write_table(batch, root, RESULTS["visitor"], batch=number), f"{root}/_checkpoints/visitor", available_now=available_now)
+
+
+def product_dims(spark: SparkSession, root: str) -> list[DimSpec]:
+    """A product's look-ups, with its price; the last three by keys that the sku gives."""
+    number = lambda c: F.col(c).cast("bigint")
+    return [
+        DimSpec(dimension(spark, root, "sku"), "sku_id", {"sku_name": "sku_name", "sku_price": F.col("price").cast(stats.MONEY), "spu_id": number("spu_id"), "tm_id": number("tm_id"), "category3_id": number("category3_id")}),
+        DimSpec(dimension(spark, root, "spu"), "spu_id", {"spu_name": "spu_name"}),
+        DimSpec(dimension(spark, root, "brand"), "tm_id", {"tm_name": "tm_name"}),
+        DimSpec(dimension(spark, root, "category"), "category3_id", {"category3_name": "name"}),
+    ]
+
+
+def _product_sources(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    def topic(name: str, schema: str, time: str = "create_time") -> DataFrame:
+        rows = read_topic(spark, root, TOPICS[name], True).select(F.from_json("value", schema).alias("r")).select("r.*")
+        at = F.col("ts") if time == "ts" else to_ms(F.col(time))
+        return rows.withColumn("et", event_time(at)).withWatermark("et", DELAYS["default"])
+
+    page = topic("page", LOG, "ts").select("et", F.col("page")["page_id"].alias("page_id"), F.col("page")["item"].alias("item"))
+    return {
+        "display": topic("display", "item string, item_type string, ts bigint", "ts"), "click": page, "favor": topic("favor_info", FAVOR_INFO), "cart": topic("cart_info", CART_INFO),
+        "order": topic("order_wide", WIDE), "payment": topic("payment_wide", f"{WIDE}, payment_create_time string", "payment_create_time"),
+        "refund": topic("refund_info", REFUND_INFO), "comment": topic("comment_info", COMMENT_INFO),
+    }
+
+
+def keep_product_stats(spark: SparkSession, root: str, window: str = "5 seconds", available_now: bool = False) -> StreamingQuery:
+    """The eight product topics, with the product's look-ups, to the product table and its topic."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = join_dims(batch, product_dims(spark, root)).persist()
+        write_table(rows, root, RESULTS["product"], batch=number)
+        write_topic(rows, root, TOPICS["product_stats"], number)
+        rows.unpersist()
+
+    out = stats.product_stats(_product_sources(spark, root), window)
+    return run_stream(out, each, f"{root}/_checkpoints/product", available_now=available_now)
+
+
+def keep_keyword_products(spark: SparkSession, root: str, available_now: bool = False) -> StreamingQuery:
+    """Clicks, orders and cart additions of the product topic by word to the keyword table. Rows of one window and word in
+    one batch are summed; the topic has a window in one batch."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        write_table(stats.keyword_product_stats(batch), root, f"{RESULTS['keyword']}_products", batch=number)
+
+    rows = read_topic(spark, root, TOPICS["product_stats"], True).select(F.from_json("value", "stt string, edt string, spu_name string, click_ct bigint, order_ct bigint, cart_ct bigint").alias("r")).select("r.*")
+    return run_stream(rows, each, f"{root}/_checkpoints/keyword_products", available_now=available_now)

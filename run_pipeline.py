@@ -7,22 +7,41 @@ import argparse
 from pyspark.sql import SparkSession
 
 from millrace.streaming import jobs
+from millrace.streaming.processors import configure
+
+
+JOBS = {
+    "split_logs": lambda s, a: jobs.split_logs(s, a.root, a.once),
+    "route_changes": lambda s, a: jobs.route_changes(s, a.root, a.routes, a.once),
+    "unique_visitors": lambda s, a: jobs.keep_unique_visitors(s, a.root, a.once),
+    "bounces": lambda s, a: jobs.keep_bounces(s, a.root, a.variant, a.once),
+    "order_wide": lambda s, a: jobs.keep_order_wide(s, a.root, None, a.once),
+    "payment_wide": lambda s, a: jobs.keep_payment_wide(s, a.root, a.once),
+    "visitor_stats": lambda s, a: jobs.keep_visitor_stats(s, a.root, a.window, a.once),
+    "product_stats": lambda s, a: jobs.keep_product_stats(s, a.root, a.window, a.once),
+    "province_stats": lambda s, a: jobs.keep_province_stats(s, a.root, provinces(s, a.root), a.window, a.once),
+    "keyword_stats": lambda s, a: jobs.keep_keyword_stats(s, a.root, a.window, a.once),
+    "keyword_products": lambda s, a: jobs.keep_keyword_products(s, a.root, a.once),
+}
+
+
+def provinces(spark: SparkSession, root: str):
+    """The province dimension as it is when the job starts, with the names that statistics use."""
+    return jobs.dimension(spark, root, "province").selectExpr("CAST(id AS bigint) AS province_id", "name AS province_name", "area_code", "iso_code", "iso_3166_2")
 
 
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("job", choices=["split_logs", "route_changes", "keyword_stats"])
+    parser.add_argument("job", choices=sorted(JOBS))
     parser.add_argument("root")
     parser.add_argument("--routes", help="folder of the route configuration")
+    parser.add_argument("--variant", choices=["v1", "v2"], default="v2", help="of bounces")
+    parser.add_argument("--window", default="5 seconds")
     parser.add_argument("--once", action="store_true", help="end when what is there is read")
     given = parser.parse_args()
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    start = {
-        "split_logs": lambda: jobs.split_logs(spark, given.root, given.once),
-        "route_changes": lambda: jobs.route_changes(spark, given.root, given.routes, given.once),
-        "keyword_stats": lambda: jobs.keep_keyword_stats(spark, given.root, available_now=given.once),
-    }
-    start[given.job]().awaitTermination()
+    configure(spark)
+    JOBS[given.job](spark, given).awaitTermination()
 
 
 if __name__ == "__main__":

@@ -91,3 +91,113 @@ def test_split_logs_repairs_new_visitors(spark, tmp_path):
     jobs.split_logs(spark, root, available_now=True).awaitTermination(240)
     want = [(1000, "a", "1"), (2000, "a", "0"), (7000, "b", "1"), (8000, "b", "0"), (11_000, "a", "0"), (29_000, "a", "0")]
     assert got("dwd_page_log") == want and got("dwd_display_log") == want
+
+
+LOG_END = {"common": {"mid": "zz"}, "ts": FAR, "page": {"page_id": "home", "last_page_id": "x"}}
+
+
+def page_log(mid, ts, page, last, **more):
+    return {"common": {"mid": mid, "vc": "v", "ch": "c", "ar": "a", "is_new": "1"}, "ts": ts, "page": {"page_id": page, **({"last_page_id": last} if last else {}), **more}}
+
+
+#: Two golden cases: rows, and what bounces in v1 and v2.
+BOUNCES = [
+    ([("101", 10000, "home", None), ("101", 20000, "other", None), ("102", 10000, "home", None), ("102", 39999, "good_list", "home"), ("102", 50000, "good_list", "detail")], {("101", 20000), ("102", 10000)}, {("101", 10000), ("101", 20000), ("102", 10000)}),
+    ([("101", 10000, "home", None), ("101", 10000, "good_list", "home"), ("102", 10000, "home", None), ("102", 39999, "good_list", "home"), ("102", 50000, "good_list", "detail")], {("102", 10000)}, {("102", 10000)}),
+]
+
+
+def topic_rows(spark, root, name, schema):
+    return topics.read_topic(spark, root, name).select(F.from_json("value", schema).alias("r")).select("r.*").collect()
+
+
+@pytest.mark.parametrize("case", [0, 1])
+@pytest.mark.parametrize("variant", ["v1", "v2"])
+def test_golden_bounces_through_the_job(spark, tmp_path, case, variant):
+    processors.configure(spark)
+    root, (rows, v1, v2) = str(tmp_path), BOUNCES[case]
+    topics.ingest_log(spark, root, [json.dumps(page_log(*r)) for r in rows] + [json.dumps(LOG_END)], "dwd_page_log")
+    jobs.keep_bounces(spark, root, variant, available_now=True).awaitTermination(240)
+    got = {(r.common["mid"], r.ts) for r in topic_rows(spark, root, "dwm_jump_detail", "common map<string,string>, ts long") if r.ts < FAR}
+    assert got == {"v1": v1, "v2": v2}[variant]
+
+
+def test_warehouse_from_end_to_end(spark, tmp_path):
+    """Facts and pages through wide facts to the result tables."""
+    processors.configure(spark)
+    root, t = str(tmp_path), "2021-05-28 10:00:0"
+    from millrace.sources.sinks import UpsertTable
+
+    dims = {"dim_sku_info": [("1", "ring", "11", "21", "31", "9.50")], "dim_spu_info": [("11", "gold ring")], "dim_base_trademark": [("21", "brand")], "dim_base_category3": [("31", "jewels")], "dim_user_info": [("5", "2000-05-28", "F")], "dim_base_province": [("7", "north", "a", "i", "j")]}
+    for name, columns in jobs.DIMENSIONS.values():
+        rows = spark.createDataFrame([(*r, 1) for r in dims[name]], [*columns.split(), "seq"])
+        UpsertTable(spark, f"{root}/dims/{name}", ["id"], as_text=True).upsert(rows, "seq")
+    put = lambda topic, *rows: topics.ingest_log(spark, root, map(json.dumps, rows), topic)
+    late = "2021-05-28 12:00:00"
+    put("dwd_order_info", {"id": 1, "province_id": 7, "user_id": 5, "total_amount": "5.00", "create_time": t + "1"}, {"id": 9, "create_time": late})
+    put("dwd_order_detail", *({"id": k, "order_id": 1, "sku_id": 1, "sku_num": 2, "split_total_amount": "2.50", "create_time": t + "2"} for k in (1, 2)), {"id": 9, "order_id": 8, "create_time": late})
+    jobs.keep_order_wide(spark, root, "2021-05-28", available_now=True).awaitTermination(240)
+    wide = topic_rows(spark, root, "dwm_order_wide", "order_id long, user_age int, user_gender string, province_name string, tm_name string, spu_name string, category3_name string")
+    assert [tuple(r) for r in wide] == [(1, 21, "F", "north", "brand", "gold ring", "jewels")] * 2
+    put("dwm_order_wide/batch=99", {"order_id": 99, "create_time": late})
+    put("dwd_payment_info", {"id": 3, "order_id": 1, "user_id": 5, "total_amount": "5.00", "create_time": t + "3"}, {"id": 4, "order_id": 98, "create_time": late})
+    jobs.keep_payment_wide(spark, root, available_now=True).awaitTermination(240)
+    assert [(r.payment_id, r.order_id) for r in topic_rows(spark, root, "dwm_payment_wide", "payment_id long, order_id long")] == [(3, 1)] * 2
+    second = 1622196000000
+    put("dwd_page_log", page_log("m", second + 1000, "good_detail", None, item="1", during_time="7"), page_log("m", second + 2000, "home", "good_detail", during_time="1"), page_log("zz", second + 7_200_000, "good_detail", "x", item="1"))
+    put("dwm_uv", page_log("m", second + 1000, "good_detail", None), LOG_END | {"ts": second + 7_200_000})
+    put("dwm_jump_detail", page_log("m", second + 1500, "home", None), LOG_END | {"ts": second + 7_200_000})
+    jobs.keep_visitor_stats(spark, root, available_now=True).awaitTermination(240)
+    got = spark.read.parquet(f"{root}/visitor_stats_2021").filter("stt < '2021-05-28 11'").collect()
+    assert [(r.stt, r.uv_ct, r.pv_ct, r.sv_ct, r.uj_ct, r.dur_sum) for r in got] == [("2021-05-28 10:00:00", 1, 2, 1, 1, 8)]
+    put("dwd_display_log", {"item": "1", "item_type": "sku_id", "ts": second + 1000}, {"item": "1", "item_type": "sku_id", "ts": second + 7_200_000})
+    put("dwm_payment_wide/batch=99", {"sku_id": 1, "payment_create_time": late})
+    for name, more in {"dwd_favor_info": {}, "dwd_cart_info": {}, "dwd_order_refund_info": {"order_id": 1, "refund_amount": "1.00"}, "dwd_comment_info": {"appraise": "1204"}}.items():
+        put(name, {"sku_id": 1, "create_time": t + "4", **more}, {"sku_id": 1, "create_time": late, **more})
+    jobs.keep_product_stats(spark, root, available_now=True).awaitTermination(240)
+    r = spark.read.parquet(f"{root}/product_stats_2021").filter("stt < '2021-05-28 11'").collect()
+    assert len(r) == 1 and float(r[0].sku_price) == 9.5 and (r[0].spu_name, r[0].tm_name, r[0].category3_name) == ("gold ring", "brand", "jewels")
+    names = "display_ct click_ct favor_ct cart_ct order_sku_num order_ct paid_order_ct refund_order_ct comment_ct good_comment_ct".split()
+    assert [r[0][c] for c in names] == [1, 1, 1, 1, 4, 1, 1, 1, 1, 1] and float(r[0].order_amount) == 5.0 == float(r[0].payment_amount)
+    jobs.keep_keyword_products(spark, root, available_now=True).awaitTermination(240)
+    words = spark.read.parquet(f"{root}/keyword_stats_2021_products").filter("stt < '2021-05-28 11'").collect()
+    assert sorted((w.keyword, w.source, w.ct) for w in words) == sorted((k, s, 1) for k in ("gold", "ring") for s in ("cart", "click", "order"))
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    from millrace.sources import sinks
+
+    root = str(tmp_path)
+    rows = spark.createDataFrame([("t", {"id": "1"})], "sink_table string, data map<string,string>")
+    table = spark.createDataFrame([("2021-05-28 00:00:00", 1)], "stt string, x int")
+    for batch in (0, 0, 1, 1):
+        sinks.write_routed(rows, root, batch)
+        sinks.write_table(table, root, "t", batch=batch)
+        sinks.write_topic(table, root, "out", batch)
+    assert sinks.read_routed(spark, root, "t").count() == 2 and spark.read.parquet(f"{root}/t").count() == 2 and topics.read_topic(spark, root, "out").count() == 2
+
+
+def test_upserts_survive_writers_that_stop_between_steps(spark, tmp_path):
+    import shutil
+
+    from millrace.sources.sinks import UpsertTable
+
+    path = f"{tmp_path}/dim"
+    row = lambda *ids: spark.createDataFrame([(i, v, 1) for i, v in ids], "id int, v int, seq int")
+    held = lambda: sorted((r.id, r.v) for r in UpsertTable(spark, path, ["id"]).read().collect())
+    table = UpsertTable(spark, path, ["id"], buckets=4)
+    table.upsert(row(*((k, 0) for k in range(20))), "seq")
+    table.upsert(row((1, 5)), "seq")
+    want = sorted([(k, 0) for k in range(20) if k != 1] + [(1, 5)])
+    assert held() == want
+    # Stopped behind the buckets, and again within the list.
+    table.upsert(row((2, 7)), "seq")
+    shutil.rmtree(f"{path}/_versions/00000003")
+    assert held() == want
+    os.makedirs(f"{path}/_versions/00000003")
+    assert held() == want
+    for v in range(4):
+        table.upsert(row((3, v)), "seq")
+    assert held() == sorted([(k, 0) for k in range(20) if k not in (1, 3)] + [(1, 5), (3, 3)])
+    assert len(table._lists()) <= 3
+    assert not list(UpsertTable(spark, f"{tmp_path}/none", ["id"])._lists())
