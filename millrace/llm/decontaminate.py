@@ -9,7 +9,9 @@ benchmarks take a pass a block, with the marks so far stored between passes, so
 
 Defined results: null and wordless documents have no words and are clean; null and wordless items match nothing. An item
 of fewer than 13 words is one window of that length. Items with equal ids count once; a null id is named by the empty
-string. Repeated documents give equal rows. An empty benchmark leaves all documents clean; no documents give no rows.
+string. Repeated documents give equal rows. An empty benchmark leaves all documents clean; no documents give no rows. Ties
+don't arise. Columns added are named by a prefix that no column of the documents begins with, so these may have any name. A
+very long text is hashed in pieces; its word hashes, eight bytes a word, are in a task at once.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import forget, free_prefix, map_arrow, slices, stored, table, utf8_rows
-from .hashing import mix, powers
+from .hashing import mix
 from .wordcache import runs
 
 WINDOW, GRAM = 13, 5
@@ -34,17 +36,42 @@ STEP = 0xD6E8FEB86659FD93
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of all texts in a row, and how many words each text has."""
-    folded = [t.translate(FOLD) for t in texts]
-    flat = np.frombuffer(b" " + b" ".join(folded) + b" ", np.uint8)
-    inside = flat != 32
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    start, end = edge[::2], edge[1::2]
-    up, down = powers(1 << max(20, int(len(flat)).bit_length()))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat.astype(np.uint64) * up[: len(flat)])])
-    hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    text_ends = np.cumsum([len(t) + 1 for t in folded])
-    return hashes, np.diff(np.searchsorted(start, text_ends, "right"), prepend=0)
+    """A 64-bit hash of every word of all texts in a row, and how many words each text has. A word's hash is the sum of what
+    its bytes mix to with their places, so no two words are known to share one."""
+    hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for k, group in _bounded([t.translate(FOLD) for t in texts]):
+        flat = np.frombuffer(b" " + b" ".join(group) + b" ", np.uint8)
+        inside = flat != 32
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        start, end = edge[::2], edge[1::2]
+        at = np.flatnonzero(inside)
+        place = at - np.repeat(start, end - start)
+        ends = np.cumsum(end - start)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix((place.astype(np.uint64) << np.uint64(8)) | flat[at]))])
+        hashes.append(mix(total[ends] - total[ends - (end - start)]))
+        own = np.diff(np.searchsorted(start, np.cumsum([len(t) + 1 for t in group]), "right"), prepend=0)
+        counts[k : k + len(group)] += own
+    return np.concatenate(hashes), counts
+
+
+def _bounded(texts: list[bytes], limit: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+    """Groups of texts of about `limit` bytes with the place of the first; a longer text comes in pieces cut between words."""
+    k = 0
+    while k < len(texts):
+        stop, held = k, 0
+        while stop < len(texts) and (stop == k or held + len(texts[stop]) <= limit):
+            held += len(texts[stop])
+            stop += 1
+        if held <= limit:
+            yield k, texts[k:stop]
+        else:
+            text, at = texts[k], 0
+            while at < len(text):
+                cut = text.find(b" ", at + limit)
+                cut = len(text) if cut < 0 else cut
+                yield k, [text[at:cut]]
+                at = cut
+        k = stop
 
 
 def gram_hashes(words: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:

@@ -12,11 +12,14 @@ that all languages' texts of that length give, so every class has one wherever t
 The model holds every gram counted, so it grows with the number of distinct grams.
 
 Defined results: a text that is null or without a letter is `und`, score 0, rejected. Without any labelled text all are
-`und`. Ties go to the language that sorts first. Repeated rows are predicted alike; no rows give no rows.
+`und`. Ties go to the language that sorts first. Repeated rows are predicted alike; no rows give no rows. Columns added are
+named by a prefix that no column of the documents begins with, so these may have any name. A very long text is scored and
+counted a window of symbols at a time; its symbols, some 30 bytes a character, are in a task at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -74,6 +77,15 @@ def gram_hashes(code: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def windows(code: np.ndarray, limit: int = 1_000_000) -> Iterator[tuple[int, np.ndarray]]:
+    """Windows of the symbols, each with ORDER-1 symbols of the one before as context: where what is new begins, and the
+    window. What is computed for one very long text is so held for a window at a time."""
+    shared = ORDER - 1
+    yield 0, code[: limit + shared]
+    for at in range(limit, len(code) - shared, limit):
+        yield shared, code[at : at + limit + shared]
+
+
 def spread(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -188,11 +200,13 @@ class Scorer:
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nats a symbol under each language, and the number of letters; rows without letters are NaN."""
         code, text_of, letters = symbols(texts)
-        hashes = gram_hashes(code)
-        place = np.flatnonzero(code != PAD)
-        value = self._log_p(ORDER, hashes, place)
-        sums = np.stack([np.bincount(text_of[place], weights=value[:, k], minlength=len(texts)) for k in range(len(self.langs))], axis=1)
-        n = np.bincount(text_of[place], minlength=len(texts))
+        sums, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        for start, part in windows(code):
+            place = start + np.flatnonzero(part[start:] != PAD)
+            value, own = self._log_p(ORDER, gram_hashes(part), place), text_of[: len(part)][place]
+            sums += np.stack([np.bincount(own, weights=value[:, k], minlength=len(texts)) for k in range(len(self.langs))], axis=1)
+            n += np.bincount(own, minlength=len(texts))
+            text_of = text_of[len(part) - (ORDER - 1) :]
         with np.errstate(invalid="ignore", divide="ignore"):
             return np.where(letters[:, None] > 0, -sums / n[:, None], np.nan), letters
 
@@ -269,13 +283,13 @@ def gram_counts(rows: DataFrame) -> DataFrame:
                 langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
                 for lang in sorted(set(langs)):
                     code, _, _ = symbols([t for t, x in zip(texts, langs, strict=True) if x == lang])
-                    h = gram_hashes(code)[-1]
-                    place = np.flatnonzero(code != PAD)
-                    h, first, n = np.unique(h[place], return_index=True, return_counts=True)
-                    ends = place[first]
-                    rows = code[ends[:, None] + np.arange(1 - ORDER, 1)]
-                    held.setdefault(lang, []).append((h, n, rows))
-                    size += len(h)
+                    for start, part_code in windows(code):
+                        h = gram_hashes(part_code)[-1]
+                        place = start + np.flatnonzero(part_code[start:] != PAD)
+                        h, first, n = np.unique(h[place], return_index=True, return_counts=True)
+                        rows = part_code[place[first][:, None] + np.arange(1 - ORDER, 1)]
+                        held.setdefault(lang, []).append((h, n, rows))
+                        size += len(h)
                 if size > 600_000:
                     emit(held)
                     size = sum(len(p[0][0]) for p in held.values())

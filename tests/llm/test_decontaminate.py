@@ -61,3 +61,24 @@ def test_edges(spark):
     assert decontaminate.clean_documents(docs, none).count() == 3
     assert decontaminate.clean_documents(docs, spark.createDataFrame([(None, "A, B")], "item_id long, text string")).count() == 1
     assert decontaminate.clean_documents(docs.limit(0), none).count() == 0
+
+
+def test_words_that_differ_have_other_hashes():
+    """Also where a polynomial modulo a power of two has none: a Thue-Morse word and its complement."""
+    word = b"a"
+    while len(word) < 4096:
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    other = word.translate(bytes.maketrans(b"ab", b"ba"))
+    hashes, counts = decontaminate.word_hashes([word, other, b"ab ba", b"", word + b" " + other])
+    assert counts.tolist() == [1, 1, 2, 0, 2] and len(set(hashes.tolist())) == 4
+    assert hashes[4:].tolist() == hashes[:2].tolist()
+
+
+def test_very_long_texts_in_pieces():
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"abcdef") for _ in range(rng.randint(1, 9))) for _ in range(900_000)]
+    long = b" ".join(words)
+    hashes, counts = decontaminate.word_hashes([b"x y", long, b"z"])
+    assert counts.tolist() == [2, len(words), 1]
+    some = [0, 1, 399_999, 400_000, 899_999]
+    assert [hashes[2 + k] for k in some] == [decontaminate.word_hashes([words[k]])[0][0] for k in some]

@@ -118,3 +118,22 @@ def test_limits_read_all_calibration_texts(spark):
     least = min(li.train(labelled, many).predict(["ЖЩЮ" * 30])[2])
     model = li.train(labelled, many)
     assert model.limits[0, 2] == 1.25 * least  # 40 of 30,040 are more than 0.05 %
+
+
+def test_windows_of_one_very_long_text_are_the_whole():
+    rng = np.random.default_rng(5)
+    words = ["der", "die", "und", "haus", "the", "and", "house", "of"]
+    long = " ".join(words[k] for k in rng.integers(0, 8, 600_000))
+    model = li.LanguageIdentifier({lang: li.fit_language(*grams_of(text), 40) for lang, text in {"de": "der die und haus", "en": "the and house of"}.items()})
+    entropy, letters = model.scorer.cross_entropy([long, "the house"])
+    code, text_of, _ = li.symbols([long])
+    place = np.flatnonzero(code != li.PAD)
+    whole = -model.scorer._log_p(li.ORDER, li.gram_hashes(code), place).sum(axis=0, dtype=np.float64) / len(place)
+    assert len(code) > 2_000_000 and np.allclose(entropy[0], whole, rtol=1e-5)
+
+
+def grams_of(text):
+    code, _, _ = li.symbols([text])
+    place = np.flatnonzero(code != li.PAD)
+    rows, n = np.unique(code[place[:, None] + np.arange(1 - li.ORDER, 1)], axis=0, return_counts=True)
+    return rows, n
