@@ -5,8 +5,9 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans.oracles import ORACLES
-from millrace.plans.samples import QUERIES
+from millrace.plans import oracles, samples, stream_oracles, streams
+
+QUERIES, ORACLES = samples.QUERIES | streams.QUERIES, oracles.ORACLES | stream_oracles.STREAM_ORACLES
 
 ROOT = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
