@@ -69,7 +69,10 @@ def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataF
     at_hand = root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or (context.master.startswith("local[") and os.getcwd() == root)
     if not at_hand and context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
-        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/millrace", "zip", root, "millrace"))
+        # The driver's own copy, which it serves to the workers until it ends.
+        folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, True)
+        context.addPyFile(shutil.make_archive(f"{folder}/millrace", "zip", root, "millrace"))
     return df.mapInArrow(run, schema)
 
 

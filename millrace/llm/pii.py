@@ -10,7 +10,9 @@ where their score reaches `least_score`; a context word within 40 characters of
 score. What the windows hold of neighbouring matches comes from a fixed number of them, as each has two characters or more.
 
 Defined results: null counts as empty, without spans; ends are exclusive, in code points. Spans of different kinds may
-overlap. Repeated rows give equal rows, no rows give none.
+overlap; of spans that start together the kind listed first comes first. Repeated rows give equal rows, no rows give none. Only
+the columns named are read (masked() keeps all others as they are), so they may have any name. A very long text is one value,
+with its pieces between matches beside it. A context word raises a score and never lowers one.
 """
 
 from __future__ import annotations

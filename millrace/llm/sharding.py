@@ -9,7 +9,9 @@ packing gives, runs of ranks and their bins, is applied to the sorted groups whe
 above an even share get a bin of their own, the others share the rest at the least capacity that best-fit-decreasing fills.
 
 Defined results: a null text has the size 1 of an empty one and is grouped with it. Repeated rows stay in one shard and
-take two slots. Slots follow doc_id, nulls first. No rows give no rows.
+take two slots. Slots follow doc_id, nulls first, then the text's crc32. Groups of one size are placed by their digest, so ties
+are settled alike in every run. Only the two columns named are read, so others may have any name. A very long text is measured
+and hashed as one value. No rows give no rows.
 """
 
 from __future__ import annotations

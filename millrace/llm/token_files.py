@@ -6,7 +6,9 @@ and token counts of its documents, the coded bits, and the bit offset of every 2
 itself and its runs decode side by side.
 
 Defined results: null counts as empty; an empty document is the end id alone. Rows with equal ids follow each other in
-any order; null ids come first. Texts are whole: a very long one makes a block of its own. No rows make an empty set.
+any order; null ids come first. Texts are whole: a very long one makes a block of its own, and its ids, four bytes each, are
+in a task at once. Ties of counts in the code go to the smaller id. No rows make an empty set. Only the two columns named are
+read, so others may have any name.
 """
 
 from __future__ import annotations
