@@ -367,9 +367,12 @@ SAMPLE_PAGES, SAMPLE_CHARS = 200, 100_000
 
 
 def sample(pages: DataFrame, id_col: str, html_col: str, most: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
-    """At most `most` pages with an article, those of the least hash of their ids."""
+    """At most `most` pages with an article, those of the least hash. Hashes are asked for first, so that the driver gets
+    few numbers from each task and then no more pages than it keeps."""
     told = pages.filter(F.col(html_col).contains("<article") & (F.char_length(html_col) <= chars))
-    return [r[0] for r in told.orderBy(F.xxhash64(id_col), html_col).select(html_col).limit(most).collect()]
+    told = told.select(F.xxhash64(id_col, html_col).alias("hash"), F.col(html_col).alias("page"))
+    least = told.select("hash").orderBy("hash").limit(most).collect()
+    return [r.page for r in told.filter(F.col("hash") <= least[-1].hash).limit(most).collect()] if least else []
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
