@@ -94,3 +94,25 @@ def test_index_keeps_earlier_batches(spark):
     assert [tuple(r) for r in third.collect()] == [(6, "d", 7, "x")]
     assert exact_dedup.dedup(first.limit(0), index).count() == 0
     index.drop()
+
+
+def whole(spark, folder, documents):
+    documents.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "a benchmark item of few words")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    assert whole(spark, tmp_path, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")) == []
+
+
+def test_run_with_null_ids_repeated_rows_and_clashing_names(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    rows = [(k, text()) for k in range(60)]
+    rows += [(None, text()), (None, text()), (None, None), (7, rows[7][1]), (7, rows[7][1]), (70, rows[8][1].upper()), (71, "long " + text() * 300)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, __tag int, fp string, node string, digest string, kept string"
+    docs = spark.createDataFrame([(i, t, "xx", "s", 1, 2, "f", "n", "d", "k") for i, t in rows], names)
+    got = whole(spark, tmp_path, docs)
+    want = sorted([*range(8), *range(9, 60), 70, 71, -1, -1])
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == want
