@@ -12,7 +12,8 @@ the next seed, name the pieces between seeds; the string of names, a third of th
 each name in two digits so that there are few queues. Up to `base` names are sorted in memory by doubling.
 
 All is exact up to `cap` symbols: suffixes that agree so far may stand in either order, and longer prefixes count as `cap`.
-A text beyond `room` bytes is a mapped file, so a shard may be larger than memory. Files are unnamed, in the folders where
+A text beyond `room` bytes is a mapped file, so a shard may be larger than memory; only the places of its seeds, some three
+bytes a symbol, are held while they are found. Files are unnamed, in the folders where
 Spark spills, private to a task and gone with it: another executor that takes the task over starts anew.
 """
 
