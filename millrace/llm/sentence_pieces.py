@@ -3,8 +3,8 @@
 Words (a run of spaces and what follows it, or a line's first word) are encoded together: flat arrays of symbols and word
 numbers, each round finds every word's least pair rank by a segmented minimum, merges its leftmost occurrences at once,
 compacts the arrays and lets go of words without a pair. Merging several occurrences at once is exact where the merged
-piece starts no pair of the same or a better rank; for the few pieces that do, a round merges the leftmost one alone. Ranks have
-their turn a range at a time; a boundary at which nothing of the range can merge, whatever its neighbours grow into, parts a
+piece starts no pair of the same or a better rank. Pieces that do are eager; several pieces may share a rank, as runs of blanks
+do, so a round merges the occurrences up to the first whose own piece is eager, and leaves what is behind it. Ranks have their turn a range at a time; a boundary at which nothing of the range can merge, whatever its neighbours grow into, parts a
 word into stretches that take their rounds at once, so a word of any length, such as a line without spaces, takes few.
 
 Defined results: null counts as empty; an empty text is the end id alone and decodes to the empty text. Characters that
@@ -33,6 +33,8 @@ NONE = np.int32(2**31 - 1)
 BARE = b"\xff"
 #: Longer words are merged in stretches.
 STRETCHED = 64
+#: The end of a run of one symbol that is merged with what follows it.
+RUN_TAIL = 32
 
 
 class PieceModel:
@@ -169,19 +171,63 @@ class PieceModel:
                 turn += 1  # never past the last, under which a word that is left has a pair
                 continue
             made = self.made[at[hit]]
-            # Of touching occurrences every second one; of eager pieces the stretch's first alone.
+            if stretched and self._settle_runs(sym, first, hit, made, keep := np.ones(len(sym), bool)):
+                sym, word = sym[keep], word[keep]
+                continue
+            # Of touching occurrences every second one; of a stretch those up to its first eager piece, none behind it.
             new_run = np.concatenate([[True], hit[1:] != hit[:-1] + 1])
             run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(hit)), 0))
             take = (np.arange(len(hit)) - run_start) % 2 == 0
             new_stretch = np.concatenate([[True], stretch[hit[1:]] != stretch[hit[:-1]]])
             leader = np.maximum.accumulate(np.where(new_stretch, np.arange(len(hit)), 0))
-            take &= new_stretch | ~self.eager[made[leader]]
+            eager = self.eager[made]
+            before = np.cumsum(eager) - eager
+            take &= before == before[leader]
             sym, keep = sym.copy(), np.ones(len(sym), bool)
             sym[hit[take]] = made[take]
             keep[hit[take] + 1] = False
             sym, word = sym[keep], word[keep]
         return np.concatenate([np.zeros(0, np.int32), *done_sym]), np.concatenate([np.zeros(0, np.int64), *done_word])
 
+    def _settle_runs(self, sym: np.ndarray, first: np.ndarray, hit: np.ndarray, made: np.ndarray, keep: np.ndarray) -> bool:
+        """Merges long runs of one symbol that begin a stretch with an eager hit, all but their last RUN_TAIL symbols, in place;
+        whether there were any. They would take a round a symbol: each merge decides the next one."""
+        starts = np.zeros(len(sym), bool)
+        starts[first] = True
+        lead = np.flatnonzero(starts[hit] & self.eager[made])
+        ends = np.append(first, len(sym))[np.searchsorted(first, hit[lead]) + 1]
+        lead, ends = lead[ends - hit[lead] > 2 * RUN_TAIL], ends[ends - hit[lead] > 2 * RUN_TAIL]
+        found = False
+        for at, piece, end in zip(hit[lead].tolist(), made[lead].tolist(), ends.tolist(), strict=True):
+            other = np.flatnonzero(sym[at:end] != sym[at])
+            n = (int(other[0]) if len(other) else end - at) - RUN_TAIL
+            if n >= RUN_TAIL:
+                out = self._settled(int(sym[at]), n, self.rank_of[piece])
+                sym[at : at + len(out)] = out
+                keep[at + len(out) : at + n] = False
+                found = True
+        return found
+
+    def _settled(self, one: int, n: int, rank: int) -> list[int]:
+        """n times one symbol after all merges of this rank, leftmost first, and of the better ones that they lead to. What is
+        left of the last symbol taken up has no such pair, so a pass from the left finds them in order."""
+        best = lambda a, b: self.rank_of[self.pair[a, b]] if (a, b) in self.pair else rank + 1
+        out: list[int] = []
+        while n or len(out) > 1:
+            behind = best(out[-2], out[-1]) if len(out) > 1 else rank + 1
+            ahead = best(out[-1], one) if out and n else rank + 1
+            if min(behind, ahead) > rank:
+                if not n:
+                    break
+                out.append(one)
+                n -= 1
+            elif behind <= ahead:
+                out[-2:] = [self.pair[out[-2], out[-1]]]
+            else:
+                out[-1] = self.pair[out[-1], one]
+                n -= 1
+        return out
+
     def _to_ids(self, sym: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Symbols without a piece become the ids of their bytes."""
         lacking = np.flatnonzero((sym < 0) | (sym >= len(self.pieces)))

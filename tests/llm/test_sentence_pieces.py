@@ -51,3 +51,30 @@ def test_long_words_as_the_library():
     for text, n in zip(texts, counts.tolist(), strict=True):
         assert ids[at : at + n].tolist() == lib.encode(text, add_eos=True)
         at += n
+
+
+def same_as_library(texts):
+    import sentencepiece
+
+    path = sentence_pieces.vocabulary()
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids, counts = sentence_pieces.encode_texts(path, [t.encode() for t in texts])
+    ends = counts.cumsum().tolist()
+    for text, a, b in zip(texts, [0, *ends], ends, strict=False):
+        assert ids[a:b].tolist() == lib.encode(text, add_eos=True), repr(text)[:200]
+
+
+def test_runs_of_one_character_as_the_library():
+    """Pieces that are runs of one character share a rank where they are blanks."""
+    same_as_library([c * n for c in " \ta-=_.*#0é日▁" for n in range(1, 1001)])
+    same_as_library([" " * 100_003, "x" + " " * 50_000 + "y"])
+    same_as_library([f"{a}{' ' * n}{b}" for a, b in [("x", "y"), ("a\n", "b"), ("x ", "\n"), ("", "if"), ("日", "-")] for n in range(1, 1001)])
+
+
+def test_mixed_texts_as_the_library():
+    rng = random.Random(5)
+    model, _ = sentence_pieces.load(sentence_pieces.vocabulary())
+    spelled = [p.replace("▁", " ") for p in model.pieces[300:]]
+    texts = ["".join(rng.choice(spelled) for _ in range(rng.randint(1, 25))) for _ in range(10_000)]
+    texts += ["".join(rng.choice([" " * rng.randint(1, 70), "\n", "\t" * rng.randint(1, 9), "-" * rng.randint(1, 40), rng.choice(spelled)]) for _ in range(rng.randint(1, 25))) for _ in range(10_000)]
+    same_as_library(texts)
