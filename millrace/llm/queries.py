@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, language_id, pii, repeated_spans, sentence_pieces, sharding, simhash, token_files
+from . import decontaminate, exact_dedup, filter_audit, html_text, language_id, permutation_index, pii, repeated_spans, sentence_pieces, sharding, simhash, token_files
 from .common import table
 
 
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": lambda s, d: language_id.op1_language_id(s, table(s, d, "documents")),
         "op10_html_text": lambda s, d: html_text.op10_html_text(s, table(s, d, "pages")),
+        "op11_nearest_vectors": lambda s, d: permutation_index.op11_nearest_vectors(s, table(s, d, "embeddings")),
+        "op12_filter_audit": filter_audit.op12_filter_audit,
         "op2_token_files": lambda s, d: token_files.op2_token_files(s, table(s, d, "documents")),
         "op3_exact_dedup": lambda s, d: exact_dedup.op3_exact_dedup(s, table(s, d, "documents")),
         "op4_pii": lambda s, d: pii.op4_pii(s, table(s, d, "documents")),
@@ -26,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
