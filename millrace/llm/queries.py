@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, filter_audit, html_text, language_id, permutation_index, pii, repeated_spans, sentence_pieces, sharding, simhash, token_files
+from . import decontaminate, exact_dedup, filter_audit, html_text, language_id, permutation_index, pii, repeated_spans, sentence_pieces, sharding, simhash, spelling_variants, token_files
 from .common import table
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_html_text": lambda s, d: html_text.op10_html_text(s, table(s, d, "pages")),
         "op11_nearest_vectors": lambda s, d: permutation_index.op11_nearest_vectors(s, table(s, d, "embeddings")),
         "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_spelling_variants": lambda s, d: spelling_variants.op13_spelling_variants(s, table(s, d, "documents")),
         "op2_token_files": lambda s, d: token_files.op2_token_files(s, table(s, d, "documents")),
         "op3_exact_dedup": lambda s, d: exact_dedup.op3_exact_dedup(s, table(s, d, "documents")),
         "op4_pii": lambda s, d: pii.op4_pii(s, table(s, d, "documents")),

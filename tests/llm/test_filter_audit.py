@@ -1,15 +1,11 @@
 import math
-import os
 import re
 from itertools import permutations
 
-import duckdb
-import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import filter_audit as fa
 
-ROOT = "/root/testdata/sf0.001"
 DOCS, LABELS = "doc_id long, text string, source string", "doc_id long, quality int, toxic int"
 
 
@@ -80,15 +76,3 @@ def test_walk_by_adjacent_transpositions():
     for (one, _), (two, k) in zip(orders, orders[1:], strict=False):
         swapped = one[:k] + [one[k + 1], one[k]] + one[k + 2 :]
         assert swapped == two
-
-
-@pytest.mark.skipif(not os.path.isdir(ROOT), reason="no sample tables")
-def test_as_sql(spark):
-    con = duckdb.connect()
-    for t in ("documents", "labels"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{ROOT}/{t}.parquet'")
-    want = con.sql(fa.ORACLE)
-    got = fa.op12_filter_audit(spark, ROOT)
-    columns = sorted(got.columns)
-    assert sorted(want.columns) == columns
-    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.select(",".join(columns)).fetchall())
