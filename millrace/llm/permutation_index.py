@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, map_arrow, stored
@@ -184,9 +184,33 @@ def search(index: DataFrame, queries: DataFrame, pivots: np.ndarray, width: int,
     finally:
         spark.conf.set(ARROW_ROWS, before)
     forget(spark, at_asked)
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = near.select("query_id", F.inline("found")).withColumn("rank", F.row_number().over(by))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return map_arrow(near.repartition("query_id").sortWithinPartitions("query_id"), lambda batches: merged(batches, k), "query_id bigint, rank int, vec_id bigint, score double")
+
+
+def merged(batches, k: int):
+    """The k best of each query, whose rows (query_id, found), one a block, follow each other; no more is held than a batch and
+    one query's best."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)]
+
+    def rows(query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
+        first = np.concatenate([[True], query[1:] != query[:-1]]) if len(query) else np.zeros(0, bool)
+        rank = np.arange(len(query)) - np.maximum.accumulate(np.where(first, np.arange(len(query)), 0)) + 1
+        return [x[rank <= k] for x in (query, rank.astype(np.int32), vec, score)]
+
+    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_id", "rank", "vec_id", "score"])
+
+    for batch in batches:
+        lists = batch.column("found")
+        query = np.repeat(batch.column("query_id").to_numpy(), np.diff(lists.offsets.to_numpy()))
+        found = lists.flatten()
+        best = rows(*(np.concatenate([x, y]) for x, y in zip(held, (query, found.field("vec_id").to_numpy(), found.field("score").to_numpy()), strict=True)))
+        last = best[0] == best[0][-1] if len(best[0]) else np.zeros(0, bool)
+        held = [best[c][last] for c in (0, 2, 3)]
+        yield out([x[~last] for x in best])
+    yield out(rows(*held))
 
 
 def op11_nearest_vectors(spark: SparkSession, embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
