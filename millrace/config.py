@@ -8,7 +8,7 @@ TOPICS = {
     "unique_visitor": "dwm_uv", "bounce": "dwm_jump_detail", "order_wide": "dwm_order_wide", "payment_wide": "dwm_payment_wide",
     "order_info": "dwd_order_info", "order_detail": "dwd_order_detail", "payment_info": "dwd_payment_info",
     "favor_info": "dwd_favor_info", "cart_info": "dwd_cart_info", "refund_info": "dwd_order_refund_info", "comment_info": "dwd_comment_info",
-    "product_stats": "dws_product_stats",
+    "product_stats": "dws_product_stats", "keyword_changes": "dws_keyword_changes",
 }
 RESULTS = {"visitor": "visitor_stats_2021", "product": "product_stats_2021", "province": "province_stats_2021", "keyword": "keyword_stats_2021"}
 # Appraisals that count as good.
@@ -26,3 +26,5 @@ DELAYS = {"default": "5 seconds", "bounce": "2 seconds", "keyword": "10 seconds"
 CHECKPOINT_TRIGGER = "6 seconds"
 #: Columns that wide rows carry for aggregation and no sink writes.
 TRANSIENT = ("order_ids", "paid_order_ids", "refund_order_ids")
+#: How long versions of dimension and result tables stay for those who read them.
+KEEP_SECONDS = 3600

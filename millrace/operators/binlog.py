@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import BINLOG
@@ -40,12 +40,43 @@ def merged_routes(changes: DataFrame, sticky: bool = False) -> DataFrame:
     return last.select("r.*").filter("op <> '-D'").drop("op", "seq")
 
 
-def route(changes: DataFrame, routes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+#: The configuration table's columns as its change feed names them.
+FEED_NAMES = {"sourceTable": "source_table", "operateType": "operate_type", "sinkType": "sink_type", "sinkTable": "sink_table", "sinkColumns": "sink_columns", "sinkPk": "sink_pk", "sinkExtend": "sink_extend"}
+
+
+def feed_routes(feed: DataFrame) -> DataFrame:
+    """A change feed of the configuration, its columns named as routes are."""
+    return feed.withColumnsRenamed(FEED_NAMES)
+
+
+def route_versions(changes: DataFrame, sticky: bool = False) -> DataFrame:
+    """The routes of a sequence of configuration changes with the time each was in force, [since, until): its own ts to the next
+    change's of the same table and operation (seq settles equal times; null: for good). Rows that took a route away end the one
+    before, or nothing if sticky. A window over the configuration alone."""
+    seen = feed_routes(changes).filter(F.col("op").isin("+I", "+U") if sticky else F.col("op") != "-U")
+    by = Window.partitionBy("source_table", "operate_type").orderBy("ts", "seq")
+    lasting = seen.withColumn("until", F.lead("ts").over(by)).withColumnRenamed("ts", "since")
+    return lasting.filter("op <> '-D' AND (until IS NULL OR until > since)").drop("op", "seq")
+
+
+def route_as_of(changes: DataFrame, config: DataFrame, ts: str = "ts", keep: Sequence[str] = (), sticky: bool = False) -> DataFrame:
+    """route() by the configuration as it stood at each row's own time; rows without a time go by what holds for good. config:
+    as for route_versions. An equi-join on table and operation whose residual is the time, so a table that holds most of the
+    rows is split by the planner, and rows of no route drop."""
+    return route(changes, route_versions(config, sticky), keep, ts)
+
+
+def route(changes: DataFrame, routes: DataFrame, keep: Sequence[str] = (), ts: str | None = None) -> DataFrame:
     """(sink_type, sink_table, sink_pk, sink_extend, data): rows with a route, their columns pruned; others drop.
 
-    keep: further columns of changes, such as their order."""
-    by = routes.select(F.col("source_table"), F.col("operate_type"), F.lower("sink_type").alias("sink_type"), "sink_table", "sink_columns", "sink_pk", "sink_extend")
-    met = changes.withColumn("__op", operation(F.col("type"))).join(by, (F.col("table") == by["source_table"]) & (F.col("__op") == by["operate_type"]))
+    keep: further columns of changes, such as their order. ts: the column of their time, where routes have times."""
+    times = [F.col("since").alias("__since"), F.col("until").alias("__until")] if ts else []
+    by = routes.select(F.col("source_table"), F.col("operate_type"), F.lower("sink_type").alias("sink_type"), "sink_table", "sink_columns", "sink_pk", "sink_extend", *times)
+    on = (F.col("table") == by["source_table"]) & (F.col("__op") == by["operate_type"])
+    if ts:
+        at = F.col(ts)
+        on &= F.when(at.isNull(), F.col("__until").isNull()).otherwise((at >= F.col("__since")) & (F.col("__until").isNull() | (at < F.col("__until"))))
+    met = changes.withColumn("__op", operation(F.col("type"))).join(by, on)
     return met.filter(F.col("sink_type").isin("kafka", "hbase")).select("sink_type", "sink_table", "sink_pk", "sink_extend", pruned(F.col("data"), F.col("sink_columns")).alias("data"), *keep)
 
 

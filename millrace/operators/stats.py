@@ -1,7 +1,6 @@
 """Windowed statistics: visitors, products, provinces, keywords. All are streaming-safe.
 
-Distinct orders are counted exactly: by count(distinct) on batches, which spreads over tasks, and by the size of a set on
-streams, which don't allow it.
+Distinct orders are counted exactly, on batches and streams alike, by grouping by the order first.
 """
 
 from __future__ import annotations
@@ -19,9 +18,9 @@ VISITOR_DIMS = ["vc", "ch", "ar", "is_new"]
 VISITOR_METRICS = dict.fromkeys(["uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum"], "bigint")
 
 
-def distinct_count(df: DataFrame, column: str | Column) -> Column:
-    one = F.col(column) if isinstance(column, str) else column
-    return F.size(F.collect_set(one)).cast("bigint") if df.isStreaming else F.count_distinct(one)
+def again(df: DataFrame, window: str) -> Column:
+    """The window `w` of rows that were grouped by it, to group by once more; streams need it as a window, for its watermark."""
+    return (F.window("w", window) if df.isStreaming else F.col("w")).alias("w")
 
 
 def visitor_metrics(pages: DataFrame, visitors: DataFrame, bounced: DataFrame) -> DataFrame:
@@ -82,29 +81,27 @@ def product_stats(sources: dict[str, DataFrame], window: str = WINDOW, refund_mo
 
 
 def product_windows(rows: DataFrame, window: str = WINDOW, double_refunds: bool = False) -> DataFrame:
-    """The statistics of product rows. On batches rows are summed by order first, where each order's flags are counted once:
-    no row is copied for a distinct count, and a product that is in very many orders is spread over tasks."""
+    """The statistics of product rows. Rows are summed by order first, where each order's flags are counted once: no row is
+    copied for a distinct count, and a product that is in very many orders is spread over tasks. On streams these are two
+    stateful steps one after the other: no state holds a set that grows with a product's orders."""
     keyed = rows.withColumn("w", F.window("et", window))
-    at = F.min(F.unix_millis("et")).alias("ts")
-    if rows.isStreaming:
-        counts = [F.size(F.collect_set(F.when(F.col(flag) == 1, F.col("order_id")))).cast("bigint").alias(name) for flag, name in ORDER_SETS.items()]
-    else:
-        parts = [F.sum(m).alias(m) for m in PRODUCT_METRICS] + [F.max(flag).alias(flag) for flag in ORDER_SETS]
-        first = [F.min_by(F.struct("arrival", "refund_amount"), "arrival").alias("first")] if double_refunds else []
-        keyed, at = keyed.groupBy("w", "sku_id", "order_id").agg(*parts, *first, at), F.min("ts").alias("ts")
-        counts = [F.sum(F.when(F.col("order_id").isNotNull(), F.col(flag)).otherwise(0)).cast("bigint").alias(name) for flag, name in ORDER_SETS.items()]
+    parts = [F.sum(m).alias(m) for m in PRODUCT_METRICS] + [F.max(flag).alias(flag) for flag in ORDER_SETS]
+    first = [F.min_by(F.struct("arrival", "refund_amount"), "arrival").alias("first")] if double_refunds else []
+    keyed = keyed.groupBy("w", "sku_id", "order_id").agg(*parts, *first, F.min(F.unix_millis("et")).alias("ts"))
+    counts = [F.sum(F.when(F.col("order_id").isNotNull(), F.col(flag)).otherwise(0)).cast("bigint").alias(name) for flag, name in ORDER_SETS.items()]
     refund = F.sum("refund_amount")
     if double_refunds:
-        refund = 2 * refund - (F.min_by("refund_amount", "arrival") if rows.isStreaming else F.min_by("first.refund_amount", "first.arrival"))
+        refund = 2 * refund - F.min_by("first.refund_amount", "first.arrival")
     sums = [F.sum(m).cast(kind).alias(m) for m, kind in PRODUCT_METRICS.items() if m != "refund_amount"]
-    out = keyed.groupBy("w", "sku_id").agg(*sums, refund.cast(MONEY).alias("refund_amount"), *counts, at)
+    out = keyed.groupBy(again(keyed, window), "sku_id").agg(*sums, refund.cast(MONEY).alias("refund_amount"), *counts, F.min("ts").alias("ts"))
     return out.select(*window_text(F.col("w")), "sku_id", *PRODUCT_METRICS, *ORDER_SETS.values(), "ts")
 
 
 def province_stats(wide: DataFrame, window: str = WINDOW, as_of: Column | None = None) -> DataFrame:
     """Amount and distinct orders by window and province; ts is the time given."""
     dims = ["province_id", "province_name", "area_code", "iso_code", "iso_3166_2"]
-    out = wide.groupBy(F.window("et", window).alias("w"), *dims).agg(F.sum("split_total_amount").cast(MONEY).alias("order_amount"), distinct_count(wide, "order_id").alias("order_count"))
+    by_order = wide.groupBy(F.window("et", window).alias("w"), *dims, "order_id").agg(F.sum("split_total_amount").alias("order_amount"))
+    out = by_order.groupBy(again(by_order, window), *dims).agg(F.sum("order_amount").cast(MONEY).alias("order_amount"), F.count("order_id").alias("order_count"))
     ts = F.unix_millis(as_of) if as_of is not None else F.unix_millis(F.col("w")["end"])
     return out.select(*window_text(F.col("w")), *dims, "order_amount", "order_count", ts.alias("ts"))
 

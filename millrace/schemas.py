@@ -6,7 +6,7 @@ MAP = "map<string,string>"
 MONEY = "decimal(20,2)"
 
 LOG = f"common {MAP}, start {MAP}, page {MAP}, displays array<{MAP}>, ts bigint"
-BINLOG = f"database string, `table` string, type string, data {MAP}"
+BINLOG = f"database string, `table` string, type string, ts bigint, data {MAP}"
 ROUTE = "source_table string, operate_type string, sink_type string, sink_table string, sink_columns string, sink_pk string, sink_extend string"
 ORDER_INFO = (
     f"id bigint, province_id bigint, order_status string, user_id bigint, total_amount {MONEY}, activity_reduce_amount {MONEY}, "

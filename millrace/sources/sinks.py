@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import CHECKPOINT_TRIGGER, TRANSIENT
+from . import files
+from .versions import Versions
 
 
 def as_json(df: DataFrame) -> DataFrame:
@@ -16,9 +19,19 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def committed(spark: SparkSession, at: str, write: Callable[[str], None]) -> None:
+    """The folder `at` with what write(path) leaves, whole and once: it is written aside, where no reader looks, and put in place
+    by one rename. Where it is there already, its batch has run before, and readers may have taken it up: it stays as it is."""
+    if files.exists(spark, at):
+        return
+    parent, _, name = at.rpartition("/")
+    write(f"{parent}/_staged-{name}")
+    files.rename(spark, f"{parent}/_staged-{name}", at)
+
+
 def write_topic(df: DataFrame, root: str, name: str, batch: int | None = None) -> None:
-    """Rows as JSON lines. With a stream's batch number they have a folder of their own, which the batch, should it run
-    again, replaces; so each row is there once."""
+    """Rows as JSON lines. With a stream's batch number they are committed as that batch: a batch that runs again, stopped before
+    or behind its commit, leaves each row once for readers of the topic, those that follow it as a stream included."""
     write_lines(as_json(df), root, name, batch)
 
 
@@ -27,21 +40,22 @@ def write_lines(values: DataFrame, root: str, name: str, batch: int | None) -> N
     if batch is None:
         values.write.mode("append").text(f"{root}/{name}")
     else:
-        values.write.mode("overwrite").text(f"{root}/{name}/batch={batch}")
+        committed(values.sparkSession, f"{root}/{name}/batch={batch}", lambda to: values.write.mode("overwrite").text(to))
 
 
 def write_routed(routed: DataFrame, root: str, batch: int | None = None) -> None:
-    """Rows (sink_table, data) to the topic that each names; a topic's rows may come from several tasks."""
-    rows = routed.select("sink_table", F.to_json("data").alias("value"))
+    """Rows (sink_table, data) to the topic that each names; a topic's rows may come from several tasks. A batch is committed
+    topic by topic: one that runs again adds the topics that it had not come to."""
+    rows, spark = routed.select("sink_table", F.to_json("data").alias("value")), routed.sparkSession
     if batch is None:
         rows.write.mode("append").partitionBy("sink_table").text(f"{root}/routed")
-    else:
-        _replace(rows.withColumn("batch", F.lit(batch)), "sink_table", "batch").text(f"{root}/routed")
-
-
-def _replace(rows: DataFrame, *by: str) -> DataFrameWriter:
-    """Replaces the partitions that rows fall in, and no other."""
-    return rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+        return
+    staged = f"{root}/routed/_staged-{batch}"
+    rows.write.mode("overwrite").partitionBy("sink_table").text(staged)
+    for topic in (n for n in files.names(spark, staged) if n.startswith("sink_table=")):
+        if not files.exists(spark, f"{root}/routed/{topic}/batch={batch}"):
+            files.rename(spark, f"{staged}/{topic}", f"{root}/routed/{topic}/batch={batch}")
+    files.delete(spark, staged)
 
 
 def read_routed(spark: SparkSession, root: str, sink_table: str) -> DataFrame:
@@ -50,15 +64,76 @@ def read_routed(spark: SparkSession, root: str, sink_table: str) -> DataFrame:
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "append", day: str | None = "stt", batch: int | None = None) -> None:
     """A result table without transient columns, by day where it has a window start, so a day's query reads that day. With a
-    stream's batch number (column `batch`) a batch that runs again replaces what it wrote. A stream's windows are written
-    once, when they close, so that no two batches have rows of one key."""
+    stream's batch number it is a ResultTable: a batch counts once, and days of many batches are merged. A stream's windows are
+    written once, when they close, so that no two batches have rows of one key."""
     kept, by = df.drop(*(c for c in TRANSIENT if c in df.columns)), []
+    if batch is not None:
+        ResultTable(df.sparkSession, f"{root}/{name}", day if day in kept.columns else None).append(kept, batch)
+        return
     if day and day in kept.columns:
         kept, by = kept.withColumn("dt", F.date_format(F.col(day).cast("timestamp"), "yyyyMMdd").cast("int")), ["dt"]
-    if batch is not None:
-        _replace(kept.withColumn("batch", F.lit(batch)), *by, "batch").parquet(f"{root}/{name}")
-    else:
-        kept.write.mode(mode).partitionBy(*by).parquet(f"{root}/{name}")
+    kept.write.mode(mode).partitionBy(*by).parquet(f"{root}/{name}")
+
+
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A result table, with its day as dt; what a stream wrote counts by its lists."""
+    held = ResultTable(spark, f"{root}/{name}")
+    return held.read() if held.exists() else spark.read.parquet(f"{root}/{name}")
+
+
+class ResultTable(Versions):
+    """A stream's result table: a part a batch and day, in folders dt=D/batch=N. Days with more than `most` parts are merged into
+    one part (batch=-N, N the last batch), in files of some `file_mb`, before the list names it in their place; so a day has a
+    bounded number of files however long the stream runs, and readers see either the parts or what they were merged to."""
+
+    def __init__(self, spark: SparkSession, path: str, day: str | None = "stt", most: int = 24, file_mb: int = 128, keep_seconds: int = 3600):
+        super().__init__(spark, path, keep_seconds)
+        self.day, self.most, self.file_mb = day, most, file_mb
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        """A batch; nothing if it is there already."""
+        lists = self._lists()
+        held, last = self._listed(lists[-1]) if lists else ([], -1)
+        if batch <= last:
+            return
+        staged = f"{self.path}/_staged-{batch}"
+        if self.day:
+            rows = rows.withColumn("dt", F.date_format(F.col(self.day).cast("timestamp"), "yyyyMMdd").cast("int"))
+            rows.write.mode("overwrite").partitionBy("dt").parquet(staged)
+            days = [n for n in files.names(self.spark, staged) if n.startswith("dt=")]
+        else:
+            rows.write.mode("overwrite").parquet(staged)
+            days = [""]
+        parts = {f"{d}/batch={batch}".lstrip("/"): f"{staged}/{d}".rstrip("/") for d in days}
+        for part, source in parts.items():
+            files.delete(self.spark, f"{self.path}/{part}")  # of a batch that didn't come to its list
+            files.rename(self.spark, source, f"{self.path}/{part}")
+        files.delete(self.spark, staged)
+        now = max(lists, default=0) + 1
+        self._commit(now, [*held, *parts], batch)
+        self._merge(now, [*held, *parts], batch)
+
+    def _merge(self, version: int, held: list[str], batch: int) -> None:
+        by_day: dict[str, list[str]] = {}
+        for part in held:
+            by_day.setdefault(part.rpartition("/")[0], []).append(part)
+        many = {d: parts for d, parts in by_day.items() if len(parts) > self.most}
+        if not many:
+            return
+        kept = [p for d, parts in by_day.items() if d not in many for p in parts]
+        for d, parts in many.items():
+            to = f"{d}/batch=-{batch}".lstrip("/")
+            size = sum(files.size(self.spark, f"{self.path}/{p}") for p in parts)
+            rows = self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{p}" for p in parts))
+            rows.repartition(1 + size // (self.file_mb << 20)).write.mode("overwrite").parquet(f"{self.path}/{to}")
+            kept.append(to)
+        self._commit(version + 1, kept, batch)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        parts = [f"{self.path}/{f}" for f in self.folders(version)]
+        if not parts:
+            raise FileNotFoundError(f"{self.path} has no rows yet")
+        return self.spark.read.option("basePath", self.path).option("mergeSchema", True).parquet(*parts)
 
 
 def insert_select(df: DataFrame, view: str, table: str, query: str) -> None:
@@ -78,75 +153,106 @@ def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), order).alias("r")).select("r.*")
 
 
-class UpsertTable:
-    """A keyed table in buckets. An upsert writes the buckets it touches, anew, as a new version, and then a list of which
-    version holds each bucket; lists are numbered and never overwritten once they are complete, and the highest complete one
-    counts. So readers see a whole version whenever a writer fails, and an upsert costs the buckets it touches. The last two
-    lists stay, with the buckets they name; older ones are deleted. One writer at a time.
+#: Where a created table's clause says into how many parts it is salted.
+SALTED = re.compile(r"SALT_BUCKETS\s*=\s*(\d+)", re.IGNORECASE)
+
+
+def buckets_of(extend: str | None, default: int = 16) -> int:
+    """The number of buckets that the clause of a created table asks for; what else it says is for other stores."""
+    found = SALTED.search(extend or "")
+    return max(1, int(found[1])) if found else default
 
-    Values are kept as strings where as_text is set. The number of buckets is fixed by the first upsert."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], as_text: bool = False, buckets: int = 16):
-        self.spark, self.path, self.keys, self.as_text, self.buckets = spark, path.rstrip("/"), list(keys), as_text, buckets
+class UpsertTable(Versions):
+    """A keyed table in buckets. An upsert writes the buckets it touches, anew, as a new version, so it costs those buckets and
+    readers see a whole version whenever a writer fails. Values are kept as strings where as_text is set. The number of buckets is
+    fixed by the first upsert."""
 
-    def _at(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], as_text: bool = False, buckets: int = 16, keep_seconds: int = 0):
+        super().__init__(spark, path, keep_seconds)
+        self.keys, self.as_text, self.buckets = list(keys), as_text, buckets
 
-    def _lists(self) -> list[int]:
-        """The complete lists, the oldest first."""
-        system, where = self._at(f"{self.path}/_versions")
-        if not system.exists(where):
-            return []
-        found = [s.getPath().getName() for s in system.listStatus(where)]
-        return sorted(int(n) for n in found if n.isdigit() and system.exists(self._at(f"{self.path}/_versions/{n}/_SUCCESS")[1]))
+    @staticmethod
+    def _bucket_of(folder: str) -> int:
+        return int(folder.rpartition("=")[2])
 
-    def _holders(self, version: int) -> dict[int, int | None]:
-        """bucket -> the version that holds it, None where it is empty; as many entries as there are buckets."""
-        return {r.bucket: r.version for r in self.spark.read.schema("bucket int, version int").parquet(f"{self.path}/_versions/{version:08d}").collect()}
+    def _holders(self, version: int) -> dict[int, str | None]:
+        """bucket -> the folder that holds it, None where it is empty; as many entries as there are buckets."""
+        listed = self._listed(version)[0]
+        count = max((int(f.partition("/")[0].rpartition("-")[2]) for f in listed), default=self.buckets)
+        return dict.fromkeys(range(count)) | {self._bucket_of(f): f for f in listed}
 
-    def exists(self) -> bool:
-        return bool(self._lists())
+    def read(self, version: int | None = None) -> DataFrame:
+        return self._read(self.folders(version))
 
-    def read(self) -> DataFrame:
-        return self._read(self._holders(self._lists()[-1]))
+    def _read(self, folders: Sequence[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{f}" for f in sorted(folders)))
 
-    def _read(self, holders: dict[int, int | None]) -> DataFrame:
-        paths = [f"{self.path}/v{v:08d}/__bucket={b}" for b, v in sorted(holders.items()) if v]
-        return self.spark.read.option("mergeSchema", True).parquet(*paths)
+    def _bucket(self, count: int):
+        return F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in self.keys)), F.lit(count)).cast("int")
 
-    def upsert(self, rows: DataFrame, order: str) -> None:
-        """Rows of a known key replace the old one, of several the last by `order`; columns new to the table are added."""
+    def _same(self, one: str, two: str) -> list:
+        return [F.col(f"{one}.{k}").eqNullSafe(F.col(f"{two}.{k}")) for k in self.keys]
+
+    def upsert(self, rows: DataFrame, order: str, batch: int | None = None) -> None:
+        """Rows of a known key replace the old one, of several the last by `order`; columns new to the table are added. With a
+        stream's batch number a batch that is there already changes nothing."""
+
+        def replaced(old: DataFrame, fresh: DataFrame) -> DataFrame:
+            kept = old.alias("o").join(fresh.select(*self.keys).alias("n"), on=self._same("o", "n"), how="left_anti")
+            return kept.unionByName(fresh, allowMissingColumns=True)
+
+        self._write(latest(rows, self.keys, order).drop(order), replaced, batch)
+
+    def add(self, rows: DataFrame, sums: Sequence[str], batch: int) -> None:
+        """Rows of a known key add their sums to what is held, so a key's result follows its rows from batch to batch; a batch that
+        is there already adds nothing. rows: keys and sums. This is a running aggregate whose state is the table."""
+        totals = [F.sum(c).alias(c) for c in sums]
+        fresh = rows.groupBy(*self.keys).agg(*totals)
+        self._write(fresh, lambda old, new: old.select(*self.keys, *sums).unionByName(new).groupBy(*self.keys).agg(*(F.sum(c).cast(new.schema[c].dataType).alias(c) for c in sums)), batch)
+
+    def _write(self, fresh: DataFrame, merged: Callable[[DataFrame, DataFrame], DataFrame], batch: int | None) -> None:
         lists = self._lists()
-        holders = self._holders(lists[-1]) if lists else {}
-        buckets = len(holders) or self.buckets
-        fresh = latest(rows, self.keys, order).drop(order)
+        last = self._listed(lists[-1])[1] if lists else -1
+        if batch is not None and batch <= last:
+            return
+        holders = self._holders(lists[-1]) if lists else dict.fromkeys(range(self.buckets))
         if self.as_text:
             fresh = fresh.select(*(F.col(c).cast("string").alias(c) for c in fresh.columns))
-        bucket = F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in self.keys)), F.lit(buckets)).cast("int")
+        bucket = self._bucket(len(holders))
         touched = {r[0] for r in fresh.select(bucket).distinct().collect()}  # as many as there are buckets
-        if not touched:
+        if not touched and (batch is None or not lists):
             return
-        held = {b: holders[b] for b in touched if holders.get(b)}
-        if held:
-            old = self._read(held)
-            same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in self.keys]
-            fresh = old.alias("o").join(fresh.select(*self.keys).alias("n"), on=same, how="left_anti").unionByName(fresh, allowMissingColumns=True)
-        version = (lists[-1] if lists else 0) + 1
-        at = f"{self.path}/v{version:08d}"
-        fresh.withColumn("__bucket", bucket).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(at)
-        after = [(b, version if b in touched else holders.get(b)) for b in range(buckets)]
-        self.spark.createDataFrame(after, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_versions/{version:08d}")
-        self._forget(lists[:-1], after, holders)
-
-    def _forget(self, lists: list[int], *kept) -> None:
-        """Deletes lists, and the buckets that they name and no kept list does."""
-        needed = {(b, v) for k in kept for b, v in (k.items() if isinstance(k, dict) else k)}
-        for old in lists:
-            gone = [f"v{v:08d}/__bucket={b}" for b, v in self._holders(old).items() if v and (b, v) not in needed]
-            for path in [*gone, f"_versions/{old:08d}"]:
-                system, where = self._at(f"{self.path}/{path}")
-                system.delete(where, True)
+        version = max(lists, default=0) + 1
+        at = f"v{version:08d}-{len(holders)}"
+        if touched:
+            held = [holders[b] for b in sorted(touched) if holders[b]]
+            rows = merged(self._read(held), fresh) if held else fresh
+            rows.withColumn("__bucket", bucket).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/{at}")
+        after = {b: f"{at}/__bucket={b}" if b in touched else f for b, f in holders.items()}
+        self._commit(version, [f for f in after.values() if f], last if batch is None else batch)
+
+    def changes_of(self, batch: int) -> DataFrame:
+        """The changes that a batch made, however often it has run."""
+        lists = {v: self._listed(v)[1] for v in self._lists()}
+        until = min(v for v, b in lists.items() if b >= batch)
+        return self.changes(max((v for v, b in lists.items() if b < batch), default=0), until)
+
+    def changes(self, since: int, until: int | None = None) -> DataFrame:
+        """What a reader of version `since` (0: of nothing) has to take back and to take up to be at `until` (the version in
+        force): the columns with op '-U' and '+U' for a changed row, '+I' for a new one, '-D' for one that is gone. Only buckets that
+        another version holds are read."""
+        new, old = set(self.folders(until)), set(self.folders(since)) if since else set()
+        fresh = self._read(new - old or new)
+        if not old - new:  # buckets filled for the first time, or none at all
+            return (fresh if new - old else fresh.filter("false")).withColumn("op", F.lit("+I"))
+        held, columns = self._read(old - new), fresh.columns
+        for c in (c for c in columns if c not in held.columns):
+            held = held.withColumn(c, F.lit(None).cast(fresh.schema[c].dataType))
+        met = held.select(F.struct(*columns).alias("o"), *self.keys).alias("a").join(fresh.select(F.struct(*columns).alias("n"), *self.keys).alias("b"), self._same("a", "b"), "full_outer")
+        met = met.filter(~F.col("o").eqNullSafe(F.col("n")))
+        steps = F.array(F.struct(F.when(F.col("n").isNull(), "-D").otherwise("-U").alias("op"), F.col("o").alias("r")), F.struct(F.when(F.col("o").isNull(), "+I").otherwise("+U").alias("op"), F.col("n").alias("r")))
+        return met.select(F.explode(F.filter(steps, lambda s: s["r"].isNotNull())).alias("s")).select("s.r.*", "s.op")
 
 
 def run_stream(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", available_now: bool = False) -> StreamingQuery:

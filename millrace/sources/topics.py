@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_topic(spark: SparkSession, root: str, name: str, streaming: bool = False, max_files: int = 64) -> DataFrame:
-    """(value) of a topic."""
+#: How many files of a topic a stream takes up in a batch.
+MAX_FILES = "spark.millrace.maxFilesPerTrigger"
+
+
+def read_topic(spark: SparkSession, root: str, name: str, streaming: bool = False, max_files: int | None = None) -> DataFrame:
+    """(value) of a topic, of what is committed there. max_files: as the session's MAX_FILES, or 64."""
     if streaming:
+        max_files = max_files or int(spark.conf.get(MAX_FILES, "64"))
         return spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(f"{root}/{name}").select("value")
     return spark.read.text(f"{root}/{name}").select("value")
 

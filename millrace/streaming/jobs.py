@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..config import DELAYS, RESULTS, TOPICS, WINDOW_MS
+from ..config import DELAYS, KEEP_SECONDS, RESULTS, TOPICS
 from ..functions.time import event_time, to_ms
 from ..operators import binlog, logs, orders, stats, visits
 from ..operators.dims import DimSpec, join_dims
 from ..schemas import CART_INFO, COMMENT_INFO, FAVOR_INFO, LOG, ORDER_DETAIL, ORDER_INFO, PAYMENT_INFO, REFUND_INFO
-from ..sources.sinks import UpsertTable, as_json, run_stream, write_lines, write_routed, write_table, write_topic
+from ..sources.sinks import UpsertTable, as_json, buckets_of, run_stream, write_lines, write_routed, write_table, write_topic
 from ..sources.topics import read_topic
-from .processors import BounceProcessor, LateBounceProcessor, UniqueVisitorProcessor, process
+from .processors import BounceProcessor, LateBounceProcessor, NewVisitorProcessor, UniqueVisitorProcessor, process
 
 
 def typed(topic: DataFrame, schema: str, delay: str = DELAYS["default"]) -> DataFrame:
@@ -23,81 +23,52 @@ def typed(topic: DataFrame, schema: str, delay: str = DELAYS["default"]) -> Data
     return rows.withColumn("et", event_time(to_ms(F.col("create_time")))).withWatermark("et", delay)
 
 
-def _folder(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def repaired(spark: SparkSession, batch: DataFrame, number: int, state: str, window_ms: int = WINDOW_MS, delay_ms: int = 5000) -> DataFrame:
-    """The rows (parsed logs) that can be decided after batch `number`, with common's is_new '1' for a visitor's first row by
-    (ts, arrival) and '0' for others.
-
-    Rows of a visitor whose first row isn't known yet wait until the watermark has closed the window of the earliest one.
-    Below `state` each batch leaves the rows that wait and the greatest ts, for the next one, and the visitors it decided. A
-    batch that runs again replaces what it left. Rows without a visitor or time are no first rows and don't wait.
-    """
-    left = f"{state}/left/batch={number - 1}"
-    rows = batch.withColumn("arrival", F.struct(F.lit(number).cast("bigint").alias("batch"), F.monotonically_increasing_id().alias("seq"))).persist()
-    fresh, most = rows, None
-    system, where = _folder(spark, left)
-    if system.exists(where):
-        rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{left}/rows"))
-        most = spark.read.schema("ts bigint").parquet(f"{left}/most").first().ts
-    here = fresh.agg(F.max("ts")).first()[0]
-    most = max((t for t in (most, here) if t is not None), default=None)
-    system, where = _folder(spark, f"{state}/visitors")
-    known = spark.createDataFrame([], "visitor string, batch bigint")
-    if system.exists(where):
-        known = spark.read.schema("visitor string, batch bigint").parquet(f"{state}/visitors")
-    known = known.filter(F.col("batch") < number).select("visitor", F.lit(True).alias("known"))
-
-    keyed = rows.withColumn("visitor", F.col("common")["mid"])
-    first = keyed.filter("visitor IS NOT NULL AND ts IS NOT NULL").groupBy("visitor").agg(F.min(F.struct("ts", "arrival")).alias("first"))
-    first = first.join(known, "visitor", "left")
-    end = F.floor(F.col("first.ts") / window_ms) * window_ms + window_ms
-    first = first.withColumn("closed", F.coalesce(end <= F.lit(most).cast("bigint") - delay_ms, F.lit(False))).persist()
-    met = keyed.join(first, "visitor", "left")
-    new = F.col("known").isNull() & F.struct("ts", "arrival").eqNullSafe(F.col("first"))
-    waits = F.col("known").isNull() & ~F.coalesce("closed", F.lit(True)) & F.col("ts").isNotNull()
-    met = met.withColumn("waits", waits).withColumn("flag", F.when(F.coalesce(new, F.lit(False)), "1").otherwise("0"))
-    met.filter("waits").select(*rows.columns).write.mode("overwrite").parquet(f"{state}/left/batch={number}/rows")
-    spark.createDataFrame([(most,)], "ts bigint").write.mode("overwrite").parquet(f"{state}/left/batch={number}/most")
-    first.filter("known IS NULL AND closed").select("visitor").write.mode("overwrite").parquet(f"{state}/visitors/batch={number}")
-    system, where = _folder(spark, f"{state}/left/batch={number - 2}")
-    system.delete(where, True)
-    fresh.unpersist()
-    first.unpersist()
-    common = logs.put_all(F.col("common"), F.create_map(F.lit("is_new"), F.col("flag")))
-    return met.filter("NOT waits").withColumn("common", common).select(*batch.columns)
+def marked_logs(spark: SparkSession, root: str) -> DataFrame:
+    """(body, flag) of the log topic, a stream: flag '1' for a visitor's first row. Whom it has met is the processor's keyed
+    state, so a batch costs its own visitors, not all that were ever met. Rows without a visitor or time are no first rows."""
+    raw = read_topic(spark, root, TOPICS["log"], True).select("value", F.from_json("value", LOG).alias("r"))
+    rows = raw.select(F.col("r.common")["mid"].alias("mid"), F.col("r.ts").alias("ts"), F.lit(None).cast("bigint").alias("arrival"), F.lit(False).alias("entry"), F.col("value").alias("body"))
+    whole = F.col("mid").isNotNull() & F.col("ts").isNotNull()
+    marked = process(rows.filter(whole), NewVisitorProcessor(), DELAYS["default"]).select("body", "flag")
+    return marked.unionByName(rows.filter(~whole).select("body", F.lit("0").alias("flag")))
 
 
 def split_logs(spark: SparkSession, root: str, available_now: bool = False) -> StreamingQuery:
-    """ods_log, with the new-visitor mark repaired, to start, page and display topics."""
+    """ods_log, with the new-visitor mark repaired, to start, page and display topics. Rows later than the watermark drop."""
 
     def each(batch: DataFrame, number: int) -> None:
-        parsed = repaired(spark, batch, number, f"{root}/_state/split_logs").persist()
+        mark = F.create_map(F.lit("is_new"), F.col("flag"))
+        parsed = batch.select(F.from_json("body", LOG).alias("r"), "flag").select("r.*", "flag")
+        parsed = parsed.withColumn("common", logs.put_all(F.col("common"), mark)).drop("flag").persist()
         for name, rows in zip(("start", "page", "display"), logs.split_log(parsed), strict=True):
             out = rows.select(F.to_json("display").alias("value")) if name == "display" else as_json(rows)
             write_lines(out, root, TOPICS[name], number)
         parsed.unpersist()
 
-    return run_stream(logs.parse_log(read_topic(spark, root, TOPICS["log"], True)), each, f"{root}/_checkpoints/split_logs", available_now=available_now)
+    return run_stream(marked_logs(spark, root), each, f"{root}/_checkpoints/split_logs", available_now=available_now)
 
 
 def route_changes(spark: SparkSession, root: str, routes: str, available_now: bool = False) -> StreamingQuery:
     """ods_db to fact topics and dimension tables; the configuration at `routes` is read anew for each batch: the routes
-    themselves, or, where the folder has a column op, their changes in order of seq."""
+    themselves, or, where the folder has a column op, their changes in order of seq. Changes that have a time, `ts` in
+    milliseconds, route each row as they stood at its own `ts`, so early rows keep the route they had."""
 
     def each(batch: DataFrame, number: int) -> None:
         ordered = binlog.etl_binlog(batch.withColumn("seq", F.monotonically_increasing_id()))
         known = spark.read.parquet(routes)
-        routed = binlog.route(ordered, binlog.merged_routes(known) if "op" in known.columns else known, ["seq"]).persist()
+        if "op" in known.columns and "ts" in known.columns:
+            routed = binlog.route_as_of(ordered, known, keep=["seq"])
+        else:
+            routed = binlog.route(ordered, binlog.merged_routes(known) if "op" in known.columns else known, ["seq"])
+        routed = routed.persist()
         write_routed(binlog.to_topics(routed), root, number)
         # A row a dimension table of the configuration.
-        for r in binlog.to_dimensions(routed).groupBy("sink_table").agg(F.max("sink_pk").alias("pk"), F.array_distinct(F.flatten(F.collect_set(F.map_keys("data")))).alias("names")).collect():
+        tables = binlog.to_dimensions(routed).groupBy("sink_table").agg(F.max("sink_pk").alias("pk"), F.max("sink_extend").alias("extend"), F.array_distinct(F.flatten(F.collect_set(F.map_keys("data")))).alias("names"))
+        for r in tables.collect():
             rows = binlog.to_dimensions(routed).filter(F.col("sink_table") == r.sink_table)
             rows = rows.select("seq", *(F.col("data")[c].alias(c) for c in r.names))
-            UpsertTable(spark, f"{root}/dims/{r.sink_table}", (r.pk or "id").split(","), as_text=True).upsert(rows, "seq")
+            table = UpsertTable(spark, f"{root}/dims/{r.sink_table}", (r.pk or "id").split(","), as_text=True, buckets=buckets_of(r.extend), keep_seconds=KEEP_SECONDS)
+            table.upsert(rows, "seq", number)
         routed.unpersist()
 
     return run_stream(binlog.parse_binlog(read_topic(spark, root, TOPICS["db"], True)), each, f"{root}/_checkpoints/route_changes", available_now=available_now)
@@ -110,11 +81,23 @@ def wide_orders(spark: SparkSession, root: str) -> DataFrame:
     return orders.order_wide(o, d)
 
 
-def keep_province_stats(spark: SparkSession, root: str, provinces: DataFrame, window: str = "5 seconds", available_now: bool = False) -> StreamingQuery:
-    """Order stream to the province table. Windows are written once, when they close."""
-    wide = wide_orders(spark, root).join(provinces, "province_id", "left")
+def wide_provinces(spark: SparkSession, root: str) -> DataFrame:
+    """The order-wide topic with the columns that province statistics read, a stream."""
+    schema = "province_id bigint, province_name string, province_area_code string, province_iso_code string, province_3166_2_code string, order_id bigint, split_total_amount decimal(20,2), create_time string"
+    names = {"province_area_code": "area_code", "province_iso_code": "iso_code", "province_3166_2_code": "iso_3166_2"}
+    return typed(read_topic(spark, root, TOPICS["order_wide"], True), schema, DELAYS["province"]).withColumnsRenamed(names)
+
+
+def keep_province_stats(spark: SparkSession, root: str, provinces: DataFrame | None = None, window: str = "5 seconds", available_now: bool = False, stamped: bool = False) -> StreamingQuery:
+    """The order-wide topic to the province table; windows are written once, when they close. stamped: ts is the time of
+    writing. With provinces given, orders and details are joined here and take those names instead."""
+    wide = wide_orders(spark, root).join(provinces, "province_id", "left") if provinces is not None else wide_provinces(spark, root)
     out = stats.province_stats(wide, window)
-    return run_stream(out, lambda batch, number: write_table(batch, root, RESULTS["province"], batch=number), f"{root}/_checkpoints/province", available_now=available_now)
+
+    def each(batch: DataFrame, number: int) -> None:
+        write_table(batch.withColumn("ts", F.unix_millis(F.current_timestamp())) if stamped else batch, root, RESULTS["province"], batch=number)
+
+    return run_stream(out, each, f"{root}/_checkpoints/province", available_now=available_now)
 
 
 def keep_keyword_stats(spark: SparkSession, root: str, window: str = "5 seconds", available_now: bool = False) -> StreamingQuery:
@@ -240,12 +223,21 @@ def keep_product_stats(spark: SparkSession, root: str, window: str = "5 seconds"
     return run_stream(out, each, f"{root}/_checkpoints/product", available_now=available_now)
 
 
+def keyword_products(spark: SparkSession, root: str) -> UpsertTable:
+    """Counts of product words: a row for each (stt, edt, keyword, source)."""
+    return UpsertTable(spark, f"{root}/{RESULTS['keyword']}_products", ["stt", "edt", "keyword", "source"], keep_seconds=KEEP_SECONDS)
+
+
 def keep_keyword_products(spark: SparkSession, root: str, available_now: bool = False) -> StreamingQuery:
-    """Clicks, orders and cart additions of the product topic by word to the keyword table. Rows of one window and word in
-    one batch are summed; the topic has a window in one batch."""
+    """Clicks, orders and cart additions of the product topic by word. A word's row is one by its key, in whatever batches its
+    counts arrive: they are added to what the table holds, and what a batch changed goes to the topic of changes, the old row as '-U'
+    and the new one as '+U', so sums over that topic stay right."""
+    table = keyword_products(spark, root)
 
     def each(batch: DataFrame, number: int) -> None:
-        write_table(stats.keyword_product_stats(batch), root, f"{RESULTS['keyword']}_products", batch=number)
+        table.add(stats.keyword_product_stats(batch), ["ct"], number)
+        if table.exists():
+            write_topic(table.changes_of(number), root, TOPICS["keyword_changes"], number)
 
     rows = read_topic(spark, root, TOPICS["product_stats"], True).select(F.from_json("value", "stt string, edt string, spu_name string, click_ct bigint, order_ct bigint, cart_ct bigint").alias("r")).select("r.*")
     return run_stream(rows, each, f"{root}/_checkpoints/keyword_products", available_now=available_now)

@@ -30,7 +30,12 @@ COLUMNS = ["ts", "arrival", "body", "flag"]
 
 
 class _Waiting(StatefulProcessor):
-    """Keeps rows until the watermark has passed `hold(row)`, then hands them on in order."""
+    """Keeps rows until the watermark has passed `due(row)`, then hands them on in order.
+
+    A row is late, and drops, by its own time. slack_ms: the watermark stays so far behind, so that rows drop only where what
+    they belong to is closed; what is due by time less the delay is due as if it weren't."""
+
+    slack_ms = 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -43,24 +48,33 @@ class _Waiting(StatefulProcessor):
         """When a row can be decided."""
         raise NotImplementedError
 
+    def at_once(self) -> bool:
+        """Whether the rows to come are decided already, with flag '0'."""
+        return False
+
     def decide(self, ready: list[tuple], rest: list[tuple]) -> Iterator[pd.DataFrame]:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.at_once():
+            for frame in rows:
+                yield pd.DataFrame({"ts": frame["ts"], "arrival": frame["arrival"].fillna(0).astype("int64"), "body": frame["body"], "flag": "0"}, columns=COLUMNS)
+            return
         n = self.met.get()[0] if self.met.exists() else 0
         for frame in rows:
             for ts, arrival, entry, body in zip(frame["ts"], frame["arrival"], frame["entry"], frame["body"], strict=True):
                 n += 1
                 self.rows.appendValue((int(ts), n if pd.isna(arrival) else int(arrival), bool(entry), body))
-                self.handle.registerTimer(self.due(int(ts)))
+                self.handle.registerTimer(max(1, self.due(int(ts)) - self.slack_ms))
         self.met.update((n,))
         yield pd.DataFrame(columns=COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The first timer of a batch decides all that the watermark has passed; the others find it done."""
-        out, until = [], timerValues.getCurrentWatermarkInMs()
+        out, mark = [], timerValues.getCurrentWatermarkInMs()
         if not self.done.exists() or self.done.get()[0] < expiredTimerInfo.getExpiryTimeInMs():
-            self.done.update((until,))
+            self.done.update((mark,))
+            until = mark + self.slack_ms
             held = sorted((tuple(r) for r in self.rows.get()), key=lambda r: (r[0], r[1])) if self.rows.exists() else []
             ready = [r for r in held if self.due(r[0]) <= until]
             if ready:
@@ -76,25 +90,28 @@ class _Waiting(StatefulProcessor):
 
 
 class NewVisitorProcessor(_Waiting):
-    """flag '1' for a visitor's first row, '0' for others; rows leave when their window closes."""
+    """flag '1' for a visitor's first row, '0' for others. Rows wait until the window of the first one closes; a visitor who is
+    known by then has a time in state and no rows, and rows to come leave as they are met."""
+
+    window_ms = slack_ms = WINDOW_MS
 
-    window_ms = WINDOW_MS
+    def at_once(self) -> bool:
+        return self.mark.exists()
 
     def due(self, ts: int) -> int:
         return ts // self.window_ms * self.window_ms + self.window_ms
 
     def decide(self, ready, rest):
-        out = []
-        for ts, arrival, _, body in ready:
-            out.append((ts, arrival, body, "0" if self.mark.exists() else "1"))
-            if not self.mark.exists():
-                self.mark.update((ts,))
-        return rest, out
+        self.mark.update((ready[0][0],))
+        return [], [(ts, arrival, body, "0" if k else "1") for k, (ts, arrival, _, body) in enumerate([*ready, *rest])]
 
 
 class UniqueVisitorProcessor(NewVisitorProcessor):
     """The first row of a closed window if the visitor was not met yet, or last on another day than the window's end."""
 
+    def at_once(self) -> bool:
+        return False
+
     def decide(self, ready, rest):
         out, by_window = [], {}
         for r in ready:
@@ -137,7 +154,9 @@ OUT = "ts bigint, arrival bigint, body string, flag string"
 
 def process(pages: DataFrame, processor: StatefulProcessor, delay: str) -> DataFrame:
     """pages (mid, ts, arrival, entry, body), a stream -> (ts, arrival, body, flag)."""
-    timed = pages.withColumn("et", F.timestamp_millis("ts")).withWatermark("et", delay)
+    # The first watermark is the epoch, and what isn't behind it is late.
+    held = f"{delay} {processor.slack_ms} milliseconds"
+    timed = pages.withColumn("et", F.timestamp_millis(F.greatest("ts", F.lit(1)))).withWatermark("et", held)
     return timed.groupBy("mid").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 

@@ -19,17 +19,12 @@ JOBS = {
     "payment_wide": lambda s, a: jobs.keep_payment_wide(s, a.root, a.once),
     "visitor_stats": lambda s, a: jobs.keep_visitor_stats(s, a.root, a.window, a.once),
     "product_stats": lambda s, a: jobs.keep_product_stats(s, a.root, a.window, a.once),
-    "province_stats": lambda s, a: jobs.keep_province_stats(s, a.root, provinces(s, a.root), a.window, a.once),
+    "province_stats": lambda s, a: jobs.keep_province_stats(s, a.root, None, a.window, a.once, stamped=True),
     "keyword_stats": lambda s, a: jobs.keep_keyword_stats(s, a.root, a.window, a.once),
     "keyword_products": lambda s, a: jobs.keep_keyword_products(s, a.root, a.once),
 }
 
 
-def provinces(spark: SparkSession, root: str):
-    """The province dimension as it is when the job starts, with the names that statistics use."""
-    return jobs.dimension(spark, root, "province").selectExpr("CAST(id AS bigint) AS province_id", "name AS province_name", "area_code", "iso_code", "iso_3166_2")
-
-
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("job", choices=sorted(JOBS))
