@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import RESULTS, TOPICS
 from ..operators import logs, orders
 from ..operators.dims import DimSpec, join_dims
-from ..sources.sinks import UpsertTable, as_json, insert_select, read_routed
+from ..sources.sinks import UpsertTable, as_json, insert_select, read_routed, read_table
 from ..sources.topics import read_topic
 from ..streaming import jobs
 from ..streaming.processors import configure
@@ -69,7 +69,7 @@ class Topics:
         return r.select(F.col("r.common")["mid"].alias("mid"), F.col("r.ts").alias("ts"), F.col("r.common")["is_new"].alias("is_new")).filter(F.col("mid") != LAST)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{RESULTS[name]}").drop("dt", "batch")
+        return read_table(self.spark, self.root, RESULTS[name]).drop("dt", "batch")
 
 
 def _split(s: Samples) -> DataFrame:

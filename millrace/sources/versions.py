@@ -81,4 +81,7 @@ class Versions:
         for v in old:
             gone = [f for f in self._listed(v)[0] if f not in needed]
             files.delete(self.spark, *(f"{self.path}/{f}" for f in gone), self._list(v))
+            for parent in {f.rpartition("/")[0] for f in gone} - {""}:
+                if all(n.startswith("_S") for n in files.names(self.spark, f"{self.path}/{parent}")):
+                    files.delete(self.spark, f"{self.path}/{parent}")
 

@@ -13,7 +13,7 @@ from ..operators import binlog, logs, orders, stats, visits
 from ..operators.dims import DimSpec, join_dims
 from ..schemas import CART_INFO, COMMENT_INFO, FAVOR_INFO, LOG, ORDER_DETAIL, ORDER_INFO, PAYMENT_INFO, REFUND_INFO
 from ..sources.sinks import UpsertTable, as_json, buckets_of, run_stream, write_lines, write_routed, write_table, write_topic
-from ..sources.topics import read_topic
+from ..sources.topics import as_table, read_topic, read_topics
 from .processors import BounceProcessor, LateBounceProcessor, NewVisitorProcessor, UniqueVisitorProcessor, process
 
 
@@ -84,8 +84,9 @@ def wide_orders(spark: SparkSession, root: str) -> DataFrame:
 def wide_provinces(spark: SparkSession, root: str) -> DataFrame:
     """The order-wide topic with the columns that province statistics read, a stream."""
     schema = "province_id bigint, province_name string, province_area_code string, province_iso_code string, province_3166_2_code string, order_id bigint, split_total_amount decimal(20,2), create_time string"
-    names = {"province_area_code": "area_code", "province_iso_code": "iso_code", "province_3166_2_code": "iso_3166_2"}
-    return typed(read_topic(spark, root, TOPICS["order_wide"], True), schema, DELAYS["province"]).withColumnsRenamed(names)
+    at = event_time(to_ms(F.col("create_time")))
+    rows = as_table(read_topic(spark, root, TOPICS["order_wide"], True), schema, "order_wide", at, DELAYS["province"])
+    return rows.withColumnsRenamed({"province_area_code": "area_code", "province_iso_code": "iso_code", "province_3166_2_code": "iso_3166_2"})
 
 
 def keep_province_stats(spark: SparkSession, root: str, provinces: DataFrame | None = None, window: str = "5 seconds", available_now: bool = False, stamped: bool = False) -> StreamingQuery:
@@ -171,9 +172,9 @@ def keep_payment_wide(spark: SparkSession, root: str, available_now: bool = Fals
     return _to_topic(as_json(out), root, TOPICS["payment_wide"], available_now)
 
 
-def _page_metrics(spark: SparkSession, root: str, name: str) -> DataFrame:
+def _page_metrics(topic: DataFrame) -> DataFrame:
     """A topic of page documents with the columns that visitor statistics read."""
-    page = logs.parse_log(read_topic(spark, root, TOPICS[name], True))
+    page = logs.parse_log(topic)
     common = [F.col("common")[c].alias(c) for c in stats.VISITOR_DIMS]
     rows = page.select(event_time(F.col("ts")).alias("et"), *common, F.col("page")["during_time"].cast("bigint").alias("during_time"), F.col("page")["last_page_id"].alias("last_page_id"))
     return rows.withWatermark("et", DELAYS["visitor"])
@@ -181,10 +182,18 @@ def _page_metrics(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def keep_visitor_stats(spark: SparkSession, root: str, window: str = "5 seconds", available_now: bool = False) -> StreamingQuery:
     """Pages, unique visitors and bounces to the visitor table."""
-    out = stats.visitor_stats(*(_page_metrics(spark, root, n) for n in ("page", "unique_visitor", "bounce")), window)
+    read = read_topics(spark, root, [TOPICS[n] for n in ("page", "unique_visitor", "bounce")], True)
+    out = stats.visitor_stats(*map(_page_metrics, read.values()), window)
     return run_stream(out, lambda batch, number: write_table(batch, root, RESULTS["visitor"], batch=number), f"{root}/_checkpoints/visitor", available_now=available_now)
 
 
+def keep_counts(spark: SparkSession, root: str, topic: str, fields: dict[str, str], table: UpsertTable, available_now: bool = False) -> StreamingQuery:
+    """Running counts of a topic's rows by fields (name -> JSON path) in a keyed table, whose keys they are: the table is the
+    state, and a batch that runs again adds nothing."""
+    rows = read_topic(spark, root, topic, True).select(*(F.get_json_object("value", path).alias(name) for name, path in fields.items()), F.lit(1).cast("bigint").alias("ct"))
+    return run_stream(rows, lambda batch, number: table.add(batch, ["ct"], number), f"{root}/_checkpoints/counts_{topic}", available_now=available_now)
+
+
 def product_dims(spark: SparkSession, root: str) -> list[DimSpec]:
     """A product's look-ups, with its price; the last three by keys that the sku gives."""
     number = lambda c: F.col(c).cast("bigint")

@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import oracles, samples, stream_oracles, streams
+from millrace.plans import feeds, oracles, samples, stream_oracles, streams
 
-QUERIES, ORACLES = samples.QUERIES | streams.QUERIES, oracles.ORACLES | stream_oracles.STREAM_ORACLES
+QUERIES, ORACLES = samples.QUERIES | streams.QUERIES | feeds.QUERIES, oracles.ORACLES | stream_oracles.STREAM_ORACLES | feeds.ORACLE_SQL
 
 ROOT = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
