@@ -6,9 +6,10 @@ highest score; inside it, runs whose own weight is below zero (adverts, forms, c
 left out.
 
 An element adds its evidence to what the elements around it gave; one that says what it holds (a section, or a telling name)
-counts FADE times as much as what is around it, so content in a form or in a wrapper named after a header is content. Weights are
-fitted by logistic regression on labelled pages: pages written from seeds, and a bounded sample of the pages at hand that
-mark their article, whose words inside and outside it are the labels.
+counts FADE times as much as what is around it, so content in a wrapper named after a header is content, and a form within an
+article is none. Where names leave next to nothing of a page, it is read again, and elements that hold most of its words count as
+nameless wrappers. Weights are fitted by logistic regression on labelled pages: pages written from seeds, and a bounded sample of
+the pages at hand that mark their article, whose words inside and outside it are the labels and count AT_HAND times as much.
 
 Defined results: null, empty and wordless pages, and pages whose words all score below zero, give the empty text. Of equal
 regions the first one counts. Markup may be cut off or unbalanced anywhere: an unclosed comment, script, style, title or
@@ -49,6 +50,12 @@ TEXTUAL = INLINE | set("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcap
 
 #: How much less what is around a telling element counts.
 FADE = 4.0
+#: A run that is none of the text costs so many words at most, and a word of it so much at most.
+GAP, MOST_LOST = 3, -1.0
+#: A text of fewer words, on a page of more than OTHERS times as many, is no main text: wrappers are then read without their names.
+FEW, OTHERS = 25, 4
+#: What holds so much of a page's words is a wrapper.
+WIDE = 0.5
 
 OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
 NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
@@ -158,7 +165,10 @@ class Weights:
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
 
-    def descend(self, above: tuple[float, bool], name: str, attrs: str) -> tuple[float, bool]:
+    def descend(self, above: tuple[float, bool], name: str, attrs: str, named: bool = True) -> tuple[float, bool]:
+        """named: whether what the element is called says anything."""
+        if not named:
+            name, attrs = name if name in TEXTUAL else "div", ""
         found = self.cache.get((name, attrs))
         if found is None:
             parts = features_of(name, attrs)
@@ -176,9 +186,12 @@ class Weights:
 
     def score(self, words: int, context: tuple[float, bool]) -> float:
         """Of a run of words. A run that is none of the text it stands in costs no more than a tag: it is cut out there
-        and doesn't part the text."""
+        and doesn't part the text. Elsewhere what a run costs is bounded, so that lists between two blocks of text don't part
+        them either."""
         weight = self.of(context)
-        return self.tag * (words > 0) if context[1] and weight < 0 else words * weight
+        if weight < 0:
+            return self.tag * (words > 0) if context[1] else max(weight, MOST_LOST) * min(words, GAP)
+        return words * weight
 
 
 def shares(name: str, parts: Iterable[str]) -> list[tuple[str, float]]:
@@ -199,19 +212,52 @@ def evidence(above: dict[str, float], name: str, attrs: str) -> dict[str, float]
     return out
 
 
+def word_shares(page: str) -> list[float]:
+    """The part of a page's words that each element holds, in the order in which sequence() descends to them."""
+    above, words = [-1], [0]
+
+    def descend(parent: int, name: str, attrs: str) -> int:
+        above.append(parent)
+        words.append(0)
+        return len(above) - 1
+
+    for kind, value, at in sequence(page, 0, descend):
+        if kind == "text":
+            words[at] += len(value.split())
+    for k in range(len(words) - 1, 0, -1):
+        words[above[k]] += words[k]
+    return [w / max(1, words[0]) for w in words[1:]]
+
+
 def main_text(page: str | None, weights: Weights) -> str:
-    """The page's main text: blocks joined by one space, white space within them as one."""
+    """The page's main text: blocks joined by one space, white space within them as one.
+
+    Where names leave next to nothing of a page of many words, they mislead: the page is read again, and what holds most of its
+    words, whatever it is called, is a wrapper."""
+    text, words = best_region(page or "", weights, weights.descend)
+    found = len(text.split())
+    if found < FEW and words > OTHERS * found:
+        shares_left = iter(word_shares(page or ""))
+        again, _ = best_region(page or "", weights, lambda above, name, attrs: weights.descend(above, name, attrs, next(shares_left) < WIDE))
+        if len(again.split()) > found:
+            return again
+    return text
+
+
+def best_region(page: str, weights: Weights, descend: Callable) -> tuple[str, int]:
+    """The text of the page's best region, and how many words the page has."""
     parts: list[tuple[str, bool, float]] = []  # text, whether a block begins before it, the weight of its words
     total = best = 0.0
-    start = 0
+    start = seen = 0
     best_span = (0, 0)
     apart = True
-    for kind, value, context in sequence(page or "", weights.root, weights.descend):
+    for kind, value, context in sequence(page, weights.root, descend):
         if kind == "tag":
             total += weights.tag
             apart |= value
             continue
         words = len(value.split())
+        seen += words
         if total < 0 and words:
             total, start = 0.0, len(parts)
         weight = weights.of(context)
@@ -224,7 +270,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     for text, begins, weight in parts[best_span[0] : best_span[1]]:
         # A run that is left out still parts its neighbours.
         out.append((" " if begins else "") + (text if weight > 0 else " "))
-    return " ".join("".join(out).split())
+    return " ".join("".join(out).split()), seen
 
 
 #: Names that page parts go by, which written pages draw from.
@@ -284,11 +330,9 @@ def labelled_pages(n: int, seed: int = 0) -> Iterator[list[Run]]:
         return [(rng.choice(["div", "section", "td"]), of_class(rng.choice(INSIDE)))]
 
     def wrapper() -> list[tuple[str, str]]:
-        """Around the whole page, named after one part of it or a form for all."""
+        """Around the whole page, named after one part of it."""
         pick = rng.random()
-        if pick < 0.15:
-            return [("form", 'id="form"')]
-        if pick < 0.3:
+        if pick < 0.2:
             return [("div", of_class(rng.choice(["has", "with", "fixed", "page"]) + " " + rng.choice(["sidebar", "header", "footer", "menu", "banner", "top", "nav"])))]
         return [("div", of_class("wrapper"))] if pick < 0.5 else []
 
@@ -328,13 +372,18 @@ def marked_runs(page: str) -> list[Run]:
     return [r for r in out if r[1]]
 
 
-def fit(runs: list[Run], rounds: int = 50) -> Weights:
+#: A run of a page at hand counts as so many of written pages.
+AT_HAND = 4.0
+
+
+def fit(runs: list[Run], at_hand: list[Run] = (), rounds: int = 50) -> Weights:
     """Logistic regression, runs weighing as the root of their words."""
     # Runs of one evidence and label are one.
     mass_of: dict[tuple, float] = {}
-    for found, words, label in runs:
-        key = tuple(sorted(found.items())), label
-        mass_of[key] = mass_of.get(key, 0.0) + words**0.5
+    for own, mass in ((runs, 1.0), (at_hand, AT_HAND)):
+        for found, words, label in own:
+            key = tuple(sorted(found.items())), label
+            mass_of[key] = mass_of.get(key, 0.0) + mass * words**0.5
     names = sorted({f for (found, _) in mass_of for f, _ in found})
     place = {f: k for k, f in enumerate(names)}
     x = np.zeros((len(mass_of), len(names) + 1))
@@ -359,7 +408,7 @@ def fit(runs: list[Run], rounds: int = 50) -> Weights:
 def trained(marked: Iterable[str] = (), pages: int = 400, seed: int = 0) -> Weights:
     """Weights from written pages and from pages that mark their article."""
     runs = [run for page in labelled_pages(pages, seed) for run in page]
-    return fit(runs + [run for page in marked for run in marked_runs(page)])
+    return fit(runs, [run for page in marked for run in marked_runs(page)])
 
 
 #: Pages that weights are fitted on besides written ones: so many at most, of so many characters at most.

@@ -44,7 +44,7 @@ def test_region_is_the_best_of_all():
             texts.append(len(value.split()) if kind == "text" and w.of(context) > 0 else 0)
         spans = [(sum(scores[a:b]), -a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
         best = max((s for s in spans if s[0] > 0), default=(0, 0, 0), key=lambda s: round(s[0], 9))
-        got = sum(x.count("w") for x in [main_text(page, w)])
+        got = html_text.best_region(page, w, w.descend)[0].count("w")
         ties = {sum(texts[-a:b]) for s, a, b in spans if abs(s - best[0]) < 1e-9 and best[0] > 0} or {0}
         assert got in ties
 
@@ -81,6 +81,32 @@ def test_wrappers_dont_hide_content(page):
     assert main_text(page, trained()) == FOUND
 
 
+MARKED = [f"<html><body><nav><a>menu</a></nav><article><h1>Title</h1><p>{TEXT}</p></article><footer>Someone</footer></body></html>"] * 50
+
+
+@pytest.mark.parametrize("marked", [[], MARKED])
+def test_forms_are_no_text_and_names_mislead(marked):
+    w = trained(marked)
+    for form in ("<form><p>Subscribe now</p></form>", "<form class='box'><label>Your name</label><input><p>We write once a week and never more.</p></form>", "<div class='newsletter-signup'><form><p>Subscribe now</p></form></div>", "<div class='x'><form action=z><div>Comment here</div></form></div>"):
+        assert main_text(f"<article><p>{TEXT}</p>{form}<p>Tail.</p></article>", w) == f"{FOUND} Tail."
+        assert main_text(f"<body><div><p>{TEXT}</p>{form}<p>{TEXT}</p></div></body>", w) == f"{FOUND} {FOUND}"
+    assert main_text(f'<div class="newsletter"><h1>Issue 5</h1><p>{TEXT}</p></div>', w) == f"Issue 5 {FOUND}"
+    assert main_text(f'<div id="cookie-recipe"><h1>Cookies</h1><p>{TEXT}</p></div>', w) == f"Cookies {FOUND}"
+    assert main_text(f'<body class="search"><div class="main-menu"><a>Menu</a></div><div><p>{TEXT}</p></div></body>', w) == FOUND
+    assert main_text(f'<body><form id="f"><div class="sidebar-left"><a>Menu</a></div><div><p>{TEXT}</p></div></form></body>', w) == FOUND
+    links = "".join(f"<li><a>Another story of the week {k}</a></li>" for k in range(30))
+    assert main_text(f'<body><div class="content"><p>{TEXT}</p></div><ul class="related">{links}</ul><div class="content"><p>{TEXT}</p></div></body>', w) == f"{FOUND} {FOUND}"
+    # Comments are many, the article is short.
+    comments = "".join(f"<div class='comment'><p>{TEXT}</p></div>" for _ in range(9))
+    assert main_text(f"<article><p>{TEXT}</p></article><section class='comments'>{comments}</section>", w) == FOUND
+
+
+def test_word_shares():
+    shares = html_text.word_shares("<div>a b<p>c</p><script>x y z</script></div><nav>d</nav>")
+    assert shares == [0.75, 0.25, 0.25]
+    assert html_text.word_shares("") == [] and html_text.word_shares("<p></p>") == [0.0]
+
+
 @pytest.mark.parametrize(
     "page",
     ["<a" * 200_000, '<a href="' * 50_000, '<a b=">" ' * 50_000, "<div>" * 100_000 + "x", "<b>" * 50_000 + "<li></li>" * 50_000, "<" * 300_000, "<!--" * 100_000, "<script>" * 100_000, "</p>" * 100_000, "<p>" + "</b>" * 100_000],
