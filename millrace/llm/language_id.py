@@ -1,6 +1,6 @@
 """Language identification by interpolated Kneser-Ney character language models.
 
-Training counts 5-grams of characters per language over all labelled training texts, in the executors. The driver gets all
+Training counts 5-grams of characters per language over the labelled training texts, in the executors. The driver gets all
 of them, a language at a time, derives discounts and the lower orders (continuation counts) from them, and keeps each
 language's grams in arrays sorted by hash. For scoring, the arrays are merged order by order: one look-up of a character's
 longest gram gives its log-probability under every language, and grams that no language has go to the next lower order with
@@ -9,7 +9,8 @@ calibrated on all training texts that the counts don't hold: per language and le
 cross-entropy lies beyond what nearly all calibration texts of that class have. Classes with few texts also take the limit
 that all languages' texts of that length give, so every class has one wherever there is any calibration text.
 
-The model holds every gram counted, so it grows with the number of distinct grams.
+The counts are of all labelled rows up to LABELLED_CHARS characters a language, a sample of whole rows beyond: that bounds what
+the driver and each worker hold, whatever the corpus. All grams counted stay in the model, and all calibration texts set the limits.
 
 Defined results: a text that is null or without a letter is `und`, score 0, rejected. Without any labelled text all are
 `und`. Ties go to the language that sorts first. Repeated rows are predicted alike; no rows give no rows. Columns added are
@@ -36,6 +37,8 @@ PAD, GAP = 1, 32
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Its powers modulo 2 to the 64th, one for each place in a gram.
 POWERS = [np.uint64(pow(MULTIPLIER, k, 1 << 64)) for k in range(8)]
+#: Characters of labelled rows that a language's model is fitted on at most; rows beyond are left out by a hash of their text.
+LABELLED_CHARS = 400_000_000
 #: A text's evidence for the score counts this many characters at most.
 SCORE_CHARS = 50
 #: Lower ends of the length classes, in characters.
@@ -392,11 +395,24 @@ def predictions(docs: DataFrame, model: LanguageIdentifier, text_col: str = "tex
     return map_arrow(docs, run, schema)
 
 
-def split_and_train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageIdentifier:
-    """Counts folds 0 and 3, calibrates on fold 1; fold 2 is never seen."""
+def bounded_sample(labelled: DataFrame, most_chars: int = LABELLED_CHARS) -> DataFrame:
+    """The labelled rows (lang, text), whole texts, of which a language has about most_chars characters at most; by a hash of the
+    text, so which rows they are doesn't depend on how the rows are dealt. All rows where they are no more."""
+    total = labelled.groupBy("lang").agg(F.sum(F.length("text").cast("bigint")).alias("chars"))
+    shares = {r.lang: most_chars / r.chars for r in total.collect() if (r.chars or 0) > most_chars}  # a row a language
+    if not shares:
+        return labelled
+    share = F.lit(1.0)
+    for lang, part in shares.items():
+        share = F.when(F.col("lang") == lang, part).otherwise(share)
+    return labelled.filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
+
+
+def split_and_train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_chars: int = LABELLED_CHARS) -> LanguageIdentifier:
+    """Counts a bounded sample of folds 0 and 3, calibrates on fold 1; fold 2 is never seen."""
     rows = docs.select(fold(F.col(id_col)).alias("fold"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
-    return train(rows.filter("fold IN (0, 3)"), rows.filter("fold = 1"))
+    return train(bounded_sample(rows.filter("fold IN (0, 3)").select("lang", "text"), most_chars), rows.filter("fold = 1"))
 
 
 def op1_language_id(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -137,3 +137,15 @@ def grams_of(text):
     place = np.flatnonzero(code != li.PAD)
     rows, n = np.unique(code[place[:, None] + np.arange(1 - li.ORDER, 1)], axis=0, return_counts=True)
     return rows, n
+
+
+def test_labelled_rows_are_a_bounded_sample(spark):
+    rows = [("en", f"some words of text number {k}") for k in range(2000)] + [("de", f"ein paar Worte {k}") for k in range(20)]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    assert li.bounded_sample(labelled).count() == 2020
+    kept = li.bounded_sample(labelled, 10_000).collect()
+    chars = sum(len(r.text) for r in kept if r.lang == "en")
+    assert 7000 < chars < 13_000 and sum(r.lang == "de" for r in kept) == 20
+    again = li.bounded_sample(labelled.repartition(7), 10_000).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, kept))
+    assert li.bounded_sample(labelled.filter("false"), 10).count() == 0
