@@ -12,6 +12,7 @@ from ..config import GOOD_REVIEWS, WINDOW
 from ..functions.metrics import by_source, metric_row, union_all
 from ..functions.text import tokens
 from ..functions.time import window_text
+from .dims import DimSpec, join_dims
 from .visits import is_entry
 
 VISITOR_DIMS = ["vc", "ch", "ar", "is_new"]
@@ -33,8 +34,17 @@ def visitor_metrics(pages: DataFrame, visitors: DataFrame, bounced: DataFrame) -
     return union_all([views, metric_row(visitors, keys, VISITOR_METRICS, uv_ct=F.lit(1)), metric_row(bounced, keys, VISITOR_METRICS, uj_ct=F.lit(1))])
 
 
+def visitor_flag_stats(pages: DataFrame, window: str = WINDOW) -> DataFrame:
+    """The same statistics of pages that carry their flags (visits.flagged), in one aggregation."""
+    rows = metric_row(pages, ["et", *VISITOR_DIMS], VISITOR_METRICS, uv_ct=F.col("uv"), pv_ct=F.lit(1), sv_ct=is_entry(F.col("last_page_id")).cast("int"), uj_ct=F.col("uj"), dur_sum=F.coalesce(F.col("during_time"), F.lit(0)))
+    return _visitor_windows(rows, window)
+
+
 def visitor_stats(pages: DataFrame, visitors: DataFrame, bounced: DataFrame, window: str = WINDOW) -> DataFrame:
-    rows = visitor_metrics(pages, visitors, bounced)
+    return _visitor_windows(visitor_metrics(pages, visitors, bounced), window)
+
+
+def _visitor_windows(rows: DataFrame, window: str) -> DataFrame:
     out = rows.groupBy(F.window("et", window).alias("w"), *VISITOR_DIMS).agg(*(F.sum(m).alias(m) for m in VISITOR_METRICS))
     return out.select(*window_text(F.col("w")), *VISITOR_DIMS, *VISITOR_METRICS, F.unix_millis(F.col("w")["end"]).alias("ts"))
 
@@ -97,13 +107,19 @@ def product_windows(rows: DataFrame, window: str = WINDOW, double_refunds: bool
     return out.select(*window_text(F.col("w")), "sku_id", *PRODUCT_METRICS, *ORDER_SETS.values(), "ts")
 
 
-def province_stats(wide: DataFrame, window: str = WINDOW, as_of: Column | None = None) -> DataFrame:
-    """Amount and distinct orders by window and province; ts is the time given."""
-    dims = ["province_id", "province_name", "area_code", "iso_code", "iso_3166_2"]
+PROVINCE_NAMES = ["province_name", "area_code", "iso_code", "iso_3166_2"]
+
+
+def province_stats(wide: DataFrame, window: str = WINDOW, as_of: Column | None = None, names: DimSpec | None = None) -> DataFrame:
+    """Amount and distinct orders by window and province; ts is the time given. names: the look-up of a province's names, where
+    facts have its id alone: they are joined to the sums, not to the facts."""
+    dims = ["province_id", *(PROVINCE_NAMES if names is None else [])]
     by_order = wide.groupBy(F.window("et", window).alias("w"), *dims, "order_id").agg(F.sum("split_total_amount").alias("order_amount"))
     out = by_order.groupBy(again(by_order, window), *dims).agg(F.sum("order_amount").cast(MONEY).alias("order_amount"), F.count("order_id").alias("order_count"))
     ts = F.unix_millis(as_of) if as_of is not None else F.unix_millis(F.col("w")["end"])
-    return out.select(*window_text(F.col("w")), *dims, "order_amount", "order_count", ts.alias("ts"))
+    if names is not None:
+        out = join_dims(out, [names])
+    return out.select(*window_text(F.col("w")), "province_id", *PROVINCE_NAMES, "order_amount", "order_count", ts.alias("ts"))
 
 
 def keyword_stats(pages: DataFrame, window: str = WINDOW) -> DataFrame:

@@ -267,7 +267,7 @@ def _product_orders(s: Samples) -> DataFrame:
 
 def _answers(s: Samples) -> DataFrame:
     """What the dashboard's endpoints answer, taken out of their envelopes: (endpoint, name, value)."""
-    tables = {"product": s.products(DAY), "province": stats.province_stats(s.order_facts, "1 day"), "visitor": s.visitor_table(EVENT_DAY), "keyword": s.keyword_table}
+    tables = {"product": s.products(DAY), "province": stats.province_stats(s.province_facts, "1 day", names=s.province_names), "visitor": s.visitor_table(EVENT_DAY), "keyword": s.keyword_table}
     rows = []
     for endpoint in serving.ENDPOINTS:
         answer = json.loads(serving.serve(endpoint, tables, EVENT_DAY if endpoint in ("visitor", "visitor_is_new", "kw") else DAY))

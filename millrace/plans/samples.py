@@ -101,12 +101,21 @@ class Samples:
         ]
 
     @property
-    def order_facts(self) -> DataFrame:
-        """Order lines with their order's province, for statistics."""
+    def province_facts(self) -> DataFrame:
+        """Order lines with their order's province, by its id."""
         o = self.orders.select(F.col("id").alias("o_id"), "province_id", "et")
-        d = self.details.drop("et").join(o, F.col("order_id") == F.col("o_id"))
-        wide = join_dims(d, self.dims[1:2])
-        return wide.select("order_id", "split_total_amount", "et", "province_id", "province_name", F.col("province_area_code").alias("area_code"), F.col("province_iso_code").alias("iso_code"), F.col("province_3166_2_code").alias("iso_3166_2"))
+        return self.details.drop("et").join(o, F.col("order_id") == F.col("o_id")).select("order_id", "split_total_amount", "et", "province_id")
+
+    @property
+    def province_names(self) -> DimSpec:
+        d = self.dims[1]
+        short = {"province_area_code": "area_code", "province_iso_code": "iso_code", "province_3166_2_code": "iso_3166_2"}
+        return DimSpec(d.table, d.fk, {short.get(k, k): v for k, v in d.columns.items()}, d.key)
+
+    @property
+    def order_facts(self) -> DataFrame:
+        """The same with the province's names."""
+        return join_dims(self.province_facts, [self.province_names])
 
     @property
     def product_sources(self) -> dict[str, DataFrame]:
@@ -140,12 +149,11 @@ class Samples:
     def visitor_table(self, day: int | None = None) -> DataFrame:
         """Visitor statistics by hour, of one day or all. Bounces of a day also see what follows it within their time."""
         within = 6 * HOUR_MS
-        p = seen = logs.repair_is_new(self.pages)
+        p = seen = self.pages
         if day:
-            p = seen.filter(on_day(F.col("et"), day))
-            seen = seen.filter((F.col("et") >= day_start(day)) & (F.col("et") < day_start(day) + F.expr(f"interval {24 * HOUR_MS + within} milliseconds")))
-        bounced = visits.bounces(seen, within_ms=within)
-        return stats.visitor_stats(p, visits.unique_visitors(p), bounced.filter(on_day(F.col("et"), day)) if day else bounced, "1 hour")
+            seen = p.filter((F.col("et") >= day_start(day)) & (F.col("et") < day_start(day) + F.expr(f"interval {24 * HOUR_MS + within} milliseconds")))
+        rows = visits.flagged(seen, on_day(F.col("et"), day) if day else None, within, ever=p if day else None)
+        return stats.visitor_flag_stats(rows, "1 hour")
 
     @property
     def keyword_table(self) -> DataFrame:
@@ -267,7 +275,7 @@ QUERIES: dict[str, Query] = {
     "visitor_stats": _of(lambda s: s.visitor_table()),
     "product_stats": _of(_product_stats),
     "product_stats_by_topic": _of(lambda s: stats.product_stats(s.product_sources, "1 day").select("stt", "edt", "sku_id", *stats.PRODUCT_METRICS, *stats.ORDER_SETS.values(), "ts")),
-    "province_stats": _of(lambda s: stats.province_stats(s.order_facts, "1 day").drop("ts", "iso_code", "iso_3166_2")),
+    "province_stats": _of(lambda s: stats.province_stats(s.province_facts, "1 day", names=s.province_names).drop("ts", "iso_code", "iso_3166_2")),
     "province_stats_sql": _of(_sql_province),
     "keyword_stats": _of(lambda s: stats.keyword_stats(s.pages.withColumn("page_id", F.when(F.col("page_id") == "view", "good_list")), "1 day")),
     "keyword_documents": _of(lambda s: s.table("documents").select("doc_id", F.size(tokens(F.coalesce("text", F.lit("")))).cast("bigint").alias("words"))),
@@ -277,7 +285,7 @@ QUERIES: dict[str, Query] = {
     "gmv_by_brand": _of(lambda s: serving.gmv_by_brand(s.products(DAY), DAY)),
     "gmv_by_spu": _of(lambda s: serving.gmv_by_spu(s.products(DAY), DAY)),
     "gmv_by_category": _of(lambda s: serving.gmv_by_category(s.products(DAY), DAY)),
-    "province_totals": _of(lambda s: serving.province_totals(stats.province_stats(s.order_facts, "1 day"), DAY)),
+    "province_totals": _of(lambda s: serving.province_totals(stats.province_stats(s.province_facts, "1 day", names=s.province_names), DAY)),
     "visitor_by_hour": _of(lambda s: serving.visitor_by_hour(s.visitor_table(EVENT_DAY), EVENT_DAY)),
     "visitor_by_is_new": _of(lambda s: serving.visitor_by_is_new(s.visitor_table(EVENT_DAY), EVENT_DAY)),
     "keyword_score": _of(lambda s: serving.keyword_score(s.keyword_table, EVENT_DAY)),
