@@ -2,6 +2,9 @@
 
 Every round is a join of two stored tables, so a node with very many links is split over tasks by the skew join, and a
 lost executor costs no recomputation of earlier rounds. Nothing but two sums per round reaches the driver.
+
+Defined results: repeated links, links in both directions and links of a node to itself change nothing; links with a null are left
+out; an empty table gives no rows. There are no ties: a component's root is its least node. Columns besides a and b aren't read.
 """
 
 from __future__ import annotations

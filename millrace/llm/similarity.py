@@ -6,11 +6,16 @@ group of any size gives one pair a member; members that fail meet the one with m
 copies resemble their original more than each other, and then once more the least by another hash. The similarity of a pair is computed exactly from the sets.
 
 These rounds leave most groups in one component, where no further pair can matter. The rest is exact: of a group that still
-has several components, all members of different ones meet in the join, where their sizes and a 512-bit sketch sort out
-what can't be similar before a row is made; those that pass are compared by their sets. A pair at 0.8 fails the sketch about
-once in a million.
-
-Defined results: texts without words have no shingles and are similar to none; texts of fewer words than a shingle are one.
+has several components, all members of different ones meet in the join, where their sizes and a sketch of 1024 min-hashes of two
+bits sort out what can't be similar before a row is made; those that pass are compared by their sets. A pair at 0.8 fails the
+sketch about once in a million. What the join compares grows with the square of the members that aren't linked: texts that share
+bands and yet stay just below the similarity, in their thousands, are this method's bad case (README has figures).
+
+Defined results: null texts count as empty; texts without words have no shingles and are similar to none; texts of fewer words than a
+shingle are one shingle. A similarity of exactly `least` links. Nodes name texts by 64 bits: repeated rows of one text are one node
+and linked by the caller; two texts of one name would be taken for one. Of equally good partners the one of the smaller hash, then
+the smaller node, is met first, and which one it is doesn't change the components. A very long text is one set of its distinct
+shingles, eight bytes each, in a task at once. Empty tables give no links. Columns besides the ones named aren't read.
 """
 
 from __future__ import annotations

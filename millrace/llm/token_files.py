@@ -5,8 +5,8 @@ codes follow. `blocks` has a row a block: part and block number (ascending ids r
 and token counts of its documents, the coded bits, and the bit offset of every 256th token, so that a block decodes by
 itself and its runs decode side by side.
 
-Defined results: null counts as empty; an empty document is the end id alone. Rows with equal ids follow each other in
-any order; null ids come first. Texts are whole: a very long one makes a block of its own, and its ids, four bytes each, are
+Defined results: null counts as empty; an empty document is the end id alone. Rows with equal ids follow each other
+in the order of their token ids' bytes, so the same rows give the same files however they are dealt; null ids come first. Texts are whole: a very long one makes a block of its own, and its ids, four bytes each, are
 in a task at once. Ties of counts in the code go to the smaller id. No rows make an empty set. Only the two columns named are
 read, so others may have any name.
 """
@@ -176,7 +176,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
     cuts = sorted(set(cuts))
     part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_part_of(cuts) if cuts else F.lit(0))
     dealt = encoded(docs, tokenizer_path, end_id, id_col, text_col).withColumn("part", part.cast("int"))
-    dealt = dealt.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "doc_id")
+    dealt = dealt.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "doc_id", "ids")
     coded, at_coded = stored(dealt, "token-ids")
     size = max(load(tokenizer_path)[0].size, end_id + 1)
     counts = id_counts(coded, size)

@@ -86,3 +86,10 @@ def test_edges(spark):
     assert token_files.op2_token_files(spark, empty).count() == 0
     odd = spark.createDataFrame([(None, "a", "x", 1), (1, None, "y", 2)], "doc_id long, text string, ids string, part int")
     assert sorted((r.start, r.doc_id) for r in token_files.op2_token_files(spark, odd).collect()) == [(0, None), (2, 1)]
+
+
+def test_rows_of_one_id_have_one_order(spark):
+    rows = [(k % 3 or None, f"text {k} " + "word " * (k % 7)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(map(repr, token_files.op2_token_files(spark, d).collect())) for d in (docs.repartition(5), docs.repartition(3, "text"), docs.orderBy("text"))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 60
