@@ -40,13 +40,18 @@ class Fed(Topics):
         as_json(rows.coalesce(1)).write.mode("append").text(f"{self.root}/{name}")
 
     def run(self, job: Callable, *args, **more) -> None:
-        """A job to the end of what is there."""
-        before = self.spark.conf.get(MAX_FILES, None)
-        self.spark.conf.set(MAX_FILES, "1")
+        """A job to the end of what is there, a file a batch; with no more partitions than cores, as each has a state store that is
+        opened and committed in every batch."""
+        conf, cores = self.spark.conf, self.spark.sparkContext.defaultParallelism
+        own = {MAX_FILES: "1", "spark.sql.shuffle.partitions": str(min(cores, int(conf.get("spark.sql.shuffle.partitions"))))}
+        before = {k: conf.get(k, None) for k in own}
         try:
+            for k, v in own.items():
+                conf.set(k, v)
             job(self.spark, self.root, *args, available_now=True, **more).awaitTermination()
         finally:
-            self.spark.conf.set(MAX_FILES, before) if before else self.spark.conf.unset(MAX_FILES)
+            for k, v in before.items():
+                conf.set(k, v) if v is not None else conf.unset(k)
 
     def forget_commit(self, checkpoint: str) -> int:
         """As if the job had been killed at the end of its last batch: Spark doesn't know that it ended. Its number."""
@@ -290,6 +295,23 @@ def entries(data) -> list[tuple[str, float]]:
     return [(f"{r[first]} {c}", float(r[c])) for r in data["rows"] for c in rest]
 
 
+def _product_look_ups(s: Samples) -> DataFrame:
+    """Products of a day with their look-ups as the product job has them, three of them by keys that the first one gives; from keyed
+    tables of text, as routes fill them."""
+    part, root = s.table("part"), scratch(s.spark)
+    brand = F.regexp_replace("p_brand", "[^0-9]", "")
+    held = {
+        "sku": part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("sku_name"), (F.col("p_partkey") * 2).alias("spu_id"), brand.alias("tm_id"), F.col("p_size").alias("category3_id"), F.col("p_retailprice").cast(MONEY).alias("price")),
+        "spu": part.filter("p_partkey % 5 > 0").select((F.col("p_partkey") * 2).alias("id"), F.upper("p_name").alias("spu_name")),
+        "brand": part.select(brand.alias("id"), F.col("p_brand").alias("tm_name")).distinct(),
+        "category": part.select(F.col("p_size").alias("id"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("name")).distinct(),
+    }
+    for name, rows in held.items():
+        UpsertTable(s.spark, f"{root}/dims/{jobs.DIMENSIONS[name][0]}", ["id"], as_text=True, buckets=4).upsert(rows.withColumn("seq", F.lit(1)), "seq")
+    sold = stats.product_stats({"order": s.details_on(DAY)}, "1 day")
+    return join_dims(sold, jobs.product_dims(s.spark, root)).select("sku_id", "order_ct", "order_amount", "sku_name", "sku_price", "spu_name", "tm_name", "category3_name")
+
+
 def _of(build: Callable[[Samples], DataFrame]):
     return lambda spark, root: build(Samples(spark, root))
 
@@ -311,6 +333,7 @@ QUERIES = {
     "order_segments_as_of": _of(_as_of_wide),
     "segmented_names": _of(_segmented),
     "dashboard_answers": _of(_answers),
+    "product_look_ups": _of(_product_look_ups),
 }
 
 _DENSE = f"{PAGES}, dense AS (SELECT * REPLACE ((ts // 432000) * 100 + arrival % 100 AS ts) FROM pages)"
@@ -347,6 +370,9 @@ ORACLE_SQL = {
     "order_segments_as_of": """SELECT o_orderkey AS order_id, CASE WHEN o_orderdate < TIMESTAMP '1995-06-17' THEN c_mktsegment ELSE lower(c_mktsegment) END AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
     "segmented_names": f"""SELECT p_partkey, 'no ' || p_partkey || ' ' || CASE WHEN w[1] = w[2] THEN w[1] ELSE array_to_string(w, ' ') END AS words
         FROM (SELECT p_partkey, string_split(translate(lower(p_name), '{LETTERS}', '{GLYPHS}'), ' ') AS w FROM part)""",
+    "product_look_ups": f"""WITH {ITEMS}, sold AS (SELECT sku_id, count(DISTINCT order_id) AS order_ct, CAST(sum(amount) AS {MONEY}) AS order_amount FROM items WHERE CAST(et AS DATE) = DATE '1996-01-15' GROUP BY 1)
+        SELECT sku_id, order_ct, order_amount, p_name AS sku_name, CAST(p_retailprice AS {MONEY}) AS sku_price, CASE WHEN p_partkey % 5 > 0 THEN upper(p_name) END AS spu_name, p_brand AS tm_name, 'size ' || p_size AS category3_name
+        FROM sold LEFT JOIN part ON sku_id = p_partkey""",
     "dashboard_answers": " UNION ALL ".join([
         _answer("gmv", "gmv", "'all'", "gmv"), _answer("tm", "gmv_by_brand", "name || ' order_amount'", "order_amount"), _answer("spu", "gmv_by_spu", "name", "order_amount"),
         *(_answer("c3", "gmv_by_category", f"name || ' {c}'", c) for c in ("order_amount", "order_ct")), _answer("province", "province_totals", "province_name", "order_amount"),
