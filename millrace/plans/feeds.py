@@ -4,6 +4,7 @@ parts; with their SQL. Topics are made of the samples in several files, one a ba
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -195,7 +196,7 @@ def _merged_days(s: Samples) -> DataFrame:
         for _ in range(1 + k % 2):  # every second batch runs twice
             table.append(p.filter(F.col("k") == k).drop("k"), k)
     p.unpersist()
-    assert all(sum(f.startswith(f"{d}/") for f in table.folders()) <= 4 for d in {f.partition("/")[0] for f in table.folders()})
+    assert all(n <= 4 for n in Counter(f.partition("/")[2] for f in table.folders()).values())
     return table.read().groupBy("dt", "page_id").agg(F.sum("ct").alias("ct"))
 
 

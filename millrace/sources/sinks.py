@@ -82,9 +82,10 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 class ResultTable(Versions):
-    """A stream's result table: a part a batch and day, in folders dt=D/batch=N. Days with more than `most` parts are merged into
-    one part (batch=-N, N the last batch), in files of some `file_mb`, before the list names it in their place; so a day has a
-    bounded number of files however long the stream runs, and readers see either the parts or what they were merged to."""
+    """A stream's result table: a part a batch and day, in folders batch=N/dt=D, put in place by one rename a batch. Days with more
+    than `most` parts are merged into one part (batch=-N, N the last batch), in files of some `file_mb`, before the list names it in
+    their place; so a day has a bounded number of files however long the stream runs, and readers see either the parts or what they
+    were merged to."""
 
     def __init__(self, spark: SparkSession, path: str, day: str | None = "stt", most: int = 24, file_mb: int = 128, keep_seconds: int = 3600):
         super().__init__(spark, path, keep_seconds)
@@ -96,19 +97,14 @@ class ResultTable(Versions):
         held, last = self._listed(lists[-1]) if lists else ([], -1)
         if batch <= last:
             return
-        staged = f"{self.path}/_staged-{batch}"
+        staged, at = f"{self.path}/_staged-{batch}", f"batch={batch}"
         if self.day:
-            rows = rows.withColumn("dt", F.date_format(F.col(self.day).cast("timestamp"), "yyyyMMdd").cast("int"))
-            rows.write.mode("overwrite").partitionBy("dt").parquet(staged)
-            days = [n for n in files.names(self.spark, staged) if n.startswith("dt=")]
-        else:
-            rows.write.mode("overwrite").parquet(staged)
-            days = [""]
-        parts = {f"{d}/batch={batch}".lstrip("/"): f"{staged}/{d}".rstrip("/") for d in days}
-        for part, source in parts.items():
-            files.delete(self.spark, f"{self.path}/{part}")  # of a batch that didn't come to its list
-            files.rename(self.spark, source, f"{self.path}/{part}")
-        files.delete(self.spark, staged)
+            # A day's rows go to one task, or to several if they are many: one file a day and not one a day and task.
+            rows = rows.withColumn("dt", F.date_format(F.col(self.day).cast("timestamp"), "yyyyMMdd").cast("int")).hint("rebalance", "dt")
+        rows.write.mode("overwrite").partitionBy(*(["dt"] if self.day else [])).parquet(staged)
+        parts = [f"{at}/{n}" for n in files.names(self.spark, staged) if n.startswith("dt=")] if self.day else [at]
+        files.delete(self.spark, f"{self.path}/{at}")  # of a batch that didn't come to its list
+        files.rename(self.spark, staged, f"{self.path}/{at}")
         now = max(lists, default=0) + 1
         self._commit(now, [*held, *parts], batch)
         self._merge(now, [*held, *parts], batch)
@@ -116,13 +112,13 @@ class ResultTable(Versions):
     def _merge(self, version: int, held: list[str], batch: int) -> None:
         by_day: dict[str, list[str]] = {}
         for part in held:
-            by_day.setdefault(part.rpartition("/")[0], []).append(part)
+            by_day.setdefault(part.partition("/")[2], []).append(part)
         many = {d: parts for d, parts in by_day.items() if len(parts) > self.most}
         if not many:
             return
         kept = [p for d, parts in by_day.items() if d not in many for p in parts]
         for d, parts in many.items():
-            to = f"{d}/batch=-{batch}".lstrip("/")
+            to = f"batch=-{batch}/{d}".rstrip("/")
             size = sum(files.size(self.spark, f"{self.path}/{p}") for p in parts)
             rows = self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{p}" for p in parts))
             rows.repartition(1 + size // (self.file_mb << 20)).write.mode("overwrite").parquet(f"{self.path}/{to}")
@@ -133,7 +129,7 @@ class ResultTable(Versions):
         parts = [f"{self.path}/{f}" for f in self.folders(version)]
         if not parts:
             raise FileNotFoundError(f"{self.path} has no rows yet")
-        return self.spark.read.option("basePath", self.path).option("mergeSchema", True).parquet(*parts)
+        return self.spark.read.option("basePath", self.path).parquet(*parts)
 
 
 def insert_select(df: DataFrame, view: str, table: str, query: str) -> None:
