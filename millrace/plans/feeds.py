@@ -259,7 +259,7 @@ def _product_orders(s: Samples) -> DataFrame:
     t.put_parts(d, "lines", thirds("ts", d), 3)
     last = d.agg((F.max("ts") + LATER_MS).alias("ts")).select(F.lit(-1).alias("sku_id"), from_ms(F.col("ts")).alias("create_time"))
     t.put_one(last, "lines")
-    table = ResultTable(t.spark, f"{t.root}/products")
+    table = ResultTable(t.spark, f"{t.root}/products", None)  # thousands of days a batch, none asked for
 
     def job(spark: SparkSession, root: str, available_now: bool):
         rows = jobs.typed(read_topic(spark, root, "lines", True), f"order_id bigint, sku_id bigint, sku_num bigint, split_total_amount {MONEY}, status string, create_time string")
