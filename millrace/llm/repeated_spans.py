@@ -38,9 +38,11 @@ from .wordcache import runs
 GRAM = 64
 PLACE_BITS = 28
 OCCURRENCE = "doc_id bigint, tag bigint, anchor bigint, lo int, hi int, context bigint"
-#: Bytes of contexts in a shard, on average; and what a task holds of one before it goes to disk.
+#: Bytes of contexts in a shard, on average; what a task holds of one before it goes to disk; the most names that it sorts
+#: without recursion. They change what is held where, not the result.
 SHARD_BYTES = 4 << 20
 SHARD_ROOM = 96 << 20
+SHARD_BASE = 2 << 20
 
 
 def occurrences(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
@@ -112,8 +114,8 @@ def _body_rows(wanted: DataFrame, width: int) -> DataFrame:
 class Shard:
     """The bodies of a task in one text: 1 behind each, 0 at the end, bytes from 2; a mapped file beyond `room` bytes."""
 
-    def __init__(self, room: int = SHARD_ROOM):
-        self.room, self.parts, self.held, self.file, self.size = room, [], 0, None, 0
+    def __init__(self, room: int = SHARD_ROOM, base: int = SHARD_BASE):
+        self.room, self.base, self.parts, self.held, self.file, self.size = room, base, [], 0, None, 0
         self.columns: list[tuple] = []
 
     def add(self, batch: pa.RecordBatch) -> None:
@@ -149,7 +151,7 @@ class Shard:
             return
         begin, anchor, context, windows, several = (np.concatenate(x) for x in zip(*self.columns, strict=True))
         windows = windows.astype(np.int64)
-        again = repeated_places(self.text(), 258, width)
+        again = repeated_places(self.text(), 258, width, room=self.room, base=self.base)
         for k in range(0, len(begin), limit):
             n, own = windows[k : k + limit], slice(k, k + limit)
             body = np.repeat(np.arange(len(n)), n)
@@ -165,13 +167,13 @@ class Shard:
             yield pa.RecordBatch.from_arrays([pa.array(anchor[own][found]), pa.array(context[own][found]), lists], ["anchor_", "context_", "ranges"])
 
 
-def _sorted_rows(bodies: DataFrame, width: int, shard_bytes: int) -> DataFrame:
+def _sorted_rows(bodies: DataFrame, width: int, shard_bytes: int, room: int, base: int) -> DataFrame:
     """(anchor_, context_, ranges): each shard of bodies is sorted; shards grow in number with the bytes there are."""
     total = bodies.agg(F.sum(F.octet_length("body").cast("bigint"))).first()[0] or 0
     shards = max(int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
 
     def run(batches):
-        shard = Shard()
+        shard = Shard(room, base)
         for batch in batches:
             if batch.num_rows:
                 shard.add(batch)
@@ -191,7 +193,7 @@ def _named(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumnsRenamed({k: f"{k}_" for k in keys})
 
 
-def repeated_ranges(keyed: DataFrame, width: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_ranges(keyed: DataFrame, width: int, shard_bytes: int = SHARD_BYTES, room: int = SHARD_ROOM, base: int = SHARD_BASE) -> DataFrame:
     """(doc_id_, tag_, ranges array<struct<s, e>>) of documents with repeated windows; ranges may overlap."""
     spark, gone = keyed.sparkSession, []
 
@@ -212,7 +214,7 @@ def repeated_ranges(keyed: DataFrame, width: int, shard_bytes: int = SHARD_BYTES
     # A document repeated with its id and text gives its spans twice, to the same effect.
     bodies = keep(_body_rows(keyed.join(own, _same(keyed, own, "doc_id", "tag")).select("text", "spans"), width), "spans-bodies")
     forget(spark, gone[3])
-    again = keep(_sorted_rows(bodies, width, shard_bytes), "spans-sorted")
+    again = keep(_sorted_rows(bodies, width, shard_bytes, room, base), "spans-sorted")
     forget(spark, gone[4])
     found = met.join(again, _same(met, again, "anchor", "context"))
     moved = F.transform("ranges", lambda r: F.struct((F.col("lo") + r["s"]).alias("s"), (F.col("lo") + r["e"] + (width - 1)).alias("e")))
@@ -251,12 +253,13 @@ def _cut_rows(joined: DataFrame, digest: bool) -> DataFrame:
     return map_arrow(joined, run, CUT)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, digest: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): kept has the remaining bytes, or their sha256 with digest=True."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, digest: bool = False, shard_bytes: int = SHARD_BYTES, room: int = SHARD_ROOM, base: int = SHARD_BASE) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept): kept has the remaining bytes, or their sha256 with digest=True. A task holds
+    about `room` bytes of its shard's text and of each queue, and sorts up to `base` names without recursion."""
     if width < 2 * GRAM:
         raise ValueError(f"width must be at least {2 * GRAM}")
     keyed = _keyed(docs, id_col, text_col)
-    ranges = repeated_ranges(keyed, width, shard_bytes)
+    ranges = repeated_ranges(keyed, width, shard_bytes, room, base)
     joined = keyed.join(ranges, _same(keyed, ranges, "doc_id", "tag"), "left").select("doc_id", "text", "ranges")
     return _cut_rows(joined, digest)
 

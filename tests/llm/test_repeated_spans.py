@@ -84,3 +84,12 @@ def test_clashing_names(spark):
     rows = [(1, "k" * 250, 1, "a", 5), (2, "k" * 250, 2, "b", 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, anchor_ int, tag string, context long")
     assert [r.n_removed for r in repeated_spans.op9_repeated_spans(spark, docs).collect()] == [250, 250]
+
+
+def test_recursion_and_disk_through_the_query(spark):
+    rows = case(8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    # One shard or few; tasks hold next to nothing and recurse to the last name.
+    got = repeated_spans.remove_repeats(docs, digest=True, shard_bytes=1 << 30, room=500, base=1)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept.hex()) for r in got.collect()), key=repr)
+    assert got == brute([(d, (t or "").encode()) for d, t in rows], 200)
