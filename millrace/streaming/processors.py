@@ -18,13 +18,27 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..config import BOUNCE_WITHIN_MS, DAY_MS, WINDOW_MS
 
 
+#: State beyond memory: the stores of an executor share one bounded cache, which has room for the filters of their files (a
+#: store's own of 8 MB reads them again for each key), and rows aren't counted, which would look up each key once more.
+STATE = {
+    "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "rocksdb.boundedMemoryUsage": "true", "rocksdb.maxMemoryUsageMB": "600",
+    "rocksdb.trackTotalNumberOfRows": "false", "rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def configure(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name, value in STATE.items():
+        spark.conf.set(f"spark.sql.streaming.stateStore.{name}", value)
 
 
-ROW = T.StructType([T.StructField("ts", T.LongType()), T.StructField("arrival", T.LongType()), T.StructField("entry", T.BooleanType()), T.StructField("body", T.StringType())])
+#: Rows of one visitor that came together, as one value: state is asked for values, and each costs a call to the JVM.
+ROWS = T.StructType([T.StructField("ts", T.ArrayType(T.LongType())), T.StructField("arrival", T.ArrayType(T.LongType())), T.StructField("entry", T.ArrayType(T.BooleanType())), T.StructField("body", T.ArrayType(T.StringType()))])
 FLAG = T.StructType([T.StructField("value", T.LongType())])
+#: Rows met, and the timer that is set, 0 for none.
+BOOK = T.StructType([T.StructField("met", T.LongType()), T.StructField("timer", T.LongType())])
 
+#: How many rows one value has at most.
+AT_ONCE = 4096
 
 COLUMNS = ["ts", "arrival", "body", "flag"]
 
@@ -32,17 +46,17 @@ COLUMNS = ["ts", "arrival", "body", "flag"]
 class _Waiting(StatefulProcessor):
     """Keeps rows until the watermark has passed `due(row)`, then hands them on in order.
 
-    A row is late, and drops, by its own time. slack_ms: the watermark stays so far behind, so that rows drop only where what
-    they belong to is closed; what is due by time less the delay is due as if it weren't."""
+    A visitor has one timer, set to when the first of the rows that wait is due, so a batch costs a few calls a visitor and not
+    several a row. A row is late, and drops, by its own time. slack_ms: the watermark stays so far behind, so that rows drop only
+    where what they belong to is closed; what is due by time less the delay is due as if it weren't."""
 
     slack_ms = 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", ROW)
+        self.rows = handle.getListState("rows", ROWS)
         self.mark = handle.getValueState("mark", FLAG)
-        self.met = handle.getValueState("met", FLAG)
-        self.done = handle.getValueState("done", FLAG)
+        self.book = handle.getValueState("book", BOOK)
 
     def due(self, ts: int) -> int:
         """When a row can be decided."""
@@ -60,30 +74,43 @@ class _Waiting(StatefulProcessor):
             for frame in rows:
                 yield pd.DataFrame({"ts": frame["ts"], "arrival": frame["arrival"].fillna(0).astype("int64"), "body": frame["body"], "flag": "0"}, columns=COLUMNS)
             return
-        n = self.met.get()[0] if self.met.exists() else 0
+        n, timer = self.book.get() or (0, 0)
+        first = timer
         for frame in rows:
-            for ts, arrival, entry, body in zip(frame["ts"], frame["arrival"], frame["entry"], frame["body"], strict=True):
-                n += 1
-                self.rows.appendValue((int(ts), n if pd.isna(arrival) else int(arrival), bool(entry), body))
-                self.handle.registerTimer(max(1, self.due(int(ts)) - self.slack_ms))
-        self.met.update((n,))
-        yield pd.DataFrame(columns=COLUMNS)
+            ts, arrival = frame["ts"].astype("int64").tolist(), frame["arrival"]
+            came = [n + k + 1 if none else int(at) for k, (at, none) in enumerate(zip(arrival, arrival.isna(), strict=True))]
+            n += len(ts)
+            self._keep(self.rows.appendValue, ts, came, frame["entry"].astype(bool).tolist(), frame["body"].tolist())
+            first = min(first or self._timer(min(ts)), self._timer(min(ts)))
+        if timer and first < timer:
+            self.handle.deleteTimer(timer)
+        if first != timer:
+            self.handle.registerTimer(first)
+        self.book.update((n, first))
+
+    def _timer(self, ts: int) -> int:
+        return max(1, self.due(ts) - self.slack_ms)
+
+    def _keep(self, put, *columns: list) -> None:
+        for k in range(0, len(columns[0]), AT_ONCE):
+            put(tuple(c[k : k + AT_ONCE] for c in columns))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The first timer of a batch decides all that the watermark has passed; the others find it done."""
-        out, mark = [], timerValues.getCurrentWatermarkInMs()
-        if not self.done.exists() or self.done.get()[0] < expiredTimerInfo.getExpiryTimeInMs():
-            self.done.update((mark,))
-            until = mark + self.slack_ms
-            held = sorted((tuple(r) for r in self.rows.get()), key=lambda r: (r[0], r[1])) if self.rows.exists() else []
-            ready = [r for r in held if self.due(r[0]) <= until]
-            if ready:
-                kept, out = self.decide(ready, held[len(ready) :])
-                if kept:
-                    self.rows.put(kept)
-                else:
-                    self.rows.clear()
-        yield pd.DataFrame(out, columns=COLUMNS) if out else pd.DataFrame(columns=COLUMNS)
+        """Decides all that the watermark has passed, and sets the timer of the first row of the rest."""
+        until = timerValues.getCurrentWatermarkInMs() + self.slack_ms
+        held = sorted((r for rows in self.rows.get() for r in zip(*rows, strict=True)), key=lambda r: (r[0], r[1]))
+        ready = [r for r in held if self.due(r[0]) <= until]
+        kept, out = self.decide(ready, held[len(ready) :]) if ready else (held, [])
+        if ready:
+            self.rows.clear()
+            if kept:
+                self._keep(self.rows.appendValue, *map(list, zip(*kept, strict=True)))
+        timer = self._timer(kept[0][0]) if kept else 0
+        if timer:
+            self.handle.registerTimer(timer)
+        self.book.update((self.book.get()[0], timer))
+        if out:
+            yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
         pass
@@ -113,14 +140,15 @@ class UniqueVisitorProcessor(NewVisitorProcessor):
         return False
 
     def decide(self, ready, rest):
-        out, by_window = [], {}
-        for r in ready:
-            by_window.setdefault(self.due(r[0]), []).append(r)
-        for end, rows in sorted(by_window.items()):
-            ts, arrival, _, body = rows[0]
-            if not self.mark.exists() or self.mark.get()[0] // DAY_MS != end // DAY_MS:
-                self.mark.update((ts,))
+        out, last, before = [], self.mark.get(), None
+        for ts, arrival, _, body in ready:
+            end = self.due(ts)
+            if end != before and (last is None or last[0] // DAY_MS != end // DAY_MS):
+                last = (ts,)
                 out.append((ts, arrival, body, "1"))
+            before = end
+        if out:
+            self.mark.update(last)
         return rest, out
 
 
