@@ -16,7 +16,7 @@ from ..config import RESULTS, TOPICS
 from ..operators import logs, orders
 from ..operators.dims import DimSpec, join_dims
 from ..sources.sinks import UpsertTable, as_json, insert_select, read_routed, read_table
-from ..sources.topics import read_topic
+from ..sources.topics import MAX_FILES, read_topic
 from ..streaming import jobs
 from ..streaming.processors import configure
 from .samples import DAY, MONEY, Samples
@@ -45,11 +45,33 @@ class Topics:
 
     def put(self, rows: DataFrame, name: str, closing: DataFrame | None = None) -> None:
         """Rows with ts and arrival, in that order, as documents of the columns left; then the closing ones."""
-        ordered = rows.repartitionByRange("ts").sortWithinPartitions("ts", "arrival").drop("arrival")
+        ordered = rows.repartition(self.cores(), "ts").sortWithinPartitions("ts", "arrival").drop("arrival")
         as_json(ordered).write.mode("append").text(f"{self.root}/{name}")
         if closing is not None:
             as_json(closing).write.mode("append").text(f"{self.root}/{name}")
 
+    def cores(self) -> int:
+        """As many files or partitions as cores; rows of one time are in one file, in order of arrival."""
+        return min(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(self, job: Callable, *args, **more) -> None:
+        """A job to the end of what is there, with no more partitions than cores, as each has a state store that is opened and
+        committed in every batch. Files of a topic aren't in order of time, so all that a batch should have is taken up with it: rows
+        of files that are left for the next one would be late."""
+        conf = self.spark.conf
+        own = {MAX_FILES: str(self.files_a_batch()), "spark.sql.shuffle.partitions": str(self.cores())}
+        before = {k: conf.get(k, None) for k in own}
+        try:
+            for k, v in own.items():
+                conf.set(k, v)
+            job(self.spark, self.root, *args, available_now=True, **more).awaitTermination()
+        finally:
+            for k, v in before.items():
+                conf.set(k, v) if v is not None else conf.unset(k)
+
+    def files_a_batch(self) -> int:
+        return 2**31 - 1
+
     def pages(self, of: Callable[[DataFrame], DataFrame] = lambda p: p) -> None:
         """The page topic, of pages with their marks."""
         p = of(self.s.pages)
@@ -76,14 +98,14 @@ def _split(s: Samples) -> DataFrame:
     """Logs through repair and split to the page topic."""
     t = Topics(s)
     t.put(s.logs, TOPICS["log"], t.closing())
-    jobs.split_logs(t.spark, t.root, available_now=True).awaitTermination()
+    t.run(jobs.split_logs)
     return t.rows(TOPICS["page"])
 
 
 def _visits(s: Samples, name: str, job: Callable) -> DataFrame:
     t = Topics(s)
     t.pages()
-    job(t.spark, t.root, available_now=True).awaitTermination()
+    t.run(job)
     return t.rows(TOPICS[name]).drop("is_new")
 
 
@@ -92,16 +114,16 @@ def _visitors(s: Samples) -> DataFrame:
     t = Topics(s)
     t.pages(logs.repair_is_new)
     for name, job in (("unique_visitor", jobs.keep_unique_visitors), ("bounce", jobs.keep_bounces)):
-        job(t.spark, t.root, available_now=True).awaitTermination()
+        t.run(job)
         as_json(t.closing()).write.mode("append").text(f"{t.root}/{TOPICS[name]}/batch=999")
-    jobs.keep_visitor_stats(t.spark, t.root, "1 hour", available_now=True).awaitTermination()
+    t.run(jobs.keep_visitor_stats, "1 hour")
     return t.table("visitor").filter(F.col("vc") != LAST)
 
 
 def _keywords(s: Samples) -> DataFrame:
     t = Topics(s)
     t.pages(lambda p: p.withColumn("page_id", F.when(F.col("page_id") == "view", "good_list").otherwise("other")))
-    jobs.keep_keyword_stats(t.spark, t.root, "1 day", available_now=True).awaitTermination()
+    t.run(jobs.keep_keyword_stats, "1 day")
     return t.table("keyword")
 
 
