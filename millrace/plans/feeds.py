@@ -17,7 +17,7 @@ from ..operators import binlog, stats
 from ..operators.dims import DimSpec, join_dims, versions_of
 from ..sources import files
 from ..sources.sinks import ResultTable, UpsertTable, as_json
-from ..sources.topics import MAX_FILES, read_topic
+from ..sources.topics import read_topic
 from ..streaming import jobs
 from . import serving
 from .oracles import ITEMS, MONEY, ORACLES, PAGES, REPAIRED, bounced, stamp
@@ -28,31 +28,29 @@ DAY_MS = 86_400_000
 
 
 class Fed(Topics):
-    """Topics whose files are put one after the other, and read one a batch."""
+    """Topics whose parts are put one after the other, and read one a batch. A part is as many files as there are cores."""
 
     def put_parts(self, rows: DataFrame, name: str, parts: Column, count: int) -> None:
-        """Rows with ts and arrival in `count` files: the number `parts` says which."""
+        """Rows with ts and arrival in `count` parts: the number `parts` says which."""
         numbered = rows.withColumn("__part", parts)
         for k in range(count):
-            part = numbered.filter(F.col("__part") == k).drop("__part").coalesce(1).sortWithinPartitions("ts", "arrival").drop("arrival")
-            as_json(part).write.mode("append").text(f"{self.root}/{name}")
+            self.put_part(numbered.filter(F.col("__part") == k).drop("__part"), name)
+
+    def put_part(self, rows: DataFrame, name: str) -> None:
+        """A part, sorted by (ts, arrival); tasks without rows write no file, so empty ones make up the number."""
+        at = f"{self.root}/{name}"
+        written = lambda: sum(n.startswith("part-") for n in files.names(self.spark, at))
+        before = written()
+        self.put(rows, name)
+        for k in range(written() - before, self.cores()):
+            files.mark(self.spark, f"{at}/part-none-{before + k}")
 
     def put_one(self, rows: DataFrame, name: str) -> None:
+        """A few rows in one file."""
         as_json(rows.coalesce(1)).write.mode("append").text(f"{self.root}/{name}")
 
-    def run(self, job: Callable, *args, **more) -> None:
-        """A job to the end of what is there, a file a batch; with no more partitions than cores, as each has a state store that is
-        opened and committed in every batch."""
-        conf, cores = self.spark.conf, self.spark.sparkContext.defaultParallelism
-        own = {MAX_FILES: "1", "spark.sql.shuffle.partitions": str(min(cores, int(conf.get("spark.sql.shuffle.partitions"))))}
-        before = {k: conf.get(k, None) for k in own}
-        try:
-            for k, v in own.items():
-                conf.set(k, v)
-            job(self.spark, self.root, *args, available_now=True, **more).awaitTermination()
-        finally:
-            for k, v in before.items():
-                conf.set(k, v) if v is not None else conf.unset(k)
+    def files_a_batch(self) -> int:
+        return self.cores()
 
     def forget_commit(self, checkpoint: str) -> int:
         """As if the job had been killed at the end of its last batch: Spark doesn't know that it ended. Its number."""
@@ -84,7 +82,7 @@ def _committed(s: Samples) -> DataFrame:
     copy = lambda spark, root, available_now: jobs._to_topic(read_topic(spark, root, TOPICS["page"], True), root, "seen", available_now)
     count = lambda spark, root, available_now: jobs.keep_counts(spark, root, "seen", {"mid": "$.common.mid", "page_id": "$.page.page_id"}, counts, available_now)
     for k in range(3):
-        t.put_one(pages.withColumn("__part", part).filter(F.col("__part") == k).drop("__part", "arrival"), TOPICS["page"])
+        t.put_part(pages.withColumn("__part", part).filter(F.col("__part") == k).drop("__part"), TOPICS["page"])
         t.run(copy)
         if k == 0:
             t.forget_commit("seen")
