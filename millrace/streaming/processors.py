@@ -3,13 +3,18 @@
 A null arrival counts the visitor's rows as they come.
 
 Rows wait in state until event time passes them, and are then taken in order of (ts, arrival), so results don't depend on
-the order of arrival. State needs the RocksDB provider: see `configure`."""
+the order of arrival. On a stream visitors are dealt to PARTS, whose state is one: see `process`. State needs the RocksDB
+provider: see `configure`."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,15 +182,116 @@ class LateBounceProcessor(BounceProcessor):
     entries_end = False
 
 
+class _MarkOf:
+    """A visitor's mark among those of its part."""
+
+    def __init__(self, marks, mid: str):
+        self.marks, self.key = marks, (mid,)
+
+    def get(self) -> tuple | None:
+        return self.marks.getValue(self.key)
+
+    def exists(self) -> bool:
+        return self.marks.containsKey(self.key)
+
+    def update(self, value: tuple) -> None:
+        self.marks.updateValue(self.key, value)
+
+
+#: Waiting rows of a part that came together, in Arrow's stream format: state takes a value's bytes as they are, where lists are
+#: converted item by item.
+BYTES = T.StructType([T.StructField("rows", T.BinaryType())])
+MID = T.StructType([T.StructField("mid", T.StringType())])
+HELD = pa.schema([("mid", pa.string()), ("ts", pa.int64()), ("arrival", pa.int64()), ("entry", pa.bool_()), ("body", pa.string())])
+
+#: To how many parts visitors are dealt; fixed as long as a checkpoint is.
+PARTS = 2048
+
+
+class Dealt(StatefulProcessor):
+    """A processor of single visitors for parts of many, whose rows wait together: a batch costs calls to the state by parts, not by
+    visitors. The processor decides for one visitor after the other; marks stay a visitor's own, so a part's known visitors
+    cost nothing until they come again."""
+
+    def __init__(self, one: _Waiting):
+        self.one = one
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", BYTES)
+        self.marks = handle.getMapState("marks", MID, FLAG)
+        self.book = handle.getValueState("book", BOOK)
+
+    def _of(self, mid: str) -> _Waiting:
+        self.one.mark = _MarkOf(self.marks, mid)
+        return self.one
+
+    def _keep(self, rows: pa.Table) -> None:
+        for batch in rows.combine_chunks().to_batches(max_chunksize=AT_ONCE):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, HELD, options=pa.ipc.IpcWriteOptions(compression="lz4")) as to:
+                to.write_batch(batch)
+            self.rows.appendValue((sink.getvalue().to_pybytes(),))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, timer = self.book.get() or (0, 0)
+        first, known = timer, {}
+        for frame in rows:
+            came, given = np.arange(n + 1, n + 1 + len(frame)), frame["arrival"].notna().to_numpy()
+            came[given] = frame["arrival"][given].astype("int64")
+            n += len(frame)
+            frame = frame.assign(ts=frame["ts"].astype("int64"), arrival=came, entry=frame["entry"].astype(bool))
+            known |= {mid: self._of(mid).at_once() for mid in frame["mid"].unique() if mid not in known}
+            if any(known.values()):
+                met = frame["mid"].map(known).astype(bool)
+                if met.any():
+                    yield frame[met].assign(flag="0")[COLUMNS]
+                frame = frame[~met]
+            if len(frame):
+                self._keep(pa.Table.from_pandas(frame[HELD.names], HELD, preserve_index=False))
+                at = self.one._timer(int(frame["ts"].min()))
+                first = min(first or at, at)
+        if timer and first < timer:
+            self.handle.deleteTimer(timer)
+        if first != timer:
+            self.handle.registerTimer(first)
+        self.book.update((n, first))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() + self.one.slack_ms
+        held = pa.concat_tables(pa.ipc.open_stream(bytes(v[0])).read_all() for v in self.rows.get()).sort_by([(c, "ascending") for c in HELD.names[:3]])
+        mids, *columns = (c.to_pylist() for c in held.columns)
+        rows, rest, out = zip(*columns, strict=True), [], []
+        for mid, line in groupby(zip(mids, rows, strict=True), key=lambda r: r[0]):
+            line = [r for _, r in line]
+            due = bisect_right(line, until, key=lambda r: self.one.due(r[0]))
+            kept, decided = self._of(mid).decide(line[:due], line[due:]) if due else (line, [])
+            rest += [(mid, *r) for r in kept]
+            out += decided
+        self.rows.clear()
+        timer = 0
+        if rest:
+            self._keep(pa.table(list(map(list, zip(*rest, strict=True))), HELD))
+            timer = self.one._timer(min(r[1] for r in rest))
+            self.handle.registerTimer(timer)
+        self.book.update((self.book.get()[0], timer))
+        if out:
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
 OUT = "ts bigint, arrival bigint, body string, flag string"
 
 
-def process(pages: DataFrame, processor: StatefulProcessor, delay: str) -> DataFrame:
-    """pages (mid, ts, arrival, entry, body), a stream -> (ts, arrival, body, flag)."""
+def process(pages: DataFrame, processor: _Waiting, delay: str) -> DataFrame:
+    """pages (mid, ts, arrival, entry, body), a stream -> (ts, arrival, body, flag). Visitors are dealt to parts by a hash."""
     # The first watermark is the epoch, and what isn't behind it is late.
     held = f"{delay} {processor.slack_ms} milliseconds"
     timed = pages.withColumn("et", F.timestamp_millis(F.greatest("ts", F.lit(1)))).withWatermark("et", held)
-    return timed.groupBy("mid").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    dealt = timed.withColumn("part", F.pmod(F.xxhash64("mid"), F.lit(PARTS)).cast("int"))
+    return dealt.groupBy("part").transformWithStateInPandas(statefulProcessor=Dealt(processor), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 
 def in_parts(processor: type[_Waiting], **own: int) -> _Waiting:
