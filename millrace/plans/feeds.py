@@ -16,7 +16,7 @@ from ..functions.time import from_ms
 from ..operators import binlog, stats
 from ..operators.dims import DimSpec, join_dims, versions_of
 from ..sources import files
-from ..sources.sinks import ResultTable, UpsertTable, as_json
+from ..sources.sinks import OpenWindows, ResultTable, UpsertTable, as_json
 from ..sources.topics import read_topic
 from ..streaming import jobs
 from . import serving
@@ -25,6 +25,8 @@ from .samples import DAY, EVENT_DAY, Samples
 from .streams import LAST, LATER_MS, Topics, scratch
 
 DAY_MS = 86_400_000
+#: DELAYS["default"].
+DELAY_MS = 5_000
 
 
 class Fed(Topics):
@@ -251,21 +253,26 @@ def _segmented(s: Samples) -> DataFrame:
 
 
 def _product_orders(s: Samples) -> DataFrame:
-    """Order lines on a stream, in several batches, to products by day: each order counts once for a product."""
+    """Order lines on a stream, in several batches, to products by day: each order counts once for a product. Nearly every line is a
+    key of its own, so lines of open days wait in files, and a day is summed when it closes."""
     t = Fed(s)
     d = s.details.select("order_id", "sku_id", "sku_num", "split_total_amount", "create_time", "status", F.unix_millis("et").alias("ts"), F.col("id").alias("arrival"))
     t.put_parts(d, "lines", thirds("ts", d), 3)
     last = d.agg((F.max("ts") + LATER_MS).alias("ts")).select(F.lit(-1).alias("sku_id"), from_ms(F.col("ts")).alias("create_time"))
     t.put_one(last, "lines")
     table = ResultTable(t.spark, f"{t.root}/products", None)  # thousands of days a batch, none asked for
+    lines = OpenWindows(t.spark, f"{t.root}/open_lines", "1 day", DELAY_MS)
 
-    def job(spark: SparkSession, root: str, available_now: bool):
-        rows = jobs.typed(read_topic(spark, root, "lines", True), f"order_id bigint, sku_id bigint, sku_num bigint, split_total_amount {MONEY}, status string, create_time string")
+    def each(batch: DataFrame, number: int) -> None:
+        rows = jobs.typed(batch, f"order_id bigint, sku_id bigint, sku_num bigint, split_total_amount {MONEY}, status string, create_time string")
         paid = F.col("status") == "F"
         row = stats.product_row(rows, order_id=F.col("order_id"), ordered=F.lit(1), paid=paid, order_sku_num=F.col("sku_num"), order_amount=F.col("split_total_amount"))
-        return jobs.run_stream(stats.product_windows(row, "1 day"), table.append, f"{root}/_checkpoints/products", available_now=available_now)
+        lines.take(row, number, lambda closed: table.append(stats.product_windows(closed, "1 day"), number))
+
+    def job(spark: SparkSession, root: str, available_now: bool):
+        return jobs.run_stream(read_topic(spark, root, "lines", True), each, f"{root}/_checkpoints/products", available_now=available_now)
 
-    t.run(job)
+    t.run(job, stores=False)
     return table.read().filter("sku_id >= 0").select("stt", "sku_id", "order_sku_num", "order_amount", "order_ct", "paid_order_ct")
 
 

@@ -54,12 +54,12 @@ class Topics:
         """As many files or partitions as cores; rows of one time are in one file, in order of arrival."""
         return min(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def run(self, job: Callable, *args, **more) -> None:
-        """A job to the end of what is there, with no more partitions than cores, as each has a state store that is opened and
+    def run(self, job: Callable, *args, stores: bool = True, **more) -> None:
+        """A job to the end of what is there, with no more partitions than cores where each has a state store that is opened and
         committed in every batch. Files of a topic aren't in order of time, so all that a batch should have is taken up with it: rows
         of files that are left for the next one would be late."""
         conf = self.spark.conf
-        own = {MAX_FILES: str(self.files_a_batch()), "spark.sql.shuffle.partitions": str(self.cores())}
+        own = {MAX_FILES: str(self.files_a_batch())} | ({"spark.sql.shuffle.partitions": str(self.cores())} if stores else {})
         before = {k: conf.get(k, None) for k in own}
         try:
             for k, v in own.items():

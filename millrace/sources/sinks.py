@@ -132,6 +132,35 @@ class ResultTable(Versions):
         return self.spark.read.option("basePath", self.path).parquet(*parts)
 
 
+class OpenWindows(Versions):
+    """Rows (et, ...) of a stream's windows until they close: in files, in one folder that each batch replaces, where a keyed store
+    would take and give them one by one. A window closes once, when the latest time met is `delay_ms` behind its end; rows of windows
+    that were closed before their batch drop. The folder's name has the latest time met."""
+
+    def __init__(self, spark: SparkSession, path: str, window: str, delay_ms: int):
+        super().__init__(spark, path)
+        self.window, self.delay_ms = window, delay_ms
+
+    def take(self, rows: DataFrame, batch: int, closed: Callable[[DataFrame], None]) -> None:
+        """A batch, read once; the rows of windows that it closes go to `closed`, which takes a batch that runs again for the same."""
+        lists = self._lists()
+        held, last = self._listed(lists[-1]) if lists else ([], -1)
+        if batch <= last:
+            return
+        before = int(held[0].rpartition("-")[2]) if held else 0
+        staged = f"{self.path}/_staged-{batch}"
+        rows.write.mode("overwrite").parquet(staged)
+        read = lambda *paths: self.spark.read.schema(rows.schema).parquet(*paths)
+        now = max(before, read(staged).agg(F.unix_millis(F.max("et"))).first()[0] or 0)
+        end = F.unix_millis(F.col("__w")["end"])
+        pending = read(staged, *(f"{self.path}/{f}" for f in held)).withColumn("__w", F.window("et", self.window)).filter(end > before - self.delay_ms)
+        shut, at = end <= now - self.delay_ms, f"b{batch:08d}-{now}"
+        closed(pending.filter(shut).drop("__w"))
+        pending.filter(~shut).drop("__w").write.mode("overwrite").parquet(f"{self.path}/{at}")
+        self._commit(max(lists, default=0) + 1, [at], batch)
+        files.delete(self.spark, staged)
+
+
 def insert_select(df: DataFrame, view: str, table: str, query: str) -> None:
     """INSERT INTO table query, where the query reads df by the name of view."""
     df.createOrReplaceTempView(view)
