@@ -93,11 +93,18 @@ def product_stats(sources: dict[str, DataFrame], window: str = WINDOW, refund_mo
 def product_windows(rows: DataFrame, window: str = WINDOW, double_refunds: bool = False) -> DataFrame:
     """The statistics of product rows. Rows are summed by order first, where each order's flags are counted once: no row is
     copied for a distinct count, and a product that is in very many orders is spread over tasks. On streams these are two
-    stateful steps one after the other: no state holds a set that grows with a product's orders."""
+    stateful steps one after the other: no state holds a set that grows with a product's orders. In batches, rows without an order
+    go to the second sum as they are."""
     keyed = rows.withColumn("w", F.window("et", window))
+    loose = None
+    if not rows.isStreaming and not double_refunds:
+        loose = keyed.filter("order_id IS NULL").select("w", "sku_id", "order_id", *PRODUCT_METRICS, *ORDER_SETS, F.unix_millis("et").alias("ts"))
+        keyed = keyed.filter("order_id IS NOT NULL")
     parts = [F.sum(m).alias(m) for m in PRODUCT_METRICS] + [F.max(flag).alias(flag) for flag in ORDER_SETS]
     first = [F.min_by(F.struct("arrival", "refund_amount"), "arrival").alias("first")] if double_refunds else []
     keyed = keyed.groupBy("w", "sku_id", "order_id").agg(*parts, *first, F.min(F.unix_millis("et")).alias("ts"))
+    if loose is not None:
+        keyed = keyed.unionByName(loose)
     counts = [F.sum(F.when(F.col("order_id").isNotNull(), F.col(flag)).otherwise(0)).cast("bigint").alias(name) for flag, name in ORDER_SETS.items()]
     refund = F.sum("refund_amount")
     if double_refunds:
