@@ -244,18 +244,22 @@ class UpsertTable(Versions):
         holders = self._holders(lists[-1]) if lists else dict.fromkeys(range(self.buckets))
         if self.as_text:
             fresh = fresh.select(*(F.col(c).cast("string").alias(c) for c in fresh.columns))
-        bucket = self._bucket(len(holders))
-        touched = {r[0] for r in fresh.select(bucket).distinct().collect()}  # as many as there are buckets
-        if not touched and (batch is None or not lists):
-            return
-        version = max(lists, default=0) + 1
-        at = f"v{version:08d}-{len(holders)}"
-        if touched:
-            held = [holders[b] for b in sorted(touched) if holders[b]]
-            rows = merged(self._read(held), fresh) if held else fresh
-            rows.withColumn("__bucket", bucket).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/{at}")
-        after = {b: f"{at}/__bucket={b}" if b in touched else f for b, f in holders.items()}
-        self._commit(version, [f for f in after.values() if f], last if batch is None else batch)
+        fresh = fresh.persist()  # as many rows as keys; what it is made of is read once
+        try:
+            bucket = self._bucket(len(holders))
+            touched = {r[0] for r in fresh.select(bucket).distinct().collect()}  # as many as there are buckets
+            if not touched and (batch is None or not lists):
+                return
+            version = max(lists, default=0) + 1
+            at = f"v{version:08d}-{len(holders)}"
+            if touched:
+                held = [holders[b] for b in sorted(touched) if holders[b]]
+                rows = merged(self._read(held), fresh) if held else fresh
+                rows.withColumn("__bucket", bucket).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/{at}")
+            after = {b: f"{at}/__bucket={b}" if b in touched else f for b, f in holders.items()}
+            self._commit(version, [f for f in after.values() if f], last if batch is None else batch)
+        finally:
+            fresh.unpersist()
 
     def changes_of(self, batch: int) -> DataFrame:
         """The changes that a batch made, however often it has run."""
