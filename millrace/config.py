@@ -23,6 +23,7 @@ WINDOW_MS = 5_000
 DAY_MS = 86_400_000
 BOUNCE_WITHIN_MS = {"v2": 5_000, "v1": 20_000}
 DELAYS = {"default": "5 seconds", "bounce": "2 seconds", "keyword": "10 seconds", "province": "5 seconds", "visitor": "15 seconds"}
+DELAY_MS = {k: 1000 * int(v.split()[0]) for k, v in DELAYS.items()}
 CHECKPOINT_TRIGGER = "6 seconds"
 #: Columns that wide rows carry for aggregation and no sink writes.
 TRANSIENT = ("order_ids", "paid_order_ids", "refund_order_ids")

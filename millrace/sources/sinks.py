@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -161,6 +161,37 @@ class OpenWindows(Versions):
         files.delete(self.spark, staged)
 
 
+class OpenRows(Versions):
+    """Rows (ts, ...) of a stream until what may follow them is known: in files, in one folder that each batch replaces, whose name has
+    the latest time met. A row is due when that is `delay_ms` behind its time and `within_ms`; rows that came when what the latest time
+    is `delay_ms` behind of was met already are late, and drop."""
+
+    def __init__(self, spark: SparkSession, path: str, within_ms: int, delay_ms: int):
+        super().__init__(spark, path)
+        self.within_ms, self.delay_ms = within_ms, delay_ms
+
+    def take(self, rows: DataFrame, batch: int, decide: Callable[[DataFrame, Column], None]) -> None:
+        """A batch. decide(pending, due) takes all rows that wait, with the order in which they came as `arrival`, and which of them
+        are due; for a batch that runs again it takes the same."""
+        lists = self._lists()
+        held, last = self._listed(lists[-1]) if lists else ([], -1)
+        if batch <= last:
+            return
+        rows = rows.persist()  # its latest time is asked for first
+        try:
+            before = int(held[0].rpartition("-")[2]) if held else 0
+            now = max(before, rows.agg(F.max("ts")).first()[0] or 0)
+            fresh = rows.filter(F.greatest("ts", F.lit(1)) > before - self.delay_ms)
+            fresh = fresh.withColumn("arrival", F.struct(F.lit(batch).cast("bigint").alias("batch"), F.monotonically_increasing_id().alias("place")))
+            pending = self.spark.read.schema(fresh.schema).parquet(*(f"{self.path}/{f}" for f in held)).unionByName(fresh) if held else fresh
+            due, at = F.col("ts") + self.within_ms <= now - self.delay_ms, f"b{batch:08d}-{now}"
+            decide(pending, due)
+            pending.filter(~due).write.mode("overwrite").parquet(f"{self.path}/{at}")
+            self._commit(max(lists, default=0) + 1, [at], batch)
+        finally:
+            rows.unpersist()
+
+
 def insert_select(df: DataFrame, view: str, table: str, query: str) -> None:
     """INSERT INTO table query, where the query reads df by the name of view."""
     df.createOrReplaceTempView(view)

@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..config import DELAYS, KEEP_SECONDS, RESULTS, TOPICS
+from ..config import BOUNCE_WITHIN_MS, DELAY_MS, DELAYS, KEEP_SECONDS, RESULTS, TOPICS
 from ..functions.time import event_time, to_ms
 from ..operators import binlog, logs, orders, stats, visits
 from ..operators.dims import DimSpec, join_dims
-from ..schemas import CART_INFO, COMMENT_INFO, FAVOR_INFO, LOG, ORDER_DETAIL, ORDER_INFO, PAYMENT_INFO, REFUND_INFO
-from ..sources.sinks import UpsertTable, as_json, buckets_of, run_stream, write_lines, write_routed, write_table, write_topic
+from ..schemas import CART_INFO, COMMENT_INFO, FAVOR_INFO, LOG, MAP, ORDER_DETAIL, ORDER_INFO, PAYMENT_INFO, REFUND_INFO
+from ..sources.sinks import OpenRows, UpsertTable, as_json, buckets_of, run_stream, write_lines, write_routed, write_table, write_topic
 from ..sources.topics import as_table, read_topic, read_topics
-from .processors import BounceProcessor, LateBounceProcessor, NewVisitorProcessor, UniqueVisitorProcessor, process
+from .processors import NewVisitorProcessor, UniqueVisitorProcessor, process
 
 
 def typed(topic: DataFrame, schema: str, delay: str = DELAYS["default"]) -> DataFrame:
@@ -26,8 +26,8 @@ def typed(topic: DataFrame, schema: str, delay: str = DELAYS["default"]) -> Data
 def marked_logs(spark: SparkSession, root: str) -> DataFrame:
     """(body, flag) of the log topic, a stream: flag '1' for a visitor's first row. Whom it has met is the processor's keyed
     state, so a batch costs its own visitors, not all that were ever met. Rows without a visitor or time are no first rows."""
-    raw = read_topic(spark, root, TOPICS["log"], True).select("value", F.from_json("value", LOG).alias("r"))
-    rows = raw.select(F.col("r.common")["mid"].alias("mid"), F.col("r.ts").alias("ts"), F.lit(None).cast("bigint").alias("arrival"), F.lit(False).alias("entry"), F.col("value").alias("body"))
+    raw = logs.parsed_once(read_topic(spark, root, TOPICS["log"], True), f"common {MAP}, ts bigint")
+    rows = raw.select(F.col("common")["mid"].alias("mid"), "ts", F.lit(None).cast("bigint").alias("arrival"), F.lit(False).alias("entry"), F.col("value").alias("body"))
     whole = F.col("mid").isNotNull() & F.col("ts").isNotNull()
     marked = process(rows.filter(whole), NewVisitorProcessor(), DELAYS["default"]).select("body", "flag")
     return marked.unionByName(rows.filter(~whole).select("body", F.lit("0").alias("flag")))
@@ -113,24 +113,31 @@ def _to_topic(values: DataFrame, root: str, name: str, available_now: bool) -> S
     return run_stream(values, lambda batch, number: write_lines(batch.select("value"), root, name, number), f"{root}/_checkpoints/{name}", available_now=available_now)
 
 
-def visited(spark: SparkSession, root: str) -> DataFrame:
-    """The page topic as processors take it: (mid, ts, arrival, entry, body)."""
-    page = read_topic(spark, root, TOPICS["page"], True).select("value", F.from_json("value", LOG).alias("r"))
-    entry = visits.is_entry(F.col("r.page")["last_page_id"])
-    rows = page.select(F.col("r.common")["mid"].alias("mid"), F.col("r.ts").alias("ts"), F.lit(None).cast("bigint").alias("arrival"), entry.alias("entry"), F.col("value").alias("body"))
+def visited(topic: DataFrame) -> DataFrame:
+    """Rows of the page topic that have a visitor and a time: (mid, ts, last_page_id, body)."""
+    page = logs.parsed_once(topic, f"common {MAP}, page {MAP}, ts bigint")
+    rows = page.select(F.col("common")["mid"].alias("mid"), "ts", F.col("page")["last_page_id"].alias("last_page_id"), F.col("value").alias("body"))
     return rows.filter("mid IS NOT NULL AND ts IS NOT NULL")
 
 
 def keep_unique_visitors(spark: SparkSession, root: str, available_now: bool = False) -> StreamingQuery:
     """A visitor's first page of a day to its topic, whole."""
-    found = process(visited(spark, root), UniqueVisitorProcessor(), DELAYS["default"])
+    pages = visited(read_topic(spark, root, TOPICS["page"], True))
+    pages = pages.withColumns({"arrival": F.lit(None).cast("bigint"), "entry": visits.is_entry(F.col("last_page_id"))})
+    found = process(pages, UniqueVisitorProcessor(), DELAYS["default"])
     return _to_topic(found.select(F.col("body").alias("value")), root, TOPICS["unique_visitor"], available_now)
 
 
 def keep_bounces(spark: SparkSession, root: str, variant: str = "v2", available_now: bool = False) -> StreamingQuery:
-    """Entries that no page follows to their topic, whole."""
-    found = process(visited(spark, root), {"v2": BounceProcessor, "v1": LateBounceProcessor}[variant](), DELAYS["bounce"])
-    return _to_topic(found.select(F.col("body").alias("value")), root, TOPICS["bounce"], available_now)
+    """Entries that no page follows to their topic, whole. Each row waits for what follows it, and most for a batch only, so rows wait in
+    files, and a batch is decided as a whole by the batch operator."""
+    waiting = OpenRows(spark, f"{root}/_open/{TOPICS['bounce']}", BOUNCE_WITHIN_MS[variant], DELAY_MS["bounce"])
+
+    def each(batch: DataFrame, number: int) -> None:
+        write = lambda pending, due: write_lines(visits.bounces(pending, variant).filter(due).select(F.col("body").alias("value")), root, TOPICS["bounce"], number)
+        waiting.take(visited(batch), number, write)
+
+    return run_stream(read_topic(spark, root, TOPICS["page"], True), each, f"{root}/_checkpoints/{TOPICS['bounce']}", available_now=available_now)
 
 
 #: Dimension tables by what they hold, with the columns that are read of them.
