@@ -21,8 +21,8 @@ from ..sources.topics import read_topic
 from ..streaming import jobs
 from . import serving
 from .oracles import ITEMS, MONEY, ORACLES, PAGES, REPAIRED, bounced, stamp
-from .samples import DAY, EVENT_DAY, Samples
-from .streams import LAST, LATER_MS, Topics, scratch
+from .samples import DAY, EVENT_DAY, Samples, as_logs
+from .streams import LAST, LATER_MS, Topics, as_pages, scratch
 
 DAY_MS = 86_400_000
 #: DELAYS["default"].
@@ -32,18 +32,18 @@ DELAY_MS = 5_000
 class Fed(Topics):
     """Topics whose parts are put one after the other, and read one a batch. A part is as many files as there are cores."""
 
-    def put_parts(self, rows: DataFrame, name: str, parts: Column, count: int) -> None:
+    def put_parts(self, rows: DataFrame, name: str, parts: Column, count: int, **shape: Callable[[DataFrame], DataFrame]) -> None:
         """Rows with ts and arrival in `count` parts: the number `parts` says which."""
         numbered = rows.withColumn("__part", parts)
         for k in range(count):
-            self.put_part(numbered.filter(F.col("__part") == k).drop("__part"), name)
+            self.put_part(numbered.filter(F.col("__part") == k).drop("__part"), name, **shape)
 
-    def put_part(self, rows: DataFrame, name: str) -> None:
+    def put_part(self, rows: DataFrame, name: str, **shape: Callable[[DataFrame], DataFrame]) -> None:
         """A part, sorted by (ts, arrival); tasks without rows write no file, so empty ones make up the number."""
         at = f"{self.root}/{name}"
         written = lambda: sum(n.startswith("part-") for n in files.names(self.spark, at))
         before = written()
-        self.put(rows, name)
+        self.put(rows, name, **shape)
         for k in range(written() - before, self.cores()):
             files.mark(self.spark, f"{at}/part-none-{before + k}")
 
@@ -68,23 +68,17 @@ def thirds(column: str, rows: DataFrame) -> Column:
     return F.least(F.lit(2), F.floor((F.col(column) - F.lit(low or 0)) * 3 / F.lit(max(1, (high or 0) - (low or 0))))).cast("int")
 
 
-def _pages_topic(p: DataFrame) -> DataFrame:
-    common = F.create_map(*(x for c in ("mid", "vc", "ch", "ar", "is_new") for x in (F.lit(c), F.col(c))))
-    page = F.create_map(*(x for c in ("page_id", "item", "last_page_id", "during_time") for x in (F.lit(c), F.col(c).cast("string"))))
-    return p.select(common.alias("common"), page.alias("page"), "ts", "arrival")
-
-
 def _committed(s: Samples) -> DataFrame:
     """Two jobs in a row: pages to a topic of their own, and a running count of that. The first is killed behind a commit that
     the second hasn't read yet, behind one that it has read, and ahead of one with half of it written."""
     t = Fed(s)
     p = s.pages
-    part, pages = thirds("arrival", p), _pages_topic(p)
+    part = thirds("arrival", p)
     counts = UpsertTable(t.spark, f"{t.root}/counts", ["mid", "page_id"])
     copy = lambda spark, root, available_now: jobs._to_topic(read_topic(spark, root, TOPICS["page"], True), root, "seen", available_now)
     count = lambda spark, root, available_now: jobs.keep_counts(spark, root, "seen", {"mid": "$.common.mid", "page_id": "$.page.page_id"}, counts, available_now)
     for k in range(3):
-        t.put_part(pages.withColumn("__part", part).filter(F.col("__part") == k).drop("__part"), TOPICS["page"])
+        t.put_part(p.withColumn("__part", part).filter(F.col("__part") == k).drop("__part"), TOPICS["page"], shape=as_pages)
         t.run(copy)
         if k == 0:
             t.forget_commit("seen")
@@ -109,7 +103,7 @@ def _dense_bounces(s: Samples, variant: str) -> DataFrame:
     """Bounces of pages so dense that visits follow each other within seconds; no two times of a visitor are equal."""
     t = Fed(s)
     p = s.pages.withColumn("ts", F.expr("(ts div 432000) * 100 + arrival % 100"))
-    t.put_parts(_pages_topic(p), TOPICS["page"], thirds("ts", p), 3)
+    t.put_parts(p, TOPICS["page"], thirds("ts", p), 3, shape=as_pages)
     t.put_one(t.closing(), TOPICS["page"])
     t.run(jobs.keep_bounces, variant)
     return t.rows(TOPICS["bounce"]).drop("is_new")
@@ -119,7 +113,7 @@ def _dense_visitors(s: Samples) -> DataFrame:
     """Unique visitors of pages in several batches."""
     t = Fed(s)
     p = s.pages
-    t.put_parts(_pages_topic(p), TOPICS["page"], thirds("ts", p), 3)
+    t.put_parts(p, TOPICS["page"], thirds("ts", p), 3, shape=as_pages)
     t.put_one(t.closing(), TOPICS["page"])
     t.run(jobs.keep_unique_visitors)
     return t.rows(TOPICS["unique_visitor"]).drop("is_new")
@@ -128,7 +122,7 @@ def _dense_visitors(s: Samples) -> DataFrame:
 def _split_topics(s: Samples) -> DataFrame:
     """Logs through repair and split in several batches: rows of all three topics."""
     t = Fed(s)
-    t.put_parts(s.logs, TOPICS["log"], thirds("ts", s.logs), 3)
+    t.put_parts(s.pages, TOPICS["log"], thirds("ts", s.pages), 3, shape=as_logs)
     t.put_one(t.closing(), TOPICS["log"])
     t.run(jobs.split_logs)
     flat = "common map<string,string>, mid string, is_new string, ts string, item string"
@@ -148,7 +142,7 @@ def _late_rows(s: Samples) -> DataFrame:
     cut = p.agg(F.max("ts")).first()[0] - 10 * DAY_MS
     late = (F.col("arrival") % 10 == 0) & (F.col("ts") < cut - LATE_BY_MS)
     # A batch's late rows go by the watermark of the batch before it.
-    t.put_parts(_pages_topic(p), TOPICS["page"], F.when(late, 2).when(F.col("ts") >= cut, 1 + F.col("arrival") % 2).otherwise(0), 3)
+    t.put_parts(p, TOPICS["page"], F.when(late, 2).when(F.col("ts") >= cut, 1 + F.col("arrival") % 2).otherwise(0), 3, shape=as_pages)
     t.put_one(t.closing(), TOPICS["page"])
     t.run(jobs.keep_keyword_stats, "1 day")
     return t.table("keyword")

@@ -25,6 +25,17 @@ EVENT_DAY = 20240115
 HOUR_MS = 3_600_000
 
 
+def as_logs(p: DataFrame) -> DataFrame:
+    """Pages as rows of the log topic, with common, start, page and displays by kind of event."""
+    common = F.create_map(F.lit("mid"), F.col("mid"), F.lit("ch"), F.col("ch"), F.lit("ar"), F.col("ar"), F.lit("ts"), F.lit("common"))
+    page = F.create_map(F.lit("page_id"), F.col("page_id"), F.lit("item"), F.col("item"), F.lit("last_page_id"), F.col("last_page_id"))
+    shown = F.array(*(F.create_map(F.lit("item"), F.lit(str(i)), F.lit("item_type"), F.lit("sku_id" if i else "promotion"), F.lit("page_id"), F.lit("display"), F.lit("pos"), F.lit("x")) for i in range(2)))
+    return p.select(
+        "arrival", common.alias("common"), F.when(F.col("page_id") == "signup", F.create_map(F.lit("entry"), F.lit("icon"))).alias("start"),
+        F.when(F.col("page_id") != "error", page).alias("page"), F.when(F.col("page_id").isin("view", "purchase", "signup"), shown).alias("displays"), "ts",
+    )
+
+
 class Samples:
     """Sample tables as warehouse inputs; every property is a plan, nothing is read until it is used."""
 
@@ -49,14 +60,7 @@ class Samples:
     @property
     def logs(self) -> DataFrame:
         """Documents with common, start, page and displays, by kind of event."""
-        p = self.pages
-        common = F.create_map(F.lit("mid"), F.col("mid"), F.lit("ch"), F.col("ch"), F.lit("ar"), F.col("ar"), F.lit("ts"), F.lit("common"))
-        page = F.create_map(F.lit("page_id"), F.col("page_id"), F.lit("item"), F.col("item"), F.lit("last_page_id"), F.col("last_page_id"))
-        shown = F.array(*(F.create_map(F.lit("item"), F.lit(str(i)), F.lit("item_type"), F.lit("sku_id" if i else "promotion"), F.lit("page_id"), F.lit("display"), F.lit("pos"), F.lit("x")) for i in range(2)))
-        return p.select(
-            "arrival", common.alias("common"), F.when(F.col("page_id") == "signup", F.create_map(F.lit("entry"), F.lit("icon"))).alias("start"),
-            F.when(F.col("page_id") != "error", page).alias("page"), F.when(F.col("page_id").isin("view", "purchase", "signup"), shown).alias("displays"), "ts",
-        )
+        return as_logs(self.pages)
 
     @property
     def orders(self) -> DataFrame:

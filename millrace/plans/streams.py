@@ -19,7 +19,7 @@ from ..sources.sinks import UpsertTable, as_json, insert_select, read_routed, re
 from ..sources.topics import MAX_FILES, read_topic
 from ..streaming import jobs
 from ..streaming.processors import configure
-from .samples import DAY, MONEY, Samples
+from .samples import DAY, MONEY, Samples, as_logs
 
 #: The visitor of the closing rows, and how far they are behind all others.
 LAST, LATER_MS = "zz", 3 * 86_400_000
@@ -36,6 +36,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/millrace-streams/{uuid.uuid4().hex}"
 
 
+def as_pages(p: DataFrame) -> DataFrame:
+    """Pages as rows of their topic."""
+    page = F.struct("page_id", "item", "last_page_id", F.col("during_time").cast("string").alias("during_time"))
+    return p.select(F.struct("mid", "vc", "ch", "ar", "is_new").alias("common"), page.alias("page"), "ts", "arrival")
+
+
 class Topics:
     """A root with topics made of the samples."""
 
@@ -43,9 +49,10 @@ class Topics:
         self.s, self.spark, self.root = s, s.spark, scratch(s.spark)
         configure(self.spark)
 
-    def put(self, rows: DataFrame, name: str, closing: DataFrame | None = None) -> None:
-        """Rows with ts and arrival, in that order, as documents of the columns left; then the closing ones."""
-        ordered = rows.repartition(self.cores(), "ts").sortWithinPartitions("ts", "arrival").drop("arrival")
+    def put(self, rows: DataFrame, name: str, closing: DataFrame | None = None, shape: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+        """Rows with ts and arrival, in that order, as documents of the columns left when they have their shape, which they take behind
+        the exchange; then the closing ones."""
+        ordered = shape(rows.repartition(self.cores(), "ts").sortWithinPartitions("ts", "arrival")).drop("arrival")
         as_json(ordered).write.mode("append").text(f"{self.root}/{name}")
         if closing is not None:
             as_json(closing).write.mode("append").text(f"{self.root}/{name}")
@@ -74,10 +81,7 @@ class Topics:
 
     def pages(self, of: Callable[[DataFrame], DataFrame] = lambda p: p) -> None:
         """The page topic, of pages with their marks."""
-        p = of(self.s.pages)
-        common = F.create_map(*(x for c in ("mid", "vc", "ch", "ar", "is_new") for x in (F.lit(c), F.col(c))))
-        page = F.create_map(*(x for c in ("page_id", "item", "last_page_id", "during_time") for x in (F.lit(c), F.col(c).cast("string"))))
-        self.put(p.select(common.alias("common"), page.alias("page"), "ts", "arrival"), TOPICS["page"], self.closing())
+        self.put(of(self.s.pages), TOPICS["page"], self.closing(), as_pages)
 
     def closing(self) -> DataFrame:
         end = self.s.pages.agg((F.max("ts") + LATER_MS).alias("ts"))
@@ -97,7 +101,7 @@ class Topics:
 def _split(s: Samples) -> DataFrame:
     """Logs through repair and split to the page topic."""
     t = Topics(s)
-    t.put(s.logs, TOPICS["log"], t.closing())
+    t.put(s.pages, TOPICS["log"], t.closing(), as_logs)
     t.run(jobs.split_logs)
     return t.rows(TOPICS["page"])
 
