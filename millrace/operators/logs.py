@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import LOG
+from ..schemas import LOG, MAP
 
 
 def parse_log(raw: DataFrame, value: str = "value") -> DataFrame:
@@ -13,8 +13,8 @@ def parse_log(raw: DataFrame, value: str = "value") -> DataFrame:
 
 
 def parsed_once(topic: DataFrame, schema: str) -> DataFrame:
-    """(value, the fields of schema). As a generator, or the planner parses a line again in each filter that it moves down to it."""
-    return topic.select("value", F.inline(F.array(F.from_json("value", schema))))
+    """A topic (value, ...) with the fields of schema. As a generator, or the planner parses a line again in each filter that it moves down to it."""
+    return topic.select("*", F.inline(F.array(F.from_json("value", schema))))
 
 
 #: More than twice the distance of a tie of 64 bits from zero, so packed pairs sort as pairs.
@@ -51,9 +51,20 @@ def page_logs(logs: DataFrame) -> DataFrame:
 def display_logs(logs: DataFrame) -> DataFrame:
     """A row a display: its fields, then ts, the common ones and page_id; of equal names the later wins."""
     shown = logs.filter("start IS NULL AND displays IS NOT NULL").select("common", "page", "ts", F.explode("displays").alias("display"))
-    stamped = put_all(F.col("display"), F.create_map(F.lit("ts"), F.col("ts").cast("string")))
-    whole = put_all(put_all(stamped, F.col("common")), F.create_map(F.lit("page_id"), F.col("page")["page_id"]))
-    return shown.select(whole.alias("display"), "ts")
+    return shown.select(put_all(F.col("display"), of_displays()).alias("display"), "ts")
+
+
+def of_displays() -> Column:
+    """What is put into each display of a row: ts, the common ones, page_id."""
+    common = F.coalesce(F.col("common"), F.create_map().cast(MAP))
+    stamped = F.when(F.map_contains_key(common, "ts"), common).otherwise(F.map_concat(F.create_map(F.lit("ts"), F.col("ts").cast("string")), common))
+    return put(stamped, "page_id", F.col("page")["page_id"])
+
+
+def put(to: Column, name: str, value: Column) -> Column:
+    """A map with one entry put into it."""
+    rest = F.map_filter(F.coalesce(to, F.create_map().cast(MAP)), lambda k, _: k != name)
+    return F.map_concat(rest, F.create_map(F.lit(name), value))
 
 
 def put_all(to: Column, entries: Column) -> Column:
@@ -63,6 +74,19 @@ def put_all(to: Column, entries: Column) -> Column:
     return F.map_concat(F.map_filter(to, lambda k, v: ~F.map_contains_key(entries, k)), entries)
 
 
+def split_lines(logs: DataFrame) -> DataFrame:
+    """What `split_log` gives as lines in one pass: (topic, value), topic 'start', 'page' or 'display'."""
+    none = F.array().cast(f"array<{MAP}>")
+    shown = F.coalesce(F.when(F.col("start").isNull(), F.col("displays")), none)
+    # What a row's displays share is made once, before they are dealt out.
+    shared = F.when(F.size(shown) > 0, of_displays()).alias("__shared")
+    rows = logs.select("*", shared, shown.alias("__shown")).select("*", F.posexplode(F.concat(F.array(F.lit(None).cast(MAP)), F.col("__shown"))).alias("__at", "display"))
+    own = F.col("__at") == 0
+    topic = F.when(~own, "display").when(F.col("start").isNotNull(), "start").when(F.col("page").isNotNull(), "page")
+    value = F.when(own, F.to_json(F.struct("common", "start", "page", "displays", "ts"))).otherwise(F.to_json(put_all(F.col("display"), F.col("__shared"))))
+    return rows.select(topic.alias("topic"), value.alias("value")).filter("topic IS NOT NULL")
+
+
 def split_log(logs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Start logs stand alone; a page log with displays gives both. Rows with none of them vanish."""
     return start_logs(logs), page_logs(logs), display_logs(logs)

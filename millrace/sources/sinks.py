@@ -43,6 +43,23 @@ def write_lines(values: DataFrame, root: str, name: str, batch: int | None) -> N
         committed(values.sparkSession, f"{root}/{name}/batch={batch}", lambda to: values.write.mode("overwrite").text(to))
 
 
+def write_topics(lines: DataFrame, root: str, topics: dict[str, str], batch: int) -> None:
+    """Rows (topic, value) of a batch, read once, to the topics that `topics` gives for their names. A batch is committed topic by topic:
+    one that runs again adds those that it had not come to."""
+    spark, at = lines.sparkSession, {name: f"{root}/{to}/batch={batch}" for name, to in topics.items()}
+    if all(files.exists(spark, to) for to in at.values()):
+        return
+    staged = f"{root}/_staged/{'-'.join(topics)}-{batch}"
+    lines.write.mode("overwrite").partitionBy("topic").text(staged)
+    for name, to in at.items():
+        if not files.exists(spark, to):
+            if files.exists(spark, f"{staged}/topic={name}"):
+                files.rename(spark, f"{staged}/topic={name}", to)
+            else:
+                files.mark(spark, f"{to}/_SUCCESS")
+    files.delete(spark, staged)
+
+
 def write_routed(routed: DataFrame, root: str, batch: int | None = None) -> None:
     """Rows (sink_table, data) to the topic that each names; a topic's rows may come from several tasks. A batch is committed
     topic by topic: one that runs again adds the topics that it had not come to."""

@@ -12,7 +12,7 @@ from ..functions.time import event_time, to_ms
 from ..operators import binlog, logs, orders, stats, visits
 from ..operators.dims import DimSpec, join_dims
 from ..schemas import CART_INFO, COMMENT_INFO, FAVOR_INFO, LOG, MAP, ORDER_DETAIL, ORDER_INFO, PAYMENT_INFO, REFUND_INFO
-from ..sources.sinks import OpenRows, UpsertTable, as_json, buckets_of, run_stream, write_lines, write_routed, write_table, write_topic
+from ..sources.sinks import OpenRows, UpsertTable, as_json, buckets_of, run_stream, write_lines, write_routed, write_table, write_topic, write_topics
 from ..sources.topics import as_table, read_topic, read_topics
 from .processors import NewVisitorProcessor, UniqueVisitorProcessor, process
 
@@ -37,13 +37,9 @@ def split_logs(spark: SparkSession, root: str, available_now: bool = False) -> S
     """ods_log, with the new-visitor mark repaired, to start, page and display topics. Rows later than the watermark drop."""
 
     def each(batch: DataFrame, number: int) -> None:
-        mark = F.create_map(F.lit("is_new"), F.col("flag"))
-        parsed = batch.select(F.from_json("body", LOG).alias("r"), "flag").select("r.*", "flag")
-        parsed = parsed.withColumn("common", logs.put_all(F.col("common"), mark)).drop("flag").persist()
-        for name, rows in zip(("start", "page", "display"), logs.split_log(parsed), strict=True):
-            out = rows.select(F.to_json("display").alias("value")) if name == "display" else as_json(rows)
-            write_lines(out, root, TOPICS[name], number)
-        parsed.unpersist()
+        parsed = logs.parsed_once(batch.select(F.col("body").alias("value"), "flag"), LOG)
+        parsed = parsed.withColumn("common", logs.put(F.col("common"), "is_new", F.col("flag")))
+        write_topics(logs.split_lines(parsed), root, {name: TOPICS[name] for name in ("start", "page", "display")}, number)
 
     return run_stream(marked_logs(spark, root), each, f"{root}/_checkpoints/split_logs", available_now=available_now)
 

@@ -9,12 +9,13 @@ provider: see `configure`."""
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,10 +118,29 @@ class _Waiting(StatefulProcessor):
         if out:
             yield pd.DataFrame(out, columns=COLUMNS)
 
+    def decide_all(self, held: pa.Table, until: int, of: Callable[[str], _Waiting]) -> tuple[pa.Table, pd.DataFrame]:
+        """The same for many visitors, whose rows (HELD) are in order of (mid, ts, arrival): rows that stay, and what leaves. `of`
+        takes up a visitor's mark. Here one visitor after the other."""
+        mids, *columns = (c.to_pylist() for c in held.columns)
+        rest, out = [], []
+        for mid, line in groupby(zip(mids, zip(*columns, strict=True), strict=True), key=lambda r: r[0]):
+            line = [r for _, r in line]
+            due = bisect_right(line, until, key=lambda r: self.due(r[0]))
+            kept, decided = of(mid).decide(line[:due], line[due:]) if due else (line, [])
+            rest += [(mid, *r) for r in kept]
+            out += decided
+        return pa.table(list(map(list, zip(*rest, strict=True))) or [[]] * len(HELD), HELD), pd.DataFrame(out, columns=COLUMNS)
+
     def close(self) -> None:
         pass
 
 
+def _starts(held: pa.Table) -> np.ndarray:
+    """Whether a row is its visitor's first."""
+    mid = held["mid"].combine_chunks()
+    return np.concatenate([[True], pc.not_equal(mid[1:], mid[:-1]).to_numpy(zero_copy_only=False)])
+
+
 class NewVisitorProcessor(_Waiting):
     """flag '1' for a visitor's first row, '0' for others. Rows wait until the window of the first one closes; a visitor who is
     known by then has a time in state and no rows, and rows to come leave as they are met."""
@@ -137,10 +157,20 @@ class NewVisitorProcessor(_Waiting):
         self.mark.update((ready[0][0],))
         return [], [(ts, arrival, body, "0" if k else "1") for k, (ts, arrival, _, body) in enumerate([*ready, *rest])]
 
+    def decide_all(self, held, until, of):
+        starts = _starts(held)
+        ready = self.due(held["ts"].to_numpy()[starts]) <= until
+        for mid, ts in zip(*(held[c].filter(pa.array(starts)).filter(pa.array(ready)).to_pylist() for c in ("mid", "ts")), strict=True):
+            of(mid).mark.update((ts,))
+        leaves = ready[np.cumsum(starts) - 1]
+        return held.filter(pa.array(~leaves)), _frame(held.filter(pa.array(leaves)), np.where(starts[leaves], "1", "0"))
+
 
 class UniqueVisitorProcessor(NewVisitorProcessor):
     """The first row of a closed window if the visitor was not met yet, or last on another day than the window's end."""
 
+    decide_all = _Waiting.decide_all
+
     def at_once(self) -> bool:
         return False
 
@@ -174,6 +204,14 @@ class BounceProcessor(_Waiting):
                 out.append((ts, arrival, body, "1"))
         return rest, out
 
+    def decide_all(self, held, until, of):
+        ts, entry, starts = held["ts"].to_numpy(), held["entry"].to_numpy(), _starts(held)
+        ready, last = self.due(ts) <= until, np.append(starts[1:], True)
+        ends = last | (np.append(ts[1:], 0) - ts >= self.within_ms)
+        if self.entries_end:
+            ends |= np.append(entry[1:], False)
+        return held.filter(pa.array(~ready)), _frame(held.filter(pa.array(ready & entry & ends)), "1")
+
 
 class LateBounceProcessor(BounceProcessor):
     """Entries that are followed by nothing within the time (v1)."""
@@ -206,12 +244,30 @@ HELD = pa.schema([("mid", pa.string()), ("ts", pa.int64()), ("arrival", pa.int64
 
 #: To how many parts visitors are dealt; fixed as long as a checkpoint is.
 PARTS = 2048
+#: Rows met, the timer that is set, 0 for none, and the watermark of the last call, up to which a part may be decided.
+PART_BOOK = T.StructType([*BOOK.fields, T.StructField("until", T.LongType())])
+
+
+def _bytes_of(rows: pa.Table | pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, HELD, options=pa.ipc.IpcWriteOptions(compression="lz4")) as to:
+        to.write(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows_of(values: Iterable[bytes]) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(v).read_all() for v in values).combine_chunks()
+
+
+def _frame(rows: pa.Table, flag: str | np.ndarray) -> pd.DataFrame:
+    """Rows that leave; bodies stay Arrow's."""
+    body = pd.Series(rows["body"].combine_chunks(), dtype=pd.ArrowDtype(pa.string()))
+    return pd.DataFrame({"ts": rows["ts"].to_numpy(), "arrival": rows["arrival"].to_numpy(), "body": body, "flag": flag}, columns=COLUMNS)
 
 
 class Dealt(StatefulProcessor):
     """A processor of single visitors for parts of many, whose rows wait together: a batch costs calls to the state by parts, not by
-    visitors. The processor decides for one visitor after the other; marks stay a visitor's own, so a part's known visitors
-    cost nothing until they come again."""
+    visitors. Marks stay a visitor's own, so a part's known visitors cost nothing until they come again."""
 
     def __init__(self, one: _Waiting):
         self.one = one
@@ -220,7 +276,7 @@ class Dealt(StatefulProcessor):
         self.handle = handle
         self.rows = handle.getListState("rows", BYTES)
         self.marks = handle.getMapState("marks", MID, FLAG)
-        self.book = handle.getValueState("book", BOOK)
+        self.book = handle.getValueState("book", PART_BOOK)
 
     def _of(self, mid: str) -> _Waiting:
         self.one.mark = _MarkOf(self.marks, mid)
@@ -228,70 +284,103 @@ class Dealt(StatefulProcessor):
 
     def _keep(self, rows: pa.Table) -> None:
         for batch in rows.combine_chunks().to_batches(max_chunksize=AT_ONCE):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, HELD, options=pa.ipc.IpcWriteOptions(compression="lz4")) as to:
-                to.write_batch(batch)
-            self.rows.appendValue((sink.getvalue().to_pybytes(),))
+            self.rows.appendValue((_bytes_of(batch),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, timer = self.book.get() or (0, 0)
-        first, known = timer, {}
-        for frame in rows:
-            came, given = np.arange(n + 1, n + 1 + len(frame)), frame["arrival"].notna().to_numpy()
-            came[given] = frame["arrival"][given].astype("int64")
-            n += len(frame)
-            frame = frame.assign(ts=frame["ts"].astype("int64"), arrival=came, entry=frame["entry"].astype(bool))
-            known |= {mid: self._of(mid).at_once() for mid in frame["mid"].unique() if mid not in known}
-            if any(known.values()):
-                met = frame["mid"].map(known).astype(bool)
-                if met.any():
-                    yield frame[met].assign(flag="0")[COLUMNS]
-                frame = frame[~met]
-            if len(frame):
-                self._keep(pa.Table.from_pandas(frame[HELD.names], HELD, preserve_index=False))
-                at = self.one._timer(int(frame["ts"].min()))
-                first = min(first or at, at)
+        yield from self._take(pa.concat_tables(pa.Table.from_pandas(f[HELD.names], HELD, preserve_index=False) for f in rows), 0)
+
+    def _take(self, rows: pa.Table, watermark: int) -> Iterator[pd.DataFrame]:
+        """Rows that came, without those that are no later than the watermark of the part's last call."""
+        n, timer, until = self.book.get() or (0, 0, 0)
+        first = timer
+        rows = rows.filter(pa.array(np.maximum(rows["ts"].to_numpy(), 1) > until))
+        came, given = np.arange(n + 1, n + 1 + len(rows)), rows["arrival"].is_valid().to_numpy()
+        came[given] = rows["arrival"].drop_null().to_numpy()
+        n += len(rows)
+        rows = rows.set_column(2, HELD.field("arrival"), pa.array(came))
+        known = [mid for mid in rows["mid"].unique().to_pylist() if self._of(mid).at_once()]
+        if known:
+            met = pc.is_in(rows["mid"], pa.array(known, pa.string()))
+            yield _frame(rows.filter(met), "0")
+            rows = rows.filter(pc.invert(met))
+        if len(rows):
+            self._keep(rows)
+            at = self.one._timer(int(rows["ts"].to_numpy().min()))
+            first = min(first or at, at)
         if timer and first < timer:
             self.handle.deleteTimer(timer)
         if first != timer:
             self.handle.registerTimer(first)
-        self.book.update((n, first))
+        self.book.update((n, first, max(until, watermark)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = timerValues.getCurrentWatermarkInMs() + self.one.slack_ms
-        held = pa.concat_tables(pa.ipc.open_stream(bytes(v[0])).read_all() for v in self.rows.get()).sort_by([(c, "ascending") for c in HELD.names[:3]])
-        mids, *columns = (c.to_pylist() for c in held.columns)
-        rows, rest, out = zip(*columns, strict=True), [], []
-        for mid, line in groupby(zip(mids, rows, strict=True), key=lambda r: r[0]):
-            line = [r for _, r in line]
-            due = bisect_right(line, until, key=lambda r: self.one.due(r[0]))
-            kept, decided = self._of(mid).decide(line[:due], line[due:]) if due else (line, [])
-            rest += [(mid, *r) for r in kept]
-            out += decided
-        self.rows.clear()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = _rows_of(bytes(v[0]) for v in self.rows.get()).sort_by([(c, "ascending") for c in HELD.names[:3]])
+        rest, out = self.one.decide_all(held, watermark + self.one.slack_ms, self._of)
         timer = 0
-        if rest:
-            self._keep(pa.table(list(map(list, zip(*rest, strict=True))), HELD))
-            timer = self.one._timer(min(r[1] for r in rest))
+        # A part whose rows all stay keeps them as they are.
+        if len(rest) < len(held):
+            self.rows.clear()
+        if len(rest):
+            if len(rest) < len(held):
+                self._keep(rest)
+            timer = self.one._timer(int(rest["ts"].to_numpy().min()))
             self.handle.registerTimer(timer)
-        self.book.update((self.book.get()[0], timer))
-        if out:
-            yield pd.DataFrame(out, columns=COLUMNS)
+        n, _, until = self.book.get()
+        self.book.update((n, timer, max(until, watermark)))
+        if len(out):
+            yield out
 
     def close(self) -> None:
         pass
 
 
+class Packed(Dealt):
+    """The same for rows that come packed, many of a part as one value: Spark hands a group's rows to Python one by one."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._take(_rows_of(v for f in rows for v in f["rows"]), timerValues.getCurrentWatermarkInMs())
+
+
+#: How many bytes of rows a task packs at once.
+PACK_BYTES = 64 << 20
+
+
+def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (HELD, part) of a task, in order -> (part, at, rows): rows of a part as one value, and their latest time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= PACK_BYTES:
+            yield _packs(held)
+            held, size = [], 0
+    if held:
+        yield _packs(held)
+
+
+def _packs(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    order = np.argsort(rows["part"].to_numpy(), kind="stable")
+    rows = rows.take(pa.array(order))
+    part, ts = rows["part"].to_numpy(), rows["ts"].to_numpy()
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    rows = rows.select(HELD.names).cast(HELD)
+    values = [_bytes_of(rows.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(part)], strict=True)]
+    at = np.maximum.reduceat(ts, starts) if len(starts) else ts
+    return pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int32()), pa.array(at, pa.int64()), pa.array(values, pa.binary())], ["part", "at", "rows"])
+
+
 OUT = "ts bigint, arrival bigint, body string, flag string"
 
 
 def process(pages: DataFrame, processor: _Waiting, delay: str) -> DataFrame:
     """pages (mid, ts, arrival, entry, body), a stream -> (ts, arrival, body, flag). Visitors are dealt to parts by a hash."""
-    # The first watermark is the epoch, and what isn't behind it is late.
-    held = f"{delay} {processor.slack_ms} milliseconds"
-    timed = pages.withColumn("et", F.timestamp_millis(F.greatest("ts", F.lit(1)))).withWatermark("et", held)
-    dealt = timed.withColumn("part", F.pmod(F.xxhash64("mid"), F.lit(PARTS)).cast("int"))
-    return dealt.groupBy("part").transformWithStateInPandas(statefulProcessor=Dealt(processor), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    dealt = pages.select(*HELD.names, F.pmod(F.xxhash64("mid"), F.lit(PARTS)).cast("int").alias("part"))
+    packs = dealt.mapInArrow(pack, "part int, at bigint, rows binary")
+    # The first watermark is the epoch, and what isn't behind it is late. A pack is late if all of it is.
+    timed = packs.withColumn("et", F.timestamp_millis(F.greatest("at", F.lit(1)))).withWatermark("et", f"{delay} {processor.slack_ms} milliseconds")
+    return timed.groupBy("part").transformWithStateInPandas(statefulProcessor=Packed(processor), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 
 def in_parts(processor: type[_Waiting], **own: int) -> _Waiting:
